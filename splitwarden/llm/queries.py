@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_index
+from . import ftrl, substring_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_index.digest(substring_index.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ftrl.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality", ftrl.QUALITY, 4, 2, 0.7)
+
+
+def op7_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ftrl.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "toxic", ftrl.TOXICITY, 5, 0, 0.5)
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
