@@ -57,8 +57,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets) of consecutive rows, up to CHUNK bytes or one row each."""
+def chunks(batch: pa.RecordBatch, column: str = "text", most_rows: int = 1 << 20, size: int = CHUNK) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets) of consecutive rows, up to size bytes and most_rows rows, or one row."""
     col = batch.column(batch.schema.get_field_index(column))
     if pa.types.is_string(col.type):
         col = col.cast(pa.large_string())
@@ -70,8 +70,8 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[slice,
     data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None and bufs[2].size else np.zeros(0, np.uint8)
     a = 0
     while a < n:
-        b = int(np.searchsorted(offs, offs[a] + CHUNK, "right")) - 1
-        b = min(n, max(b, a + 1))
+        b = int(np.searchsorted(offs, offs[a] + size, "right")) - 1
+        b = min(n, max(b, a + 1), a + most_rows)
         yield slice(a, b), data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
 
@@ -117,6 +117,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     return out
 
 
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """A random odd number for each byte, for hashes of byte strings."""
+    return _BYTE[data]
+
+
 def rolled(values: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of width consecutive values."""
     n = len(values) - width + 1

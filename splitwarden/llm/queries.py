@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ftrl, substring_index
+from . import ftrl, jaccard_join, substring_index, suffix_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op7_toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl.classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "toxic", ftrl.TOXICITY, 5, 0, 0.5)
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_shards.digest(suffix_shards.remove_later_copies(_table(spark, sf_dir, "documents")))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

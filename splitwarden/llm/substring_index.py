@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import shared_dir, written
+from ..sources.shared import shared_dir, written
 
 RUN = "fp long, rh long, doc_id long, k long, start int, n int, inner boolean"
 
