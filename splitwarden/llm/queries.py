@@ -4,13 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ftrl, jaccard_join, substring_index, suffix_shards
+from . import ftrl, jaccard_join, line_spread, pivot_search, poisson_mix, preference_format, substring_index, suffix_shards, templates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return pivot_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op2_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return poisson_mix.mix(_table(spark, sf_dir, "documents"))
+
+
+def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    rejected = preference_format.swapped(turns)
+    return preference_format.digest(preference_format.preference_pairs(turns, rejected))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_index.digest(substring_index.remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -31,9 +50,13 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(_table(spark, sf_dir, "documents"))
 
 
+def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.digest(line_spread.remove_spread_lines(_table(spark, sf_dir, "documents")))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_pivot_top_k": pivot_search.SQL, "op3_poisson_mixing": poisson_mix.SQL, "op4_preference_formatting": preference_format.SQL, "op10_line_spread": line_spread.SQL}
