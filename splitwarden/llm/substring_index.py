@@ -6,7 +6,7 @@ windows span, and where it stands. Equal windows have equal anchors, so a window
 anchor does, and about one row in fourteen windows is enough to find every repeat.
 
 * ``append`` sorts a batch into a new run and merge-joins it with the historical runs;
-* ``compact`` merges all runs into one row for each (fp, rh), with its count and first place;
+* ``compact`` merges all runs into one row for each (fp, rh) that may repeat, with its count and one place;
 * ``repeated`` verifies: stretches whose whole word sequence (fp and rh, 128 bits) occurs again are settled;
   where one anchor stands in different stretches, one of each goes back to its text and is compared window
   by window (fp and a 64-bit window hash).
@@ -25,19 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
 from ..sources.shared import shared_dir, written
 
-RUN = "fp long, rh long, doc_id long, k long, start int, n int, inner boolean"
+RUN = "fp long, rh long, k long, start int, n int, inner boolean"
 
 
 def _stretches(width: int, gram: int):
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, null = T.ints(batch, "doc_id")
             keys, _ = T.ints(batch, "k")
             for rows, data, offs in T.chunks(batch):
                 starts, ends, first = T.word_spans(data, offs)
@@ -46,7 +45,7 @@ def _stretches(width: int, gram: int):
                 lo = first[row] + start
                 rh = T.spans_hash(words, lo, lo + n + (width - 1))
                 at = row + rows.start
-                yield pa.RecordBatch.from_arrays([T.long_array(fp), T.long_array(rh), T.long_array(ids[at], null[at]), T.long_array(keys[at]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(inner)], names=["fp", "rh", "doc_id", "k", "start", "n", "inner"])
+                yield pa.RecordBatch.from_arrays([T.long_array(fp), T.long_array(rh), T.long_array(keys[at]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(inner)], names=["fp", "rh", "k", "start", "n", "inner"])
 
     return fingerprints
 
@@ -63,8 +62,9 @@ class WindowIndex:
         self.docs: list[DataFrame] = []
 
     def _save(self, df: DataFrame, kind: str) -> str:
+        """df must be hash-partitioned on fp into as many partitions as there are buckets: one file a bucket."""
         name = f"window_{kind}_{uuid.uuid4().hex}"
-        (df.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp", "rh")
+        (df.write.bucketBy(self.buckets, "fp").sortBy("fp", "rh")
            .option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name))
         return name
 
@@ -76,7 +76,7 @@ class WindowIndex:
 
         The result is lazy: a merge join of bucketed runs, of which neither side is shuffled.
         """
-        name = self._save(self.fingerprints(docs), "run")
+        name = self._save(self.fingerprints(docs).repartition(self.buckets, "fp"), "run")
         new, old = self.spark.table(name), self.runs[:]
         self.runs.append(name)
         self.docs.append(docs)
@@ -91,31 +91,33 @@ class WindowIndex:
             out = out.unionByName(self.spark.table(run))
         return out
 
+    def merge_runs(self) -> None:
+        """Rewrites all runs as one sorted run, so that further batches are merge-joined with one table."""
+        self.runs = [self._save(self.postings().repartition(self.buckets, "fp"), "run")]
+
     def compact(self) -> DataFrame:
-        """One row for each distinct stretch: fp, rh, how often it stands anywhere, and its first place."""
-        place = F.struct("doc_id", "k", "start", "n")
+        """Merges the runs into one sorted row for each distinct stretch whose anchor stands more than once:
+        fp, rh, c (how often it stands anywhere), variants (distinct stretches of its anchor) and one place."""
         each = None
         for run in self.runs:
-            part = self.spark.table(run).groupBy("fp", "rh").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("at"), F.max("inner").alias("inner"))
+            part = self.spark.table(run).groupBy("fp", "rh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "start", "n")).alias("at"), F.max("inner").alias("inner"))
             each = part if each is None else each.unionByName(part)
-        if len(self.runs) > 1:
-            each = each.groupBy("fp", "rh").agg(F.sum("c").alias("c"), F.min("at").alias("at"), F.max("inner").alias("inner"))
-        return self.spark.table(self._save(each, "level"))
+        # The runs are bucketed on fp, so the sums above take no shuffle, and the next steps one together.
+        each = each.repartition(self.buckets, "fp").groupBy("fp", "rh").agg(F.sum("c").alias("c"), F.min("at").alias("at"), F.max("inner").alias("inner"))
+        each = each.withColumn("variants", F.count(F.lit(1)).over(Window.partitionBy("fp")))
+        return self.spark.table(self._save(each.where("c > 1 or variants > 1 or inner"), "level"))
 
     def repeated(self, level: DataFrame | None = None) -> DataFrame:
-        """Verified places of windows that stand elsewhere too: doc_id, k, start, n (n windows from start)."""
+        """Verified places of windows that stand elsewhere too: k, start, n (n windows from start)."""
         level = self.compact() if level is None else level
-        whole = self.postings().join(level.where("c > 1").select("fp", "rh"), ["fp", "rh"]).select("doc_id", "k", "start", "n")
-        shared = level.groupBy("fp").agg(F.count(F.lit(1)).alias("variants"), F.max("inner").alias("inner")).where("variants > 1 or inner").select("fp")
-        rivals = level.join(shared, "fp").select("fp", "c", "at.*")
-        asked = rivals.groupBy("doc_id", "k").agg(F.collect_list(F.struct("fp", "c", "start", "n")).alias("asked"))
-        docs = T.keyed(_all(self.docs))
-        # Equal rows give equal answers, so one of them is asked.
-        found = docs.join(asked, T.same_row(docs, asked)).select(asked["doc_id"], asked["k"], "text", "asked")
-        windows = found.mapInArrow(_windows(self.width), "fp long, h long, c long, doc_id long, k long, start int")
-        windows = written(windows, "windows")
+        whole = self.postings().join(level.where("c > 1").select("fp", "rh"), ["fp", "rh"]).select("k", "start", "n")
+        rivals = level.where("variants > 1 or inner").select("fp", "c", "at.*")
+        asked = rivals.groupBy("k").agg(F.collect_list(F.struct("fp", "c", "start", "n")).alias("asked"))
+        # Equal rows have one key and answer alike.
+        found = T.keyed(_all(self.docs)).join(asked, "k").select("k", "text", "asked")
+        windows = written(found.mapInArrow(_windows(self.width), "fp long, h long, c long, k long, start int"), "windows")
         again = windows.groupBy("fp", "h").agg(F.sum("c").alias("total")).where("total > 1").select("fp", "h")
-        single = windows.where("c = 1").join(again, ["fp", "h"], "left_semi").select("doc_id", "k", "start", F.lit(1).alias("n"))
+        single = windows.where("c = 1").join(again, ["fp", "h"], "left_semi").select("k", "start", F.lit(1).alias("n"))
         return whole.unionByName(single)
 
 
@@ -129,7 +131,6 @@ def _all(frames: list[DataFrame]) -> DataFrame:
 def _windows(width: int):
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, null = T.ints(batch, "doc_id")
             keys, _ = T.ints(batch, "k")
             asked = batch.column(batch.schema.get_field_index("asked"))
             upto, item = asked.offsets.to_numpy(), asked.values
@@ -144,7 +145,7 @@ def _windows(width: int):
                 step = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
                 doc, begin = np.repeat(doc, many), start[which] + step
                 got = h[first[doc - rows.start] + begin]
-                yield pa.RecordBatch.from_arrays([T.long_array(fp[which]), T.long_array(got), T.long_array(c[which]), T.long_array(ids[doc], null[doc]), T.long_array(keys[doc]), pa.array(begin, pa.int32())], names=["fp", "h", "c", "doc_id", "k", "start"])
+                yield pa.RecordBatch.from_arrays([T.long_array(fp[which]), T.long_array(got), T.long_array(c[which]), T.long_array(keys[doc]), pa.array(begin, pa.int32())], names=["fp", "h", "c", "k", "start"])
 
     return hashes
 
@@ -180,9 +181,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, batches: int
     key = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     for i in range(batches):
         index.append(docs.where(F.coalesce(key, F.lit(0)) == i) if batches > 1 else docs)
-    spans = index.repeated().groupBy("doc_id", "k").agg(F.array_distinct(F.collect_list(F.struct("start", "n"))).alias("spans"))
-    all_docs = T.keyed(docs)
-    joined = all_docs.join(spans, T.same_row(all_docs, spans), "left").select(all_docs["doc_id"], "text", "spans")
+    spans = index.repeated().groupBy("k").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    joined = T.keyed(docs).join(spans, "k", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept string")
 
 

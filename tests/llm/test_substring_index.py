@@ -57,4 +57,7 @@ def test_append_reports_what_repeats_in_history(spark):
     index = WindowIndex(spark, 4, 2)
     assert index.append(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
     assert index.append(spark.createDataFrame([(3, "z c d e f z")], "doc_id long, text string")).count() >= 1
-    assert {(r.doc_id, r.start) for r in index.repeated().collect() if r.n == 1} | {(r.doc_id, r.start + i) for r in index.repeated().collect() for i in range(r.n)} == {(1, 2), (3, 1)}
+    places = {(r.k, r.start + i) for r in index.repeated().collect() for i in range(r.n)}
+    assert sorted(start for _, start in places) == [1, 2] and len({k for k, _ in places}) == 2
+    index.merge_runs()
+    assert len(index.runs) == 1 and {(r.k, r.start + i) for r in index.repeated().collect() for i in range(r.n)} == places
