@@ -49,18 +49,18 @@ def spread_lines(docs: DataFrame, site: str = "source", least: int = 10) -> Data
 
 def remove_spread_lines(docs: DataFrame, site: str = "source", least: int = 10) -> DataFrame:
     """The documents without the lines that spread_lines finds, and with their counts of lines."""
-    gone = _lines(docs, site, "k").join(spread_lines(docs, site, least), ["h1", "h2"], "left_semi").groupBy("k").agg(F.collect_set("pos").alias("gone")).withColumnRenamed("k", "__gone_k")
+    gone = _lines(docs, site, "k").join(spread_lines(docs, site, least), ["h1", "h2"], "left_semi").groupBy("k").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("k", "__gone_k")
     docs = docs.drop("n_lines", "n_removed_lines")
     text = F.col("text").cast("string")
     keyed = docs.withColumn("__k", F.xxhash64(F.col("doc_id").cast("long"), text))
     lines = F.split(text, "\n")
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")))
+    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")))
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
     joined = keyed.join(gone, keyed["__k"] == gone["__gone_k"], "left")
     return joined.select(
-        *(F.when(F.col("gone").isNull(), text).otherwise(rest).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        *(F.when(F.col("__gone").isNull(), text).otherwise(rest).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
         F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
+        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
     )
 
 

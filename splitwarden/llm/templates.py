@@ -4,8 +4,8 @@ Texts become tokens: runs of letters (A-Z folded) and runs of digits; other char
 template form numbers (with inner points and commas), units after numbers and names (capitalised words within
 a sentence; several in a row are one) are typed placeholders. Windows of ``width`` tokens of benchmark items
 and documents, in the plain and in the template form, are hash-joined. A template match then needs consistent
-slots: equal values in the item's window stand for equal values in the document's, different ones for
-different ones. So re-parameterised questions are found, and texts that share only their layout are not.
+slots: over all windows of one alignment, equal values of the item stand for equal values of the document, and
+different ones for different ones. So re-parameterised questions are found, and texts that share only their layout are not.
 Template windows count only with a slot and at least ``least_words`` tokens that are none.
 
 Items shorter than a window are one window of their own length; items below ``shortest`` tokens never match.
@@ -87,9 +87,9 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return h, first, np.stack([form[keep], value]), (number | unit | name)[keep], np.append(0, np.cumsum(keep))[first]
 
 
-def windows(data: np.ndarray, offs: np.ndarray, width: int, least_words: int, lengths: tuple[int, ...], whole: bool, shortest: int = 6):
+def windows(data: np.ndarray, offs: np.ndarray, width: int, least_words: int, lengths: tuple[int, ...], whole: bool, shortest: int = 6, parsed=None):
     """(row, hash, place, slot places) of both forms. whole: rows shorter than width are one window of their length."""
-    h, first, both, slot, t_first = tokens(data, offs)
+    h, first, both, slot, t_first = tokens(data, offs) if parsed is None else parsed
     for form, values, upto in ((0, h, first), (1, both[0] if both.ndim == 2 else both, t_first)):
         count = np.diff(upto)
         for w in sorted({width, *lengths}):
@@ -115,7 +115,7 @@ def _emitted(width: int, least_words: int, lengths: tuple[int, ...], whole: bool
             keys, null = T.ints(batch, key)
             for rows, data, offs in T.chunks(batch):
                 parsed = tokens(data, offs)
-                for form, w, row, h, pos, at in windows(data, offs, width, least_words, lengths, whole):
+                for form, w, row, h, pos, at in windows(data, offs, width, least_words, lengths, whole, parsed=parsed):
                     if wanted is not None:
                         if not len(wanted):
                             continue
@@ -128,7 +128,7 @@ def _emitted(width: int, least_words: int, lengths: tuple[int, ...], whole: bool
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 6) -> DataFrame:
-    """k, doc_id, item_id, n_windows: documents and the items of which they hold so many different windows."""
+    """k, item_id, n_windows: texts and the items of which one alignment holds so many different windows."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
 
@@ -149,10 +149,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words:
     texts = T.keyed(docs)
     found = texts.mapInArrow(_emitted(width, least_words, lengths, False, "k", known), f"k long, {WINDOW}")
     both = found.withColumnsRenamed({"pos": "at", "slots": "values"}).join(asked, "h")
+    # Windows of one alignment of a text with an item are judged together. Windows of the plain form have no slots.
     pairs = F.array_distinct(F.arrays_zip(F.col("slots").alias("a"), F.col("values").alias("b")))
-    consistent = (F.size(pairs) == F.size(F.array_distinct("slots"))) & (F.size(pairs) == F.size(F.array_distinct("values")))
-    hits = both.where((F.size("slots") == F.size("values")) & consistent).groupBy("k", "item_id").agg(F.countDistinct("pos").alias("n_windows"))
-    return hits
+    aligned = both.where(F.size("slots") == F.size("values")).select("k", "item_id", "pos", (F.col("at") - F.col("pos")).alias("shift"), (F.size("slots") > 0).alias("form"), pairs.alias("pairs"))
+    whole = aligned.groupBy("k", "item_id", "form", "shift").agg(F.countDistinct("pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.a")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.b"))))
+    return whole.where(one_to_one).groupBy("k", "item_id").agg(F.max("n_windows").alias("n_windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 6, least_windows: int = 1) -> DataFrame:
