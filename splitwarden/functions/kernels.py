@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,15 +76,12 @@ def readable_bytes(n: Column) -> Column:
 
 def chi2_sf_one(x: Column) -> Column:
     """Upper tail of the chi-squared distribution with one degree of freedom, erfc(sqrt(x / 2))."""
-    import pandas as pd
+    return _erfc_tail(x.cast("double"))
 
-    @F.pandas_udf("double")
-    def tail(values: pd.Series) -> pd.Series:
-        import math
 
-        return values.map(lambda v: None if v != v or v is None else math.erfc(math.sqrt(v / 2)))
-
-    return tail(x.cast("double"))
+@F.pandas_udf("double")
+def _erfc_tail(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if pd.isna(v) else math.erfc(math.sqrt(v / 2)))
 
 
 def pixel_difference_hash(pixels: Column, width: int = 9) -> Column:
@@ -115,6 +114,4 @@ def image_kernels(batches: Iterator) -> Iterator:
                 rows.append((path, value - (1 << 64) if value >> 63 else value, pixels, *image.size, image.mode))
             except Exception:
                 rows.append((path, None, None, None, None, None))
-        import pandas as pd
-
         yield pd.DataFrame(rows, columns=["path", "dhash", "pixel_md5", "width", "height", "mode"])
