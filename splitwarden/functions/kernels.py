@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 EARTH_METRES = 6_371_000.0
 
@@ -79,7 +80,7 @@ def chi2_sf_one(x: Column) -> Column:
     return _erfc_tail(x.cast("double"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _erfc_tail(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else math.erfc(math.sqrt(v / 2)))
 
