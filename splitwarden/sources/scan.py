@@ -62,16 +62,26 @@ def scan_splits(spark: SparkSession, root: str, classes: list[str], extensions:
     return f.withColumn("doubled", F.col("file").rlike(pattern))
 
 
+# How image files begin, in hexadecimal (JPEG, PNG, BMP, TIFF, WEBP; HEIC has its mark after a length).
+SIGNATURES = ("FFD8FF", "89504E47", "424D", "49492A00", "4D4D002A", "52494646")
+
+
 def scan_with_problems(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "val", "test"), extensions: tuple[str, ...] = EXTENSIONS) -> tuple[DataFrame, DataFrame]:
-    """(items, problems): problems have kind (MISSING_SPLIT, NON_IMAGE, UNREADABLE), path and message."""
-    f = files(spark, root).withColumn("p", _parts(F.ltrim(F.col("rel"), F.lit("/"))))
+    """(items, problems): problems have kind (MISSING_SPLIT, NON_IMAGE, UNREADABLE), path and message.
+
+    Files are told by their first bytes. Files without any byte are not listed by the source.
+    """
+    f = files(spark, root, True).withColumn("p", _parts(F.ltrim(F.col("rel"), F.lit("/"))))
     image = has_extension(F.col("rel"), extensions)
-    items = scan_positional(spark, root, extensions)
-    odd = f.where(~image).select(F.lit("NON_IMAGE").alias("kind"), "path", F.lit("no image extension").alias("message"))
-    empty = f.where(image & (F.col("bytes") == 0)).select(F.lit("UNREADABLE").alias("kind"), "path", F.lit("no bytes").alias("message"))
+    start = F.hex(F.substring("content", 1, 8))
+    known = start.rlike("^(" + "|".join(SIGNATURES) + ")") | start.rlike("^.{8}66747970")
+    looked = f.withColumn("good", known).drop("content")
+    items = looked.where(image & F.col("good") & (F.size("p") == 3)).select(F.col("p")[0].alias("split"), F.trim(F.col("p")[1]).alias("cls"), F.col("p")[2].alias("file"), "path", "bytes", "modified")
+    odd = looked.where(~image).select(F.lit("NON_IMAGE").alias("kind"), "path", F.lit("no image extension").alias("message"))
+    broken = looked.where(image & ~F.col("good")).select(F.lit("UNREADABLE").alias("kind"), "path", F.lit("no image signature").alias("message"))
     asked = spark.createDataFrame([(s,) for s in splits], "split string")
     lacking = asked.join(items.select("split").distinct(), "split", "left_anti").select(F.lit("MISSING_SPLIT").alias("kind"), F.concat(F.lit(root.rstrip("/") + "/"), "split").alias("path"), F.lit("no items").alias("message"))
-    return items.where("bytes > 0"), odd.unionByName(empty).unionByName(lacking)
+    return items, odd.unionByName(broken).unionByName(lacking)
 
 
 def split_keys(items: DataFrame) -> DataFrame:

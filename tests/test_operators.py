@@ -49,7 +49,7 @@ def test_chance_and_mcnemar(spark):
     four = metrics.chance(spark.createDataFrame([(70,), (126,), (63,), (61,)], "n long")).first()
     three = metrics.chance(spark.createDataFrame([(70,), (126,), (63,)], "n long")).first()
     assert round(100 * four.uniform, 3) == 24.394 and round(100 * three.uniform, 3) == 32.512 and four.prior == 0.25
-    p = spark.createDataFrame([(0.8,), (4.1667,)], "x double").select(kernels.chi2_sf_one(F.col("x")).alias("p")).collect()
+    p = spark.createDataFrame([(0.8,), (25 / 6,)], "x double").select(kernels.chi2_sf_one(F.col("x")).alias("p")).collect()
     assert [round(r.p, 6) for r in p] == [0.371093, 0.041227]
     none = metrics.mcnemar(spark.createDataFrame([(True, True)], "a boolean, b boolean"), "a", "b").first()
     assert (none.b, none.c, none.chi2) == (0, 0, None)

@@ -27,12 +27,14 @@ def test_scans(spark, tmp_path):
     flat = {(r.split, r.cls) for r in scan.scan_dataset(spark, str(tmp_path / "e"), exclude=["DOG"]).collect()}
     assert flat == {("__none__", "cat")}
     put(tmp_path / "f/deep", "train/a/1.jpg", "val/a/2.jpg", "test/a/3.jpg.jpg")
-    put(tmp_path / "f/deep", "test/a/empty.jpg", data=b"")
+    put(tmp_path / "f/deep", "test/a/broken.jpg", data=b"GIF8")
+    put(tmp_path / "f/deep", "train/a/1.jpg", "val/a/2.jpg", "test/a/3.jpg.jpg", data=b"\xff\xd8\xff\xe0")
+    put(tmp_path / "f/deep", "test/a/notes.txt")
     assert [r.root.endswith("/f/deep") for r in scan.partition_roots(spark, str(tmp_path / "f")).collect()] == [True]
     items = scan.scan_splits(spark, str(tmp_path / "f/deep"), ["A"])
     assert {(r.file, r.doubled) for r in items.collect()} >= {("3.jpg.jpg", True), ("1.jpg", False)}
     good, bad = scan.scan_with_problems(spark, str(tmp_path / "f/deep"), ("train", "val", "test", "extra"))
-    assert good.count() == 3 and {r.kind for r in bad.collect()} == {"UNREADABLE", "MISSING_SPLIT"}
+    assert good.count() == 3 and {r.kind for r in bad.collect()} == {"UNREADABLE", "MISSING_SPLIT", "NON_IMAGE"}
     mapped = scan.mapped_classes(scan.scan_dataset(spark, str(tmp_path / "e")), {"cat": "animal"})
     assert [(r.cls, r.label) for r in mapped.collect()] == [("cat", "animal")]
 
