@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Image extensions, split folder names, location hints in headers.
 EXTENSIONS = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp", "heic")
 SPLIT_NAMES = {"train": ("train", "training", "train_set"), "val": ("val", "valid", "validation", "dev"), "test": ("test", "testing", "test_set", "eval")}
-LOCATION_HINTS = ("lat", "lon", "lng", "gps", "location", "site", "farm", "region", "province", "district", "village", "country", "city", "place", "address", "coord", "orchard")
+LOCATION_HINTS = ("site", "orchard", "location", "farm", "plot", "block", "gps", "lat", "lon", "address", "district", "estate", "place", "kebun", "ladang", "tempat", "source")
 
 
 def stem(name: Column, extensions: tuple[str, ...] = EXTENSIONS) -> Column:
@@ -20,14 +20,23 @@ def has_extension(name: Column, extensions: tuple[str, ...] = EXTENSIONS) -> Col
     return name.rlike("(?i)\\.(" + "|".join(extensions) + ")$")
 
 
-def capture_key(name: Column, bounded: bool = True, default_prefix: str = "IMG") -> Column:
+# Names of video frames, messenger pictures and numbered captures.
+VIDEO = "(?i)^(.+?)_frame\\d+"
+CHAT = "(?i)WhatsApp Image (\\d{4}-\\d{2}-\\d{2})"
+NUMBERED = "^([A-Za-z_]*?)(\\d{3,6})\\b"
+CHAT_LOOSE = "(?i)^WhatsApp Image (\\d{4}-\\d{2}-\\d{2})"
+NUMBERED_LOOSE = "^([A-Za-z_]*?)(\\d{3,})"
+
+
+def capture_key(name: Column, bounded: bool = True, default_prefix: str | None = None) -> Column:
     """struct(kind, key, num) of a file name: video frame, messenger date, numbered sequence or single.
 
-    bounded: a sequence number ends at a word boundary; without it longer digit runs count too.
+    bounded: a number has up to six digits and ends at a word boundary, and an empty prefix is IMG; without it
+    longer digit runs count too, dates must begin the name, and an empty prefix stays.
     """
     base = stem(name)
-    video, chat = "(?i)^(.*)_frame\\d+", "(?i)WhatsApp Image (\\d{4}-\\d{2}-\\d{2})"
-    seq = "^(.*?)(\\d{3,6})\\b" if bounded else "^(.*?)(\\d{3,})"
+    video, chat, seq = (VIDEO, CHAT, NUMBERED) if bounded else (VIDEO, CHAT_LOOSE, NUMBERED_LOOSE)
+    default_prefix = default_prefix if default_prefix is not None else "IMG" if bounded else ""
     kind = F.when(base.rlike(video), "video").when(base.rlike(chat), "whatsapp").when(base.rlike(seq), "seq").otherwise("single")
     prefix = F.regexp_extract(base, seq, 1)
     key = (

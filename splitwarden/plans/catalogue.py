@@ -224,11 +224,9 @@ def p12_pair_sample(t):
     return similarity.sampled_pairs(similarity.cosine_pairs(vectors(t), "key", "cls", "v").select("a", "b"), 200)
 
 
-@query("SELECT 'n_nationkey' AS x, n_nationkey::BIGINT AS n FROM nation WHERE false")
-def p13_location_columns(t):
-    """Headers that hint at a place; the nation table has none."""
-    found = keys.location_columns(t.nation.columns)
-    return t.nation.select(F.lit("n_nationkey").alias("x"), F.col("n_nationkey").cast("long").alias("n")).where(F.lit(bool(found) and "n_location" in found))
+@query("SELECT 'source' AS \"column\", source AS value, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, value LIMIT 20")
+def p13_location_values(t):
+    return keys.location_values(t.documents)
 
 
 @query("SELECT CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE o_orderstatus END AS status, count(*) AS n FROM orders GROUP BY 1")
