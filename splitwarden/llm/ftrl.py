@@ -35,7 +35,10 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
 
 @dataclass(frozen=True)
 class Settings:
-    """grams: longest n-gram; skips: gaps of token pairs. max_rows bounds the labelled rows of a fit."""
+    """grams: longest n-gram; skips: gaps of token pairs. max_rows bounds the labelled rows of a fit.
+
+    positive_weight: rows with label 1 count so often, for labels that are rare.
+    """
 
     bits: int = 20
     grams: int = 2
@@ -47,6 +50,7 @@ class Settings:
     epochs: int = 4
     least_rows: int = 3
     power: float = 0.5
+    positive_weight: float = 1.0
     max_rows: int = 20_000
     rows_hash_seed: int = 17
 
@@ -106,16 +110,19 @@ def fit_rows(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
     if not texts:
         return Model(s, None, np.zeros(0, np.int64), np.zeros(0))
     batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
-    each: list[tuple[np.ndarray, float]] = []
     seen = np.zeros(1 << s.bits, np.int32)
     for _, data, offs in T.chunks(batch):
         pairs = list(features(data, offs, s))
-        row, bucket = _distinct(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), s.bits)
+        _, bucket = _distinct(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), s.bits)
         seen += np.bincount(bucket, minlength=len(seen)).astype(np.int32)
+    # The features are made again rather than held: only those that enough rows have stay in memory.
+    each: list[tuple[np.ndarray, float]] = []
+    for _, data, offs in T.chunks(batch):
+        pairs = [(r[k], b[k]) for r, b in features(data, offs, s) for k in [seen[b] >= s.least_rows]]
+        row, bucket = _distinct(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), s.bits)
         upto = np.searchsorted(row, np.arange(len(offs)))
         scale = _scale(data, offs, s)
         each += [(bucket[a:b].astype(np.int32), v) for a, b, v in zip(upto[:-1], upto[1:], scale, strict=True)]
-    each = [(b[seen[b] >= s.least_rows], v) for b, v in each]
     size = 1 << s.bits
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     order = np.random.default_rng(s.rows_hash_seed)
@@ -130,7 +137,7 @@ def fit_rows(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
             x = np.full(len(at), v)
             x[-1] = 1.0
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
-            g = (p - labels[i]) * x
+            g = (p - labels[i]) * x * (s.positive_weight if labels[i] else 1.0)
             step = (np.sqrt(ni + g * g) - np.sqrt(ni)) / s.alpha
             z[at] = zi + g - step * w
             n[at] = ni + g * g
@@ -198,7 +205,7 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 QUALITY = Settings(grams=2, alpha=4.0, l1=0.3, epochs=3)
-TOXICITY = Settings(grams=2, skips=(1, 2), alpha=1.0, l1=8.0, power=0.0, least_rows=8)
+TOXICITY = Settings(grams=2, skips=(1, 2), alpha=1.0, l1=8.0, power=0.0, least_rows=8, max_rows=40_000)
 
 
 def classified(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, parts: int, part: int, threshold: float) -> DataFrame:
