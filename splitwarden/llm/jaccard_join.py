@@ -9,8 +9,9 @@ the result.
 * Documents of equal sets form one group (a hash of the set, its size, hence equal prefixes): only groups
   enter the join, their members are expanded at the end.
 * Prefix entries are shuffled by shingle; shingles that only one group has leave at once.
-* First every group is verified against the one smaller group with which it shares most entries. The links
-  found give components, which already join large sets of near copies without any pair among their members.
+* First, in a few turns, every group is verified against one hub of another component: of the first groups, in
+  an order that changes each turn, of its shingles the one with which it shares most. Links join components, so
+  that large sets of near copies grow together without all pairs among their members.
 * Then every remaining candidate pair that lies in different components, passes the size filter and the
   positional filter is verified too. Pairs within one component cannot change it.
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..sources.shared import shared_dir, written
+from ..sources.shared import shared_dir, tidy, written
 from . import _text as T
 
 #: Rows of a chunk: their number takes the highest bits of sort keys, the shingle the others.
@@ -173,21 +174,18 @@ def _fits(size_y, pos_y, size_x, pos_x, percent: int) -> np.ndarray:
     return near & (1 + np.minimum(size_x - pos_x - 1, size_y - pos_y - 1) >= need)
 
 
-def _leaders(percent: int):
+def _hubs(percent: int, turn: int):
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, grp, size, pos in _by_token(batches, ("token", "grp", "size", "pos")):
-            order = np.lexsort((grp, size, token))
-            token, grp, size, pos = token[order], grp[order], size[order], pos[order]
-            start = np.searchsorted(token, token)
-            # The first entry of the token whose set is large enough, by a search on (token, size).
-            place = np.cumsum(np.append(0, token[1:] != token[:-1])).astype(np.int64)
-            least = -(-percent * size.astype(np.int64) // 100)
-            y = np.maximum(start, np.searchsorted(place << 32 | size, place << 32 | least))
-            ok = (y < np.arange(len(token))) & _fits(size[y], pos[y], size, pos, percent)
-            if not ok.any():
-                continue
-            pair, n = np.unique(np.stack([grp[y[ok]], grp[ok]]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(n, pa.int64())], names=["y", "x", "n"])
+        for token, grp, size, pos, comp in _by_token(batches, ("token", "grp", "size", "pos", "comp")):
+            # One order of all groups, another one each turn, names the same hub for most of a copy's shingles.
+            order = np.lexsort((T.mix(grp.view(np.uint64) + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))), token))
+            token, grp, size, pos, comp = (x[order] for x in (token, grp, size, pos, comp))
+            hub = np.searchsorted(token, token)
+            small = size[hub] <= size
+            ok = (comp[hub] != comp) & _fits(np.minimum(size[hub], size), np.where(small, pos[hub], pos), np.maximum(size[hub], size), np.where(small, pos, pos[hub]), percent)
+            if ok.any():
+                pair, n = np.unique(np.stack([grp[hub[ok]], grp[ok]]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(n, pa.int64())], names=["hub", "x", "n"])
 
     return pairs
 
@@ -269,10 +267,11 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(b, "x").join(a, "y").select("y", "x", "a", "b").mapInArrow(_verified(percent), "y long, x long")
 
 
-def classes(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
+def classes(docs: DataFrame, percent: int = 75, width: int = 5, turns: int = 4) -> DataFrame:
     """doc_id, k, n_shingles, grp (documents of equal sets) and comp (documents joined by links), one row each.
 
     Two documents are linked when 100 * |intersection| >= percent * |union|. k is the key of _text.keyed.
+    turns: rounds of verification against hubs before all remaining pairs; it decides the work only.
     """
     spark = docs.sparkSession
     if not 50 <= percent <= 100:
@@ -288,18 +287,29 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     first = summary.where("size > 0").join(shared.select("grp").distinct(), "grp", "left_semi").groupBy("grp").agg(F.min(F.struct("doc_id", "k")).alias("of")).select("grp", "of.*")
     found = texts.join(first, T.same_row(texts, first)).select("text").mapInArrow(_whole_sets(width), "grp long, items binary").dropDuplicates(["grp"])
     name = f"shingle_sets_{uuid.uuid4().hex}"
-    found.repartition(parts, "grp").write.bucketBy(parts, "grp").sortBy("grp").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    with tidy(spark):
+        found.repartition(parts, "grp").write.bucketBy(parts, "grp").sortBy("grp").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     sets = spark.table(name)
 
-    leaders = shared.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_leaders(percent), "y long, x long, n long")
-    best = leaders.groupBy("y", "x").agg(F.sum("n").alias("n")).groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y"))
-    near = written(_links(best.select("y", "x"), sets, percent), "links")
-    comp = connected_components(near, "y", "x")
+    comp, tested = spark.createDataFrame([], "node long, component long"), None
+
+    def entries_now() -> DataFrame:
+        known = shared.join(comp.withColumnRenamed("node", "grp"), "grp", "left").withColumn("comp", F.coalesce("component", "grp"))
+        return known.repartition(parts, "token").sortWithinPartitions("token")
+
+    def joined(links: DataFrame) -> DataFrame:
+        stars = comp.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y"))
+        return connected_components(stars.unionByName(links), "y", "x")
 
-    known = shared.join(comp.withColumnRenamed("node", "grp"), "grp", "left").withColumn("comp", F.coalesce("component", "grp"))
-    rest = known.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_across(percent), "y long, x long").distinct()
-    more = written(_links(rest, sets, percent), "links")
-    comp = connected_components(near.unionByName(more), "y", "x")
+    for turn in range(turns):
+        near = entries_now().mapInArrow(_hubs(percent, turn), "hub long, x long, n long").groupBy("hub", "x").agg(F.sum("n").alias("n"))
+        best = near.groupBy("x").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.least("hub", "x").alias("y"), F.greatest("hub", "x").alias("x")).distinct()
+        best = written(best if tested is None else best.join(tested, ["y", "x"], "left_anti"), "tested")
+        tested = best if tested is None else tested.unionByName(best)
+        comp = joined(written(_links(best, sets, percent), "links"))
+
+    rest = entries_now().mapInArrow(_across(percent), "y long, x long").select(F.least("y", "x").alias("y"), F.greatest("y", "x").alias("x")).distinct()
+    comp = joined(written(_links(rest.join(tested, ["y", "x"], "left_anti"), sets, percent), "links"))
     return summary.join(comp.withColumnRenamed("node", "grp"), "grp", "left").select("doc_id", "k", F.col("size").cast("long").alias("n_shingles"), "grp", F.when(F.col("size") > 0, F.coalesce("component", "grp")).alias("comp"))
 
 
@@ -321,3 +331,16 @@ def keep_one(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
     keyed = docs.withColumn("k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     # Equal rows have equal keys; the join has dealt the rows by k, so that this takes no further shuffle.
     return keyed.join(stay, "k", "left_semi").dropDuplicates(["k"]).select(*docs.columns)
+
+
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS g FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, least(len(words), 1)))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT b.a, b.b FROM b JOIN n x ON x.doc_id = b.a JOIN n y ON y.doc_id = b.b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
+r(u, v) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+m AS (SELECT u AS doc_id, min(v) AS component_id FROM r GROUP BY u)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM w LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
+"""

@@ -59,4 +59,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_top_k": pivot_search.SQL, "op3_poisson_mixing": poisson_mix.SQL, "op4_preference_formatting": preference_format.SQL, "op10_line_spread": line_spread.SQL}
+    return {"op1_pivot_top_k": pivot_search.SQL, "op3_poisson_mixing": poisson_mix.SQL, "op4_preference_formatting": preference_format.SQL, "op5_substring_dedup": substring_index.SQL, "op9_jaccard_join": jaccard_join.SQL, "op10_line_spread": line_spread.SQL}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ..sources.shared import shared_dir, written
+from ..sources.shared import shared_dir, tidy, written
 
 RUN = "fp long, rh long, k long, start int, n int, inner boolean"
 
@@ -64,8 +64,8 @@ class WindowIndex:
     def _save(self, df: DataFrame, kind: str) -> str:
         """df must be hash-partitioned on fp into as many partitions as there are buckets: one file a bucket."""
         name = f"window_{kind}_{uuid.uuid4().hex}"
-        (df.write.bucketBy(self.buckets, "fp").sortBy("fp", "rh")
-           .option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name))
+        with tidy(self.spark):
+            df.write.bucketBy(self.buckets, "fp").sortBy("fp", "rh").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
         return name
 
     def fingerprints(self, docs: DataFrame) -> DataFrame:
@@ -188,3 +188,14 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, batches: int
 
 def digest(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+t AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+p AS (SELECT doc_id, i, word, CASE WHEN count(*) OVER f = 35 THEN md5(string_agg(word, ' ') OVER f) END AS h FROM t WINDOW f AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+d AS (SELECT h FROM p WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+c AS (SELECT p.doc_id, p.i, p.word, coalesce(max(CASE WHEN d.h IS NOT NULL THEN p.i END) OVER (PARTITION BY p.doc_id ORDER BY p.i) >= p.i - 34, false) AS gone FROM p LEFT JOIN d ON d.h = p.h),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""

@@ -23,14 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
 from . import _text as T
 
 #: Bytes of text whose suffixes one shard sorts.
-SHARD = 2 << 20
+SHARD = 1 << 20
 _SMALL = 1 << 18
 
 
@@ -76,7 +76,8 @@ def suffix_array(data: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
         inside = at + h < n
         after[inside] = rank[at[inside] + h] + 1
         key = rank[at] << 32 | after
-        by = np.argsort(key)
+        # Groups are in order already, so that a merge sort has little to move.
+        by = np.argsort(key, kind="stable")
         key = key[by]
         order[open_] = at[by]
         new = np.ones(len(at), bool)
@@ -87,11 +88,12 @@ def suffix_array(data: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def common_prefixes(words: np.ndarray, order: np.ndarray, enough: int) -> np.ndarray:
+def common_prefixes(words: np.ndarray, order: np.ndarray, enough: int, least: int = 0) -> np.ndarray:
     """For each place in text order, the bytes that its suffix shares with the one before it in the order.
 
     Where both move on by one byte together the value falls by one, so only the other places are compared,
-    eight bytes at a time, and no further than until all of their run have enough.
+    eight bytes at a time, and no further than until all of their run have enough. Values below least may be
+    given as less.
     """
     n = len(words)
     before = np.full(n, -1, np.int64)
@@ -104,7 +106,11 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, enough: int) -> np.nda
     most = np.where(other < 0, 0, n - np.maximum(heads, other))
     need = np.minimum(most, run + enough)
     shared = np.zeros(len(heads), np.int64)
-    active = np.flatnonzero(need > 0)
+    active = np.flatnonzero(need >= max(least, 1))
+    if least >= 8:
+        last = words[heads[active] + least - 8] == words[other[active] + least - 8]
+        active = active[last]
+        active = active[words[heads[active]] == words[other[active]]]
     while len(active):
         a, b = heads[active] + shared[active], other[active] + shared[active]
         differ = words[a] ^ words[b]
@@ -167,7 +173,7 @@ def _shard(docs: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
 
     words = packed(data)
     order = suffix_array(data, words, width)
-    equal = common_prefixes(words, order, width)[order] >= width
+    equal = common_prefixes(words, order, width, width)[order] >= width
     kind = np.cumsum(~equal)
     kept = whole[order]
     order, kind = order[kept], kind[kept]
@@ -294,8 +300,10 @@ def remove_later_copies(docs: DataFrame, width: int = 100, gram: int = 20, group
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = T.keyed(docs)
     places = texts.mapInArrow(_anchors(width, gram), "fp long, k long, start int, n int").repartition(parts, "fp")
-    often = places.groupBy("fp").agg(F.count(F.lit(1)).alias("total"), F.min("n").alias("m")).where("total > 1 or m < 0").select("fp", "total")
-    hits = places.join(often, "fp").groupBy("k").agg(F.collect_list(F.struct("fp", "start", F.abs("n").alias("n"), "total")).alias("asked"), F.min(F.struct("fp", "total")).alias("g"))
+    # One shuffle of all places; a frequent anchor's places are counted by a window that spills.
+    same = Window.partitionBy("fp")
+    often = places.withColumn("total", F.count(F.lit(1)).over(same)).withColumn("m", F.min("n").over(same)).where("total > 1 or m < 0")
+    hits = often.groupBy("k").agg(F.collect_list(F.struct("fp", "start", F.abs("n").alias("n"), "total")).alias("asked"), F.min(F.struct("fp", "total")).alias("g"))
     # One anchor in many documents is dealt to several shards; the merge below joins them again.
     salt = F.pmod(F.xxhash64("k"), F.ceil(F.col("g.total") / group)).alias("salt")
     dealt = texts.join(hits, "k").select("k", "doc_id", "text", "asked", F.col("g.fp").alias("g"), salt)
