@@ -6,7 +6,8 @@ a sentence; several in a row are one) are typed placeholders. Windows of ``width
 and documents, in the plain and in the template form, are hash-joined. A template match then needs consistent
 slots: over all windows of one alignment, equal values of the item stand for equal values of the document, and
 different ones for different ones. So re-parameterised questions are found, and texts that share only their layout are not.
-Template windows count only with a slot and at least ``least_words`` tokens that are none.
+Template windows count only with a slot and at least ``least_words`` tokens that are none, one by default: slots
+alone are no template, and how many more words there are is left to the slot check.
 
 Items shorter than a window are one window of their own length; items below ``shortest`` tokens never match.
 Null and empty texts have no windows. Rows that repeat a doc_id or item_id are texts of their own; the result
@@ -127,7 +128,7 @@ def _emitted(width: int, least_words: int, lengths: tuple[int, ...], whole: bool
     return emit
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 6) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1) -> DataFrame:
     """k, item_id, n_windows: texts and the items of which one alignment holds so many different windows."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -157,14 +158,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words:
     return whole.where(one_to_one).groupBy("k", "item_id").agg(F.max("n_windows").alias("n_windows"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 6, least_windows: int = 1) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1, least_windows: int = 1) -> DataFrame:
     """doc_id, item_id, n_windows: one row for each document and item that it holds at least in part."""
     hits = matches(docs, benchmark, width, least_words).where(F.col("n_windows") >= least_windows)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("k"))
     return ids.join(hits, "k").groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 6, least_windows: int = 1) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1, least_windows: int = 1) -> DataFrame:
     """The documents that hold no item."""
     hits = matches(docs, benchmark, width, least_words).where(F.col("n_windows") >= least_windows).select(F.col("k").alias("__hit_k")).distinct()
     keyed = docs.withColumn("__k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))

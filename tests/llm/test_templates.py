@@ -46,3 +46,12 @@ def test_large_benchmark_is_joined_without_broadcast(spark, monkeypatch):
 def test_empty_tables(spark):
     assert found(spark, [], [(1, PLAIN)]) == (set(), set())
     assert found(spark, [(1, PLAIN)], []) == (set(), {1})
+
+
+def test_short_and_number_dense_items(spark):
+    items = [(1, "What is 48 times 37 plus 12?"), (2, "Name 3 rivers of 2 Old Towns"), (3, "sum 1 2 3 4 5 6 7 and 8 9 10 11 12 13 14 of all"), (4, "21 22 23 24 25 26 27 28 29 30 31 32 33")]
+    docs = [
+        (1, "so then: What is 51 times 62 plus 70? and on"), (2, "please: Name 8 rivers of 9 New Lands too"), (3, "sum 20 30 40 50 60 70 80 and 90 21 31 41 51 61 71 of all"),
+        (4, "What is 51 over 62 plus 70?"), (5, "41 42 43 44 45 46 47 48 49 50 51 52 53 54 55"),
+    ]
+    assert found(spark, docs, items) == ({(1, 1), (2, 2), (3, 3)}, {4, 5})
