@@ -2,8 +2,9 @@
 
 Texts become tokens: runs of letters (A-Z folded) and runs of digits; other characters only separate. In the
 template form numbers (with inner points and commas), units after numbers and names (capitalised words within
-a sentence; several in a row are one) are typed placeholders. Windows of ``width`` tokens of benchmark items
-and documents, in the plain and in the template form, are hash-joined. A template match then needs consistent
+a sentence; several in a row are one) are typed placeholders. In a second template form capitalised words that
+open a sentence, unless they are ``OPENERS``, and words in capitals are names too. Windows of ``width`` tokens of
+benchmark items and documents, in the plain and in the template forms, are hash-joined. A template match then needs consistent
 slots: over all windows of one alignment, equal values of the item stand for equal values of the document, and
 different ones for different ones. So re-parameterised questions are found, and texts that share only their layout are not.
 Template windows count only with a slot and at least ``least_words`` tokens that are none, one by default: slots
@@ -17,6 +18,7 @@ names the id once. A null id is an id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from . import _text as T
 
 #: Units that follow numbers.
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz t ton tons ml l litre litres liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents pound pounds percent degrees celsius fahrenheit k hz khz mhz ghz w kw mw v a kb mb gb tb"
+#: Capitalised words that open sentences and are no names.
+OPENERS = "a about after all an and another are as at because before both but by can could did do does during each every find for from give given has have her here his how however if in into is it its many most my name no not now of on once one only or our over same she he since so some such than that the their then there these they this those though through to two three four five six seven eight nine ten under until up was we were what when where whether which while who whom whose why with without would you your le la les un une des du ce cette il elle ils elles nous vous si et ou mais dans sur pour quand que qui combien quel quelle der die das ein eine den dem und oder aber wenn wie was wer wo warum wann in im mit von zu auf es er sie wir el los las una unos unas y o pero cuando donde como quien cuanto cuantos por para con en su"
 #: Window hashes that may be broadcast to skip documents' windows early: 16 MB.
 MANY = 2_000_000
 
@@ -36,17 +40,40 @@ _KIND[48:58] = 2
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in '.!?:;\n"']] = True
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x51ED270B9F3C1D27, 0x2545F4914F6CDD1D, 0x9E6C63D0676A9A99))
-WINDOW = "h long, pos int, slots array<long>"
+WINDOW = "h long, form int, pos int, slots array<long>"
 
 
-def _units() -> np.ndarray:
-    data = np.frombuffer(UNITS.encode(), np.uint8)
+@cache
+def _listed(words: str) -> np.ndarray:
+    data = np.frombuffer(words.encode(), np.uint8)
     starts, ends, _ = T.word_spans(data, np.array([0, len(data)]))
     return np.sort(T.word_hashes(data, starts, ends, fold=True))
 
 
-def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Plain hashes and first tokens of the rows; template hashes, slot flags and first tokens of the rows."""
+def _within(h: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h
+
+
+@cache
+def _capitals() -> np.ndarray:
+    """Of each code point, whether it is a capital; the last stands for all beyond."""
+    return np.array([chr(c).isupper() or chr(c).istitle() for c in range(0x1F000)] + [False])
+
+
+def _beyond_ascii(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words of two letters at least whose first is a capital outside ASCII."""
+    out = np.zeros(len(starts), bool)
+    at = np.flatnonzero(data[starts] >= 0xC3)
+    a, b, c, d = (data[np.minimum(starts[at] + i, len(data) - 1)].astype(np.int64) for i in range(4))
+    two, three = a < 0xE0, a < 0xF0
+    code = np.where(two, (a & 31) << 6 | b & 63, np.where(three, (a & 15) << 12 | (b & 63) << 6 | c & 63, (a & 7) << 18 | (b & 63) << 12 | (c & 63) << 6 | d & 63))
+    table = _capitals()
+    out[at] = table[np.minimum(code, len(table) - 1)] & (ends[at] - starts[at] > np.where(two, 2, np.where(three, 3, 4)))
+    return out
+
+
+def tokens(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Of the plain and the two template forms: hashes, values, slot flags, and first tokens of the rows."""
     kind = _KIND[data]
     before, after = np.zeros(len(kind), np.uint8), np.zeros(len(kind), np.uint8)
     before[1:], after[:-1] = kind[:-1], kind[1:]
@@ -59,7 +86,7 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.searchsorted(starts, offs)
     n = len(h)
     if not n:
-        return h, first, h, np.zeros(0, bool), first
+        return [(h, h, np.zeros(0, bool), first)] * 3
     opening = np.zeros(n, bool)
     opening[first[:-1][np.diff(first) > 0]] = True
     number = kind[starts] == 2
@@ -68,30 +95,37 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     at = np.flatnonzero(joined)
     joined[at] = np.isin(data[starts[at] - 1], (44, 46))
     unit = np.zeros(n, bool)
-    units = _units()
     unit[1:] = number[:-1] & ~number[1:] & ~opening[1:]
     at = np.flatnonzero(unit)
-    unit[at] = units[np.minimum(np.searchsorted(units, h[at]), len(units) - 1)] == h[at]
+    unit[at] = _within(h[at], _listed(UNITS))
     stops = np.append(0, np.cumsum(_STOP[data]))
     sentence = opening.copy()
     sentence[1:] |= stops[starts[1:]] > stops[ends[:-1]]
     second = data[np.minimum(starts + 1, len(data) - 1)]
-    name = (data[starts] >= 65) & (data[starts] <= 90) & (ends - starts > 1) & ~((second >= 65) & (second <= 90)) & ~sentence & ~number
-    again = joined.copy()
-    again[1:] |= name[1:] & name[:-1] & ~opening[1:]
-    form = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h)))
-    keep = ~again
-    # A slot's value covers all tokens that it stands for.
-    group = np.cumsum(keep) - 1
-    value = np.zeros(int(group[-1]) + 1, np.uint64)
-    np.add.at(value, group, T.mix(h + np.arange(n).astype(np.uint64) - np.flatnonzero(keep)[group].astype(np.uint64)))
-    return h, first, np.stack([form[keep], value]), (number | unit | name)[keep], np.append(0, np.cumsum(keep))[first]
+    upper = (data[starts] >= 65) & (data[starts] <= 90) & (ends - starts > 1)
+    beyond = _beyond_ascii(data, starts, ends)
+    inner = (upper & ~((second >= 65) & (second <= 90)) | beyond) & ~sentence
+    at = np.flatnonzero(upper | beyond)
+    named = np.zeros(n, bool)
+    named[at] = ~_within(h[at], _listed(OPENERS))
+    out = [(h, h, np.zeros(n, bool), first)]
+    for name in (inner, inner | named):
+        name = name & ~number & ~unit
+        again = joined.copy()
+        again[1:] |= name[1:] & name[:-1] & ~sentence[1:]
+        form = np.where(number, _NUMBER, np.where(unit, _UNIT, np.where(name, _NAME, h)))
+        keep = ~again
+        # A slot's value covers all tokens that it stands for.
+        group = np.cumsum(keep) - 1
+        value = np.zeros(int(group[-1]) + 1, np.uint64)
+        np.add.at(value, group, T.mix(h + np.arange(n).astype(np.uint64) - np.flatnonzero(keep)[group].astype(np.uint64)))
+        out.append((form[keep], value, (number | unit | name)[keep], np.append(0, np.cumsum(keep))[first]))
+    return out
 
 
 def windows(data: np.ndarray, offs: np.ndarray, width: int, least_words: int, lengths: tuple[int, ...], whole: bool, shortest: int = 6, parsed=None):
-    """(row, hash, place, slot places) of both forms. whole: rows shorter than width are one window of their length."""
-    h, first, both, slot, t_first = tokens(data, offs) if parsed is None else parsed
-    for form, values, upto in ((0, h, first), (1, both[0] if both.ndim == 2 else both, t_first)):
+    """(form, width, row, hash, place in the row, place) of all forms. whole: rows shorter than width are one window of their length."""
+    for form, (values, _, slot, upto) in enumerate(tokens(data, offs) if parsed is None else parsed):
         count = np.diff(upto)
         for w in sorted({width, *lengths}):
             n = len(values) - w + 1
@@ -106,7 +140,7 @@ def windows(data: np.ndarray, offs: np.ndarray, width: int, least_words: int, le
                 many = slots[w:] - slots[:-w]
                 ok &= (many > 0) & (w - many >= min(least_words, w))
             at = np.flatnonzero(ok)
-            yield form, w, row[at], T.mix(T.rolled(values, w)[at] + np.uint64(2 * w + form)), at - upto[row[at]], at
+            yield form, w, row[at], T.mix(T.rolled(values, w)[at] + np.uint64(3 * w + form)), at - upto[row[at]], at
 
 
 def _emitted(width: int, least_words: int, lengths: tuple[int, ...], whole: bool, key: str, known=None):
@@ -122,8 +156,9 @@ def _emitted(width: int, least_words: int, lengths: tuple[int, ...], whole: bool
                             continue
                         hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
                         row, h, pos, at = row[hit], h[hit], pos[hit], at[hit]
-                    slots = [parsed[2][1][a : a + w][parsed[3][a : a + w]].view(np.int64) if form else np.zeros(0, np.int64) for a in at]
-                    yield pa.RecordBatch.from_arrays([T.long_array(keys[row + rows.start], null[row + rows.start]), T.long_array(h), pa.array(pos, pa.int32()), pa.array(slots, pa.list_(pa.int64()))], names=[key, "h", "pos", "slots"])
+                    _, values, slot, _ = parsed[form]
+                    slots = [values[a : a + w][slot[a : a + w]].view(np.int64) for a in at]
+                    yield pa.RecordBatch.from_arrays([T.long_array(keys[row + rows.start], null[row + rows.start]), T.long_array(h), pa.array(np.full(len(at), form), pa.int32()), pa.array(pos, pa.int32()), pa.array(slots, pa.list_(pa.int64()))], names=[key, "h", "form", "pos", "slots"])
 
     return emit
 
@@ -136,8 +171,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offs in T.chunks(batch):
-                _, first, _, _, t_first = tokens(data, offs)
-                n = np.unique(np.concatenate([np.diff(first), np.diff(t_first)]))
+                n = np.unique(np.concatenate([np.diff(upto) for *_, upto in tokens(data, offs)]))
                 yield pa.RecordBatch.from_arrays([pa.array(n[n < width], pa.int64())], names=["n"])
 
     # Lengths of short items: fewer than width different ones.
@@ -149,10 +183,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words:
     known = spark.sparkContext.broadcast(np.sort(some.view(np.uint64))) if len(some) <= MANY else None
     texts = T.keyed(docs)
     found = texts.mapInArrow(_emitted(width, least_words, lengths, False, "k", known), f"k long, {WINDOW}")
-    both = found.withColumnsRenamed({"pos": "at", "slots": "values"}).join(asked, "h")
+    both = found.withColumnsRenamed({"pos": "at", "slots": "values"}).join(asked, ["h", "form"])
     # Windows of one alignment of a text with an item are judged together. Windows of the plain form have no slots.
     pairs = F.array_distinct(F.arrays_zip(F.col("slots").alias("a"), F.col("values").alias("b")))
-    aligned = both.where(F.size("slots") == F.size("values")).select("k", "item_id", "pos", (F.col("at") - F.col("pos")).alias("shift"), (F.size("slots") > 0).alias("form"), pairs.alias("pairs"))
+    aligned = both.where(F.size("slots") == F.size("values")).select("k", "item_id", "pos", (F.col("at") - F.col("pos")).alias("shift"), "form", pairs.alias("pairs"))
     whole = aligned.groupBy("k", "item_id", "form", "shift").agg(F.countDistinct("pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.a")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.b"))))
     return whole.where(one_to_one).groupBy("k", "item_id").agg(F.max("n_windows").alias("n_windows"))

@@ -55,3 +55,12 @@ def test_short_and_number_dense_items(spark):
         (4, "What is 51 over 62 plus 70?"), (5, "41 42 43 44 45 46 47 48 49 50 51 52 53 54 55"),
     ]
     assert found(spark, docs, items) == ({(1, 1), (2, 2), (3, 3)}, {4, 5})
+
+
+def test_names_that_open_sentences_in_capitals_or_beyond_ascii(spark):
+    items = [(1, "Tom has 5 red apples. Tom buys 3 more of them. Lee eats 2."), (2, "Tom Lee sold 6 big lamps at noon"), (3, "then a friend of ÉLODIE or of NASA met Örjan near 4 trees")]
+    docs = [
+        (1, 'It asks: "Ann has 7 red apples. Ann buys 4 more of them. Kim eats 6." and so on'), (2, "and Ann sold 9 big lamps at noon"),
+        (3, "then a friend of Zoé or of UNESCO met Åsa near 8 trees"), (4, "Ann had 7 red apples. Ann buys 4 more of those. Kim eats 6."),
+    ]
+    assert found(spark, docs, items) == ({(1, 1), (2, 2), (3, 3)}, {4})
