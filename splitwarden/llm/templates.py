@@ -5,8 +5,10 @@ template form numbers (with inner points and commas), units after numbers and na
 a sentence; several in a row are one) are typed placeholders. In a second template form capitalised words that
 open a sentence, unless they are ``OPENERS``, and words in capitals are names too. Windows of ``width`` tokens of
 benchmark items and documents, in the plain and in the template forms, are hash-joined. A template match then needs consistent
-slots: over all windows of one alignment, equal values of the item stand for equal values of the document, and
-different ones for different ones. So re-parameterised questions are found, and texts that share only their layout are not.
+slots: in a window equal values of the item stand for equal values of the document; different ones may coincide.
+Where they do not, the slots at odds also rule out the other windows of that alignment that hold one of them, and
+no more. In a run of windows with twice ``width`` plain tokens slots may be at odds. So re-parameterised questions
+are found, and texts that share only their layout are not.
 Template windows count only with a slot and at least ``least_words`` tokens that are none, one by default: slots
 alone are no template, and how many more words there are is left to the slot check.
 
@@ -17,6 +19,7 @@ names the id once. A null id is an id.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -40,7 +43,7 @@ _KIND[48:58] = 2
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in '.!?:;\n"']] = True
 _NUMBER, _UNIT, _NAME = (np.uint64(x) for x in (0x51ED270B9F3C1D27, 0x2545F4914F6CDD1D, 0x9E6C63D0676A9A99))
-WINDOW = "h long, form int, pos int, slots array<long>"
+WINDOW = "h long, form int, pos int, places array<int>, slots array<long>"
 
 
 @cache
@@ -157,12 +160,47 @@ def _emitted(width: int, least_words: int, lengths: tuple[int, ...], whole: bool
                         hit = wanted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)] == h
                         row, h, pos, at = row[hit], h[hit], pos[hit], at[hit]
                     _, values, slot, _ = parsed[form]
+                    # Matched windows have their slots at the same places; the items' side tells them.
+                    places = [np.flatnonzero(slot[a : a + w]).astype(np.int32) for a in at] if whole else [None] * len(at)
                     slots = [values[a : a + w][slot[a : a + w]].view(np.int64) for a in at]
-                    yield pa.RecordBatch.from_arrays([T.long_array(keys[row + rows.start], null[row + rows.start]), T.long_array(h), pa.array(np.full(len(at), form), pa.int32()), pa.array(pos, pa.int32()), pa.array(slots, pa.list_(pa.int64()))], names=[key, "h", "form", "pos", "slots"])
+                    yield pa.RecordBatch.from_arrays([T.long_array(keys[row + rows.start], null[row + rows.start]), T.long_array(h), pa.array(np.full(len(at), form), pa.int32()), pa.array(pos, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(slots, pa.list_(pa.int64()))], names=[key, "h", "form", "pos", "places", "slots"])
 
     return emit
 
 
+def consistent(found: list[tuple], width: int) -> int:
+    """How many windows of one alignment count; found: (place in the item, slots' places in the window, the item's values, the document's)."""
+    odd = set()
+    for pos, places, ours, theirs in found:
+        means = {}
+        for a, b in zip(ours, theirs):
+            means.setdefault(a, set()).add(b)
+        odd |= {pos + p for p, a in zip(places, ours) if len(means[a]) > 1}
+    if not odd:
+        return len({x[0] for x in found})
+    good = {pos for pos, places, *_ in found if not any(pos + p in odd for p in places)}
+    # An alignment with slots at odds has windows of width tokens, or one that is shorter.
+    at = sorted({x[0] for x in found})
+    slots = sorted({x[0] + p for x in found for p in x[1]})
+    begin = 0
+    for i in range(1, len(at) + 1):
+        if i == len(at) or at[i] != at[i - 1] + 1:
+            lo, hi = at[begin], at[i - 1] + width
+            if i - begin > 1 and hi - lo - (bisect_left(slots, hi) - bisect_left(slots, lo)) >= 2 * width:
+                good.update(at[begin:i])
+            begin = i
+    return len(good)
+
+
+def _judged(width: int):
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [consistent([tuple(x.values()) for x in found], width) for found in batch.column("windows").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("item_id"), pa.array(n, pa.int64())], names=["k", "item_id", "n_windows"])
+
+    return judge
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1) -> DataFrame:
     """k, item_id, n_windows: texts and the items of which one alignment holds so many different windows."""
     spark = docs.sparkSession
@@ -183,13 +221,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words:
     known = spark.sparkContext.broadcast(np.sort(some.view(np.uint64))) if len(some) <= MANY else None
     texts = T.keyed(docs)
     found = texts.mapInArrow(_emitted(width, least_words, lengths, False, "k", known), f"k long, {WINDOW}")
-    both = found.withColumnsRenamed({"pos": "at", "slots": "values"}).join(asked, ["h", "form"])
+    both = found.drop("places").withColumnsRenamed({"pos": "at", "slots": "values"}).join(asked, ["h", "form"])
     # Windows of one alignment of a text with an item are judged together. Windows of the plain form have no slots.
-    pairs = F.array_distinct(F.arrays_zip(F.col("slots").alias("a"), F.col("values").alias("b")))
-    aligned = both.where(F.size("slots") == F.size("values")).select("k", "item_id", "pos", (F.col("at") - F.col("pos")).alias("shift"), "form", pairs.alias("pairs"))
-    whole = aligned.groupBy("k", "item_id", "form", "shift").agg(F.countDistinct("pos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one_to_one = (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.a")))) & (F.size("pairs") == F.size(F.array_distinct(F.col("pairs.b"))))
-    return whole.where(one_to_one).groupBy("k", "item_id").agg(F.max("n_windows").alias("n_windows"))
+    aligned = both.where(F.size("slots") == F.size("values")).groupBy("k", "item_id", "form", (F.col("at") - F.col("pos")).alias("shift"))
+    judged = aligned.agg(F.collect_set(F.struct("pos", "places", "slots", "values")).alias("windows")).mapInArrow(_judged(width), "k long, item_id long, n_windows long")
+    return judged.where("n_windows > 0").groupBy("k", "item_id").agg(F.max("n_windows").alias("n_windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1, least_windows: int = 1) -> DataFrame:

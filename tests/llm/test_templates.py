@@ -64,3 +64,15 @@ def test_names_that_open_sentences_in_capitals_or_beyond_ascii(spark):
         (3, "then a friend of Zoé or of UNESCO met Åsa near 8 trees"), (4, "Ann had 7 red apples. Ann buys 4 more of those. Kim eats 6."),
     ]
     assert found(spark, docs, items) == ({(1, 1), (2, 2), (3, 3)}, {4})
+
+
+def test_slots_are_judged_by_window(spark):
+    far = "the 5 old ships sailed 9 miles past many green 8 hills and small towns 7 until every sailor had seen all 5 lights"
+    long = "there were 5 red and 5 blue birds in a tall tree by our house when 8 cats came over from some far off field and 9 dogs ran after them so that all birds flew up"
+    items = [(1, "buy 3 ripe apples and then 5 ripe pears"), (2, far), (3, long), (4, "buy 3 ripe plums and then 3 ripe limes")]
+    docs = [
+        (1, "buy 4 ripe apples and then 4 ripe pears"), (2, "the 31 old ships sailed 12 miles past many green 14 hills and small towns 16 until every sailor had seen all 33 lights"),
+        (3, long.replace("5 red", "31 red").replace("5 blue", "32 blue").replace("8", "11").replace("9", "12")), (4, "buy 4 ripe plums and then 5 ripe limes"),
+    ]
+    assert found(spark, docs, items) == ({(1, 1), (2, 2), (3, 3)}, {4})
+    assert found(spark, docs[2:3], items[2:3], least_windows=25)[0] == {(3, 3)}
