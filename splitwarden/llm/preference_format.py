@@ -11,7 +11,7 @@ conversations give two empty completions. Columns but those named are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks of the ChatML format.
@@ -70,6 +70,26 @@ def swapped(conversations: DataFrame, role: str = "assistant") -> DataFrame:
     return joined.select("conv_id", "turn", "role", F.when(F.col("turn").eqNullSafe(F.col("last")) & (F.col("role") == role), F.col("other")).otherwise(F.col("text")).alias("text"))
 
 
+def rotated(conversations: DataFrame, role: str = "assistant", buckets: int = 1024) -> DataFrame:
+    """Rejected conversations: the last answer of each is that of the next answered one, in the order of hashed ids.
+
+    The last in that order takes the answer of the first, so every conversation with an answer and an id has a
+    row, whatever the ids; only if a single one is answered there is no other answer, and no row. Conversations
+    without an answer are left out. One task sees at most one row of each bucket, or the ids of one bucket.
+    """
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    last = turns.where((F.col("role") == role) & F.col("conv_id").isNotNull()).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("l"))
+    order = last.select("conv_id", F.col("l.turn").alias("last"), F.struct(F.xxhash64("conv_id").alias("h"), F.col("conv_id").alias("id"), F.col("l.text").alias("answer")).alias("own"))
+    order = order.withColumn("bucket", F.pmod("own.h", F.lit(buckets)))
+    heads = order.groupBy("bucket").agg(F.min("own").alias("head"))
+    # An aggregate of at most one row a bucket.
+    everywhere = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("bucket", F.coalesce(F.lead("head").over(Window.orderBy("bucket")), F.first("head").over(everywhere)).alias("following"))
+    inside = order.withColumn("next", F.lead("own").over(Window.partitionBy("bucket").orderBy("own.h", "conv_id")))
+    known = inside.join(heads, "bucket").select("conv_id", "last", F.coalesce("next", "following").alias("next")).where("next.id <> conv_id").select("conv_id", "last", F.col("next.answer").alias("other"))
+    return turns.join(known, "conv_id").select("conv_id", "turn", "role", F.when(F.col("turn").eqNullSafe(F.col("last")) & (F.col("role") == role), F.col("other")).otherwise(F.col("text")).alias("text"))
+
+
 def digest(df: DataFrame) -> DataFrame:
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["from"].cast("string"), s["to"].cast("string"))), ";")
     return df.select("pair_id", F.col("n_common").cast("long").alias("n_common"), "prompt", "chosen", "rejected", spans("chosen_mask").alias("chosen_mask"), spans("rejected_mask").alias("rejected_mask"))

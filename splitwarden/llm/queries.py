@@ -30,6 +30,12 @@ def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference_format.digest(preference_format.preference_pairs(turns, rejected))
 
 
+def op4_preference_formatting_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pair for every answered conversation; the query above keeps to the pairs of its SQL."""
+    turns = _table(spark, sf_dir, "conversations")
+    return preference_format.digest(preference_format.preference_pairs(turns, preference_format.rotated(turns)))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_index.digest(substring_index.remove_repeats(_table(spark, sf_dir, "documents")))
 

@@ -1,4 +1,4 @@
-from splitwarden.llm.preference_format import preference_pairs, swapped
+from splitwarden.llm.preference_format import preference_pairs, rotated, swapped
 
 SCHEMA = "conv_id long, turn long, role string, text string, pair_id string, prompt int"
 
@@ -36,3 +36,13 @@ def test_swapped(spark):
     rows = [(2, 0, "user", "a"), (2, 1, "assistant", "A"), (3, 0, "user", "b"), (3, 1, "assistant", "B"), (3, 2, "user", "c"), (4, 0, "assistant", "lonely"), (6, 0, "user", "none")]
     out = sorted((r.conv_id, r.turn, r.text) for r in swapped(frame(spark, rows)).collect())
     assert out == [(2, 0, "a"), (2, 1, "B"), (3, 0, "b"), (3, 1, "A"), (3, 2, "c")]
+
+
+def test_rotated_pairs_every_answered_conversation(spark):
+    rows = [(i, t, r, f"{r}{i}") for i in range(0, 40, 2) for t, r in enumerate(("user", "assistant"))] + [(1, 0, "user", "none"), (None, 0, "assistant", "x")]
+    for buckets in (1, 3, 1024):
+        out = {r.conv_id: r.text for r in rotated(frame(spark, rows), buckets=buckets).collect() if r.role == "assistant"}
+        assert set(out) == set(range(0, 40, 2)) and sorted(out.values()) == sorted(f"assistant{i}" for i in out) and all(out[i] != f"assistant{i}" for i in out)
+    pairs = preference_pairs(frame(spark, rows), rotated(frame(spark, rows)))
+    assert pairs.count() == 20 and pairs.where("chosen = rejected").count() == 0
+    assert rotated(frame(spark, rows[:2])).count() == 0
