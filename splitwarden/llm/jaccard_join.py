@@ -326,11 +326,12 @@ def keep_one(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
         docs = docs.withColumnRenamed("k", "_own_k")
         return keep_one(docs, percent, width).withColumnRenamed("_own_k", "k")
     rows = classes(docs, percent, width)
-    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "k")).alias("of")).select("of.*")
-    stay = first.unionByName(rows.where("comp is null").select("doc_id", "k")).select("k").distinct()
-    keyed = docs.withColumn("k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "k")).alias("of")).select("of.k").distinct()
+    # Rows without a word are in no component: all stay.
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    keyed = docs.where(worded).withColumn("k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     # Equal rows have equal keys; the join has dealt the rows by k, so that this takes no further shuffle.
-    return keyed.join(stay, "k", "left_semi").dropDuplicates(["k"]).select(*docs.columns)
+    return keyed.join(first, "k", "left_semi").dropDuplicates(["k"]).select(*docs.columns).unionByName(docs.where(~worded))
 
 
 SQL = r"""

@@ -69,3 +69,9 @@ def test_keep_one(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert components(empty).count() == 0 and keep_one(empty).count() == 0
+
+
+def test_rows_without_words_all_stay(spark):
+    rows = [(x, t, "k", 1, "c") for x, t in [(1, None), (1, None), (None, None), (None, None), (2, ""), (2, ""), (3, " \n\t"), (4, "one text"), (4, "one text"), (5, "one text")]]
+    kept = [r.doc_id for r in keep_one(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(kept, key=str) == [1, 1, 2, 2, 3, 4, None, None]
