@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. Where none is set (tests on one machine), a temporary one is set."""
+    """The session's checkpoint folder. Where none is set, a local master gets a temporary one; a cluster must name
+    a folder that all its executors share."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir", None)
     if not where and sc._jsc.sc().getCheckpointDir().isDefined():
         where = sc._jsc.sc().getCheckpointDir().get()
     if not where:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="splitwarden-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -39,12 +42,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with tidy(df.sparkSession):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def written_bucketed(df: DataFrame, name: str, column: str, buckets: int, *order: str) -> DataFrame:
+    """The same rows as a table bucketed on a column, one file a bucket, sorted by it (and by order)."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    with tidy(spark):
+        df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column, *order).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out._written_to, out._table = path, table
+    return out
 
 
 def remove(df: DataFrame) -> None:
-    """Deletes the files of a table that written() made, once no later plan reads it."""
-    sc = df.sparkSession.sparkContext
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes a table that written() or written_bucketed() made, once no later plan reads it."""
+    spark = df.sparkSession
+    if table := getattr(df, "_table", None):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
