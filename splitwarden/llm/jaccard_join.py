@@ -2,18 +2,21 @@
 
 A document's set holds hashes of its distinct shingles. With one order of all shingles, rare ones first, two
 sets of Jaccard similarity t share a shingle within their prefixes: the first |x| - ceil(t|x|) + 1 of the
-larger and the first |y| - ceil(2t/(1+t)|y|) + 1 of the smaller one. The order comes from a count-min sketch
-over all shingles of all documents, of fixed size, so that it can be broadcast; it decides the work, never
-the result.
+larger and the first |y| - ceil(2t/(1+t)|y|) + 1 of the smaller one. The order decides the work, never the
+result: shingles that repeat within some chunk of the distinct sets are counted over all chunks, the most frequent
+of them (``most_frequent`` at most, so that they can be broadcast) come last, by their count, the others before
+them by their hash.
 
 * Documents of equal sets form one group (a hash of the set, its size, hence equal prefixes): only groups
-  enter the join, their members are expanded at the end.
+  enter the join, their members are expanded at the end. The sets of the groups are written once, sorted by group.
 * Prefix entries are shuffled by shingle; shingles that only one group has leave at once.
-* First, in a few turns, every group is verified against one hub of another component: of the first groups, in
-  an order that changes each turn, of its shingles the one with which it shares most. Links join components, so
-  that large sets of near copies grow together without all pairs among their members.
-* Then every remaining candidate pair that lies in different components, passes the size filter and the
-  positional filter is verified too. Pairs within one component cannot change it.
+* First, in a few turns, every group proposes one hub of another component: of the first groups, in an order that
+  changes each turn, of its shingles the one with which it shares most. Verified links join components, so that
+  large sets of near copies grow together without all pairs among their members.
+* Then, for shingles that still stand in several components, each entry outside the shingle's largest component
+  is compared with all entries of other components: by size, by position and by bitmaps that bound the
+  difference of the sets from below. What passes is verified too. Entries of a frequent shingle are dealt out as a
+  grid of cells of bounded size. Pairs within one component cannot change it.
 
 Verification intersects the whole sets. Every document of the input has one row in the result.
 
@@ -24,9 +27,8 @@ component takes the smallest doc_id of its rows; a null doc_id counts only where
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +36,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..sources.shared import shared_dir, tidy, written
+from ..sources.shared import remove, written, written_bucketed
 from . import _text as T
 
 #: Rows of a chunk: their number takes the highest bits of sort keys, the shingle the others.
 _ROWS = 1 << 9
 _TOKEN_BITS = 55
 _LEVEL_BITS = 12
-_CELLS = 1 << 20
 _SET_BYTES = 6
+#: Bits of the bitmaps that bound differences, and entries on each side of a cell.
+_BITS = 1024
+_CELL = 4096
+#: Shingles that are counted together.
+_COUNTED = 1 << 22
+_LOOKUP_BITS = 22
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -69,41 +76,110 @@ def _groups_of(row: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, np.where(size > 0, whole, np.uint64(0))
 
 
-def _short(token: np.ndarray) -> np.ndarray:
-    return token >> np.uint64(_LEVEL_BITS)
-
-
 def _summaries(width: int):
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "k", "size", "grp", "sketch"]
-        cells = np.zeros(_CELLS, np.int64)
         for batch in batches:
             ids, null = T.ints(batch, "doc_id")
             keys, _ = T.ints(batch, "k")
             for rows, row, token in _sets(batch, width):
                 size, whole = _groups_of(row, token, rows.stop - rows.start)
-                cells += np.bincount((_short(token) % np.uint64(_CELLS)).astype(np.int64), minlength=_CELLS)
-                yield pa.RecordBatch.from_arrays([T.long_array(ids[rows], null[rows]), T.long_array(keys[rows]), pa.array(size, pa.int32()), T.long_array(whole), pa.nulls(len(size), pa.binary())], names=names)
-        if cells.any():
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([None], pa.int64()), pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([T.long_array(ids[rows], null[rows]), T.long_array(keys[rows]), pa.array(size, pa.int32()), T.long_array(whole)], names=["doc_id", "k", "size", "grp"])
 
     return summarise
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cells = np.zeros(_CELLS, np.int64)
-    for batch in batches:
-        for x in batch.column(0):
-            cells += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
-    if cells.any():
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(cells.tobytes(), 1)], pa.binary())], names=["sketch"])
+def _whole_sets(width: int):
+    """grp, items: each set that is not empty, six bytes a shingle, once in a chunk."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, row, token in _sets(batch, width):
+                size, whole = _groups_of(row, token, rows.stop - rows.start)
+                flat = np.ascontiguousarray((token >> np.uint64(_TOKEN_BITS - 8 * _SET_BYTES)).astype("<u8")[:, None].view(np.uint8)[:, :_SET_BYTES])
+                items = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size * _SET_BYTES)).astype(np.int64)), pa.py_buffer(flat)])
+                once = np.unique(whole, return_index=True)[1]
+                once = pa.array(once[size[once] > 0])
+                yield pa.RecordBatch.from_arrays([T.long_array(whole).take(once), items.take(once).cast(pa.binary())], names=["grp", "items"])
+
+    return sets
+
+
+def _items(data: np.ndarray) -> np.ndarray:
+    """Shingles of bytes that _whole_sets wrote."""
+    flat = np.zeros((len(data) // _SET_BYTES, 8), np.uint8)
+    flat[:, :_SET_BYTES] = data.reshape(-1, _SET_BYTES)
+    return flat.view("<u8").ravel()
 
 
-def _levels(sketches: DataFrame) -> np.ndarray:
-    """A level for each cell that grows with its count: the sum of all sketches, each of the same fixed size."""
-    part = sketches.repartition(16).mapInArrow(_summed, "sketch binary").repartition(1).mapInArrow(_summed, "sketch binary").collect()
-    cells = np.frombuffer(zlib.decompress(part[0].sketch), np.int64) if part else np.zeros(_CELLS, np.int64)
-    return np.minimum((1 << _LEVEL_BITS) - 1, 64 * np.log2(1.0 + cells)).astype(np.uint16)
+def _decoded(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+    """(rows, size, shingles) of consecutive rows of a column items: up to _ROWS rows and most shingles, or one row."""
+    col = batch.column(batch.schema.get_field_index("items")).cast(pa.large_binary())
+    n, bufs = len(col), col.buffers()
+    if not n:
+        return
+    offs, data = np.frombuffer(bufs[1], np.int64, n + 1, col.offset * 8), np.frombuffer(bufs[2], np.uint8)
+    a = 0
+    while a < n:
+        b = min(n, a + _ROWS, max(a + 1, int(np.searchsorted(offs, offs[a] + most * _SET_BYTES, "right")) - 1))
+        yield slice(a, b), np.diff(offs[a : b + 1]) // _SET_BYTES, _items(data[offs[a] : offs[b]])
+        a = b
+
+
+def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of shingles that several sets of a chunk hold."""
+
+    def counted(some: list[np.ndarray]) -> pa.RecordBatch:
+        token, n = np.unique(np.concatenate(some), return_counts=True)
+        token, n = token[n > 1], n[n > 1]
+        return pa.RecordBatch.from_arrays([T.long_array(token), T.long_array(n)], names=["token", "n"])
+
+    held, some = 0, []
+    for batch in batches:
+        for _, _, token in _decoded(batch):
+            some.append(token)
+            held += len(token)
+            if held >= _COUNTED:
+                yield counted(some)
+                held, some = 0, []
+    if some:
+        yield counted(some)
+
+
+@dataclass(frozen=True)
+class _Order:
+    """The frequent shingles in ascending order, their levels, and a table that rules most others out."""
+
+    token: np.ndarray
+    level: np.ndarray
+    seen: np.ndarray
+
+    def levels(self, token: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(token), np.uint64)
+        if len(self.token):
+            at = np.flatnonzero(self.seen[(token & np.uint64((1 << _LOOKUP_BITS) - 1)).astype(np.int64)])
+            place = np.searchsorted(self.token, token[at])
+            place[place == len(self.token)] = 0
+            hit = self.token[place] == token[at]
+            out[at[hit]] = self.level[place[hit]]
+        return out
+
+
+def _order(sets: DataFrame, most: int) -> _Order:
+    counts = written(sets.select("items").mapInArrow(_repeats, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    level = F.least(F.floor(64 * F.log2("n")), F.lit((1 << _LEVEL_BITS) - 1)).cast("int")
+    by_level = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    least, held = 1 << _LEVEL_BITS, 0
+    for x in by_level:
+        if (held := held + x["count"]) > most:
+            break
+        least = x["level"]
+    got = counts.where(level >= least).select("token", level.alias("level")).toArrow()
+    remove(counts)
+    token, levels = got["token"].to_numpy().view(np.uint64), got["level"].to_numpy()
+    by = np.argsort(token)
+    seen = np.zeros(1 << _LOOKUP_BITS, bool)
+    seen[(token & np.uint64((1 << _LOOKUP_BITS) - 1)).astype(np.int64)] = True
+    return _Order(token[by], levels[by].astype(np.uint64), seen)
 
 
 def _least_overlap(size: np.ndarray, percent: int, both: bool) -> np.ndarray:
@@ -112,58 +188,41 @@ def _least_overlap(size: np.ndarray, percent: int, both: bool) -> np.ndarray:
     return (top * size + bottom - 1) // bottom
 
 
-def _entries(width: int, percent: int, levels):
+def _entries(percent: int, order):
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = levels.value
-        mask = np.uint64((1 << _TOKEN_BITS) - 1)
         short = np.uint64(_TOKEN_BITS - _LEVEL_BITS)
         for batch in batches:
-            for rows, row, token in _sets(batch, width):
-                n = rows.stop - rows.start
-                size, whole = _groups_of(row, token, n)
-                cut = _short(token)
-                key = np.sort(row.astype(np.uint64) << np.uint64(_TOKEN_BITS) | level[(cut % np.uint64(_CELLS)).astype(np.int64)].astype(np.uint64) << short | cut)
-                upto = np.append(0, np.cumsum(size))
-                pos = np.arange(len(key)) - upto[row]
+            groups, _ = T.ints(batch, "grp")
+            for rows, size, token in _decoded(batch):
+                row = np.repeat(np.arange(len(size)), size)
+                # Level, then the shingle's highest bits; rows stay apart by the highest bits of all.
+                key = row.astype(np.uint64) << np.uint64(_TOKEN_BITS) | order.value.levels(token) << short | token >> np.uint64(8 * _SET_BYTES) - short
+                key.sort()
+                pos = np.arange(len(key)) - np.append(0, np.cumsum(size))[row]
                 at = np.flatnonzero(pos < (size - _least_overlap(size, percent, False) + 1)[row])
                 row, pos = row[at], pos[at]
-                yield pa.RecordBatch.from_arrays([T.long_array(key[at] & mask), T.long_array(whole[row]), pa.array(size[row], pa.int32()), pa.array(pos, pa.int32())], names=["token", "grp", "size", "pos"])
+                yield pa.RecordBatch.from_arrays([T.long_array(key[at] & np.uint64((1 << _TOKEN_BITS) - 1)), T.long_array(groups[rows][row]), pa.array(size[row], pa.int32()), pa.array(pos, pa.int32())], names=["token", "grp", "size", "pos"])
 
     return prefixes
 
 
-def _by_token(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
-    """Columns of rows sorted by token, cut so that no token is split."""
-    rest: list[list[np.ndarray]] = []
+def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by token, group and place those whose token another group has, one for each token and group.
+
+    No list of a token is held: a row waits for the next one only.
+    """
+    last, told = None, False  # the row before, as a batch of one, and whether it is out already
     for batch in batches:
-        cols = [batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in names]
-        if not len(cols[0]):
+        if not batch.num_rows:
             continue
-        rest.append(cols)
-        if cols[0][0] == cols[0][-1]:
-            continue
-        both = [np.concatenate(x) for x in zip(*rest, strict=True)]
-        at = int(np.searchsorted(both[0], both[0][-1]))
-        if at:
-            yield [x[:at] for x in both]
-        rest = [[x[at:] for x in both]]
-    if rest:
-        yield [np.concatenate(x) for x in zip(*rest, strict=True)]
-
-
-def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of tokens that two groups have, one for each token and group."""
-    for token, grp, size, pos in _by_token(batches, ("token", "grp", "size", "pos")):
-        order = np.lexsort((pos, grp, token))
-        token, grp, size, pos = token[order], grp[order], size[order], pos[order]
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (grp[1:] != grp[:-1])
-        token, grp, size, pos = token[new], grp[new], size[new], pos[new]
-        again = np.zeros(len(token), bool)
-        again[1:] = token[1:] == token[:-1]
-        again[:-1] |= again[1:]
-        if again.any():
-            yield pa.RecordBatch.from_arrays([pa.array(token[again]), pa.array(grp[again]), pa.array(size[again], pa.int32()), pa.array(pos[again], pa.int32())], names=["token", "grp", "size", "pos"])
+        rows = batch if last is None else pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        token, grp = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        at = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (grp[1:] != grp[:-1])))
+        twin = token[at[1:]] == token[at[:-1]]
+        again = np.append(False, twin) | np.append(twin, False)
+        out = at[again]
+        yield rows.take(pa.array(out[1:] if told and again[0] else out))
+        last, told = rows.slice(int(at[-1]), 1), bool(again[-1]) or (told and len(at) == 1)
 
 
 def _fits(size_y, pos_y, size_x, pos_x, percent: int) -> np.ndarray:
@@ -174,73 +233,104 @@ def _fits(size_y, pos_y, size_x, pos_x, percent: int) -> np.ndarray:
     return near & (1 + np.minimum(size_x - pos_x - 1, size_y - pos_y - 1) >= need)
 
 
-def _hubs(percent: int, turn: int):
+def _may_link(size: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """_fits for rows a and b in either order."""
+    small = size[a] <= size[b]
+    y, x = np.where(small, a, b), np.where(small, b, a)
+    return _fits(size[y], pos[y], size[x], pos[x], percent)
+
+
+def _hubs(percent: int):
+    """Of rows sorted by token and turn each one's proposal: the first group of its token, if it is of another component."""
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, grp, size, pos, comp in _by_token(batches, ("token", "grp", "size", "pos", "comp")):
-            # One order of all groups, another one each turn, names the same hub for most of a copy's shingles.
-            order = np.lexsort((T.mix(grp.view(np.uint64) + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))), token))
-            token, grp, size, pos, comp = (x[order] for x in (token, grp, size, pos, comp))
-            hub = np.searchsorted(token, token)
-            small = size[hub] <= size
-            ok = (comp[hub] != comp) & _fits(np.minimum(size[hub], size), np.where(small, pos[hub], pos), np.maximum(size[hub], size), np.where(small, pos, pos[hub]), percent)
-            if ok.any():
-                pair, n = np.unique(np.stack([grp[hub[ok]], grp[ok]]), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(n, pa.int64())], names=["hub", "x", "n"])
+        hub_row = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = [batch.column(i).to_numpy() for i in range(5)]
+            if hub_row is not None:
+                cols = [np.append(h, c) for h, c in zip(hub_row, cols, strict=True)]
+            token, grp, size, pos, comp = cols
+            start = np.append(True, token[1:] != token[:-1])
+            hub = np.flatnonzero(start)[np.cumsum(start) - 1]
+            hub_row = [c[hub[-1]] for c in cols]
+            ok = np.flatnonzero(comp[hub] != comp)
+            ok = ok[_may_link(size, pos, hub[ok], ok, percent)]
+            pair, n = np.unique(np.stack([grp[hub[ok]], grp[ok]]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(n, pa.int64())], names=["hub", "x", "n"])
 
     return pairs
 
 
-def _across(percent: int, most: int = 1 << 18):
-    """Candidate pairs of different components, each once for a token."""
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each set, of each of _BITS parts of all shingles, whether it holds an odd number."""
+    for batch in batches:
+        groups, _ = T.ints(batch, "grp")
+        for rows, size, token in _decoded(batch):
+            n = len(size)
+            cell = np.repeat(np.arange(n), size) * _BITS + (token & np.uint64(_BITS - 1)).astype(np.int64)
+            odd = np.packbits((np.bincount(cell, minlength=n * _BITS) & 1).astype(np.uint8))
+            offs = np.arange(0, len(odd) + 1, _BITS // 8, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([T.long_array(groups[rows]), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offs), pa.py_buffer(odd)])], names=["grp", "bits"])
+
+
+def _compared(percent: int, most: int = 1 << 18):
+    """Candidate pairs of different components. Rows are sorted by cell (token, i, j); each row with asks is compared
+    with each row with answers of its cell; of two rows outside their token's largest component one asks."""
 
     def flush(found: list) -> pa.RecordBatch:
         pair = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["y", "x"])
 
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            key = [rows.column(i).to_numpy() for i in range(3)]
+            cut = np.append(0, np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in key])) + 1)
+            if len(cut) > 1:
+                yield rows.slice(0, int(cut[-1])), cut
+            rest = rows.slice(int(cut[-1]))
+        if rest is not None:
+            yield rest, np.array([0, rest.num_rows])
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
-        for token, grp, size, pos, comp in _by_token(batches, ("token", "grp", "size", "pos", "comp")):
-            order = np.lexsort((grp, size, token))
-            token, grp, size, pos, comp = (x[order] for x in (token, grp, size, pos, comp))
-            cut = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            mixed = np.minimum.reduceat(comp, cut[:-1]) != np.maximum.reduceat(comp, cut[:-1])
-            for a, b in zip(cut[:-1][mixed], cut[1:][mixed], strict=True):
-                g, s, p, c = grp[a:b], size[a:b], pos[a:b], comp[a:b]
-                low = np.searchsorted(s, -(-percent * s.astype(np.int64) // 100))
-                for x in range(1, b - a):
-                    y = np.arange(low[x], x)
-                    y = y[c[y] != c[x]]
-                    y = y[_fits(s[y], p[y], np.full(len(y), s[x]), np.full(len(y), p[x]), percent)]
-                    if len(y):
-                        found.append(np.stack([g[y], np.full(len(y), g[x])]))
-                        held += len(y)
-                    if held >= most:
-                        yield flush(found)
-                        found, held = [], 0
+        for rows, cut in cells(batches):
+            grp, size, pos, comp = (rows.column(i).to_numpy() for i in range(3, 7))
+            other, asks, answers = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(7, 10))
+            raw = rows.column(10).cast(pa.large_binary())
+            bits = np.frombuffer(raw.buffers()[2], np.uint64)[raw.offset * _BITS // 64 :][: len(grp) * _BITS // 64].reshape(len(grp), _BITS // 64)
+            asking = np.flatnonzero(asks)
+            cell = np.searchsorted(cut, asking, "right") - 1
+            upto = np.append(0, np.cumsum((cut[cell + 1] - cut[cell])))
+            a = 0
+            while a < len(asking):
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + most, "right")) - 1)
+                many = np.diff(upto[a : b + 1])
+                x = np.repeat(asking[a:b], many)
+                y = np.arange(upto[b] - upto[a]) - np.repeat(upto[a:b] - upto[a] - cut[cell[a:b]], many)
+                ok = np.flatnonzero(answers[y] & (comp[y] != comp[x]) & (~other[y] | (grp[x] < grp[y])))
+                ok = ok[_may_link(size, pos, y[ok], x[ok], percent)]
+                y, x, a = y[ok], x[ok], b
+                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                ok = apart * (100 + percent) <= (size[y].astype(np.int64) + size[x]) * (100 - percent)
+                if ok.any():
+                    y, x = grp[y[ok]], grp[x[ok]]
+                    found.append(np.stack([np.minimum(y, x), np.maximum(y, x)]))
+                    held += len(y)
+                if held >= most:
+                    yield flush(found)
+                    found, held = [], 0
         if found:
             yield flush(found)
 
     return pairs
 
 
-def _whole_sets(width: int):
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows, row, token in _sets(batch, width):
-                _, whole = _groups_of(row, token, rows.stop - rows.start)
-                flat = np.ascontiguousarray((token >> np.uint64(_TOKEN_BITS - 8 * _SET_BYTES)).astype("<u8")[:, None].view(np.uint8).reshape(-1, 8)[:, :_SET_BYTES]).tobytes()
-                upto = np.append(0, np.cumsum(np.bincount(row, minlength=rows.stop - rows.start))) * _SET_BYTES
-                yield pa.RecordBatch.from_arrays([T.long_array(whole), pa.array([flat[a:b] for a, b in zip(upto[:-1], upto[1:], strict=True)], pa.binary())], names=["grp", "items"])
-
-    return sets
-
-
-def _items(data: bytes) -> np.ndarray:
-    flat = np.zeros((len(data) // _SET_BYTES, 8), np.uint8)
-    flat[:, :_SET_BYTES] = np.frombuffer(data, np.uint8).reshape(-1, _SET_BYTES)
-    return flat.view("<u8").ravel()
-
-
 def _verified(percent: int):
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, a = None, None
@@ -249,8 +339,8 @@ def _verified(percent: int):
             keep = np.zeros(len(ys), bool)
             for i in range(len(ys)):
                 if last != ys[i]:
-                    last, a = ys[i], _items(batch.column(2)[i].as_py())
-                b = _items(batch.column(3)[i].as_py())
+                    last, a = ys[i], _items(np.frombuffer(batch.column(2)[i].as_py(), np.uint8))
+                b = _items(np.frombuffer(batch.column(3)[i].as_py(), np.uint8))
                 small, large = (a, b) if len(a) < len(b) else (b, a)
                 at = np.searchsorted(large, small)
                 at[at == len(large)] = 0
@@ -263,53 +353,81 @@ def _verified(percent: int):
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links. The sets are bucketed: only the pairs, and one side's sets with them, are shuffled."""
     a, b = sets.select(F.col("grp").alias("y"), F.col("items").alias("a")), sets.select(F.col("grp").alias("x"), F.col("items").alias("b"))
     return pairs.join(b, "x").join(a, "y").select("y", "x", "a", "b").mapInArrow(_verified(percent), "y long, x long")
 
 
-def classes(docs: DataFrame, percent: int = 75, width: int = 5, turns: int = 4) -> DataFrame:
+def _candidates(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (y, x) of different components that may be linked, from entries with their component."""
+    tokens = entries.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("n"), F.max("count").alias("largest"), F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    mixed = entries.join(tokens, "token").withColumn("other", F.col("comp") != F.col("top"))
+    bits = sets.join(mixed.select("grp").distinct(), "grp", "left_semi").mapInArrow(_bitmaps, "grp long, bits binary")
+    # A grid of cells for each token: its rows deal out all entries, its columns those outside the largest component.
+    rows, columns = F.ceil(F.col("n") / _CELL).cast("int"), F.ceil((F.col("n") - F.col("largest")) / _CELL).cast("int")
+    i, j = F.pmod(F.xxhash64("grp", F.lit(1)), rows).cast("int"), F.pmod(F.xxhash64("grp", F.lit(2)), columns).cast("int")
+
+    def place(i, j, asks, answers):
+        return F.struct(i.alias("i"), j.alias("j"), asks.alias("asks"), answers.alias("answers"))
+
+    answering = F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: place(F.col("i"), c, F.col("other") & (c == F.col("j")), F.lit(True)))
+    asking = F.transform(F.filter(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.col("other") & (r != F.col("i"))), lambda r: place(r, F.col("j"), F.lit(True), F.lit(False)))
+    dealt = mixed.select("token", "grp", "size", "pos", "comp", "other", rows.alias("rows"), columns.alias("columns"), i.alias("i"), j.alias("j"))
+    dealt = dealt.select("token", "grp", "size", "pos", "comp", "other", F.inline(F.concat(answering, asking))).join(bits, "grp")
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("token", "i", "j", "grp", "size", "pos", "comp", "other", "asks", "answers", "bits").repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    return dealt.mapInArrow(_compared(percent), "y long, x long").distinct()
+
+
+def classes(docs: DataFrame, percent: int = 75, width: int = 5, turns: int = 3, most_frequent: int = 1 << 20) -> DataFrame:
     """doc_id, k, n_shingles, grp (documents of equal sets) and comp (documents joined by links), one row each.
 
     Two documents are linked when 100 * |intersection| >= percent * |union|. k is the key of _text.keyed.
     turns: rounds of verification against hubs before all remaining pairs; it decides the work only.
+    most_frequent: shingles whose order follows their count; it decides the work only.
     """
     spark = docs.sparkSession
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
-    texts = T.keyed(docs)
-    told = written(texts.mapInArrow(_summaries(width), "doc_id long, k long, size int, grp long, sketch binary"), "shingle_sets")
-    summary = told.where("sketch is null").select("doc_id", "k", "size", "grp")
-    levels = spark.sparkContext.broadcast(_levels(told.where("sketch is not null").select("sketch")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    entries = texts.mapInArrow(_entries(width, percent, levels), "token long, grp long, size int, pos int")
-    shared = written(entries.repartition(parts, "token").sortWithinPartitions("token").mapInArrow(_shared_tokens, "token long, grp long, size int, pos int"), "prefixes")
+    texts = T.keyed(docs)
+    summary = written(texts.mapInArrow(_summaries(width), "doc_id long, k long, size int, grp long"), "shingle_groups")
+    found = texts.select("text").mapInArrow(_whole_sets(width), "grp long, items binary")
+    sets = written_bucketed(found.repartition(parts, "grp").dropDuplicates(["grp"]), "shingle_sets", "grp", parts)
 
-    first = summary.where("size > 0").join(shared.select("grp").distinct(), "grp", "left_semi").groupBy("grp").agg(F.min(F.struct("doc_id", "k")).alias("of")).select("grp", "of.*")
-    found = texts.join(first, T.same_row(texts, first)).select("text").mapInArrow(_whole_sets(width), "grp long, items binary").dropDuplicates(["grp"])
-    name = f"shingle_sets_{uuid.uuid4().hex}"
-    with tidy(spark):
-        found.repartition(parts, "grp").write.bucketBy(parts, "grp").sortBy("grp").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    sets = spark.table(name)
+    order = spark.sparkContext.broadcast(_order(sets, most_frequent))
+    entries = sets.mapInArrow(_entries(percent, order), "token long, grp long, size int, pos int")
+    shared = written(entries.repartition(parts, "token").sortWithinPartitions("token", "grp", "pos").mapInArrow(_shared_tokens, "token long, grp long, size int, pos int"), "prefixes")
 
-    comp, tested = spark.createDataFrame([], "node long, component long"), None
+    comp = tested = None
+    done = [sets, shared]
 
     def entries_now() -> DataFrame:
-        known = shared.join(comp.withColumnRenamed("node", "grp"), "grp", "left").withColumn("comp", F.coalesce("component", "grp"))
-        return known.repartition(parts, "token").sortWithinPartitions("token")
+        if comp is None:
+            return shared.withColumn("comp", F.col("grp"))
+        return shared.join(comp.withColumnRenamed("node", "grp"), "grp", "left").select("token", "grp", "size", "pos", F.coalesce("component", "grp").alias("comp"))
 
-    def joined(links: DataFrame) -> DataFrame:
-        stars = comp.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y"))
-        return connected_components(stars.unionByName(links), "y", "x")
+    def joined(pairs: DataFrame) -> DataFrame:
+        links = _links(pairs, sets, percent)
+        if comp is not None:
+            links = links.unionByName(comp.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y")))
+            done.append(comp)
+        return connected_components(links, "y", "x")
 
     for turn in range(turns):
-        near = entries_now().mapInArrow(_hubs(percent, turn), "hub long, x long, n long").groupBy("hub", "x").agg(F.sum("n").alias("n"))
+        near = entries_now().repartition(parts, "token").sortWithinPartitions("token", F.xxhash64("grp", F.lit(turn)))
+        near = near.mapInArrow(_hubs(percent), "hub long, x long, n long").groupBy("hub", "x").agg(F.sum("n").alias("n"))
         best = near.groupBy("x").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.least("hub", "x").alias("y"), F.greatest("hub", "x").alias("x")).distinct()
         best = written(best if tested is None else best.join(tested, ["y", "x"], "left_anti"), "tested")
+        done.append(best)
         tested = best if tested is None else tested.unionByName(best)
-        comp = joined(written(_links(best, sets, percent), "links"))
+        comp = joined(best)
 
-    rest = entries_now().mapInArrow(_across(percent), "y long, x long").select(F.least("y", "x").alias("y"), F.greatest("y", "x").alias("x")).distinct()
-    comp = joined(written(_links(rest.join(tested, ["y", "x"], "left_anti"), sets, percent), "links"))
+    rest = _candidates(entries_now(), sets, percent)
+    comp = joined(rest if tested is None else rest.join(tested, ["y", "x"], "left_anti"))
+    order.destroy()
+    for table in done:
+        remove(table)
     return summary.join(comp.withColumnRenamed("node", "grp"), "grp", "left").select("doc_id", "k", F.col("size").cast("long").alias("n_shingles"), "grp", F.when(F.col("size") > 0, F.coalesce("component", "grp")).alias("comp"))
 
 
@@ -321,17 +439,19 @@ def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """The documents without all but one of each component: the row of the smallest (doc_id, text key) stays."""
-    if "k" in docs.columns:
-        docs = docs.withColumnRenamed("k", "_own_k")
-        return keep_one(docs, percent, width).withColumnRenamed("_own_k", "k")
+    """The documents without all but one of each component: the row of the smallest (doc_id, text key) stays.
+
+    Rows without a word are in no component: all stay. Of equal rows with words one stays, whatever their other
+    columns. Columns of any name may be there.
+    """
     rows = classes(docs, percent, width)
-    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "k")).alias("of")).select("of.k").distinct()
-    # Rows without a word are in no component: all stay.
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "k")).alias("of")).select("of.*").distinct()
     worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.where(worded).withColumn("k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    # Equal rows have equal keys; the join has dealt the rows by k, so that this takes no further shuffle.
-    return keyed.join(first, "k", "left_semi").dropDuplicates(["k"]).select(*docs.columns).unionByName(docs.where(~worded))
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.where(worded).select(F.struct(*docs.columns).alias("row"), doc_id.alias("doc_id"), F.xxhash64(doc_id, F.col("text").cast("string")).alias("k"))
+    # Equal rows have equal keys and ids; the join has dealt the rows by both, so that this takes no further shuffle.
+    kept = keyed.join(first, T.same_row(keyed, first), "left_semi").dropDuplicates(["k", "doc_id"])
+    return kept.select("row.*").unionByName(docs.where(~worded))
 
 
 SQL = r"""

@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+from splitwarden.llm import jaccard_join
 from splitwarden.llm.jaccard_join import components, keep_one
 
 SCHEMA = "doc_id long, text string, k string, size int, comp string"
@@ -75,3 +78,23 @@ def test_rows_without_words_all_stay(spark):
     rows = [(x, t, "k", 1, "c") for x, t in [(1, None), (1, None), (None, None), (None, None), (2, ""), (2, ""), (3, " \n\t"), (4, "one text"), (4, "one text"), (5, "one text")]]
     kept = [r.doc_id for r in keep_one(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert sorted(kept, key=str) == [1, 1, 2, 2, 3, 4, None, None]
+
+
+def test_no_turns_and_small_cells(spark, monkeypatch):
+    """The exhaustive comparison alone finds every link, also where a shingle's entries are dealt out as a grid."""
+    monkeypatch.setattr(jaccard_join, "_CELL", 4)
+    rows = fixture(5, 50)
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for turns in (0, 1):
+        rows_of = jaccard_join.classes(frame, turns=turns, most_frequent=10)
+        least = rows_of.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("c"))
+        got = sorted((tuple(r) for r in rows_of.join(least, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("c"))).collect()), key=str)
+        assert got == brute(rows)
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i % 70001}" for i in range(120_000))
+    other = " ".join(f"v{i}" for i in range(80_000))
+    rows = [(1, long, "k", 1, "c"), (2, long + " and more", "k", 1, "c"), (3, other, "k", 1, "c"), (4, other.replace("v777 ", "changed "), "k", 1, "c"), (5, long + " " + other, "k", 1, "c")]
+    got = {r.doc_id: r.component_id for r in components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
