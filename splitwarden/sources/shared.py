@@ -47,12 +47,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def partly_keyed(spark: SparkSession) -> Iterator[None]:
+    """Within it, plans join tables on more columns than they are bucketed on without a shuffle."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key, "true")
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written_bucketed(df: DataFrame, name: str, column: str, buckets: int, *order: str) -> DataFrame:
-    """The same rows as a table bucketed on a column, one file a bucket, sorted by it (and by order)."""
+    """The same rows as a table bucketed on a column, sorted by it (and by order). One file a bucket, if df is
+    hash-partitioned on the column into as many partitions, as after repartition(buckets, column)."""
     spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table}"
     with tidy(spark):
-        df.repartition(buckets, column).write.bucketBy(buckets, column).sortBy(column, *order).option("path", path).saveAsTable(table)
+        df.write.bucketBy(buckets, column).sortBy(column, *order).option("path", path).saveAsTable(table)
     out = spark.table(table)
     out._written_to, out._table = path, table
     return out
