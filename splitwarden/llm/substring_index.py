@@ -1,17 +1,19 @@
 """Substring deduplication on a log-structured index of window fingerprints.
 
-The index holds sorted, immutable runs, one for each batch of documents. A run has one row for each anchored
-stretch of windows (see ``_text.anchored``): the anchor ``fp``, a hash ``rh`` of all words that the stretch's
-windows span, and where it stands. Equal windows have equal anchors, so a window can repeat only where its
-anchor does, and about one row in fourteen windows is enough to find every repeat.
+The index holds sorted, immutable runs, one for each batch of documents. A run has one row for each distinct
+anchored stretch of windows (see ``_text.anchored``): the anchor ``fp``, a hash ``rh`` of all words that the
+stretch's windows span, how often it stands in the batch, and one place. Equal windows have equal anchors, so a
+window can repeat only where its anchor does, and about one row in fourteen windows is enough to find every repeat.
 
-* ``append`` sorts a batch into a new run and merge-joins it with the historical runs;
-* ``compact`` merges all runs into one row for each (fp, rh) that may repeat, with its count and one place;
-* ``repeated`` verifies: stretches whose whole word sequence (fp and rh, 128 bits) occurs again are settled;
-  where one anchor stands in different stretches, one of each goes back to its text and is compared window
-  by window (fp and a 64-bit window hash).
+* ``append`` sorts a batch into a new run and merge-joins it with the historical runs; it returns the anchors that
+  now repeat. Before that, older runs are merged into one, so that each batch meets one historical run.
+* ``repeated`` verifies the anchors that appends have returned, and only those: stretches whose whole word sequence
+  (fp and rh, 128 bits) occurs again are settled; where one anchor stands in different stretches, one of each goes
+  back to its text and is compared window by window (fp and a 64-bit window hash).
+* ``merge_runs`` compacts: a merge join of sorted runs that adds the counts of equal stretches.
 
-Hot passages are counted by partial aggregation and never gathered; only distinct stretches are compared.
+Hot passages are counted in each batch of rows before they are shuffled, and never gathered; only distinct stretches
+are compared.
 
 Nulls and edges: null or empty texts have no windows; texts shorter than a window neither; rows that repeat a
 doc_id are documents of their own (equal rows are two places, so both lose what they share); empty tables
@@ -20,23 +22,43 @@ give empty results; further columns are ignored.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ..sources.shared import shared_dir, tidy, written
+from ..sources.shared import partly_keyed, remove, written, written_bucketed
+
+STRETCH = "fp long, rh long, doc_id long, k long, start int, n int, inner boolean, c long"
+_PLACE = ("doc_id", "k", "start", "n")
+#: Stretches that are counted together before a shuffle.
+_COUNTED = 1 << 19
+
+
+def _stretches(width: int, gram: int, counted: bool):
+    """Stretches of windows; counted: each distinct one once for a batch of rows, with how often it stands there."""
+
+    def told(some: list[list[np.ndarray]]) -> pa.RecordBatch:
+        cols = [np.concatenate(x) for x in zip(*some, strict=True)]
+        n = np.ones(len(cols[0]), np.int64)
+        if counted:
+            order = np.lexsort((cols[1], cols[0]))
+            cols = [x[order] for x in cols]
+            at = np.flatnonzero(np.append(True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])))
+            n = np.diff(np.append(at, len(order)))
+            inner = np.logical_or.reduceat(cols[7], at) if len(at) else cols[7]
+            cols = [x[at] for x in cols[:7]] + [inner]
+        fp, rh, ids, null, keys, start, many, inner = cols
+        return pa.RecordBatch.from_arrays([T.long_array(fp), T.long_array(rh), T.long_array(ids, null), T.long_array(keys), pa.array(start, pa.int32()), pa.array(many, pa.int32()), pa.array(inner), T.long_array(n)], names=["fp", "rh", *_PLACE, "inner", "c"])
 
-RUN = "fp long, rh long, k long, start int, n int, inner boolean"
-
-
-def _stretches(width: int, gram: int):
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, held = [], 0
         for batch in batches:
+            ids, null = T.ints(batch, "doc_id")
             keys, _ = T.ints(batch, "k")
             for rows, data, offs in T.chunks(batch):
                 starts, ends, first = T.word_spans(data, offs)
@@ -45,11 +67,22 @@ def _stretches(width: int, gram: int):
                 lo = first[row] + start
                 rh = T.spans_hash(words, lo, lo + n + (width - 1))
                 at = row + rows.start
-                yield pa.RecordBatch.from_arrays([T.long_array(fp), T.long_array(rh), T.long_array(keys[at]), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(inner)], names=["fp", "rh", "k", "start", "n", "inner"])
+                some.append([fp, rh, ids[at], null[at], keys[at], start, n, inner])
+                held += len(fp)
+                if held >= _COUNTED or not counted:
+                    yield told(some)
+                    some, held = [], 0
+        if some:
+            yield told(some)
 
     return fingerprints
 
 
+def _added(df: DataFrame) -> DataFrame:
+    """One row for each distinct stretch. The places of one row stay together: all are those of the same first row."""
+    return df.groupBy("fp", "rh").agg(F.sum("c").alias("c"), F.max("inner").alias("inner"), *(F.first(x).alias(x) for x in _PLACE))
+
+
 class WindowIndex:
     """Runs of window fingerprints in the shared folder; documents may be appended batch after batch."""
 
@@ -58,80 +91,83 @@ class WindowIndex:
             raise ValueError("gram must be between 1 and width")
         self.spark, self.width, self.gram = spark, width, gram
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
+        self.runs: list[DataFrame] = []
         self.docs: list[DataFrame] = []
+        self.hits: list[DataFrame] = []
 
-    def _save(self, df: DataFrame, kind: str) -> str:
-        """df must be hash-partitioned on fp into as many partitions as there are buckets: one file a bucket."""
-        name = f"window_{kind}_{uuid.uuid4().hex}"
-        with tidy(self.spark):
-            df.write.bucketBy(self.buckets, "fp").sortBy("fp", "rh").option("path", f"{shared_dir(self.spark)}/{name}").saveAsTable(name)
-        return name
+    def _save(self, df: DataFrame) -> DataFrame:
+        return written_bucketed(df, "window_run", "fp", self.buckets, "rh")
 
-    def fingerprints(self, docs: DataFrame) -> DataFrame:
-        return T.keyed(docs).mapInArrow(_stretches(self.width, self.gram), RUN)
+    def fingerprints(self, docs: DataFrame, counted: bool = False) -> DataFrame:
+        return T.keyed(docs).mapInArrow(_stretches(self.width, self.gram, counted), STRETCH)
 
     def append(self, docs: DataFrame) -> DataFrame:
-        """Adds a batch as a new run. Returns the fingerprints of earlier runs and of this one that now repeat.
+        """Adds a batch as a new run. Returns the anchors of this batch that repeat, in it or in historical runs.
 
-        The result is lazy: a merge join of bucketed runs, of which neither side is shuffled.
+        The joins are merge joins of bucketed runs, of which neither side is shuffled.
         """
-        name = self._save(self.fingerprints(docs).repartition(self.buckets, "fp"), "run")
-        new, old = self.spark.table(name), self.runs[:]
-        self.runs.append(name)
+        self.merge_runs()
+        new = self._save(_added(self.fingerprints(docs, counted=True).repartition(self.buckets, "fp")))
+        seen = new.groupBy("fp").agg(F.count(F.lit(1)).alias("variants"), F.sum("c").alias("c"), F.max("inner").alias("inner"), F.lit(False).alias("old"))
+        for run in self.runs:
+            past = run.select("fp").distinct().withColumn("here", F.lit(True)).hint("merge")
+            seen = seen.join(past, "fp", "left").select("fp", "variants", "c", "inner", (F.col("old") | F.col("here").isNotNull()).alias("old"))
+        hits = written(seen.where("old or variants > 1 or c > 1 or inner").select("fp"), "window_hits")
+        self.runs.append(new)
         self.docs.append(docs)
-        hits = new.select("fp").groupBy("fp").count().where("count > 1").select("fp")
-        for run in old:
-            hits = hits.union(new.select("fp").join(self.spark.table(run).select("fp").distinct().hint("merge"), "fp", "left_semi"))
-        return hits.distinct()
-
-    def postings(self) -> DataFrame:
-        out = self.spark.table(self.runs[0])
-        for run in self.runs[1:]:
-            out = out.unionByName(self.spark.table(run))
-        return out
+        self.hits.append(hits)
+        return hits
 
     def merge_runs(self) -> None:
-        """Rewrites all runs as one sorted run, so that further batches are merge-joined with one table."""
-        self.runs = [self._save(self.postings().repartition(self.buckets, "fp"), "run")]
-
-    def compact(self) -> DataFrame:
-        """Merges the runs into one sorted row for each distinct stretch whose anchor stands more than once:
-        fp, rh, c (how often it stands anywhere), variants (distinct stretches of its anchor) and one place."""
-        each = None
-        for run in self.runs:
-            part = self.spark.table(run).groupBy("fp", "rh").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "start", "n")).alias("at"), F.max("inner").alias("inner"))
-            each = part if each is None else each.unionByName(part)
-        # The runs are bucketed on fp, so the sums above take no shuffle, and the next steps one together.
-        each = each.repartition(self.buckets, "fp").groupBy("fp", "rh").agg(F.sum("c").alias("c"), F.min("at").alias("at"), F.max("inner").alias("inner"))
-        each = each.withColumn("variants", F.count(F.lit(1)).over(Window.partitionBy("fp")))
-        return self.spark.table(self._save(each.where("c > 1 or variants > 1 or inner"), "level"))
-
-    def repeated(self, level: DataFrame | None = None) -> DataFrame:
-        """Verified places of windows that stand elsewhere too: k, start, n (n windows from start)."""
-        level = self.compact() if level is None else level
-        whole = self.postings().join(level.where("c > 1").select("fp", "rh"), ["fp", "rh"]).select("k", "start", "n")
-        rivals = level.where("variants > 1 or inner").select("fp", "c", "at.*")
-        asked = rivals.groupBy("k").agg(F.collect_list(F.struct("fp", "c", "start", "n")).alias("asked"))
+        """Compacts all runs into one sorted run: a merge join that adds the counts of equal stretches."""
+        while len(self.runs) > 1:
+            a, b = self.runs[:2]
+            other = b.select(*(F.col(x).alias(f"b_{x}") for x in b.columns)).hint("merge")
+            both = a.join(other, (a["fp"] == other["b_fp"]) & (a["rh"] == other["b_rh"]), "full")
+            here = F.col("fp").isNotNull()
+            place = [F.when(here, F.col(x)).otherwise(F.col(f"b_{x}")).alias(x) for x in ("fp", "rh", *_PLACE)]
+            inner = (F.coalesce("inner", F.lit(False)) | F.coalesce("b_inner", F.lit(False))).alias("inner")
+            with partly_keyed(self.spark):
+                self.runs[:2] = [self._save(both.select(*place, inner, (F.coalesce("c", F.lit(0)) + F.coalesce("b_c", F.lit(0))).alias("c")))]
+            remove(a)
+            remove(b)
+
+    def repeated(self, hits: DataFrame | None = None) -> DataFrame:
+        """Verified places of windows that stand elsewhere too: doc_id, k, start, n (n windows from start).
+
+        hits: what an append returned, for its anchors alone; else those of all appends.
+        """
+        hits = (reduce(DataFrame.union, self.hits) if hits is None else hits).distinct()
+        rows = reduce(DataFrame.unionByName, [run.join(hits.hint("merge"), "fp", "left_semi") for run in self.runs])
+        level = written(_added(rows), "window_level")
+        several = level.groupBy("fp").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1").select("fp")
+        rivals = level.join(several, "fp", "left_semi").unionByName(level.where("inner").join(several, "fp", "left_anti"))
+        asked = rivals.groupBy("k", "doc_id").agg(F.collect_list(F.struct("fp", "c", "start", "n")).alias("asked"))
+        texts = T.keyed(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), self.docs))
         # Equal rows have one key and answer alike.
-        found = T.keyed(_all(self.docs)).join(asked, "k").select("k", "text", "asked")
-        windows = written(found.mapInArrow(_windows(self.width), "fp long, h long, c long, k long, start int"), "windows")
+        found = texts.join(asked, T.same_row(texts, asked)).select(texts["doc_id"], texts["k"], "text", "asked")
+        windows = written(found.mapInArrow(_windows(self.width), "fp long, h long, c long, doc_id long, k long, start int"), "windows")
         again = windows.groupBy("fp", "h").agg(F.sum("c").alias("total")).where("total > 1").select("fp", "h")
-        single = windows.where("c = 1").join(again, ["fp", "h"], "left_semi").select("k", "start", F.lit(1).alias("n"))
-        return whole.unionByName(single)
-
+        single = windows.where("c = 1").join(again, ["fp", "h"], "left_semi").select("doc_id", "k", "start", F.lit(1).alias("n"))
+        postings = texts.mapInArrow(_stretches(self.width, self.gram, False), STRETCH)
+        whole = postings.join(level.where("c > 1").select("fp", "rh"), ["fp", "rh"], "left_semi").select("doc_id", "k", "start", "n")
+        places = written(whole.unionByName(single), "window_places")
+        remove(level)
+        remove(windows)
+        return places
 
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for df in frames[1:]:
-        out = out.unionByName(df, allowMissingColumns=True)
-    return out
+    def close(self) -> None:
+        """Deletes the runs and what appends have returned."""
+        for table in self.runs + self.hits:
+            remove(table)
+        self.runs, self.hits, self.docs = [], [], []
 
 
 def _windows(width: int):
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, _ = T.ints(batch, "k")
+            ids, null = T.ints(batch, "doc_id")
             asked = batch.column(batch.schema.get_field_index("asked"))
             upto, item = asked.offsets.to_numpy(), asked.values
             fp, c, start, n = (item.field(x).to_numpy(zero_copy_only=False) for x in ("fp", "c", "start", "n"))
@@ -145,7 +181,7 @@ def _windows(width: int):
                 step = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
                 doc, begin = np.repeat(doc, many), start[which] + step
                 got = h[first[doc - rows.start] + begin]
-                yield pa.RecordBatch.from_arrays([T.long_array(fp[which]), T.long_array(got), T.long_array(c[which]), T.long_array(keys[doc]), pa.array(begin, pa.int32())], names=["fp", "h", "c", "k", "start"])
+                yield pa.RecordBatch.from_arrays([T.long_array(fp[which]), T.long_array(got), T.long_array(c[which]), T.long_array(ids[doc], null[doc]), T.long_array(keys[doc]), pa.array(begin, pa.int32())], names=["fp", "h", "c", "doc_id", "k", "start"])
 
     return hashes
 
@@ -154,25 +190,27 @@ def _kept(width: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, null = T.ints(batch, "doc_id")
-            texts = batch.column(batch.schema.get_field_index("text"))
+            texts = batch.column(batch.schema.get_field_index("text")).fill_null("").to_pylist()
             spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
             rows = []
             for text, span in zip(texts, spans, strict=True):
-                words = (text.as_py() or "").encode().split()
-                gone = np.zeros(len(words) + 1, np.int64)
-                for x in span or ():
-                    gone[x["start"]] += 1
-                    gone[min(len(words), x["start"] + x["n"] + width - 1)] -= 1
-                gone = np.cumsum(gone)[:-1] > 0
-                kept = words if not span else [w for w, g in zip(words, gone, strict=True) if not g]
-                rows.append((len(words), int(gone.sum()), b" ".join(kept).decode()))
+                words = text.encode().split()
+                if not span:
+                    rows.append((len(words), 0, b" ".join(words).decode()))
+                    continue
+                edge = np.zeros(len(words) + 1, np.int64)
+                start = np.array([x["start"] for x in span])
+                np.add.at(edge, start, 1)
+                np.subtract.at(edge, np.minimum(len(words), start + np.array([x["n"] for x in span]) + width - 1), 1)
+                gone = np.cumsum(edge)[:-1] > 0
+                rows.append((len(words), int(gone.sum()), b" ".join(words[i] for i in np.flatnonzero(~gone)).decode()))
             n, removed, kept = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([T.long_array(ids, null), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
     return cut
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, batches: int = 2) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, batches: int = 3) -> DataFrame:
     """doc_id, n_words, n_removed, kept: each document without the words of windows that stand anywhere else.
 
     The documents enter a WindowIndex in batches; whichever batch a copy came in, all its copies lose it.
@@ -181,8 +219,10 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, batches: int
     key = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
     for i in range(batches):
         index.append(docs.where(F.coalesce(key, F.lit(0)) == i) if batches > 1 else docs)
-    spans = index.repeated().groupBy("k").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = T.keyed(docs).join(spans, "k", "left").select("doc_id", "text", "spans")
+    spans = index.repeated().groupBy("k", "doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    index.close()
+    texts = T.keyed(docs)
+    joined = texts.join(spans, T.same_row(texts, spans), "left").select(texts["doc_id"], "text", "spans")
     return joined.mapInArrow(_kept(width), "doc_id long, n_words long, n_removed long, kept string")
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+from splitwarden.llm import substring_index
 from splitwarden.llm.substring_index import WindowIndex, digest, remove_repeats
 
 SCHEMA = "doc_id long, text string, lang string, k string, start int"
@@ -61,3 +62,31 @@ def test_append_reports_what_repeats_in_history(spark):
     assert sorted(start for _, start in places) == [1, 2] and len({k for k, _ in places}) == 2
     index.merge_runs()
     assert len(index.runs) == 1 and {(r.k, r.start + i) for r in index.repeated().collect() for i in range(r.n)} == places
+
+
+def test_history_is_merge_joined(spark, monkeypatch):
+    """What repeats across batches only is found by the merge join of a batch with the runs, without a shuffle."""
+    plans, written = [], substring_index.written
+
+    def noted(df, name):
+        if name == "window_hits":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(substring_index, "written", noted)
+    rows = fixture(3)
+    check(spark, rows, 35, batches=3)
+    assert len(plans) == 3 and all("SortMergeJoin" in p and "Exchange" not in p for p in plans[1:])
+
+    # Without what the join finds nothing that stands once in each batch is removed.
+    text = " ".join(f"w{i}" for i in range(50))
+    twice = spark.createDataFrame([(i, text) for i in range(40, 60)], "doc_id long, text string")
+    assert {r.n_removed for r in remove_repeats(twice).collect()} == {50}
+    monkeypatch.setattr(substring_index, "written", lambda df, name: written(df.limit(0) if name == "window_hits" else df, name))
+    assert {r.n_removed for r in remove_repeats(twice).collect()} == {0}
+
+
+def test_tables_are_removed(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    remove_repeats(spark.createDataFrame(fixture(4), SCHEMA)).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
