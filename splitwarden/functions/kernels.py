@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,6 +54,13 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH_METRES * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
+def metres_apart(lat: float, lon: float, lats: np.ndarray, lons: np.ndarray) -> np.ndarray:
+    """haversine for arrays inside a task."""
+    a, b = np.radians(lat), np.radians(lats)
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lons - lon) / 2) ** 2
+    return 2 * EARTH_METRES * np.arcsin(np.sqrt(np.minimum(1.0, h)))
+
+
 def degrees(d: Column, m: Column, s: Column, ref: Column) -> Column:
     """Degrees, minutes and seconds as a signed number; S and W are negative."""
     return (d + m / 60.0 + s / 3600.0) * F.when(F.upper(ref).isin("S", "W"), -1.0).otherwise(1.0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 
 def duplicate_groups(df: DataFrame, digest: str, split: str) -> DataFrame:
     """digest, n, n_splits, spans_splits of contents that occur more than once."""
@@ -105,9 +107,8 @@ def numbering_adjacency(df: DataFrame, by: list[str], num: str, split: str, orde
     """n_pairs, n_crossing, pct, image_level: consecutive numbers whose splits differ. The last row (by order)
     of a number sets its split; a class with many crossings was split item by item."""
     one = df.groupBy(*by, num).agg(F.max_by(split, order).alias("split"))
-    w = Window.partitionBy(*by).orderBy(num)
-    nxt = one.withColumn("__n", F.lead(num).over(w)).withColumn("__s", F.lead("split").over(w)).where(F.col("__n") - F.col(num) == 1)
-    g = nxt.groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum((F.col("split") != F.col("__s")).cast("long")).alias("n_crossing"))
+    after = one.select(*by, (F.col(num) - 1).alias(num), F.col("split").alias("__s"))
+    g = one.join(after, [*by, num]).groupBy(*by).agg(F.count(F.lit(1)).alias("n_pairs"), F.sum((F.col("split") != F.col("__s")).cast("long")).alias("n_crossing"))
     return g.withColumn("pct", 100.0 * F.col("n_crossing") / F.col("n_pairs")).withColumn("image_level", F.col("pct") > limit)
 
 
@@ -124,6 +125,5 @@ def top_values(df: DataFrame, cls: str, value: str, k: int = 3) -> DataFrame:
 
 def value_profile(df: DataFrame, by: str, value: str) -> DataFrame:
     """n, least, upper_median (element n div 2 in order) and largest of a value."""
-    w = Window.partitionBy(by).orderBy(value)
-    r = df.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(by)))
+    r = numbered(df.where(F.col(value).isNotNull()), [by], F.col(value))
     return r.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(F.when(F.col("__r") == F.floor(F.col("__n") / 2) + 1, F.col(value))).alias("upper_median"), F.max(value).alias("largest"))

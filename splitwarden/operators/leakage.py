@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 
 def manifest_join(items: DataFrame, manifest: DataFrame, on: list[str], unmapped: str = "keep") -> DataFrame:
     """Items with their session. unmapped: keep (as groups of one, unmapped:...), drop, or fail if there are any."""
@@ -61,10 +63,19 @@ def straddling(df: DataFrame, group: str, split: str = "split") -> DataFrame:
     )
 
 
+def _first(df: DataFrame, by: list[str], key: str, most: int, out: str) -> DataFrame:
+    """The least keys of each group. Each task keeps the first ones of its rows before the shuffle, so that no
+    list is longer than most."""
+    from pyspark.sql import Window
+
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(key))
+    return df.select(*by, key).withColumn("__r", rank).where(F.col("__r") <= most).groupBy(*by).agg(F.array_sort(F.collect_list(key)).alias(out))
+
+
 def layout(df: DataFrame, group: str, key: str, split: str = "split", most: int = 12) -> DataFrame:
     """For each straddling group and split: items, and the first of them (a listing, most long)."""
-    torn = _spread(df, group, split).where("n_splits > 1").select(group)
-    return df.join(torn, group).groupBy(group, split).agg(F.count(F.lit(1)).alias("n_items"), F.slice(F.array_sort(F.collect_list(key)), 1, most).alias("first_items"))
+    torn = df.join(_spread(df, group, split).where("n_splits > 1").select(group), group)
+    return torn.groupBy(group, split).agg(F.count(F.lit(1)).alias("n_items")).join(_first(torn, [group, split], key, most, "first_items"), [group, split])
 
 
 def exposure(df: DataFrame, cls: str, group: str, split: str = "split") -> DataFrame:
@@ -89,19 +100,20 @@ def group_shape(df: DataFrame, group: str) -> DataFrame:
 
 
 def group_ranks(df: DataFrame, group: str, cls: str) -> DataFrame:
-    """Groups by size: rank within the class, share of the class. Partitioned by class."""
-    from pyspark.sql import Window
-
+    """Groups by size: rank within the class, share of the class."""
     s = df.groupBy(cls, group).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(cls)
-    return s.withColumn("size_rank", F.row_number().over(w.orderBy(F.desc("n"), group))).withColumn("share", F.col("n") / F.sum("n").over(w))
+    whole = df.groupBy(cls).agg(F.count(F.lit(1)).alias("__all")).withColumnRenamed(cls, "__cls")
+    ranked = numbered(s, [cls], -F.col("n"), [group], "size_rank", None)
+    return ranked.join(whole, ranked[cls].eqNullSafe(whole["__cls"])).select(ranked["*"], (F.col("n") / F.col("__all")).alias("share"))
 
 
 def group_structure(df: DataFrame, group: str, top: int = 10) -> DataFrame:
     """n_groups, n_items, median_size, largest, top_items, top_share, n_singletons."""
     s = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     best = s.orderBy(F.desc("n"), group).limit(top).agg(F.sum("n").alias("top_items"))
-    whole = s.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("n_items"), F.percentile("n", F.lit(0.5)).alias("median_size"), F.max("n").alias("largest"), F.sum((F.col("n") == 1).cast("long")).alias("n_singletons"))
+    # The median comes from the table of distinct sizes, which is short however many groups there are.
+    sizes = s.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
+    whole = sizes.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n_groups"), F.sum(F.col("n") * F.col("k")).alias("n_items"), F.percentile("n", F.lit(0.5), F.col("k")).alias("median_size"), F.max("n").alias("largest"), F.coalesce(F.sum(F.when(F.col("n") == 1, F.col("k"))), F.lit(0)).alias("n_singletons"))
     return whole.crossJoin(best).withColumn("top_share", 100.0 * F.col("top_items") / F.col("n_items"))
 
 
@@ -109,5 +121,4 @@ def listing(df: DataFrame, group: str, key: str, split: str, k: int = 10, files:
     """The k largest groups with their items in each split and some names."""
     per = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col(split) == s).cast("long")).alias(f"n_{s}") for s in ("train", "val", "test")))
     top = per.orderBy(F.desc("n"), group).limit(k)
-    names = df.join(top.select(group), group, "left_semi").groupBy(group).agg(F.slice(F.array_sort(F.collect_list(key)), 1, files).alias("names"))
-    return top.join(names, group)
+    return top.join(_first(df.join(top.select(group), group, "left_semi"), [group], key, files, "names"), group)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import numbered
+
 SPLITS = ("train", "val", "test")
 
 
@@ -30,8 +32,7 @@ def stratified_split(df: DataFrame, cls: str, key: str, seeds: list[int] | None
     by = [cls] if seeds is None else ["seed", cls]
     base = df if seeds is None else with_seeds(df, seeds)
     order = shuffled(0 if seeds is None else F.col("seed"), F.col(cls), F.col(key))
-    w = Window.partitionBy(*by)
-    ranked = base.withColumn("__r", F.row_number().over(w.orderBy(order, key))).withColumn("__n", F.count(F.lit(1)).over(w))
+    ranked = numbered(base, by, order, [key])
     return ranked.withColumn("split", cut(F.col("__r"), F.col("__n"), train, val)).drop("__r", "__n")
 
 
@@ -77,8 +78,8 @@ def usable_folds(df: DataFrame, cls: str, group: str, k: int = 5) -> DataFrame:
 
 def item_folds(df: DataFrame, cls: str, key: str, k: int, seed: int = 0) -> DataFrame:
     """Adds fold: items of each class are dealt in shuffled order."""
-    w = Window.partitionBy(cls).orderBy(shuffled(seed, F.col(cls), F.col(key)), key)
-    return df.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("long"))
+    ranked = numbered(df, [cls], shuffled(seed, F.col(cls), F.col(key)), [key], count=None)
+    return ranked.withColumn("fold", F.pmod(F.col("__r") - 1, F.lit(k)).cast("long")).drop("__r")
 
 
 def group_folds(df: DataFrame, cls: str, group: str, k: int, seed: int = 0) -> DataFrame:
@@ -125,8 +126,7 @@ def inner_validation(df: DataFrame, fold: int, unit: str, share: float = 0.15, s
     With one unit left there is no validation part.
     """
     rest = df.where(F.col("fold") != fold).select(F.col(unit).alias("unit")).distinct()
-    w = Window.orderBy(shuffled(seed, F.col("unit")))
-    ranked = rest.withColumn("__r", F.row_number().over(w)).crossJoin(F.broadcast(rest.agg(F.count(F.lit(1)).alias("__n"))))
+    ranked = numbered(rest, [], shuffled(seed, F.col("unit")))
     val = ranked.where((F.col("__n") > 1) & (F.col("__r") <= F.greatest(F.lit(1), F.bround(F.col("__n") * share)))).select("unit", F.lit(True).alias("__val"))
     joined = df.join(val, df[unit] == val["unit"], "left")
     part = F.when(F.col("fold") == fold, "test").when(F.col("__val"), "val").otherwise("train")

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import capture_key
-from ..functions.kernels import haversine
+from ..functions.kernels import haversine, metres_apart
+
+#: Items that place_leaders takes as one sequence.
+LEADERS = 100_000
 
 #: The rules of the sensitivity table: name, gap, across classes.
 RULES = (("gap1", 1, False), ("gap3", 3, False), ("gap3_cross", 3, True), ("gap10", 10, False), ("gap10_cross", 10, True))
@@ -52,9 +56,15 @@ def regrouped(manifest: DataFrame, gap: int, cross_class: bool, cls: str = "cls"
 
 def by_rules(df: DataFrame, cls: str, prefix: str, num: str, key: str, rules: Iterable[tuple[str, float, bool]] = RULES) -> DataFrame:
     """The items once for each rule, with rule and session."""
-    out = None
-    for name, gap, cross in rules:
-        part = sessions(df, cls, prefix, num, key, gap, cross).withColumn("rule", F.lit(name))
+    # Rules over the same runs share one sort: each row has its gap once, and a running count for every rule.
+    rules, out = list(rules), None
+    for cross in sorted({c for _, _, c in rules}):
+        by, own = [prefix] if cross else [cls, prefix], [(n, g) for n, g, c in rules if c == cross]
+        w = Window.partitionBy(*by).orderBy(num, key)
+        seen = df.withColumn("__gap", F.col(num) - F.lag(num).over(w))
+        runs = F.array(*(F.struct(F.lit(n).alias("rule"), F.sum(F.when(F.col("__gap") > g, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("run")) for n, g in own))
+        part = seen.withColumn("__runs", runs).select(*df.columns, F.explode("__runs").alias("__run"))
+        part = part.select(*df.columns, group_name("burst", *(F.col(c) for c in by), F.col("__run.run")).alias("session"), F.col("__run.rule").alias("rule"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -80,46 +90,57 @@ def place_leaders(df: DataFrame, key: str, lat: str, lon: str, metres: float = 3
     """Adds place: leader clustering in key order, each item to the first cluster whose running centroid is near.
 
     The result depends on the order, so each group of ``by`` (an area, a survey) is one sequential task; a group
-    must fit into one. Clusters are numbered by size.
+    must fit into one. Without by the whole table is one, of LEADERS items at most. Clusters are numbered by size.
     """
     import pandas as pd
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        import math
-
         pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
-        centres: list[list[float]] = []
-        labels = []
-        for a, b in zip(pdf[lat], pdf[lon], strict=True):
-            if a is None or b is None or a != a or b != b:
-                labels.append(-1)
+        centres, labels = np.zeros((len(pdf), 3)), np.full(len(pdf), -1)
+        n = 0
+        for row, (a, b) in enumerate(zip(pdf[lat].astype(float), pdf[lon].astype(float), strict=True)):
+            if np.isnan(a) or np.isnan(b):
                 continue
-            for i, (x, y, n) in enumerate(centres):
-                h = math.sin(math.radians(x - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(x)) * math.sin(math.radians(y - b) / 2) ** 2
-                if 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(h))) <= metres:
-                    centres[i] = [(x * n + a) / (n + 1), (y * n + b) / (n + 1), n + 1]
-                    labels.append(i)
-                    break
-            else:
-                centres.append([a, b, 1])
-                labels.append(len(centres) - 1)
-        order = sorted(range(len(centres)), key=lambda i: (-centres[i][2], i))
-        rank = {c: i for i, c in enumerate(order)}
-        pdf["place"] = [rank.get(c) for c in labels]
-        pdf["place"] = pdf["place"].astype("Int64")
+            near = metres_apart(a, b, centres[:n, 0], centres[:n, 1]) <= metres
+            at = int(near.argmax()) if near.any() else n
+            n = max(n, at + 1)
+            many = centres[at, 2]
+            centres[at] = (centres[at, 0] * many + a) / (many + 1), (centres[at, 1] * many + b) / (many + 1), many + 1
+            labels[row] = at
+        place = np.empty(n + 1, int)
+        place[np.argsort(-centres[:n, 2], kind="stable")] = np.arange(n)
+        pdf["place"] = pd.array([place[x] if x >= 0 else None for x in labels], dtype="Int64")
         return pdf
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", place long"
+    if by is None and df.limit(LEADERS + 1).count() > LEADERS:
+        raise ValueError(f"more than {LEADERS} items: name areas in by, each of which one task goes through in order")
     keyed = df.withColumn("__by", F.col(by) if by else F.lit(1))
     return keyed.groupBy("__by").applyInPandas(lambda pdf: cluster(pdf.drop(columns="__by")), schema)
 
 
 def place_links(df: DataFrame, key: str, lat: str, lon: str, metres: float = 300.0) -> DataFrame:
-    """Pairs of items within a distance, by a grid join on cells at least as large as the distance."""
+    """Pairs of items within a distance, by a grid join on cells at least as large as the distance.
+
+    A cell is a band of latitude and, within it, a part of the circle of longitude, whose number wraps around at the
+    180th meridian. Bands near a pole, where a part would be more than a third of the circle, are one cell.
+    """
     size = metres / 111_194.0 * 1.001
     cells = df.select(F.col(key).alias("a"), F.col(lat).alias("x"), F.col(lon).alias("y")).where("x is not null and y is not null")
-    wide = F.greatest(F.cos(F.radians(F.abs(F.col("x")) + size)), F.lit(0.01))
-    here = cells.withColumn("band", F.floor(F.col("x") / size))
-    around = here.select(F.col("a").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"))
-    near = here.join(around, "band").where((F.col("a") < F.col("b")) & (F.abs(F.col("y") - F.col("y2")) <= size / wide))
+
+    def parts(band: Column) -> Column:
+        # The widest a band's neighbours get: a point of it, or of the bands next to it, this near a pole.
+        edge = F.least(F.greatest(F.abs(band), F.abs(band + 1)) * size + 2 * size, F.lit(90.0))
+        reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(size / 2))) / F.greatest(F.cos(F.radians(edge)), F.lit(1e-9)))))
+        many = F.floor(F.lit(360.0) / reach)
+        return F.when((edge >= 90) | (many < 3), 1).otherwise(many).cast("long")
+
+    def part(y: Column, many: Column) -> Column:
+        return F.least(F.floor(F.pmod(y + 180, F.lit(360.0)) / 360 * many), many - 1).cast("long")
+
+    here = cells.withColumn("band", F.floor(F.col("x") / size)).withColumn("part", part(F.col("y"), parts(F.col("band"))))
+    bands = cells.select(F.col("a").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(F.array(*(F.floor(F.col("x") / size) + i for i in (-1, 0, 1)))).alias("band"))
+    many = parts(F.col("band"))
+    around = bands.select("b", "x2", "y2", "band", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(part(F.col("y2"), many) + d, many)))).alias("part"))
+    near = here.join(around, ["band", "part"]).where("a < b")
     return near.withColumn("metres", haversine(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))).where(F.col("metres") <= metres).select("a", "b", "metres")

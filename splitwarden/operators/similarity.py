@@ -2,22 +2,58 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import dot, doubles, hamming, norm
 from .components import connected_components
+from .ranking import numbered
+
+
+#: Reference directions of a class, and the slack of angles against rounding.
+PIVOTS = 4
+_SLACK = 1e-6
+
+
+def unit_angles(df: DataFrame, key: str, cls: str, vector: str) -> DataFrame:
+    """key, cls, v, len and angles: those to PIVOTS vectors of the class, the ones of the least hashed keys."""
+    unit = df.select(F.col(key).alias("key"), F.col(cls).alias("cls"), doubles(F.col(vector)).alias("v")).withColumn("len", norm(F.col("v")))
+    order = F.xxhash64("key")
+    chosen = unit.where("len > 0").withColumn("__r", F.row_number().over(Window.partitionBy("cls").orderBy(order, "key"))).where(F.col("__r") <= PIVOTS)
+    pivots = chosen.groupBy("cls").agg(F.collect_list(F.struct("__r", "v", "len")).alias("__p")).select(F.col("cls").alias("__cls"), F.array_sort("__p").alias("__p"))
+    cosine = lambda p: dot(F.col("v"), p["v"]) / F.nullif(F.col("len") * p["len"], F.lit(0.0))
+    angles = F.transform("__p", lambda p: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(p)))))
+    return unit.join(pivots, unit["cls"] == pivots["__cls"]).select("key", "cls", "v", "len", angles.alias("angles"))
+
+
+def close_candidates(df: DataFrame, key: str, cls: str, vector: str, least: float) -> DataFrame:
+    """Pairs (a < b) of a class that may reach a cosine: by the triangle inequality, the angles of two vectors to any
+    third one differ by no more than the angle between them. Bands as wide as that angle, of the angle to the first
+    pivot, are the join key beside the class; the angles to the others are compared before any product."""
+    reach = math.acos(max(-1.0, min(1.0, least))) + _SLACK
+    rows = unit_angles(df, key, cls, vector).where("len > 0").withColumn("band", F.floor(F.col("angles")[0] / reach))
+    a = rows.select(F.col("key").alias("a"), "cls", F.col("v").alias("va"), F.col("len").alias("la"), F.col("angles").alias("ga"), F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"))
+    b = rows.select(F.col("key").alias("b"), "cls", F.col("v").alias("vb"), F.col("len").alias("lb"), F.col("angles").alias("gb"), "band")
+    near = F.forall(F.zip_with("ga", "gb", lambda x, y: F.abs(x - y) <= reach), lambda x: x)
+    return a.join(b, ["cls", "band"]).where((F.col("a") < F.col("b")) & near)
 
 
 def cosine_pairs(df: DataFrame, key: str, cls: str, vector: str, least: float | None = None) -> DataFrame:
     """a, b, cls, score of pairs (a < b) within a class, of those with a score of at least ``least``.
 
-    Vectors are normalised once before the join; the class is the join key, and AQE splits large classes.
+    Vectors are normalised once before the join. With a threshold, pairs that angles to a few pivots rule out are not
+    formed (see close_candidates); without one, all pairs of a class are the result. AQE splits large classes.
+    Pairs with a vector of length 0 have no score and no place among those of a threshold.
     """
+    score = dot(F.col("va"), F.col("vb")) / F.nullif(F.col("la") * F.col("lb"), F.lit(0.0))
+    if least is not None:
+        return close_candidates(df, key, cls, vector, least).withColumn("score", score).select("a", "b", "cls", "score").where(F.col("score") >= least)
     unit = df.select(F.col(key).alias("key"), F.col(cls).alias("cls"), doubles(F.col(vector)).alias("v")).withColumn("len", norm(F.col("v")))
     a, b = unit.select(F.col("key").alias("a"), "cls", F.col("v").alias("va"), F.col("len").alias("la")), unit.select(F.col("key").alias("b"), "cls", F.col("v").alias("vb"), F.col("len").alias("lb"))
-    pairs = a.join(b, "cls").where("a < b").withColumn("score", dot(F.col("va"), F.col("vb")) / F.nullif(F.col("la") * F.col("lb"), F.lit(0.0))).select("a", "b", "cls", "score")
-    return pairs if least is None else pairs.where(F.col("score") >= least)
+    return a.join(b, "cls").where("a < b").withColumn("score", score).select("a", "b", "cls", "score")
 
 
 def hamming_pairs(df: DataFrame, key: str, cls: str | None, bits: str, most: int, banded: bool | None = None, width: int = 64) -> DataFrame:
@@ -72,9 +108,43 @@ def single_linkage(items: DataFrame, pairs: DataFrame, key: str, cls: str, tag:
     """key, cls, cluster: components of the pairs; names count clusters in order of their least key in a class."""
     comp = connected_components(pairs, "a", "b").withColumnRenamed("node", "__node")
     base = items.select(F.col(key).alias("key"), F.col(cls).alias("cls"))
-    joined = base.join(comp, base["key"] == comp["__node"], "left").withColumn("first", F.coalesce("component", "key"))
-    rank = F.dense_rank().over(Window.partitionBy("cls").orderBy("first")) - 1
-    return joined.select("key", "cls", F.concat(F.col("cls").cast("string"), F.lit(f":{tag}"), rank.cast("string")).alias("cluster"))
+    joined = base.join(comp, base["key"] == comp["__node"], "left").select("key", "cls", F.coalesce("component", "key").alias("first"))
+    return _named(joined, ["cls"], tag).select("key", "cls", "cluster")
+
+
+def _named(rows: DataFrame, by: list[str], tag: str) -> DataFrame:
+    """Adds cluster: the class and the place of first among the class's distinct ones."""
+    names = numbered(rows.select(*by, "first").distinct(), by, F.col("first"), count=None)
+    names = names.select(*(F.col(c).alias(f"__{c}") for c in [*by, "first"]), F.concat(F.col("cls").cast("string"), F.lit(f":{tag}"), (F.col("__r") - 1).cast("string")).alias("cluster"))
+    same = rows["first"] == names["__first"]
+    for c in by:
+        same = same & rows[c].eqNullSafe(names[f"__{c}"])
+    return rows.join(names, same).select(rows["*"], "cluster")
+
+
+def merged_in_order(sims: np.ndarray, least: float, how: str) -> np.ndarray:
+    """For each row of a similarity matrix the first row of its cluster, by greedy merging.
+
+    Clusters stand in the order of their first rows. Of all pairs of clusters whose linkage reaches least the first
+    one, by the earlier and then by the later cluster, is merged, until there is none. link holds the linkage of each
+    pair of living clusters: the least similarity (complete) or the sum of similarities, which the product of the
+    sizes turns into a mean (average). A merge changes one row and column.
+    """
+    n = len(sims)
+    link, size, of = sims.astype(float).copy(), np.ones(n), np.arange(n)
+    upper = np.triu(np.ones((n, n), bool), 1)
+    reach = upper & (link >= least)
+    while reach.any():
+        a, b = divmod(int(reach.argmax()), n)
+        of[of == b] = a
+        size[a] += size[b]
+        joint = np.minimum(link[a], link[b]) if how == "complete" else link[a] + link[b]
+        link[a], link[:, a] = joint, joint
+        upper[b], upper[:, b] = False, False
+        now = joint >= (least if how == "complete" else least * size[a] * size)
+        reach[b], reach[:, b] = False, False
+        reach[a], reach[:, a] = upper[a] & now, upper[:, a] & now
+    return of
 
 
 def greedy_linkage(items: DataFrame, key: str, cls: str, vector: str, threshold: float, how: str = "complete", as_shipped: bool = False) -> DataFrame:
@@ -83,45 +153,37 @@ def greedy_linkage(items: DataFrame, key: str, cls: str, vector: str, threshold:
 
     vector: an array (cosine) or a 64-bit hash, for which the threshold is a distance. as_shipped compares
     negative mean distances with the positive threshold, as a known defect does: nothing merges.
-    Sequential in a class, which must fit into a task as a matrix of its similarities.
+    A merge needs a pair that reaches the threshold by itself, so that items fall apart into the components of those
+    pairs, and merging in one does not touch another: each component is a task of its own and must fit into one as
+    a matrix. Clusters are named by their least key. Items without a vector, or of length 0, stay alone.
     """
     import pandas as pd
 
     hashed = dict(items.dtypes)[vector] == "bigint"
+    least = -threshold if hashed else threshold - 1e-12
+    if hashed:
+        pairs = hamming_pairs(items, key, cls, vector, int(threshold))
+        if as_shipped and how == "average":
+            pairs = pairs.limit(0)
+    else:
+        pairs = cosine_pairs(items, key, cls, vector, least)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         pdf = pdf.sort_values("key").reset_index(drop=True)
         if hashed:
             h = pdf.v.to_numpy(np.int64).view(np.uint64)
-            s = -np.array([[bin(int(x ^ y)).count("1") for y in h] for x in h], float)
-            least = threshold if as_shipped and how == "average" else -threshold
+            sims = -np.bitwise_count(h[:, None] ^ h).astype(float)
         else:
             m = np.stack([np.asarray(v, float) for v in pdf.v])
-            m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-            s, least = m @ m.T, threshold
-        parts = [[i] for i in range(len(pdf))]
-        merged = True
-        while merged:
-            merged = False
-            for a in range(len(parts)):
-                for b in range(a + 1, len(parts)):
-                    block = s[np.ix_(parts[a], parts[b])]
-                    if (block.min() if how == "complete" else block.mean()) >= least - 1e-12:
-                        parts[a] += parts.pop(b)
-                        merged = True
-                        break
-                if merged:
-                    break
-        label = np.empty(len(pdf), int)
-        for i, p in enumerate(sorted(parts, key=min)):
-            label[p] = i
-        return pd.DataFrame({"key": pdf.key, "cls": pdf.cls, "cluster": [f"{c}:c{i}" for c, i in zip(pdf.cls, label, strict=True)]})
+            m = m / np.linalg.norm(m, axis=1, keepdims=True)
+            sims = m @ m.T
+        return pd.DataFrame({"key": pdf.key, "first": pdf.key[merged_in_order(sims, least, how)].to_numpy()})
 
+    comp = connected_components(pairs, "a", "b").withColumnRenamed("node", "__node")
     base = items.select(F.col(key).alias("key"), F.col(cls).alias("cls"), F.col(vector).alias("v"))
-    kinds = dict(base.dtypes)
-    return base.groupBy("cls").applyInPandas(link, f"key {kinds['key']}, cls {kinds['cls']}, cluster string")
+    kind = dict(base.dtypes)["key"]
+    merged = base.join(comp, base["key"] == comp["__node"]).select("key", "v", "component").groupBy("component").applyInPandas(link, f"key {kind}, first {kind}")
+    return base.select("key", "cls").join(merged, "key", "left").select("key", "cls", F.concat_ws(":", F.col("cls").cast("string"), F.coalesce("first", "key").cast("string")).alias("cluster"))
 
 
 def sweep(items: DataFrame, pairs: DataFrame, key: str, cls: str, score: str, thresholds: list[float], at_most: bool = False) -> DataFrame:
@@ -137,8 +199,7 @@ def sweep(items: DataFrame, pairs: DataFrame, key: str, cls: str, score: str, th
     comp = comp.select(F.col("node.t").alias("threshold"), F.col("node.k").alias("__node"), F.col("component.k").alias("component"))
     base = items.select(F.col(key).alias("key"), F.col(cls).alias("cls")).withColumn("threshold", t)
     joined = base.join(comp, (base["threshold"] == comp["threshold"]) & (base["key"] == comp["__node"]), "left").select(base["*"], F.coalesce("component", "key").alias("first"))
-    rank = F.dense_rank().over(Window.partitionBy("threshold", "cls").orderBy("first")) - 1
-    return joined.select("threshold", "key", "cls", F.concat(F.col("cls").cast("string"), F.lit(":s"), rank.cast("string")).alias("cluster"))
+    return _named(joined, ["threshold", "cls"], "s").select("threshold", "key", "cls", "cluster")
 
 
 def score_profile(pairs: DataFrame, least: float, score: str = "score") -> DataFrame:
@@ -159,7 +220,6 @@ def sampled_pairs(pairs: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 def strided(df: DataFrame, by: str, order: str, sample: int) -> DataFrame:
     """Every (n div sample)-th row of each class with more than sample rows."""
-    w = Window.partitionBy(by)
-    r = df.withColumn("__r", F.row_number().over(w.orderBy(order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    r = numbered(df, [by], F.col(order))
     step = F.greatest(F.floor(F.col("__n") / sample), F.lit(1))
-    return r.where((F.col("__n") <= sample) | (F.pmod(F.col("__r"), step) == 0)).drop("__r", "__n")
+    return r.where((F.col("__n") <= sample) | (F.pmod(F.col("__r") - 1, step) == 0)).drop("__r", "__n")

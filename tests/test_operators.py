@@ -2,9 +2,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from splitwarden.functions import kernels, keys
-from splitwarden.operators import calibrate, duplicates, leakage, metrics, partition, runs, sessionize, similarity
+from splitwarden.operators import calibrate, duplicates, leakage, metrics, partition, ranking, runs, sessionize, similarity
 from splitwarden.operators.components import connected_components
 
 
@@ -130,3 +131,101 @@ def test_manifest_join(spark):
     assert {r.session for r in leakage.manifest_join(items, manifest, ["cls", "file"]).collect()} == {"s", "unmapped:a:2"}
     with pytest.raises(ValueError, match="lacks"):
         leakage.manifest_join(items, manifest, ["cls", "file"], "fail")
+
+
+def test_places_across_the_meridian_and_near_the_poles(spark):
+    rnd = random.Random(4)
+    spots = [(0.0, 179.9995), (0.0, -179.9995), (0.0, 179.0), (89.9999, 10.0), (89.9999, -170.0), (89.99, 0.0), (89.99, 1.0), (-90.0, 0.0), (-89.999, 77.0), (60.0, 180.0), (60.0, -180.0)]
+    spots += [(lat + rnd.uniform(-0.01, 0.01), lon + rnd.uniform(-0.02, 0.02)) for lat, lon in ((0, 180), (45, -180), (70, 10), (-89.9, 50)) for _ in range(40)]
+    rows = [(i, x, (y + 180) % 360 - 180) for i, (x, y) in enumerate(spots)]
+    got = {(r.a, r.b) for r in sessionize.place_links(spark.createDataFrame(rows, "key long, lat double, lon double"), "key", "lat", "lon").collect()}
+
+    def apart(p, q):
+        a, b = math.radians(p[1]), math.radians(q[1])
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+        return 2 * 6_371_000.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    assert got == {(p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and apart(p, q) <= 300.0} and (0, 1) in got and (3, 4) in got
+
+
+def test_too_many_items_for_one_sequence(spark, monkeypatch):
+    monkeypatch.setattr(sessionize, "LEADERS", 3)
+    df = spark.createDataFrame([(i, 1.0, 1.0, i % 2) for i in range(6)], "key long, lat double, lon double, area long")
+    with pytest.raises(ValueError, match="name areas"):
+        sessionize.place_leaders(df, "key", "lat", "lon")
+    assert {r.place for r in sessionize.place_leaders(df, "key", "lat", "lon", by="area").collect()} == {0}
+
+
+def test_components_by_rounds_and_in_one_task(spark):
+    rnd = random.Random(7)
+    edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 5000), (7, 7)]
+    rnd.shuffle(edges)
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        a, b = sorted((root(u), root(v)))
+        parent[b] = a
+    want = {x: root(x) for x in parent}
+    df = spark.createDataFrame(edges, "u long, v long").repartition(3)
+    for bound in (0, 150, 1 << 20):
+        rows = connected_components(df, in_one_task=bound).collect()
+        assert {r.node: r.component for r in rows} == want and len(rows) == len(want)
+
+
+def naive_linkage(sims, least, how):
+    parts = [[i] for i in range(len(sims))]
+    value = lambda p, q: (min if how == "complete" else lambda x: sum(x) / len(x))([sims[i][j] for i in p for j in q])
+    while True:
+        found = next(((p, q) for k, p in enumerate(parts) for q in parts[k + 1 :] if value(p, q) >= least), None)
+        if found is None:
+            return sorted(sorted(p) for p in parts)
+        found[0].extend(found[1])
+        parts = [p for p in parts if p is not found[1]]
+
+
+@pytest.mark.parametrize("how", ["complete", "average"])
+def test_greedy_linkage_against_the_definition(spark, how):
+    rnd = random.Random(11)
+    v = [(i, "ab"[i % 2], [rnd.gauss(0, 1) for _ in range(4)], rnd.getrandbits(6) | rnd.getrandbits(6) << 40) for i in range(60)] + [(99, "a", None, None)]
+    df = spark.createDataFrame(v, "key long, cls string, v array<double>, h long")
+    unit = {k: [x / math.sqrt(sum(y * y for y in w)) for x in w] for k, _, w, _ in v if w}
+    for column, threshold, sim, least in (("v", 0.5, lambda i, j: sum(a * b for a, b in zip(unit[i], unit[j], strict=True)), 0.5 - 1e-12), ("h", 4, lambda i, j: -(v[i][3] ^ v[j][3]).bit_count(), -4)):
+        groups = {}
+        for r in similarity.greedy_linkage(df, "key", "cls", column, threshold, how).collect():
+            groups.setdefault(r.cluster, []).append(r.key)
+        want = [[99]]
+        for c in (0, 1):
+            own = list(range(c, 60, 2))
+            want += [[own[i] for i in p] for p in naive_linkage([[sim(i, j) for j in own] for i in own], least, how)]
+        assert sorted(sorted(x) for x in groups.values()) == sorted(want)
+
+
+def test_close_pairs_are_pruned_and_whole(spark):
+    rnd = random.Random(5)
+    centres = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(12)]
+    rows = [(i, "a" if i % 3 else "b", [x + rnd.gauss(0, 0.1) for x in centres[i % 12]]) for i in range(240)] + [(900, "a", [0.0] * 8), (901, "a", None)]
+    df = spark.createDataFrame(rows, "key long, cls string, v array<double>")
+    whole = {(r.a, r.b) for r in similarity.cosine_pairs(df, "key", "cls", "v").where("score >= 0.9").collect()}
+    assert {(r.a, r.b) for r in similarity.cosine_pairs(df, "key", "cls", "v", 0.9).collect()} == whole and whole
+    made, all_pairs = similarity.close_candidates(df, "key", "cls", "v", 0.9).count(), similarity.cosine_pairs(df, "key", "cls", "v").count()
+    assert made < all_pairs / 3
+
+
+def test_numbered(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice(["a", "b", None]), rnd.choice([None, *range(-5, 40)]), f"{rnd.randrange(30):02d}x") for i in range(300)]
+    df = spark.createDataFrame(rows, "key long, cls string, x long, s string")
+    for order in ("x", "s"):
+        w = Window.partitionBy("cls").orderBy(order, "key")
+        want = {r.key: (r.r, r.n) for r in df.select("key", F.row_number().over(w).alias("r"), F.count(F.lit(1)).over(Window.partitionBy("cls")).alias("n")).collect()}
+        assert {r.key: (r["__r"], r["__n"]) for r in ranking.numbered(df, ["cls"], F.col(order), ["key"]).collect()} == want
+    whole = ranking.numbered(df, [], F.col("x"), ["key"], count=None).collect()
+    assert [r.key for r in sorted(whole, key=lambda r: r["__r"])] == [r.key for r in df.orderBy("x", "key").collect()]
+    assert ranking.numbered(df.limit(0), ["cls"], F.col("x")).count() == 0
+    plan = partition.stratified_split(df, "cls", "key")._jdf.queryExecution().executedPlan().toString()
+    assert "__slice" in plan
