@@ -76,11 +76,16 @@ def loose_digest(text: Column) -> Column:
 
 
 def readable_bytes(n: Column) -> Column:
-    """1536 -> 1.5 KB."""
-    out = F.format_string("%.1f GB", n / F.lit(float(1 << 30)))
-    for unit, size in (("MB", 1 << 20), ("KB", 1 << 10)):
-        out = F.when(n < size * 1024, F.format_string(f"%.1f {unit}", n / F.lit(float(size)))).otherwise(out)
-    return F.when(n < 1024, F.format_string("%d B", n.cast("long"))).otherwise(out)
+    """1536 -> 1.5 KB; from B to TB."""
+    told = lambda unit, size: F.format_string(f"%.1f {unit}", F.bround(n / F.lit(float(size)), 1))
+    out = told("TB", 1 << 40)
+    for unit, size in (("GB", 1 << 30), ("MB", 1 << 20), ("KB", 1 << 10), ("B", 1)):
+        out = F.when(n < size * 1024, told(unit, size)).otherwise(out)
+    return out
+
+
+def compression_ratio(before: Column, after: Column) -> Column:
+    return before / F.greatest(after, F.lit(1)).cast("double")
 
 
 def chi2_sf_one(x: Column) -> Column:

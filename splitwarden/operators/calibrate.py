@@ -5,6 +5,9 @@ Undefined ratios are null, never 0.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,41 +59,49 @@ def adjusted_rand(df: DataFrame, truth: str, pred: str, by: list[str] | None = N
     return c.select(*(by or []), F.coalesce(ratio(F.col("tp") - expected, most - expected), F.lit(1.0)).alias("ari"))
 
 
-def adjusted_mutual_information(df: DataFrame, truth: str, pred: str) -> DataFrame:
-    """ami with the arithmetic normaliser.
+def _expected(a: int, b: int, n: int) -> float:
+    """A pair of groups' share of the expected mutual information: over the hypergeometric distribution of its overlap."""
+    lo, hi = max(1, a + b - n), min(a, b)
+    f = math.lgamma
+    k = np.arange(lo, hi + 1, dtype=float)
+    first = f(a + 1) + f(b + 1) + f(n - a + 1) + f(n - b + 1) - f(n + 1) - f(lo + 1) - f(a - lo + 1) - f(b - lo + 1) - f(n - a - b + lo + 1)
+    steps = np.log((a - k[:-1]) * (b - k[:-1]) / ((k[:-1] + 1) * (n - a - b + k[:-1] + 1)))
+    return float((k / n * np.log(n * k / (float(a) * b)) * np.exp(first + np.append(0.0, np.cumsum(steps)))).sum())
+
 
-    The expected mutual information depends on the margins' sizes alone. Distinct pairs of sizes with their
-    numbers are summed in tasks, so that the work follows distinct sizes, not groups.
+def adjusted_mutual_information(df: DataFrame, truth: str, pred: str, by: list[str] | None = None) -> DataFrame:
+    """ami with the arithmetic normaliser, for each value of by.
+
+    The expected mutual information depends on the margins' sizes alone. Each distinct size of one side is a row with
+    all distinct sizes of the other: of n items there are sqrt(2n) at most, however many groups there are.
     """
     import pandas as pd
 
-    n = df.count()
-    if n == 0:
-        return df.sparkSession.createDataFrame([(None,)], "ami double")
-    cells = df.groupBy(F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    a = cells.groupBy("t").agg(F.sum("n").alias("a"))
-    b = cells.groupBy("p").agg(F.sum("n").alias("b"))
-    mi = cells.join(a, "t").join(b, "p").agg(F.sum(F.col("n") / n * F.log(F.lit(float(n)) * F.col("n") / (F.col("a") * F.col("b")))).alias("mi"))
-    entropy = lambda g, c, name: g.agg(F.sum(-F.col(c) / n * F.log(F.col(c) / n)).alias(name))
-    sizes_a, sizes_b = a.groupBy("a").agg(F.count(F.lit(1)).alias("ka")), b.groupBy("b").agg(F.count(F.lit(1)).alias("kb"))
+    keys = [*(by or [])]
+    base = df if keys else df.withColumn("__one", F.lit(1))
+    keys = keys or ["__one"]
+    cells = base.groupBy(*keys, F.col(truth).alias("t"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    a = cells.groupBy(*keys, "t").agg(F.sum("n").alias("a"))
+    b = cells.groupBy(*keys, "p").agg(F.sum("n").alias("b"))
+    whole = cells.groupBy(*keys).agg(F.sum("n").alias("all"))
+    share = lambda c: F.col(c) / F.col("all")
+    joint = cells.join(a, [*keys, "t"]).join(b, [*keys, "p"]).join(whole, keys)
+    mi = joint.groupBy(*keys).agg(F.sum(share("n") * F.log(F.col("all").cast("double") * F.col("n") / (F.col("a").cast("double") * F.col("b")))).alias("mi"))
+    entropy = lambda g, c, name: g.join(whole, keys).groupBy(*keys).agg(F.sum(-share(c) * F.log(share(c))).alias(name))
+    rows = a.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("ka"))
+    others = b.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("kb")).groupBy(*keys).agg(F.collect_list(F.struct("b", "kb")).alias("others"))
+    pairs = rows.join(others, keys).join(whole, keys)
 
     def expected(batches):
-        import math
-
         for pdf in batches:
-            out = []
-            for x, kx, y, ky in zip(pdf.a, pdf.ka, pdf.b, pdf.kb, strict=True):
-                x, y, total = int(x), int(y), 0.0
-                fixed = math.lgamma(x + 1) + math.lgamma(y + 1) + math.lgamma(n - x + 1) + math.lgamma(n - y + 1) - math.lgamma(n + 1)
-                for k in range(max(1, x + y - n), min(x, y) + 1):
-                    chance = math.exp(fixed - math.lgamma(k + 1) - math.lgamma(x - k + 1) - math.lgamma(y - k + 1) - math.lgamma(n - x - y + k + 1))
-                    total += k / n * math.log(n * k / (x * y)) * chance
-                out.append(total * kx * ky)
-            yield pd.DataFrame({"e": out})
-
-    emi = sizes_a.join(F.broadcast(sizes_b) if sizes_b.count() <= 10_000 else sizes_b, F.lit(True)).mapInPandas(expected, "e double").agg(F.sum("e").alias("emi"))
-    one = mi.crossJoin(entropy(a, "a", "ha")).crossJoin(entropy(b, "b", "hb")).crossJoin(emi)
-    return one.select(F.when((F.col("ha") + F.col("hb")) / 2 - F.col("emi") == 0, 1.0).otherwise((F.col("mi") - F.col("emi")) / ((F.col("ha") + F.col("hb")) / 2 - F.col("emi"))).alias("ami"))
+            pdf["e"] = [sum(_expected(int(x), int(o["b"]), int(n)) * int(kx) * int(o["kb"]) for o in other) for x, kx, other, n in zip(pdf.a, pdf.ka, pdf.others, pdf["all"], strict=True)]
+            yield pdf[[*keys, "e"]] if len(pdf) else pd.DataFrame({c: [] for c in [*keys, "e"]})
+
+    schema = ", ".join(f"`{c}` {dict(pairs.dtypes)[c]}" for c in keys) + ", e double"
+    emi = pairs.mapInPandas(expected, schema).groupBy(*keys).agg(F.sum("e").alias("emi"))
+    one = mi.join(entropy(a, "a", "ha"), keys).join(entropy(b, "b", "hb"), keys).join(emi, keys)
+    top = (F.col("ha") + F.col("hb")) / 2 - F.col("emi")
+    return one.select(*(by or []), F.when(top == 0, 1.0).otherwise((F.col("mi") - F.col("emi")) / F.nullif(top, F.lit(0.0))).alias("ami"))
 
 
 def structural_degeneracy(df: DataFrame, cls: str, group: str, by: list[str] | None = None, mean_size: float = 10.0, share: float = 0.25) -> DataFrame:

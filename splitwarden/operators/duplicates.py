@@ -68,6 +68,14 @@ def redundancy_kind(clusters: DataFrame, by: list[str]) -> DataFrame:
     return g.withColumn("kind", F.when(F.col("copy_share").isNull(), "none").when(F.col("copy_share") > 0.7, "copy-dominated").when(F.col("copy_share") < 0.3, "burst-dominated").otherwise("mixed"))
 
 
+def cross_split_composition(clusters: DataFrame) -> DataFrame:
+    """n_clusters, n_straddling, copies, distinct: of redundancy()'s clusters those in several splits, and what they
+    hold beyond one item each. Copies across splits are a fault of assembly, distinct items one of partitioning."""
+    torn = F.col("n_splits") > 1
+    beyond = lambda *c: F.coalesce(F.sum(F.when(torn, sum(F.col(x) for x in c))), F.lit(0))
+    return clusters.agg(F.count(F.lit(1)).alias("n_clusters"), F.coalesce(F.sum(torn.cast("long")), F.lit(0)).alias("n_straddling"), beyond("byte", "reenc").alias("copies"), beyond("shots").alias("distinct"))
+
+
 def clean_export(df: DataFrame, key: str, digest: str, cls: str, split: str, near: DataFrame | None = None, same_class_only: bool = False) -> DataFrame:
     """The rows that stay: no content under several classes, no copy outside train of a content that train has,
     and no held-out row with a near hit in train (near: held_key, held_cls, train_cls).
@@ -123,6 +131,13 @@ def top_values(df: DataFrame, cls: str, value: str, k: int = 3) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(Window.partitionBy(cls).orderBy(F.desc("n"), value))).where(F.col("rank") <= k)
 
 
+def frequent_forms(df: DataFrame, forms: list[str], k: int = 8) -> DataFrame:
+    """form, value, n: the k most frequent values of each column."""
+    rows = df.select(F.explode(F.array(*(F.struct(F.lit(f).alias("form"), F.col(f).cast("string").alias("value")) for f in forms))).alias("x")).select("x.*")
+    n = rows.groupBy("form", "value").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("__r", F.row_number().over(Window.partitionBy("form").orderBy(F.desc("n"), "value"))).where(F.col("__r") <= k).drop("__r")
+
+
 def value_profile(df: DataFrame, by: str, value: str) -> DataFrame:
     """n, least, upper_median (element n div 2 in order) and largest of a value."""
     r = numbered(df.where(F.col(value).isNotNull()), [by], F.col(value))

@@ -94,7 +94,6 @@ def error_spread(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
     wrong = F.when(F.col("y_true") != F.col("y_pred"), F.col("n")).otherwise(0)
     c = cells.withColumn("wrong", wrong).withColumn("__w", F.sum("wrong").over(Window.partitionBy(*keys)))
     share = F.when(F.col("wrong") > 0, F.col("wrong") / F.col("__w"))
-    worst = F.struct(F.col("wrong"), (-F.hash(F.col("y_pred")).cast("long")).alias("h"))
     g = c.withColumn("__p", share).groupBy(*keys).agg(
         F.sum("n").alias("n"),
         (F.sum(F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("recall"),
@@ -136,6 +135,12 @@ def paired_contrast(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return d.select("n", "mean", (F.col("mean") - half).alias("lo"), (F.col("mean") + half).alias("hi"))
 
 
+def replicate_differences(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """n, mean_difference, largest_difference of |b - a| over replicates that have both."""
+    d = F.abs(F.col(b) - F.col(a))
+    return pairs.agg(F.count(d).alias("n"), F.avg(d).alias("mean_difference"), F.max(d).alias("largest_difference"))
+
+
 def average_rank(value: Column, by: list[str], partition_rows: Column) -> Column:
     """Descending rank with ties at their mean."""
     w = Window.partitionBy(*by)

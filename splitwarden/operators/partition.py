@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .leakage import manifest_join
 from .ranking import numbered
 
 SPLITS = ("train", "val", "test")
@@ -36,38 +37,63 @@ def stratified_split(df: DataFrame, cls: str, key: str, seeds: list[int] | None
     return ranked.withColumn("split", cut(F.col("__r"), F.col("__n"), train, val)).drop("__r", "__n")
 
 
+def _filled(wanting: list[float], size: int, many: int) -> list[int]:
+    """How many of many groups of one size each place gets, each group going where most is wanting (ties: the first)."""
+    left, got = list(wanting), [0] * len(wanting)
+    if many > 64:
+        # All places end near one level: whole steps down to it are taken at once, the few that are left one by one.
+        lo, hi = min(left) - size * many, max(left)
+        for _ in range(80):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(max(0, int((x - mid) // size)) for x in left) > many else (lo, mid)
+        got = [max(0, int((x - hi) // size)) for x in left]
+        left = [x - k * size for x, k in zip(left, got, strict=True)]
+    for _ in range(many - sum(got)):
+        at = max(range(len(left)), key=lambda i: (left[i], -i))
+        got[at] += 1
+        left[at] -= size
+    return got
+
+
+def _ranges(counts: list[int]) -> list[tuple[int, int]]:
+    ends = [sum(counts[: i + 1]) for i in range(len(counts))]
+    return list(zip([0, *ends[:-1]], ends, strict=True))
+
+
 def grouped_split(df: DataFrame, cls: str, group: str, seed: int = 0, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """Adds split: whole groups are placed, the largest first, where most items are wanting.
 
-    A class with three groups or more has an item in each split. The fold runs over the groups of a class (name
-    and size), not over its items; a class's list of groups must fit into a task.
+    A class with three groups or more has an item in each split, if need be the last one of train's. Groups of one
+    size are alike but for their names: one task takes a class's distinct sizes with their numbers, a short table
+    however many groups there are, and groups of a size are dealt in shuffled order.
     """
     import pandas as pd
 
-    sizes = df.groupBy(F.col(cls).alias("cls"), F.col(group).alias("grp")).agg(F.count(F.lit(1)).alias("n")).withColumn("ord", shuffled(seed, F.col("cls"), F.col("grp")))
+    groups = df.groupBy(F.col(cls).alias("__c"), F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = groups.groupBy("__c", "__size").agg(F.count(F.lit(1)).alias("m"))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "ord"], ascending=[False, True]).reset_index(drop=True)
-        total = int(pdf.n.sum())
-        goal = {"train": round(total * train), "val": round(total * val)}
-        goal["test"] = total - goal["train"] - goal["val"]
-        now = dict.fromkeys(SPLITS, 0)
-        split = []
-        for n in pdf.n:
-            best = max(SPLITS, key=lambda s: (goal[s] - now[s], -SPLITS.index(s)))
-            now[best] += int(n)
-            split.append(best)
-        if len(pdf) >= 3:
-            for want in ("test", "val"):
-                mine = [i for i, s in enumerate(split) if s == "train"]
-                if want not in split and len(mine) > 1:
-                    split[mine[-1]] = want
-        pdf["split"] = split
-        return pdf[["cls", "grp", "split"]]
-
-    kinds = dict(sizes.dtypes)
-    placed = sizes.groupBy("cls").applyInPandas(place, f"cls {kinds['cls']}, grp {kinds['grp']}, split string")
-    return df.join(placed, (df[cls].eqNullSafe(placed["cls"])) & (df[group].eqNullSafe(placed["grp"])), "left").select(df["*"], placed["split"])
+        pdf = pdf.sort_values("__size", ascending=False).reset_index(drop=True)
+        total = int((pdf["__size"] * pdf.m).sum())
+        left = [total * train, total * val, total * (1 - train - val)]
+        got = []
+        for size, m in zip(pdf["__size"], pdf.m, strict=True):
+            counts = _filled(left, int(size), int(m))
+            left = [x - k * int(size) for x, k in zip(left, counts, strict=True)]
+            got.append(counts)
+        if pdf.m.sum() >= 3:
+            for want in (2, 1):
+                donors = [i for i, counts in enumerate(got) if counts[0]]
+                if not any(counts[want] for counts in got) and donors:
+                    got[donors[-1]][0] -= 1
+                    got[donors[-1]][want] += 1
+        rows = [(c, n, s, lo, hi) for c, n, counts in zip(pdf["__c"], pdf["__size"], got, strict=True) for s, (lo, hi) in zip(SPLITS, _ranges(counts), strict=True) if hi > lo]
+        return pd.DataFrame(rows, columns=["c", "n", "split", "lo", "hi"])
+
+    placed = sizes.groupBy("__c").applyInPandas(place, f"c {dict(groups.dtypes)['__c']}, n long, split string, lo long, hi long")
+    ranked = numbered(groups, ["__c", "__size"], shuffled(seed, F.col("__c"), F.col("__g")), ["__g"], count=None)
+    told = ranked.join(placed, ranked["__c"].eqNullSafe(placed["c"]) & (F.col("__size") == F.col("n")) & (F.col("__r") > F.col("lo")) & (F.col("__r") <= F.col("hi"))).select("__c", "__g", "split")
+    return df.join(told, df[cls].eqNullSafe(told["__c"]) & df[group].eqNullSafe(told["__g"]), "left").select(df["*"], told["split"])
 
 
 def usable_folds(df: DataFrame, cls: str, group: str, k: int = 5) -> DataFrame:
@@ -83,35 +109,52 @@ def item_folds(df: DataFrame, cls: str, key: str, k: int, seed: int = 0) -> Data
 
 
 def group_folds(df: DataFrame, cls: str, group: str, k: int, seed: int = 0) -> DataFrame:
-    """Adds fold: whole groups, the largest first, go where class counts then vary least over folds.
+    """Adds fold: whole groups, the most uneven first, go where class counts then vary least over folds.
 
-    The fold runs over the table of groups by classes, which must fit into one task; items are joined to it.
+    Groups with the same counts of classes are alike but for their names: one task takes the distinct lists of counts
+    with their numbers, and groups of a list are dealt in shuffled order. Groups of one list are placed one by one, or,
+    if there are more than 100 for each fold, in lots of a hundredth of a fold's share.
     """
     import pandas as pd
 
-    counts = df.groupBy(F.col(group).alias("grp"), F.col(cls).alias("cls")).agg(F.count(F.lit(1)).alias("n")).withColumn("ord", shuffled(seed, F.col("grp")))
+    counts = df.groupBy(F.col(group).alias("__g"), F.col(cls).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+    # A group's list is as long as the number of classes at most.
+    groups = counts.groupBy("__g").agg(F.to_json(F.array_sort(F.collect_list(F.struct("c", "n")))).alias("__list"))
+    lists = groups.groupBy("__list").agg(F.count(F.lit(1)).alias("m")).withColumn("one", F.lit(1))
 
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        import json
+
         import numpy as np
 
-        table = pdf.pivot_table(index=["ord", "grp"], columns="cls", values="n", fill_value=0, aggfunc="sum").sort_index()
-        m = table.to_numpy(float)
-        whole = np.maximum(m.sum(0), 1)
-        load = np.zeros((k, m.shape[1]))
-        fold = np.zeros(len(m), int)
-        for i in sorted(range(len(m)), key=lambda i: -m[i].std()):
-            tries = []
-            for f in range(k):
-                load[f] += m[i]
-                tries.append((float((load / whole).std(0).mean()), float(load[f].sum()), f))
-                load[f] -= m[i]
-            fold[i] = min(tries)[2]
-            load[fold[i]] += m[i]
-        return pd.DataFrame({"grp": table.index.get_level_values("grp"), "fold": fold})
-
-    kind = dict(counts.dtypes)["grp"]
-    dealt = counts.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(deal, f"grp {kind}, fold long")
-    return df.join(dealt, df[group] == dealt["grp"], "left").select(df["*"], dealt["fold"])
+        pdf = pdf.sort_values("__list").reset_index(drop=True)
+        found = [{x.get("c"): x["n"] for x in json.loads(v)} for v in pdf["__list"]]
+        names = {c: i for i, c in enumerate(sorted({c for f in found for c in f}, key=str))}
+        table = np.zeros((len(found), len(names)))
+        for row, f in zip(table, found, strict=True):
+            for c, n in f.items():
+                row[names[c]] = n
+        many = pdf.m.to_numpy()
+        whole = np.maximum((table * many[:, None]).sum(0), 1)
+        load, rows = np.zeros((k, len(names))), []
+        for i in np.argsort(-table.std(1), kind="stable"):
+            got, left = [0] * k, int(many[i])
+            lot = max(1, left // (100 * k))
+            while left:
+                take = min(lot, left)
+                tries = load[None] + np.eye(k)[:, :, None] * (table[i] * take)
+                spread, total = (tries / whole).std(1).mean(1), tries[range(k), range(k)].sum(1)
+                at = min(range(k), key=lambda f: (spread[f], total[f], f))
+                load[at] += table[i] * take
+                got[at] += take
+                left -= take
+            rows += [(pdf["__list"][i], f, lo, hi) for f, (lo, hi) in enumerate(_ranges(got)) if hi > lo]
+        return pd.DataFrame(rows, columns=["list", "fold", "lo", "hi"])
+
+    dealt = lists.groupBy("one").applyInPandas(deal, "list string, fold long, lo long, hi long")
+    ranked = numbered(groups, ["__list"], shuffled(seed, F.col("__g")), ["__g"], count=None)
+    told = ranked.join(dealt, (F.col("__list") == F.col("list")) & (F.col("__r") > F.col("lo")) & (F.col("__r") <= F.col("hi"))).select("__g", "fold")
+    return df.join(told, df[group].eqNullSafe(told["__g"]), "left").select(df["*"], told["fold"])
 
 
 def folds(df: DataFrame, mode: str, cls: str, key: str, group: str, k: int, seed: int = 0) -> DataFrame:
@@ -134,12 +177,37 @@ def inner_validation(df: DataFrame, fold: int, unit: str, share: float = 0.15, s
 
 
 def fold_composition(df: DataFrame, cls: str, group: str) -> DataFrame:
-    """fold, part, n_items, n_groups, n_missing: every fold as test against the others as train."""
-    k = df.select("fold").distinct().withColumnRenamed("fold", "of")
-    # Each item stands once for every fold; the list of folds is as short as k.
-    parts = df.join(F.broadcast(k), F.lit(True)).withColumn("part", F.when(F.col("fold") == F.col("of"), "test").otherwise("train"))
-    classes = df.select(cls).distinct().count()
-    return parts.groupBy(F.col("of").alias("fold"), "part").agg(F.count(F.lit(1)).alias("n_items"), F.countDistinct(group).alias("n_groups"), (F.lit(classes) - F.countDistinct(cls)).cast("long").alias("n_missing"))
+    """fold, part, n_items, n_groups, n_missing: every fold as test against the others as train.
+
+    Train's numbers are the whole table's without what stands in the fold alone, so that no row is repeated.
+    """
+
+    def seen(column: str, name: str) -> DataFrame:
+        """fold, and how many values stand in it, and in no other."""
+        of = df.where(F.col(column).isNotNull()).select("fold", F.col(column).alias("x")).distinct()
+        alone = of.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.min("fold").alias("fold")).withColumn("only", (F.col("n") == 1).cast("long"))
+        return of.groupBy("fold").agg(F.count(F.lit(1)).alias(f"{name}_in")).join(alone.groupBy("fold").agg(F.sum("only").alias(f"{name}_only")), "fold", "left")
+
+    items = df.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    whole = df.agg(F.count(F.lit(1)).alias("n_all"), F.countDistinct(group).alias("g_all"), F.countDistinct(cls).alias("c_all"))
+    per = items.join(seen(group, "g"), "fold", "left").join(seen(cls, "c"), "fold", "left").crossJoin(F.broadcast(whole)).na.fill(0, ["g_in", "g_only", "c_in", "c_only"])
+    test = F.struct(F.lit("test").alias("part"), F.col("n").alias("n_items"), F.col("g_in").alias("n_groups"), (F.col("c_all") - F.col("c_in")).alias("n_missing"))
+    train = F.struct(F.lit("train").alias("part"), (F.col("n_all") - F.col("n")).alias("n_items"), (F.col("g_all") - F.col("g_only")).alias("n_groups"), F.col("c_only").alias("n_missing"))
+    return per.select("fold", F.inline(F.array(test, train))).where("n_items > 0")
+
+
+def missing_in_folds(df: DataFrame, cls: str) -> DataFrame:
+    """fold, cls: the classes that a fold has no item of."""
+    there = df.where(F.col(cls).isNotNull()).select("fold", F.col(cls).alias("cls")).distinct()
+    folds_of = there.select("fold").distinct().agg(F.collect_list("fold").alias("folds"))  # k of them
+    return there.select("cls").distinct().crossJoin(F.broadcast(folds_of)).select(F.explode("folds").alias("fold"), "cls").join(there, ["fold", "cls"], "left_anti")
+
+
+def cv_index(items: DataFrame, manifest: DataFrame, classes: list[str], on: list[str], cls: str = "cls") -> DataFrame:
+    """Items of all splits together, for cross-validation: those of the listed classes, with label (the class's place
+    in the list) and session (unmapped:... for items that the manifest lacks)."""
+    place = F.array_position(F.array(*(F.lit(c) for c in classes)), F.col(cls)) - 1
+    return manifest_join(items.where(F.col(cls).isin(*classes)), manifest, on).withColumn("label", place.cast("long"))
 
 
 def few_shot(df: DataFrame, key: str, cls: str, n: int, seed: int = 0) -> DataFrame:
@@ -156,6 +224,12 @@ def class_weights(df: DataFrame, cls: str) -> DataFrame:
     return per.crossJoin(F.broadcast(whole)).select(cls, "n", (F.col("__all") / (F.col("__k") * F.col("n"))).alias("weight"))
 
 
+def item_weights(df: DataFrame, cls: str) -> DataFrame:
+    """The items with the weight of their class, for draws that balance classes."""
+    per = class_weights(df, cls).select(F.col(cls).alias("__cls"), "weight")
+    return df.join(per, df[cls].eqNullSafe(per["__cls"])).select(df["*"], "weight")
+
+
 def label_ids(df: DataFrame, label: str) -> DataFrame:
     """label, id: dense numbers in label order."""
     labels = df.select(label).distinct()

@@ -48,3 +48,17 @@ def numbered(df: DataFrame, by: list[str], order: Column, tie: list[Column | str
     local = base.withColumn("__local", F.row_number().over(w.orderBy("__order", *tie)))
     out = local.join(offsets, _same(local, offsets, [*by, "__slice"]), "left").select(*(local[c] for c in df.columns if c != rank), (F.col("__local") + F.col("__before")).alias(rank), *([offsets[count]] if count else []))
     return out
+
+
+def median(df: DataFrame, value: str, lo: float, hi: float) -> DataFrame:
+    """median: one row, exact. Counts of equal widths from lo to hi tell which of them hold the middle; only their
+    rows are sorted. Null values are left out; values beyond lo and hi count in the outer widths."""
+    x = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
+    x = x.withColumn("slice", F.greatest(F.lit(0), F.least(F.lit(SLICES - 1), F.floor((F.col("x") - lo) * (SLICES / (hi - lo))))))
+    one = Window.partitionBy(F.lit(1))  # SLICES rows
+    sizes = x.groupBy("slice").agg(F.count(F.lit(1)).alias("m")).withColumn("before", F.sum("m").over(one.orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).withColumn("n", F.sum("m").over(one))
+    first, last = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    middle = sizes.where((F.col("before") < last) & (F.col("before") + F.col("m") >= first))
+    rows = x.join(F.broadcast(middle), "slice")
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("slice").orderBy("x")) + F.col("before"))
+    return ranked.where((F.col("r") == first) | (F.col("r") == last)).agg(F.avg("x").alias("median"))

@@ -35,6 +35,12 @@ def usable(df: DataFrame, degenerate: str, kind: str) -> DataFrame:
     return df.where(~F.col(degenerate) & (F.col(kind) != "copy-dominated"))
 
 
+def comparable(df: DataFrame, degenerate: str, kind: str, least: int = 5) -> DataFrame:
+    """n_usable, n_rows and few: whether too few rows are usable to fit a relationship across them."""
+    use = F.count_if(~F.col(degenerate) & (F.col(kind) != "copy-dominated"))
+    return df.agg(use.alias("n_usable"), F.count(F.lit(1)).alias("n_rows")).withColumn("few", F.col("n_usable") < least)
+
+
 def sweep_spread(df: DataFrame, value: str, by: list[str], degenerate: str | None = None, wide: float = 15.0, stable: float = 10.0) -> DataFrame:
     """n, least, most, spread and verdict of a value over rows that are not degenerate."""
     rows = df if degenerate is None else df.where(~F.col(degenerate))

@@ -81,6 +81,11 @@ def recorded_groups(items: DataFrame, leaves: DataFrame, cls: str = "cls", key:
     return joined.withColumn("session", F.when(F.col("leaf").isNotNull(), group_name("leaf", F.col(cls), F.col("leaf")))).drop("leaf")
 
 
+def unmatched(items: DataFrame, cls: str = "cls", session: str = "session") -> DataFrame:
+    """cls, n_items, n_unmatched: items of each class that recorded_groups found no entry for."""
+    return items.groupBy(F.col(cls).alias("cls")).agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col(session).isNull()).alias("n_unmatched"))
+
+
 def date_groups(df: DataFrame, stamp: str, out: str = "day") -> DataFrame:
     """The part of a time string before the first space."""
     return df.withColumn(out, F.split(F.col(stamp).cast("string"), " ")[0])

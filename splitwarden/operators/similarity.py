@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import dot, doubles, hamming, norm
 from .components import connected_components
-from .ranking import numbered
+from .ranking import median, numbered
 
 
 #: Reference directions of a class, and the slack of angles against rounding.
@@ -189,22 +189,32 @@ def greedy_linkage(items: DataFrame, key: str, cls: str, vector: str, threshold:
 def sweep(items: DataFrame, pairs: DataFrame, key: str, cls: str, score: str, thresholds: list[float], at_most: bool = False) -> DataFrame:
     """threshold, key, cls, cluster: single linkage at every threshold over pairs scored once.
 
-    Nodes of the thresholds are kept apart by a prefix, so that all are solved in the same rounds.
+    Nodes of the thresholds are kept apart, so that all are solved in the same rounds: whole keys (below 2**63 divided
+    by the number of thresholds) by their place in a multiple, others by a pair of threshold and key.
     """
-    t = F.explode(F.array(*(F.lit(float(x)) for x in thresholds)))
+    steps = sorted(float(x) for x in thresholds)
+    t = F.explode(F.array(*(F.lit(x) for x in steps)))
     many = pairs.withColumn("threshold", t)
     many = many.where(F.col(score) <= F.col("threshold") if at_most else F.col(score) >= F.col("threshold"))
-    node = lambda c: F.struct(F.col("threshold").alias("t"), F.col(c).alias("k"))
-    comp = connected_components(many.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
-    comp = comp.select(F.col("node.t").alias("threshold"), F.col("node.k").alias("__node"), F.col("component.k").alias("component"))
+    if dict(pairs.dtypes)["a"] in ("bigint", "int"):
+        place = F.array_position(F.array(*(F.lit(x) for x in steps)), F.col("threshold")) - 1
+        node = lambda c: F.col(c).cast("long") * len(steps) + place
+        comp = connected_components(many.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
+        part = lambda c: F.expr(f"({c} - pmod({c}, {len(steps)})) div {len(steps)}")
+        comp = comp.select(F.get(F.array(*(F.lit(x) for x in steps)), F.expr(f"cast(pmod(node, {len(steps)}) as int)")).alias("threshold"), part("node").alias("__node"), part("component").alias("component"))
+    else:
+        node = lambda c: F.struct(F.col("threshold").alias("t"), F.col(c).alias("k"))
+        comp = connected_components(many.select(node("a").alias("a"), node("b").alias("b")), "a", "b")
+        comp = comp.select(F.col("node.t").alias("threshold"), F.col("node.k").alias("__node"), F.col("component.k").alias("component"))
     base = items.select(F.col(key).alias("key"), F.col(cls).alias("cls")).withColumn("threshold", t)
     joined = base.join(comp, (base["threshold"] == comp["threshold"]) & (base["key"] == comp["__node"]), "left").select(base["*"], F.coalesce("component", "key").alias("first"))
     return _named(joined, ["threshold", "cls"], "s").select("threshold", "key", "cls", "cluster")
 
 
-def score_profile(pairs: DataFrame, least: float, score: str = "score") -> DataFrame:
-    """n_pairs, median and the share of pairs that reach a threshold."""
-    return pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.percentile(score, F.lit(0.5)).alias("median"), F.avg((F.col(score) >= least).cast("double")).alias("share"))
+def score_profile(pairs: DataFrame, least: float, score: str = "score", lo: float = -1.0, hi: float = 1.0) -> DataFrame:
+    """n_pairs, median and the share of pairs that reach a threshold, of scores from lo to hi."""
+    told = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg((F.col(score) >= least).cast("double")).alias("share"))
+    return told.crossJoin(F.broadcast(median(pairs, score, lo, hi))).select("n_pairs", "median", "share")
 
 
 def histogram(pairs: DataFrame, score: str, lo: float, hi: float, bins: int) -> DataFrame:

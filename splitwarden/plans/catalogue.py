@@ -871,3 +871,6 @@ def u2_replace_model_rows(t):
 def flagship(t: Tables) -> DataFrame:
     """Events grouped by gaps, split item by item: how many test events have a sibling in train."""
     return j2_sibling_leakage(t)
+
+
+from . import files, further  # noqa: E402, F401  (they register their queries, made of the carriers above)

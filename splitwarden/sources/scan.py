@@ -23,7 +23,7 @@ def files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     base = F.lit(root.rstrip("/").split("://")[-1].lstrip("/"))
     at = F.instr(F.col("path"), base)
     rel = F.expr("substring(path, __at + length(__base) + 1)")
-    out = df.withColumn("__base", base).withColumn("__at", at).withColumn("rel", F.decode_url(rel) if hasattr(F, "decode_url") else rel)
+    out = df.withColumn("__base", base).withColumn("__at", at).withColumn("rel", rel)
     return out.select("path", "rel", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
 
 

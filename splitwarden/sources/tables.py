@@ -139,6 +139,11 @@ def write_csv(df: DataFrame, path: str, order: list[str] | None = None) -> None:
     (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def sorted_manifest(df: DataFrame) -> DataFrame:
+    """Manifest rows in the order that they are written in: class, session, file."""
+    return df.orderBy("cls", "session", "file")
+
+
 def write_tree(df: DataFrame, path: str) -> None:
     """Items (with content) as a table in folders split=/cls=."""
     required(df, ["split", "cls"]).write.mode("overwrite").partitionBy("split", "cls").parquet(path)
