@@ -9,7 +9,8 @@ copy gives the global order.
 Large means are drawn as sums of several Poisson numbers of at most 100 each. Without target weights all
 sources weigh the same; weights are scaled to a sum of 1, and sources without one get none. A null source is a
 source of its own (weight under the key None). A null doc_id is drawn like an id of its own, and equal ids are
-drawn alike. All columns stay; copy and mix_key are added (a table that has them already loses its own).
+drawn alike. All columns stay, whatever their names; copy and mix_key are added (a table that has them already
+loses its own).
 """
 
 from __future__ import annotations
@@ -43,9 +44,9 @@ def _cumulative(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), top), start, step, lambda s: s["all"])
 
 
-def rates(docs: DataFrame, source: str = "source", weights: Mapping[str | None, float] | None = None) -> DataFrame:
-    """mix_source, rate, draws and cdf: one row a source."""
-    counts = docs.groupBy(F.col(source).cast("string").alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
+def rates(docs: DataFrame, source: str = "source", weights: Mapping[str | None, float] | None = None) -> tuple[DataFrame, int]:
+    """mix_source, rate, draws and cdf: one row a source, and the number of sources."""
+    counts = docs.groupBy(F.col(f"`{source}`").cast("string").alias("mix_source")).agg(F.count(F.lit(1)).alias("n"))
     total, sources = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     if weights is None:
         weight = F.lit(1.0 / max(1, sources))
@@ -57,20 +58,24 @@ def rates(docs: DataFrame, source: str = "source", weights: Mapping[str | None,
             weight = F.when(F.col("mix_source").eqNullSafe(F.lit(name)), w / sum(weights.values())).otherwise(weight)
     rate = weight * F.lit(float(total)) / F.col("n")
     known = counts.select("mix_source", rate.alias("rate")).withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MEAN).cast("int")))
-    return known.withColumn("cdf", _cumulative(F.col("rate") / F.col("draws")))
+    return known.withColumn("cdf", _cumulative(F.col("rate") / F.col("draws"))), sources
 
 
 def mix(docs: DataFrame, source: str = "source", weights: Mapping[str | None, float] | None = None, seed: int = 1) -> DataFrame:
-    """The documents in global random order, each as often as drawn; copy counts from 1."""
+    """The documents in global random order, each as often as drawn; copy counts from 1.
+
+    A document's columns travel as one, so that none of them can clash with those of the draw.
+    """
     docs = docs.drop("copy", "mix_key")
-    known = rates(docs, source, weights)
-    small = docs.select(F.col(source).cast("string").alias("mix_source")).distinct().limit(MANY + 1).count() <= MANY
-    id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    u = lambda j: _unit(F.lit(str(seed)), j, id_)
+    known, sources = rates(docs, source, weights)
+    column = lambda c: F.col(f"`{c}`")
+    rows = docs.select(F.struct(*(column(c) for c in docs.columns)).alias("row"), F.coalesce(column("doc_id").cast("string"), F.lit("")).alias("id"), column(source).cast("string").alias("own_source"))
+    u = lambda j: _unit(F.lit(str(seed)), j, F.col("id"))
     drawn = F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda n, j: n + F.size(F.filter("cdf", lambda c: c <= u(j))))
-    joined = docs.join(F.broadcast(known) if small else known, F.col(f"`{source}`").cast("string").eqNullSafe(F.col("mix_source")))
-    copies = joined.withColumn("__n", drawn).where("__n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-    return copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.col("copy").cast("string"), id_).cast("binary"))).orderBy("mix_key", "doc_id")
+    joined = rows.join(F.broadcast(known) if sources <= MANY else known, F.col("own_source").eqNullSafe(F.col("mix_source")))
+    copies = joined.select("row", "id", drawn.alias("n")).where("n > 0").select("row", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    ordered = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.col("copy").cast("string"), F.col("id")).cast("binary"))).orderBy("mix_key", F.col("row")["doc_id"])
+    return ordered.select("row.*", "copy", "mix_key")
 
 
 SQL = """

@@ -49,3 +49,15 @@ def test_main_path_is_native(spark):
     docs = spark.createDataFrame([(1, "t", "a")], "doc_id long, text string, source string")
     plan = poisson_mix.mix(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_clashing_columns_and_odd_rows(spark):
+    names = "doc_id long, text string, source string, rate double, draws int, cdf string, mix_source string, id string, row int, n int, own_source int, __n int, mix_key string"
+    rows = [(i, "t", "ab"[i % 2], 0.5, 1, "c", "m", "i", 2, 3, 4, 5, "k") for i in range(60)] + [(None, None, None, *(None,) * 10), (1, "", "a", *(None,) * 10), (1, "", "a", *(None,) * 10)]
+    df = spark.createDataFrame(rows, names)
+    out = poisson_mix.mix(df)
+    assert out.columns == [*df.drop("mix_key").columns, "copy", "mix_key"]
+    plain = poisson_mix.mix(df.select("doc_id", "text", "source"))
+    assert sorted(map(str, plain.collect())) == sorted(map(str, out.select("doc_id", "text", "source", "copy", "mix_key").collect())) and plain.count()
+    assert {(r.rate, r["__n"]) for r in out.where("doc_id > 1").collect()} == {(0.5, 5)}
+    assert poisson_mix.mix(df.limit(0)).count() == 0
