@@ -4,8 +4,9 @@ Lines are split at newlines and compared without spaces, tabs and carriage retur
 line a HyperLogLog sketch of its sites and one of the texts that hold it are aggregated (partial sketches
 merge before and after the shuffle, so a line that a third of all documents have is no hot group). Lines
 whose estimates lie far from the threshold are decided by them; those near it get exact distinct counts.
-A line goes if at least ``least`` sites and at least ``least`` different texts have it: copies of one text
-alone do not make its lines boilerplate.
+A line goes if at least ``least`` sites and at least ``least_texts`` different texts have it: copies of one text
+alone do not make its lines boilerplate. The lines' hashes are written once; the texts are not split again for
+either count.
 
 Null texts stay null and have no lines. A null site counts for no site, a null doc_id like any other. Empty
 lines are never removed. Rows that repeat another are spread no wider. All columns stay; n_lines and
@@ -17,6 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import remove, written
+from ._text import same_row
+
 #: log2 of a sketch's buckets. Below some hundred distinct values the sketch still lists them, nearly exactly.
 LG_K = 12
 #: Estimates between least * NEAR[0] and least * NEAR[1] are counted exactly: over ten standard errors.
@@ -24,43 +28,49 @@ NEAR = (0.8, 1.25)
 _TRIMMED = " \t\r"
 
 
-def _keyed(docs: DataFrame, site: str) -> DataFrame:
+def lines_of(docs: DataFrame, site: str = "source") -> DataFrame:
+    """k, doc_id, site, t (the text's hash), pos and the line's key: two independent hashes, 96 bits."""
     text = F.col("text").cast("string")
-    return docs.select(F.xxhash64(F.col("doc_id").cast("long"), text).alias("k"), F.col(site).cast("string").alias("site"), F.xxhash64(text).alias("t"), F.split(text, "\n").alias("lines"))
-
-
-def _lines(docs: DataFrame, site: str, *keep: str) -> DataFrame:
-    """k, site, t, pos and the line's key: two independent hashes, 96 bits."""
-    each = _keyed(docs, site).select(*keep, F.posexplode("lines").alias("pos", "line"))
+    doc_id = F.col("doc_id").cast("long")
+    each = docs.select(F.xxhash64(doc_id, text).alias("k"), doc_id.alias("doc_id"), F.col(site).cast("string").alias("site"), F.xxhash64(text).alias("t"), F.split(text, "\n").alias("lines"))
+    each = each.select("k", "doc_id", "site", "t", F.posexplode("lines").alias("pos", "line"))
     line = F.btrim(F.col("line"), F.lit(_TRIMMED))
-    return each.where(line != "").select(*keep, "pos", F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"))
+    return each.where(line != "").select("k", "doc_id", "site", "t", "pos", F.xxhash64(line).alias("h1"), F.hash(line).alias("h2"))
 
 
-def spread_lines(docs: DataFrame, site: str = "source", least: int = 10) -> DataFrame:
-    """(h1, h2) of the lines to remove."""
-    lines = _lines(docs, site, "site", "t")
-    sketched = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("s"), F.hll_sketch_agg("t", F.lit(LG_K)).alias("x"))
-    guess = sketched.select("h1", "h2", F.least(F.coalesce(F.hll_sketch_estimate("s"), F.lit(0)), F.coalesce(F.hll_sketch_estimate("x"), F.lit(0))).alias("n")).where(F.col("n") >= least * NEAR[0])
-    far = guess.where(F.col("n") > least * NEAR[1]).select("h1", "h2")
-    near = guess.where(F.col("n") <= least * NEAR[1]).select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"]).distinct().groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites"), F.countDistinct("t").alias("texts"))
-    return far.unionByName(exact.where((F.col("sites") >= least) & (F.col("texts") >= least)).select("h1", "h2"))
+def spread_lines(lines: DataFrame, least: int = 10, least_texts: int = 10) -> DataFrame:
+    """(h1, h2) of the lines to remove, from lines_of(). Each count is decided by its sketch or, near its threshold, exactly."""
+    estimate = lambda c, name: F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(LG_K))), F.lit(0)).alias(name)
+    sketched = lines.groupBy("h1", "h2").agg(estimate("site", "sites"), estimate("t", "texts"))
+    guess = sketched.where((F.col("sites") >= least * NEAR[0]) & (F.col("texts") >= least_texts * NEAR[0]))
+    sure = (F.col("sites") > least * NEAR[1]) & (F.col("texts") > least_texts * NEAR[1])
+    exact = lines.join(guess.where(~sure).select("h1", "h2"), ["h1", "h2"]).select("h1", "h2", "site", "t").distinct().groupBy("h1", "h2").agg(F.countDistinct("site").alias("sites"), F.countDistinct("t").alias("texts"))
+    return guess.where(sure).select("h1", "h2").unionByName(exact.where((F.col("sites") >= least) & (F.col("texts") >= least_texts)).select("h1", "h2"))
 
 
-def remove_spread_lines(docs: DataFrame, site: str = "source", least: int = 10) -> DataFrame:
-    """The documents without the lines that spread_lines finds, and with their counts of lines."""
-    gone = _lines(docs, site, "k").join(spread_lines(docs, site, least), ["h1", "h2"], "left_semi").groupBy("k").agg(F.collect_set("pos").alias("__gone")).withColumnRenamed("k", "__gone_k")
+def remove_spread_lines(docs: DataFrame, site: str = "source", least: int = 10, least_texts: int = 10) -> DataFrame:
+    """The documents without the lines that spread_lines finds, and with their counts of lines.
+
+    least: sites that a line must stand on. least_texts: different texts that must hold it; 1 leaves sites alone to decide.
+    """
+    lines = written(lines_of(docs, site), "lines")
+    wide = spread_lines(lines, least, least_texts)
+    places = lines.select("k", "doc_id", "pos", "h1", "h2").join(wide, ["h1", "h2"], "left_semi").groupBy("k", "doc_id").agg(F.collect_set("pos").alias("gone"))
+    gone = written(places, "spread_lines")
+    remove(lines)
     docs = docs.drop("n_lines", "n_removed_lines")
-    text = F.col("text").cast("string")
-    keyed = docs.withColumn("__k", F.xxhash64(F.col("doc_id").cast("long"), text))
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("k"))
+    # Equal rows have one key and lose the same lines.
+    joined = keyed.join(gone, same_row(keyed, gone), "left").select("row", "gone")
+    text = F.col("row")["text"].cast("string")
     lines = F.split(text, "\n")
-    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone")))
+    kept = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone")))
     rest = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    joined = keyed.join(gone, keyed["__k"] == gone["__gone_k"], "left")
     return joined.select(
-        *(F.when(F.col("__gone").isNull(), text).otherwise(rest).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns),
+        *(F.when(F.col("gone").isNull(), text).otherwise(rest).alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns),
         F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_lines"),
     )
 
 

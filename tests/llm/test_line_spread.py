@@ -26,3 +26,11 @@ def test_threshold_is_exact(spark):
 
 def test_empty_table(spark):
     assert remove_spread_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_sites_alone_may_decide(spark):
+    docs = [(i, "copy line\nother line", f"s{i}") for i in range(9)] + [(50, None, None), (51, "copy line", "s0"), (51, "copy line", "s0")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    assert {r.n_removed_lines for r in remove_spread_lines(df, least=9).collect()} == {0}
+    alone = remove_spread_lines(df, least=9, least_texts=1).collect()
+    assert {(r.doc_id, r.text) for r in alone} == {*((i, "") for i in range(9)), (50, None), (51, "")} and len(alone) == len(docs)
