@@ -8,8 +8,8 @@ proximal update keeps a learning rate for each coordinate, and its L1 term leave
 that the model is a short list of (bucket, weight) that is broadcast: at most 2**bits entries, whatever the
 corpus. Scores are sparse dot products over flat arrays of a batch.
 
-The fit reads at most ``max_rows`` labelled rows, those with the least hash of doc_id, in one task; scoring
-reads every row. Null and empty texts have no features and score the model's bias. Rows that repeat a doc_id
+The fit takes at most ``max_rows`` labelled rows, those with the least hash of doc_id: all tasks hash their texts,
+one task goes through their features; scoring reads every row. Null and empty texts have no features and score the model's bias. Rows that repeat a doc_id
 are scored one by one; of those a fit takes the smallest text, and of repeated labels the largest. Rows with
 a null label take no part in the fit. Without any row to fit, every score is 0.
 """
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..sources.shared import remove, written
 from . import _text as T
 
 _KIND = np.full(256, 2, np.uint8)
@@ -105,68 +106,114 @@ def _scale(data: np.ndarray, offs: np.ndarray, s: Settings) -> np.ndarray:
     return np.maximum(1, np.diff(tokens(data, offs)[1])) ** -s.power
 
 
-def fit_rows(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
-    """The updates themselves, over rows that fit into one task."""
-    if not texts:
-        return Model(s, None, np.zeros(0, np.int64), np.zeros(0))
-    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
-    seen = np.zeros(1 << s.bits, np.int32)
-    for _, data, offs in T.chunks(batch):
-        pairs = list(features(data, offs, s))
-        _, bucket = _distinct(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), s.bits)
-        seen += np.bincount(bucket, minlength=len(seen)).astype(np.int32)
-    # The features are made again rather than held: only those that enough rows have stay in memory.
-    each: list[tuple[np.ndarray, float]] = []
-    for _, data, offs in T.chunks(batch):
-        pairs = [(r[k], b[k]) for r, b in features(data, offs, s) for k in [seen[b] >= s.least_rows]]
-        row, bucket = _distinct(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), s.bits)
-        upto = np.searchsorted(row, np.arange(len(offs)))
-        scale = _scale(data, offs, s)
-        each += [(bucket[a:b].astype(np.int32), v) for a, b, v in zip(upto[:-1], upto[1:], scale, strict=True)]
+def _sparse(data: np.ndarray, offs: np.ndarray, s: Settings, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the distinct features of a chunk, of those that are wanted."""
+    pairs = list(features(data, offs, s))
+    if wanted is not None:
+        pairs = [(r[k], b[k]) for r, b in pairs for k in [wanted[b]]]
+    return _distinct(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), s.bits)
+
+
+def fit_sparse(buckets: list[np.ndarray], scales: np.ndarray, labels: np.ndarray, s: Settings) -> Model:
+    """The updates themselves, over rows of distinct features that fit into one task."""
     size = 1 << s.bits
-    z, n = np.zeros(size + 1), np.zeros(size + 1)
+    # z: sums of gradients less what the weights' moves undo; root: roots of the sums of squared gradients.
+    z, root = np.zeros(size + 1), np.zeros(size + 1)
+    each = [np.append(b, size).astype(np.int64) for b in buckets]
     order = np.random.default_rng(s.rows_hash_seed)
     for _ in range(s.epochs):
         for i in order.permutation(len(each)):
-            at, v = each[i]
-            at = np.append(at, size)
-            zi, ni = z[at], n[at]
-            l1 = np.full(len(at), s.l1)
-            l1[-1] = 0
-            w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((s.beta + np.sqrt(ni)) / s.alpha + s.l2))
-            x = np.full(len(at), v)
-            x[-1] = 1.0
-            p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
-            g = (p - labels[i]) * x * (s.positive_weight if labels[i] else 1.0)
-            step = (np.sqrt(ni + g * g) - np.sqrt(ni)) / s.alpha
-            z[at] = zi + g - step * w
-            n[at] = ni + g * g
+            at, v, y = each[i], scales[i], labels[i]
+            zi, ri = z[at], root[at]
+            # What the L1 term leaves of z; it spares the bias, which is the last entry.
+            w = np.clip(zi, -s.l1, s.l1)
+            w[-1] = 0
+            w -= zi
+            w /= (s.beta + ri) / s.alpha + s.l2
+            p = 1 / (1 + np.exp(-min(35.0, max(-35.0, v * w[:-1].sum() + w[-1]))))
+            g = (p - y) * (s.positive_weight if y else 1.0)
+            square = np.full(len(at), (g * v) ** 2)
+            square[-1] = g * g
+            now = np.sqrt(ri * ri + square)
+            w *= (now - ri) / s.alpha
+            zi -= w
+            zi += g * v
+            zi[-1] += g - g * v
+            z[at], root[at] = zi, now
     l1 = np.full(size + 1, s.l1)
     l1[-1] = 0
-    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((s.beta + np.sqrt(n)) / s.alpha + s.l2))
+    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((s.beta + root) / s.alpha + s.l2))
     at = np.flatnonzero(w[:-1])
     return Model(s, float(w[-1]), at, w[at])
 
 
+def fit_rows(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
+    """A fit of texts in memory."""
+    if not texts:
+        return Model(s, None, np.zeros(0, np.int64), np.zeros(0))
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})
+    seen = np.zeros(1 << s.bits, np.int64)
+    for _, data, offs in T.chunks(batch):
+        seen += np.bincount(_sparse(data, offs, s)[1], minlength=len(seen))
+    rows, scales = [], []
+    for _, data, offs in T.chunks(batch):
+        row, bucket = _sparse(data, offs, s, seen >= s.least_rows)
+        rows += np.split(bucket, np.searchsorted(row, np.arange(1, len(offs) - 1)))
+        scales.append(_scale(data, offs, s))
+    return fit_sparse(rows, np.concatenate(scales), labels, s)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings) -> Model:
-    """Fits on documents joined with labels(doc_id, label): at most settings.max_rows of them."""
+    """Fits on documents joined with labels(doc_id, label): at most settings.max_rows of them.
+
+    Texts are hashed by all tasks, twice: to count the rows of each feature, and for the rows' features themselves,
+    without those of too few rows. The one task that fits reads lists of features, never a text.
+    """
     s = settings
+    spark = docs.sparkSession
     chosen = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
                     .where("doc_id is not null and y is not null")
                     .groupBy("doc_id").agg(F.max("y").alias("y"))
                     .orderBy(F.xxhash64("doc_id", F.lit(s.rows_hash_seed)), "doc_id").limit(s.max_rows))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # The chosen ids are bounded by max_rows, so they may be broadcast.
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
+    rows = written(texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")), "labelled")
 
-    def in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [x for b in batches for x in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["y"].to_pylist(), strict=True)]
-        got.sort()
-        model = fit_rows([t for _, t, _ in got], np.array([y for _, _, y in got], np.float64), s)
-        if model.bias is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(model.buckets, -1), pa.int64()), pa.array(np.append(model.weights, model.bias), pa.float64())], names=["bucket", "weight"])
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << s.bits, np.int64)
+        for batch in batches:
+            for _, data, offs in T.chunks(batch):
+                seen += np.bincount(_sparse(data, offs, s)[1], minlength=len(seen))
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([T.long_array(at), T.long_array(seen[at])], names=["bucket", "n"])
+
+    # 2**bits features at most, whatever the corpus.
+    often = rows.select("text").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= s.least_rows).select("bucket").toArrow()
+    wanted = np.zeros(1 << s.bits, bool)
+    wanted[often["bucket"].to_numpy()] = True
+    shared = spark.sparkContext.broadcast(np.packbits(wanted))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.unpackbits(shared.value).astype(bool)
+        for batch in batches:
+            for at, data, offs in T.chunks(batch):
+                row, bucket = _sparse(data, offs, s, keep)
+                upto = np.searchsorted(row, np.arange(len(offs)))
+                flat = bucket.astype(np.int32)
+                lists = [flat[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at.start : at.stop], batch.column("y")[at.start : at.stop], pa.array(lists, pa.binary()), pa.array(_scale(data, offs, s))], names=["doc_id", "y", "features", "scale"])
 
-    model = rows.repartition(1).mapInArrow(in_one_task, "bucket long, weight double").toPandas()
+    def in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pylist([], schema=pa.schema({"doc_id": pa.int64(), "y": pa.int32(), "features": pa.binary(), "scale": pa.float64()}))]).sort_by("doc_id")
+        if not got.num_rows:
+            return
+        model = fit_sparse([np.frombuffer(x.as_py(), np.int32) for x in got["features"]], got["scale"].to_numpy(), got["y"].to_numpy().astype(float), s)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(model.buckets, -1), pa.int64()), pa.array(np.append(model.weights, model.bias), pa.float64())], names=["bucket", "weight"])
+
+    sparse = rows.mapInArrow(hashed, "doc_id long, y int, features binary, scale double")
+    model = sparse.repartition(1).mapInArrow(in_one_task, "bucket long, weight double").toPandas()
+    shared.destroy()
+    remove(rows)
     bias = model.weight[model.bucket == -1]
     model = model[model.bucket >= 0].sort_values("bucket")
     return Model(s, float(bias.iloc[0]) if len(bias) else None, model.bucket.to_numpy(np.int64), model.weight.to_numpy(np.float64))
@@ -205,7 +252,7 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 
 
 QUALITY = Settings(grams=2, alpha=4.0, l1=0.3, epochs=3)
-TOXICITY = Settings(grams=2, skips=(1, 2), alpha=1.0, l1=8.0, power=0.0, least_rows=8, max_rows=40_000)
+TOXICITY = Settings(grams=2, skips=(1, 2), alpha=2.0, l1=12.0, power=0.0, least_rows=8, max_rows=40_000)
 
 
 def classified(docs: DataFrame, labels: DataFrame, label: str, settings: Settings, parts: int, part: int, threshold: float) -> DataFrame:
