@@ -3,7 +3,8 @@
 Texts become tokens: runs of letters (A-Z folded) and runs of digits; other characters only separate. In the
 template form numbers (with inner points and commas), units after numbers and names (capitalised words within
 a sentence; several in a row are one) are typed placeholders. In a second template form capitalised words that
-open a sentence, unless they are ``OPENERS``, and words in capitals are names too. Windows of ``width`` tokens of
+open a sentence, unless they are ``OPENERS``, and words in capitals are names too, and ``NUMBERS`` in words are
+numbers. Windows of ``width`` tokens of
 benchmark items and documents, in the plain and in the template forms, are hash-joined. A template match then needs consistent
 slots: in a window equal values of the item stand for equal values of the document; different ones may coincide.
 Where they do not, the slots at odds also rule out the other windows of that alignment that hold one of them, and
@@ -34,6 +35,8 @@ from . import _text as T
 UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg lb lbs oz t ton tons ml l litre litres liter liters s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents pound pounds percent degrees celsius fahrenheit k hz khz mhz ghz w kw mw v a kb mb gb tb"
 #: Capitalised words that open sentences and are no names.
 OPENERS = "a about after all an and another are as at because before both but by can could did do does during each every find for from give given has have her here his how however if in into is it its many most my name no not now of on once one only or our over same she he since so some such than that the their then there these they this those though through to two three four five six seven eight nine ten under until up was we were what when where whether which while who whom whose why with without would you your le la les un une des du ce cette il elle ils elles nous vous si et ou mais dans sur pour quand que qui combien quel quelle der die das ein eine den dem und oder aber wenn wie was wer wo warum wann in im mit von zu auf es er sie wir el los las una unos unas y o pero cuando donde como quien cuanto cuantos por para con en su"
+#: Numbers in words.
+NUMBERS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice thrice"
 #: Window hashes that may be broadcast to skip documents' windows early: 16 MB.
 MANY = 2_000_000
 
@@ -112,7 +115,8 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> list[tuple[np.ndarray, ...]]:
     named = np.zeros(n, bool)
     named[at] = ~_within(h[at], _listed(OPENERS))
     out = [(h, h, np.zeros(n, bool), first)]
-    for name in (inner, inner | named):
+    worded = number | _within(h, _listed(NUMBERS))
+    for name, number in ((inner, number), (inner | named, worded)):
         name = name & ~number & ~unit
         again = joined.copy()
         again[1:] |= name[1:] & name[:-1] & ~sentence[1:]
@@ -146,11 +150,11 @@ def windows(data: np.ndarray, offs: np.ndarray, width: int, least_words: int, le
             yield form, w, row[at], T.mix(T.rolled(values, w)[at] + np.uint64(3 * w + form)), at - upto[row[at]], at
 
 
-def _emitted(width: int, least_words: int, lengths: tuple[int, ...], whole: bool, key: str, known=None):
+def _emitted(width: int, least_words: int, lengths: tuple[int, ...], whole: bool, keys: tuple[str, ...], known=None):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if known is None else known.value
         for batch in batches:
-            keys, null = T.ints(batch, key)
+            named = [T.ints(batch, key) for key in keys]
             for rows, data, offs in T.chunks(batch):
                 parsed = tokens(data, offs)
                 for form, w, row, h, pos, at in windows(data, offs, width, least_words, lengths, whole, parsed=parsed):
@@ -163,7 +167,8 @@ def _emitted(width: int, least_words: int, lengths: tuple[int, ...], whole: bool
                     # Matched windows have their slots at the same places; the items' side tells them.
                     places = [np.flatnonzero(slot[a : a + w]).astype(np.int32) for a in at] if whole else [None] * len(at)
                     slots = [values[a : a + w][slot[a : a + w]].view(np.int64) for a in at]
-                    yield pa.RecordBatch.from_arrays([T.long_array(keys[row + rows.start], null[row + rows.start]), T.long_array(h), pa.array(np.full(len(at), form), pa.int32()), pa.array(pos, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(slots, pa.list_(pa.int64()))], names=[key, "h", "form", "pos", "places", "slots"])
+                    own = [T.long_array(x[row + rows.start], null[row + rows.start]) for x, null in named]
+                    yield pa.RecordBatch.from_arrays([*own, T.long_array(h), pa.array(np.full(len(at), form), pa.int32()), pa.array(pos, pa.int32()), pa.array(places, pa.list_(pa.int32())), pa.array(slots, pa.list_(pa.int64()))], names=[*keys, "h", "form", "pos", "places", "slots"])
 
     return emit
 
@@ -196,13 +201,13 @@ def _judged(width: int):
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [consistent([tuple(x.values()) for x in found], width) for found in batch.column("windows").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("item_id"), pa.array(n, pa.int64())], names=["k", "item_id", "n_windows"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "k", "item_id")), pa.array(n, pa.int64())], names=["doc_id", "k", "item_id", "n_windows"])
 
     return judge
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1) -> DataFrame:
-    """k, item_id, n_windows: texts and the items of which one alignment holds so many different windows."""
+    """doc_id, k, item_id, n_windows: texts and the items of which one alignment holds so many different windows."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
 
@@ -215,28 +220,28 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words:
     # Lengths of short items: fewer than width different ones.
     lengths = tuple(r.n for r in items.mapInArrow(counted, "n long").distinct().collect())
     schema = f"item_id long, {WINDOW}"
-    asked = items.mapInArrow(_emitted(width, least_words, lengths, True, "item_id"), schema)
+    asked = items.mapInArrow(_emitted(width, least_words, lengths, True, ("item_id",)), schema)
     some = asked.select("h").distinct().limit(MANY + 1).toPandas().h.to_numpy(np.int64)
     # A benchmark of bounded size spares the shuffle of all windows; a larger one is joined by the hash alone.
     known = spark.sparkContext.broadcast(np.sort(some.view(np.uint64))) if len(some) <= MANY else None
     texts = T.keyed(docs)
-    found = texts.mapInArrow(_emitted(width, least_words, lengths, False, "k", known), f"k long, {WINDOW}")
+    found = texts.mapInArrow(_emitted(width, least_words, lengths, False, ("doc_id", "k"), known), f"doc_id long, k long, {WINDOW}")
     both = found.drop("places").withColumnsRenamed({"pos": "at", "slots": "values"}).join(asked, ["h", "form"])
     # Windows of one alignment of a text with an item are judged together. Windows of the plain form have no slots.
-    aligned = both.where(F.size("slots") == F.size("values")).groupBy("k", "item_id", "form", (F.col("at") - F.col("pos")).alias("shift"))
-    judged = aligned.agg(F.collect_set(F.struct("pos", "places", "slots", "values")).alias("windows")).mapInArrow(_judged(width), "k long, item_id long, n_windows long")
-    return judged.where("n_windows > 0").groupBy("k", "item_id").agg(F.max("n_windows").alias("n_windows"))
+    aligned = both.where(F.size("slots") == F.size("values")).groupBy("doc_id", "k", "item_id", "form", (F.col("at") - F.col("pos")).alias("shift"))
+    judged = aligned.agg(F.collect_set(F.struct("pos", "places", "slots", "values")).alias("windows")).mapInArrow(_judged(width), "doc_id long, k long, item_id long, n_windows long")
+    return judged.where("n_windows > 0").groupBy("doc_id", "k", "item_id").agg(F.max("n_windows").alias("n_windows"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1, least_windows: int = 1) -> DataFrame:
     """doc_id, item_id, n_windows: one row for each document and item that it holds at least in part."""
     hits = matches(docs, benchmark, width, least_words).where(F.col("n_windows") >= least_windows)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("k"))
-    return ids.join(hits, "k").groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"))
+    return hits.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1, least_windows: int = 1) -> DataFrame:
-    """The documents that hold no item."""
-    hits = matches(docs, benchmark, width, least_words).where(F.col("n_windows") >= least_windows).select(F.col("k").alias("__hit_k")).distinct()
-    keyed = docs.withColumn("__k", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    return keyed.join(hits, keyed["__k"] == hits["__hit_k"], "left_anti").drop("__k")
+    """The documents that hold no item, with all their columns, whatever their names."""
+    hits = matches(docs, benchmark, width, least_words).where(F.col("n_windows") >= least_windows).select("doc_id", "k").distinct()
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc_id.alias("doc_id"), F.xxhash64(doc_id, F.col("text").cast("string")).alias("k"))
+    return keyed.join(hits, T.same_row(keyed, hits), "left_anti").select("row.*")
