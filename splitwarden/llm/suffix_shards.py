@@ -4,14 +4,16 @@ Every byte that lies in a string of ``width`` bytes that starts earlier too (in
 the same document) is removed.
 
 1. Anchors (see ``_text.anchored``) of all windows of all texts are counted. Equal windows have equal anchors,
-   so stretches whose anchor stands once hold no repeated string; the others go on. This only spares work.
+   so stretches whose anchor stands once hold no repeated string; the others go on. This only spares work. The most
+   frequent anchors are counted beforehand, so that their places are spread over tasks.
 2. Documents with such stretches are dealt to shards by their least repeated anchor, which brings copies
    together; large groups are split. Each shard sorts the suffixes of its stretches by Larsson-Sadakane
    refinement (doubling ranks, only unsorted groups are sorted again), finds the common prefixes of neighbours
    as Kasai does in text order, and removes all but the earliest place of each class of equal windows.
 3. Cross-shard merging: stretches that hold an earliest place while their anchor stands outside the shard too
-   are dealt by anchor. Each shard's windows are a sorted run, and runs are merged by binary search: what an
-   earlier place has already is removed.
+   are dealt by anchor, with the order that their suffixes have in the shard. Each shard's suffixes are a sorted run
+   of places, and runs are merged by binary search: what an earlier place has already is removed. Windows of an anchor
+   with more than ``HOT`` places are compared by two 64-bit hashes in a shuffle instead, which no task holds whole.
 
 Null texts count as empty. Texts below ``width`` bytes stay whole. Rows that repeat a doc_id are ordered by a
 hash of their text; equal rows are one place, so that they do not remove each other. A null doc_id comes last.
@@ -26,25 +28,61 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import remove, written
 from . import _text as T
 
 #: Bytes of text whose suffixes one shard sorts.
 SHARD = 1 << 20
 _SMALL = 1 << 18
+#: Anchors that are counted together, and those that are known as frequent: so many at most, of so many places at least.
+_COUNTED = 1 << 20
+MOST_FREQUENT, FREQUENT = 1 << 18, 2000
+#: Places of an anchor whose windows are merged by suffix order.
+HOT = 50_000
 
 
-def _anchors(width: int, gram: int):
+def _anchors(width: int, gram: int, known=None):
+    """Places of anchors; total: how often the anchor stands anywhere, if it is a known frequent one, else 0."""
+
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, often = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if known is None else known.value
         for batch in batches:
             keys, _ = T.ints(batch, "k")
+            ids, null = T.ints(batch, "doc_id")
             for rows, data, offs in T.chunks(batch, size=_SMALL):
                 fp, row, start, n, inner = T.anchored(T.byte_values(data), offs, width, gram)
-                yield pa.RecordBatch.from_arrays([T.long_array(fp), T.long_array(keys[row + rows.start]), pa.array(start, pa.int32()), pa.array(np.where(inner, -n, n), pa.int32())], names=["fp", "k", "start", "n"])
+                total = np.zeros(len(fp), np.int64)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, fp), len(hot) - 1)
+                    total = np.where(hot[at] == fp, often[at], 0)
+                own = row + rows.start
+                yield pa.RecordBatch.from_arrays([T.long_array(fp), T.long_array(keys[own]), T.long_array(ids[own], null[own]), pa.array(start, pa.int32()), pa.array(np.where(inner, -n, n), pa.int32()), T.long_array(total)], names=["fp", "k", "doc_id", "start", "n", "total"])
 
     return anchors
 
 
+def _frequent(width: int, gram: int):
+    """Counts of anchors that stand in several stretches of a chunk."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(some: list[np.ndarray]) -> pa.RecordBatch:
+            fp, n = np.unique(np.concatenate(some), return_counts=True)
+            return pa.RecordBatch.from_arrays([T.long_array(fp[n > 7]), T.long_array(n[n > 7])], names=["fp", "n"])
+
+        some, held = [], 0
+        for batch in batches:
+            for _, data, offs in T.chunks(batch, size=_SMALL):
+                some.append(T.anchored(T.byte_values(data), offs, width, gram)[0])
+                held += len(some[-1])
+                if held >= _COUNTED:
+                    yield told(some)
+                    some, held = [], 0
+        if some:
+            yield told(some)
+
+    return counted
+
+
 def packed(data: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as one number that sorts like them (zeros after the end)."""
     wide = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
@@ -137,13 +175,16 @@ def _runs(doc: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, n
     return doc[at], start[at], start[np.append(at[1:], len(start)) - 1] + width
 
 
-FOUND = "k long, doc_id long, lo int, hi int, fp long, bytes binary, shard long"
+FOUND = "k long, doc_id long, lo int, hi int, fp long, hot boolean, bytes binary, at binary, ranks binary, shard long"
 
 
-def _found(k, doc_id, null, lo, hi, fp=None, data=None, shard=None) -> pa.RecordBatch:
+def _found(k, doc_id, null, lo, hi, handed: dict | None = None) -> pa.RecordBatch:
+    """Removed runs of bytes, or (handed) stretches for the merge across shards."""
     n = len(k)
-    cols = [T.long_array(k), T.long_array(doc_id, null), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.nulls(n, pa.int64()) if fp is None else T.long_array(fp), pa.nulls(n, pa.binary()) if data is None else pa.array(data, pa.binary()), pa.nulls(n, pa.int64()) if shard is None else T.long_array(shard)]
-    return pa.RecordBatch.from_arrays(cols, names=["k", "doc_id", "lo", "hi", "fp", "bytes", "shard"])
+    cols = [T.long_array(k), T.long_array(doc_id, null), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())]
+    more = {"fp": pa.int64(), "hot": pa.bool_(), "bytes": pa.binary(), "at": pa.binary(), "ranks": pa.binary(), "shard": pa.int64()}
+    cols += [pa.nulls(n, t) if handed is None else pa.array(handed[c], t) for c, t in more.items()]
+    return pa.RecordBatch.from_arrays(cols, names=["k", "doc_id", "lo", "hi", *more])
 
 
 def _shard(docs: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
@@ -189,11 +230,24 @@ def _shard(docs: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
 
     kinds, inverse, count = np.unique(fp, return_inverse=True, return_counts=True)
     stretch_at = r_at[np.cumsum(new) - 1] + start - np.repeat(r_lo, np.diff(np.append(at, len(doc))))
-    firsts = np.append(0, np.cumsum(~later & whole))
-    out = np.flatnonzero((total > count[inverse]) & (firsts[stretch_at + n] > firsts[stretch_at]))
+    mine = ~later & whole
+    firsts = np.append(0, np.cumsum(mine))
+    # A frequent anchor's total is what chunks have counted, or more: it goes on in any case.
+    out = np.flatnonzero(((total > count[inverse]) | (total >= FREQUENT)) & (firsts[stretch_at + n] > firsts[stretch_at]))
     if len(out):
         d = doc[out]
-        yield _found(k[d], doc_id[d], null[d], start[out], start[out] + n[out], fp[out], [data[a : a + m].tobytes() for a, m in zip(stretch_at[out], n[out] + width - 1, strict=True)], np.full(len(out), k[0]))
+        rank = np.zeros(len(data), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        places = [np.flatnonzero(mine[a : a + m]) for a, m in zip(stretch_at[out], n[out], strict=True)]
+        handed = {
+            "fp": fp[out],
+            "hot": total[out] > HOT,
+            "bytes": [data[a : a + m].tobytes() for a, m in zip(stretch_at[out], n[out] + width - 1, strict=True)],
+            "at": [p.astype(np.int32).tobytes() for p in places],
+            "ranks": [rank[a + p].tobytes() for a, p in zip(stretch_at[out], places, strict=True)],
+            "shard": np.full(len(out), k[0]),
+        }
+        yield _found(k[d], doc_id[d], null[d], start[out], start[out] + n[out], handed)
 
 
 def _shards(width: int):
@@ -205,12 +259,12 @@ def _shards(width: int):
             fp, start, n, total = (asked.values.field(x).to_numpy(zero_copy_only=False) for x in ("fp", "start", "n", "total"))
             keys, ids, texts = (batch.column(batch.schema.get_field_index(x)) for x in ("k", "doc_id", "text"))
             for i in range(batch.num_rows):
-                key = keys[i].as_py()
+                key = (keys[i].as_py(), ids[i].as_py())
                 if key == last:  # an equal row
                     continue
                 last, a, b = key, upto[i], upto[i + 1]
                 text = texts[i].as_buffer()
-                held.append((key, ids[i].as_py(), text.to_pybytes(), fp[a:b], start[a:b], n[a:b], total[a:b]))
+                held.append((*key, text.to_pybytes(), fp[a:b], start[a:b], n[a:b], total[a:b]))
                 size += int(n[a:b].sum()) + width * 2
                 if size >= SHARD:
                     yield from _shard(held, width)
@@ -221,49 +275,82 @@ def _shards(width: int):
     return shards
 
 
+def _compared(words: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """-1, 0 or 1: how the width bytes from places a compare with those from places b."""
+    sign, open_ = np.zeros(len(a), np.int8), np.arange(len(a))
+    for step in range(0, width, 8):
+        x, y = words[a[open_] + step], words[b[open_] + step]
+        if step + 8 > width:
+            cut = np.uint64(8 * (step + 8 - width))
+            x, y = x >> cut, y >> cut
+        differ = x != y
+        sign[open_[differ]] = np.where(x[differ] < y[differ], -1, 1)
+        open_ = open_[~differ]
+        if not len(open_):
+            break
+    return sign
+
+
+def _searched(words: np.ndarray, index: np.ndarray, asked: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each asked place where it belongs among the places of a sorted index, and whether an equal one is there."""
+    lo, hi = np.zeros(len(asked), np.int64), np.full(len(asked), len(index))
+    while (open_ := np.flatnonzero(lo < hi)).size:
+        mid = (lo[open_] + hi[open_]) // 2
+        less = _compared(words, index[mid], asked[open_], width) < 0
+        lo[open_[less]] = mid[less] + 1
+        hi[open_[~less]] = mid[~less]
+    known = np.zeros(len(asked), bool)
+    inside = np.flatnonzero(lo < len(index))
+    known[inside] = _compared(words, index[lo[inside]], asked[inside], width) == 0
+    return lo, known
+
+
+def merged_runs(rows: list[dict], width: int) -> list[tuple]:
+    """(null, doc_id, k, place) of windows that an earlier place of another shard has too, of one anchor's rows."""
+    docs = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["k"]) for r in rows})
+    number = {x: i for i, x in enumerate(docs)}
+    # Each text is followed by what packed() puts after the end, so that no word reaches into the next one's window.
+    begin = np.append(0, np.cumsum([len(r["bytes"]) for r in rows]))
+    words = packed(np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8))
+    words = np.append(words, np.zeros(width, np.uint64))
+    runs: dict[int, list[tuple]] = {}
+    for r, a in zip(rows, begin, strict=False):
+        at = np.frombuffer(r["at"], np.int32).astype(np.int64)
+        owner = (number[(r["doc_id"] is None, r["doc_id"] or 0, r["k"])] << 32) + r["lo"] + at
+        runs.setdefault(r["shard"], []).append((a + at, owner, np.frombuffer(r["ranks"], np.int32)))
+    index, owners, out = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    for run in runs.values():
+        at, owner, rank = (np.concatenate(x) for x in zip(*run, strict=True))
+        # Each window of the shard is here once, as its earliest place, so that ranks give one order of different windows.
+        rank, once = np.unique(rank, return_index=True)
+        at, owner = at[once], owner[once]
+        place, known = _searched(words, index, at, width)
+        old = owners[place[known]]
+        out += [docs[p >> 32] + (p & 0xFFFFFFFF,) for p in np.maximum(old, owner[known]).tolist()]
+        owners[place[known]] = np.minimum(old, owner[known])
+        index, owners = np.insert(index, place[~known], at[~known]), np.insert(owners, place[~known], owner[~known])
+    return out
+
+
 def _merged(width: int):
-    """Places of windows that an earlier place of another shard has too; rows come sorted by anchor."""
-
-    def merge(group: list[tuple]) -> Iterator[tuple[int, int | None, int]]:
-        # One sorted run for each shard, of (window, place); a run is merged into the index by binary search.
-        runs: dict[int, list[tuple]] = {}
-        for row in group:
-            runs.setdefault(row[4], []).append(row)
-        index, owner = np.zeros(0, f"S{width}"), np.zeros(0, np.int64)
-        docs = sorted({(r[1] is None, r[1] or 0, r[0]) for r in group})
-        number = {(x[2]): i for i, x in enumerate(docs)}
-        for run in runs.values():
-            text = np.concatenate([np.lib.stride_tricks.sliding_window_view(np.frombuffer(r[3], np.uint8), width) for r in run])
-            windows = np.ascontiguousarray(text).view(f"S{width}").ravel()
-            places = np.concatenate([(number[r[0]] << 32) + r[2] + np.arange(len(r[3]) - width + 1) for r in run])
-            by = np.lexsort((places, windows))
-            windows, places = windows[by], places[by]
-            first = np.append(True, windows[1:] != windows[:-1])
-            windows, places = windows[first], places[first]
-            at = np.searchsorted(index, windows)
-            known = np.zeros(len(windows), bool)
-            known[at < len(index)] = index[at[at < len(index)]] == windows[at < len(index)]
-            old = owner[at[known]]
-            yield from (docs[p >> 32][2:] + docs[p >> 32][:2] + (p & 0xFFFFFFFF,) for p in np.maximum(old, places[known]).tolist())
-            owner[at[known]] = np.minimum(old, places[known])
-            index, owner = np.insert(index, at[~known], windows[~known]), np.insert(owner, at[~known], places[~known])
+    """Removed runs of bytes from rows that come sorted by anchor."""
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-            rows = sorted(set(merge(group))) if len({r[4] for r in group}) > 1 else []
+        def flush(group: list[dict]) -> Iterator[pa.RecordBatch]:
+            rows = sorted(set(merged_runs(group, width))) if len({r["shard"] for r in group}) > 1 else []
             if rows:
-                k, null, doc_id, start = (np.array(x) for x in zip(*rows, strict=True))
-                doc, lo, hi = _runs(k, start.astype(np.int64), width)
-                same = {a: (b, c) for a, b, c, _ in rows}
-                yield _found(doc, np.array([same[x][1] for x in doc.tolist()]), np.array([same[x][0] for x in doc.tolist()]), lo, hi)
+                null, ids, keys, start = (np.array(x) for x in zip(*rows, strict=True))
+                text = np.cumsum(np.append(0, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (null[1:] != null[:-1])))
+                doc, lo, hi = _runs(text, start.astype(np.int64), width)
+                own = np.searchsorted(text, doc)
+                yield _found(keys[own], ids[own], null[own], lo, hi)
 
-        group, last = [], None
+        group = []
         for batch in batches:
-            for row in zip(*(batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("k", "doc_id", "lo", "bytes", "shard", "fp")), strict=True):
-                if row[5] != last and group:
+            for row in batch.to_pylist():
+                if group and row["fp"] != group[0]["fp"]:
                     yield from flush(group)
                     group = []
-                last = row[5]
                 group.append(row)
         if group:
             yield from flush(group)
@@ -271,6 +358,29 @@ def _merged(width: int):
     return merged
 
 
+def _hashed(width: int):
+    """h1, h2, null, doc_id, k, place of each window that a stretch hands on."""
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = np.frombuffer(row["at"], np.int32)
+                values = T.byte_values(np.frombuffer(row["bytes"], np.uint8))
+                n = len(at)
+                yield pa.RecordBatch.from_arrays([T.long_array(T.rolled(values, width)[at]), T.long_array(T.rolled(T.mix(values), width)[at]), pa.array(np.full(n, row["doc_id"] is None)), pa.array([row["doc_id"]] * n, pa.int64()), pa.array(np.full(n, row["k"])), pa.array(row["lo"] + at, pa.int32())], names=["h1", "h2", "no_id", "doc_id", "k", "place"])
+
+    return hashes
+
+
+def _hot_copies(rows: DataFrame, width: int) -> DataFrame:
+    """k, doc_id, lo, hi of windows of frequent anchors that stand earlier in another shard."""
+    windows = rows.select("doc_id", "k", "lo", "bytes", "at").mapInArrow(_hashed(width), "h1 long, h2 long, no_id boolean, doc_id long, k long, place int")
+    place = F.struct("no_id", "doc_id", "k", "place")
+    first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
+    later = windows.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+    return later.select("k", "doc_id", F.col("place").alias("lo"), (F.col("place") + width).alias("hi"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, null = T.ints(batch, "doc_id")
@@ -299,18 +409,29 @@ def remove_later_copies(docs: DataFrame, width: int = 100, gram: int = 20, group
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = T.keyed(docs)
-    places = texts.mapInArrow(_anchors(width, gram), "fp long, k long, start int, n int").repartition(parts, "fp")
-    # One shuffle of all places; a frequent anchor's places are counted by a window that spills.
-    same = Window.partitionBy("fp")
-    often = places.withColumn("total", F.count(F.lit(1)).over(same)).withColumn("m", F.min("n").over(same)).where("total > 1 or m < 0")
-    hits = often.groupBy("k").agg(F.collect_list(F.struct("fp", "start", F.abs("n").alias("n"), "total")).alias("asked"), F.min(F.struct("fp", "total")).alias("g"))
+    counts = written(texts.select("text").mapInArrow(_frequent(width, gram), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "frequent_anchors")
+    told = counts.orderBy(F.desc("n"), "fp").limit(MOST_FREQUENT).toArrow()
+    remove(counts)
+    hot = told["fp"].to_numpy().view(np.uint64)
+    by = np.argsort(hot)
+    known = spark.sparkContext.broadcast((hot[by], told["n"].to_numpy()[by]))
+    places = texts.mapInArrow(_anchors(width, gram, known), "fp long, k long, doc_id long, start int, n int, total long")
+    # One shuffle of all places. Those of a frequent anchor, whose number is known, are spread; the others are counted.
+    places = places.withColumn("part", F.when(F.col("total") > 0, F.pmod(F.xxhash64("k"), F.ceil(F.col("total") / FREQUENT))).otherwise(0)).repartition(parts, "fp", "part")
+    same = Window.partitionBy("fp", "part")
+    often = places.withColumn("total", F.greatest("total", F.count(F.lit(1)).over(same))).withColumn("m", F.min("n").over(same)).where("total > 1 or m < 0")
+    hits = often.groupBy("k", "doc_id").agg(F.collect_list(F.struct("fp", "start", F.abs("n").alias("n"), "total")).alias("asked"), F.min(F.struct("fp", "total")).alias("g"))
     # One anchor in many documents is dealt to several shards; the merge below joins them again.
-    salt = F.pmod(F.xxhash64("k"), F.ceil(F.col("g.total") / group)).alias("salt")
-    dealt = texts.join(hits, "k").select("k", "doc_id", "text", "asked", F.col("g.fp").alias("g"), salt)
-    found = written(dealt.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", "k").mapInArrow(_shards(width), FOUND), "suffix_shards")
-    across = found.where("fp is not null").repartition(parts, "fp").sortWithinPartitions("fp", "shard", "k", "lo").mapInArrow(_merged(width), FOUND)
-    spans = found.where("fp is null").select("k", "lo", "hi").unionByName(across.select("k", "lo", "hi")).groupBy("k").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    return texts.join(spans, "k", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    hits = hits.select("k", "doc_id", "asked", F.col("g.fp").alias("g"), F.pmod(F.xxhash64("k"), F.ceil(F.col("g.total") / group)).alias("salt"))
+    dealt = texts.join(hits, T.same_row(texts, hits)).select(texts["k"], texts["doc_id"], "text", "asked", "g", "salt")
+    found = written(dealt.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", "k", "doc_id").mapInArrow(_shards(width), FOUND), "suffix_shards")
+    handed = found.where("fp is not null")
+    across = handed.where("not hot").repartition(parts, "fp").sortWithinPartitions("fp", "shard", "k", "lo").mapInArrow(_merged(width), FOUND)
+    runs = found.where("fp is null").select("k", "doc_id", "lo", "hi").unionByName(across.select("k", "doc_id", "lo", "hi")).unionByName(_hot_copies(handed.where("hot"), width))
+    spans = written(runs.groupBy("k", "doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix_spans")
+    known.destroy()
+    remove(found)
+    return texts.join(spans, T.same_row(texts, spans), "left").select(texts["doc_id"], "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(df: DataFrame) -> DataFrame:
