@@ -16,6 +16,7 @@ a null label take no part in the fit. Without any row to fit, every score is 0.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -117,34 +118,31 @@ def _sparse(data: np.ndarray, offs: np.ndarray, s: Settings, wanted: np.ndarray
 def fit_sparse(buckets: list[np.ndarray], scales: np.ndarray, labels: np.ndarray, s: Settings) -> Model:
     """The updates themselves, over rows of distinct features that fit into one task."""
     size = 1 << s.bits
-    # z: sums of gradients less what the weights' moves undo; root: roots of the sums of squared gradients.
-    z, root = np.zeros(size + 1), np.zeros(size + 1)
-    each = [np.append(b, size).astype(np.int64) for b in buckets]
+    # z: sums of gradients less what the weights' moves undo; root: roots of the sums of squared gradients. Last: bias.
+    z, root = np.zeros(size), np.zeros(size)
+    zb = rb = 0.0
     order = np.random.default_rng(s.rows_hash_seed)
     for _ in range(s.epochs):
-        for i in order.permutation(len(each)):
-            at, v, y = each[i], scales[i], labels[i]
+        for i in order.permutation(len(buckets)):
+            at, v, y = buckets[i], scales[i], labels[i]
             zi, ri = z[at], root[at]
-            # What the L1 term leaves of z; it spares the bias, which is the last entry.
+            # What the L1 term leaves of z; it spares the bias.
             w = np.clip(zi, -s.l1, s.l1)
-            w[-1] = 0
             w -= zi
             w /= (s.beta + ri) / s.alpha + s.l2
-            p = 1 / (1 + np.exp(-min(35.0, max(-35.0, v * w[:-1].sum() + w[-1]))))
+            wb = -zb / ((s.beta + rb) / s.alpha + s.l2)
+            p = 1 / (1 + np.exp(-min(35.0, max(-35.0, v * w.sum() + wb))))
             g = (p - y) * (s.positive_weight if y else 1.0)
-            square = np.full(len(at), (g * v) ** 2)
-            square[-1] = g * g
-            now = np.sqrt(ri * ri + square)
+            now = np.sqrt(ri * ri + (g * v) ** 2)
             w *= (now - ri) / s.alpha
             zi -= w
             zi += g * v
-            zi[-1] += g - g * v
             z[at], root[at] = zi, now
-    l1 = np.full(size + 1, s.l1)
-    l1[-1] = 0
-    w = np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((s.beta + root) / s.alpha + s.l2))
-    at = np.flatnonzero(w[:-1])
-    return Model(s, float(w[-1]), at, w[at])
+            step = math.sqrt(rb * rb + g * g)
+            zb, rb = zb + g - (step - rb) / s.alpha * wb, step
+    w = np.where(np.abs(z) <= s.l1, 0.0, -(z - np.sign(z) * s.l1) / ((s.beta + root) / s.alpha + s.l2))
+    at = np.flatnonzero(w)
+    return Model(s, float(-zb / ((s.beta + rb) / s.alpha + s.l2)), at, w[at])
 
 
 def fit_rows(texts: list[str], labels: np.ndarray, s: Settings) -> Model:
@@ -204,10 +202,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings) -> M
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at.start : at.stop], batch.column("y")[at.start : at.stop], pa.array(lists, pa.binary()), pa.array(_scale(data, offs, s))], names=["doc_id", "y", "features", "scale"])
 
     def in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches([b for b in batches if b.num_rows] or [pa.RecordBatch.from_pylist([], schema=pa.schema({"doc_id": pa.int64(), "y": pa.int32(), "features": pa.binary(), "scale": pa.float64()}))]).sort_by("doc_id")
-        if not got.num_rows:
+        ids, labels_, scales, buckets = [], [], [], []
+        for batch in batches:
+            lists = batch.column("features").cast(pa.large_binary())
+            offs = np.frombuffer(lists.buffers()[1], np.int64, len(lists) + 1, lists.offset * 8) // 4
+            # One copy of a batch's features, four bytes each; rows are views of it.
+            flat = np.frombuffer(lists.buffers()[2], np.int32)[offs[0] : offs[-1]].copy() if offs[-1] > offs[0] else np.zeros(0, np.int32)
+            buckets += [flat[a - offs[0] : b - offs[0]] for a, b in zip(offs[:-1], offs[1:], strict=True)]
+            for held, c in ((ids, "doc_id"), (labels_, "y"), (scales, "scale")):
+                held += batch.column(c).to_pylist()
+        if not ids:
             return
-        model = fit_sparse([np.frombuffer(x.as_py(), np.int32) for x in got["features"]], got["scale"].to_numpy(), got["y"].to_numpy().astype(float), s)
+        by = np.argsort(ids)
+        model = fit_sparse([buckets[i] for i in by], np.array(scales)[by], np.array(labels_, float)[by], s)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(model.buckets, -1), pa.int64()), pa.array(np.append(model.weights, model.bias), pa.float64())], names=["bucket", "weight"])
 
     sparse = rows.mapInArrow(hashed, "doc_id long, y int, features binary, scale double")
