@@ -11,7 +11,8 @@ nearest in that space have the largest products, as |q - x|^2 = |q|^2 + M - 2 q.
   (triangle inequality), nor than (d(q,p) - d(q,p')) / 2 for another pivot p'. The first expansion evaluates
   the rings with the least bounds until they hold enough vectors, which gives each query a k-th best score; the
   second one those rings, and only those, whose bound does not exceed it. Rings left out cannot hold a result.
-* Rings meet queries in blocks, as matrix products; each block hands on k rows a query.
+* Bounds are computed from the rings' five numbers, in blocks of queries and rings; only pairs that are left meet
+  the vectors, as matrix products, and hand on k rows a query.
 
 Scores are exact integers: float64 products where they stay below 2**53, int64 otherwise. Vectors that are
 null or hold null or non-finite components take no part; shorter vectors count as padded with zeros. Of rows
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 
 _EXACT = float(1 << 53)
+#: Rings whose bounds are compared with a block of queries at once.
+_RINGS = 8192
 
 
 def _matrix(column: pa.ListArray, width: int, scale: int) -> np.ndarray:
@@ -134,35 +137,58 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     index = rows.mapInArrow(keyed, "vec_id long, pivot int, d double, v binary").repartitionByRange(parts, "pivot", "d", "vec_id").sortWithinPartitions("pivot", "d", "vec_id")
     index = written(index.mapInArrow(rings, "ring long, pivot int, lo double, hi double, n int, ids binary, v binary"), "rings")
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each query with every pivot: its distance and what the nearest pivot is less."""
-        for batch in batches:
-            m = _matrix(batch.column(1), width, scale)
-            d = _distances(m, centres, most, True)
-            n = len(centres)
-            half = (d - d.min(1, keepdims=True)) / 2
-            norm = np.einsum("ij,ij->i", m.astype(np.float64), m.astype(np.float64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.tile(np.arange(n), len(m)), pa.int32()), pa.array(d.ravel()), pa.array(half.ravel()), pa.array(np.repeat(norm, n)), pa.array([r.tobytes() for r in m for _ in range(n)], pa.binary())], names=["query_id", "pivot", "dq", "half", "norm", "q"])
-
-    near = asked.mapInArrow(placed, "query_id long, pivot int, dq double, half double, norm double, q binary")
-    bound = F.greatest(F.lit(0.0), F.col("lo") - F.col("dq"), F.col("dq") - F.col("hi"), F.col("half"))
     summary = index.select("ring", "pivot", "lo", "hi", "n")
+    ring_blocks = max(1, -(-index.count() // _RINGS))
+    total = asked.count()
+    query_blocks = max(1, -(-total // block))
+    # Rows that repeat a vec_id with another vector are queries of their own; equal ones are one.
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "e").alias("row"), "e").dropDuplicates(["query_id", "row"])
+    in_blocks = summary.groupBy(F.pmod(F.xxhash64("ring"), F.lit(ring_blocks)).alias("rings_of")).agg(F.collect_list(F.struct("ring", "pivot", "lo", "hi", "n")).alias("rings"))
+
+    def bounded(queries: DataFrame, chosen) -> DataFrame:
+        """query_id, row, ring, bound, n of the rings that chosen takes from each row of bounds; vectors stay behind."""
+        some = queries.groupBy(F.pmod("row", F.lit(query_blocks)).alias("of")).agg(F.collect_list(F.struct("query_id", "row", "e", "reach")).alias("qs"))
+        met = some.select("qs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ring_blocks - 1).cast("long"))).alias("rings_of")).join(in_blocks, "rings_of")
+
+        def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                qs, rs = batch.column(0), batch.column(1)
+                q_at, r_at = qs.offsets.to_numpy(), rs.offsets.to_numpy()
+                for i in range(batch.num_rows):
+                    q, r = qs.values.slice(q_at[i], q_at[i + 1] - q_at[i]), rs.values.slice(r_at[i], r_at[i + 1] - r_at[i])
+                    name, pivot, lo, hi, n = (r.field(c).to_numpy(zero_copy_only=False) for c in range(5))
+                    m = _matrix(q.field(2), width, scale)
+                    d = _distances(m, centres, most, True)
+                    away, half = d[:, pivot], ((d - d.min(1, keepdims=True)) / 2)[:, pivot]
+                    bound = np.maximum(np.maximum(lo - away, away - hi), np.maximum(half, 0))
+                    # A score of at least reach lies within the distance sqrt(|q|^2 + M - 2 reach).
+                    reach = q.field(3).to_numpy(zero_copy_only=False).astype(float)
+                    norm = np.einsum("ij,ij->i", m.astype(np.float64), m.astype(np.float64))
+                    limit = np.where(np.isnan(reach), np.inf, np.sqrt(np.maximum(norm + most - 2.0 * np.nan_to_num(reach), 0)) + slack)
+                    x, y = chosen(bound, n, limit)
+                    yield pa.RecordBatch.from_arrays([pa.array(q.field(0).to_numpy()[x]), pa.array(q.field(1).to_numpy()[x]), pa.array(name[y]), pa.array(bound[x, y]), pa.array(n[y], pa.int32())], names=["query_id", "row", "ring", "bound", "n"])
+
+        return met.select("qs", "rings").mapInArrow(bounds, "query_id long, row long, ring long, bound double, n int")
 
     def evaluated(pairs: DataFrame) -> DataFrame:
-        blocks = pairs.groupBy("ring", F.pmod(F.xxhash64("query_id"), F.col("blocks")).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+        """The k best of each pair's ring. Queries' vectors and rings' vectors are joined to the pairs that are left."""
+        full = pairs.select("query_id", "row", "ring").join(asked, ["query_id", "row"])
+        blocks = full.groupBy("ring", F.pmod("row", F.lit(query_blocks)).alias("b")).agg(F.collect_list(F.struct("query_id", "e")).alias("qs"))
 
         def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
+                qs = batch.column(2)
+                at = qs.offsets.to_numpy()
                 for i in range(batch.num_rows):
                     ids = np.frombuffer(batch.column(0)[i].as_py(), np.int64)
                     v = np.frombuffer(batch.column(1)[i].as_py(), np.int64).reshape(len(ids), width)
-                    qs = batch.column(2)[i].as_py()
-                    got = _products(np.stack([np.frombuffer(x["q"], np.int64) for x in qs]), v)
+                    q = qs.values.slice(at[i], at[i + 1] - at[i])
+                    got = _products(_matrix(q.field(1), width, scale), v)
                     found = []
-                    for x, s in zip(qs, got, strict=True):
-                        other = ids != x["query_id"]
-                        best = _best(ids[other], s[other], k)
-                        found.append((np.full(len(best), x["query_id"]), ids[other][best], s[other][best]))
+                    for x, row in zip(q.field(0).to_pylist(), got, strict=True):
+                        other = ids != x
+                        best = _best(ids[other], row[other], k)
+                        found.append((np.full(len(best), x), ids[other][best], row[other][best]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
         return blocks.join(index, "ring").select("ids", "v", "qs").mapInArrow(scores, "query_id long, vec_id long, score long")
@@ -171,17 +197,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
         one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
-    total = asked.count()
-    pairs = near.join(summary, "pivot").withColumn("bound", bound).withColumn("blocks", F.lit(max(1, -(-total // block))))
-    # The first expansion: rings by bound, until those before hold more than k vectors besides the query's own.
-    order = Window.partitionBy("query_id").orderBy("bound", "ring")
-    first = pairs.withColumn("turn", F.row_number().over(order)).where("turn <= 2").drop("turn")
-    start = written(evaluated(first), "first_rings")
+    def nearest(bound: np.ndarray, n: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(bound, axis=1, kind="stable")
+        before = np.cumsum(n[order], axis=1) - n[order]
+        x, place = np.nonzero(before <= k)
+        return x, order[x, place]
+
+    def within(bound: np.ndarray, n: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero(bound <= limit[:, None])
+
+    # The first expansion: rings by bound until those before hold more than k vectors, one of which may be the query's own.
+    near = bounded(asked.withColumn("reach", F.lit(None).cast("long")), nearest)
+    held = F.sum("n").over(Window.partitionBy("query_id", "row").orderBy("bound", "ring").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    first = written(near.withColumn("held", held).where(F.col("held") <= k).select("query_id", "row", "ring"), "first_rings")
+    start = written(evaluated(first), "first_scores")
     reach = best(start).groupBy("query_id").agg(F.count(F.lit(1)).alias("got"), F.min("score").alias("least"))
-    # A score of at least s lies within the distance sqrt(|q|^2 + M - 2 s).
-    limit = F.when(F.col("got") < k, F.lit(float("inf"))).otherwise(F.sqrt(F.greatest(F.lit(0.0), F.col("norm") + most - 2.0 * F.col("least"))) + slack)
-    again = pairs.join(reach, "query_id", "left").where(F.coalesce(F.col("bound") <= limit, F.lit(True)))
-    again = again.join(first.select("query_id", "ring"), ["query_id", "ring"], "left_anti")
+    # The second one: the rings within reach of the k-th best score so far, or all of them where there are fewer.
+    told = asked.join(reach, "query_id", "left").select("query_id", "row", "e", F.when(F.col("got") >= k, F.col("least")).alias("reach"))
+    again = bounded(told, within).join(first, ["query_id", "row", "ring"], "left_anti")
     done = best(start.unionByName(evaluated(again)))
     return done.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -48,3 +48,25 @@ def test_far_rings_are_left_out(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in (1 if i % 2 else -1) * (3 + 0.01 * rng.normal(size=4))], 1, 1) for i in range(200)]
     run(spark, rows, k=3, pivots=2, ring=10)
+
+
+def test_first_expansion_goes_on_until_rings_hold_enough(spark, monkeypatch):
+    """Rings of one vector: more than two of them are taken before any score is known, and few in all."""
+    from splitwarden.llm import pivot_search
+
+    pairs, written = {}, pivot_search.written
+
+    def noted(df, name):
+        out = written(df, name)
+        pairs[name] = out
+        return out
+
+    monkeypatch.setattr(pivot_search, "written", noted)
+    monkeypatch.setattr(pivot_search, "_RINGS", 7)
+    rng = np.random.default_rng(2)
+    centres = 10 * rng.normal(size=(8, 3))
+    rows = [(i, [float(x) for x in centres[i % 8] + 0.01 * rng.normal(size=3)], 1, 1) for i in range(240)]
+    rows += [(20, [5.0, 5.0, 5.0], 1, 1), (20, rows[20][1], 1, 1)]  # one id with two vectors, one of them twice
+    run(spark, rows, k=4, pivots=8, ring=1)
+    each = {(r.query_id, r.row): r["count"] for r in pairs["first_rings"].groupBy("query_id", "row").count().collect()}
+    assert set(each.values()) == {5} and sum(q == 20 for q, _ in each) == 2
