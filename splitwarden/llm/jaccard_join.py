@@ -439,13 +439,14 @@ def components(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 75, width: int = 5) -> DataFrame:
-    """The documents without all but one of each component: the row of the smallest (doc_id, text key) stays.
+    """The documents without all but one of each component: the row of the smallest (doc_id, text key) stays,
+    one without an id only where no other is there.
 
     Rows without a word are in no component: all stay. Of equal rows with words one stays, whatever their other
     columns. Columns of any name may be there.
     """
     rows = classes(docs, percent, width)
-    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "k")).alias("of")).select("of.*").distinct()
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k")).alias("of")).select("of.doc_id", "of.k").distinct()
     worded = F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     doc_id = F.col("doc_id").cast("long")
     keyed = docs.where(worded).select(F.struct(*docs.columns).alias("row"), doc_id.alias("doc_id"), F.xxhash64(doc_id, F.col("text").cast("string")).alias("k"))
