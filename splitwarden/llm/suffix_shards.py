@@ -11,8 +11,8 @@ the same document) is removed.
    refinement (doubling ranks, only unsorted groups are sorted again), finds the common prefixes of neighbours
    as Kasai does in text order, and removes all but the earliest place of each class of equal windows.
 3. Cross-shard merging: stretches that hold an earliest place while their anchor stands outside the shard too
-   are dealt by anchor, with the order that their suffixes have in the shard. Each shard's suffixes are a sorted run
-   of places, and runs are merged by binary search: what an earlier place has already is removed. Windows of an anchor
+   are dealt by anchor, with their windows in the order that the suffixes have in the shard. Each shard's windows are a
+   sorted run, and runs are merged by binary search: what an earlier place has already is removed. Windows of an anchor
    with more than ``HOT`` places are compared by two 64-bit hashes in a shuffle instead, which no task holds whole.
 
 Null texts count as empty. Texts below ``width`` bytes stay whole. Rows that repeat a doc_id are ordered by a
@@ -38,7 +38,7 @@ _SMALL = 1 << 18
 _COUNTED = 1 << 20
 MOST_FREQUENT, FREQUENT = 1 << 18, 2000
 #: Places of an anchor whose windows are merged by suffix order.
-HOT = 50_000
+HOT = 20_000
 
 
 def _anchors(width: int, gram: int, known=None):
@@ -175,14 +175,14 @@ def _runs(doc: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, n
     return doc[at], start[at], start[np.append(at[1:], len(start)) - 1] + width
 
 
-FOUND = "k long, doc_id long, lo int, hi int, fp long, hot boolean, bytes binary, at binary, ranks binary, shard long"
+FOUND = "k long, doc_id long, lo int, hi int, fp long, hot boolean, bytes binary, at binary, shard long"
 
 
 def _found(k, doc_id, null, lo, hi, handed: dict | None = None) -> pa.RecordBatch:
     """Removed runs of bytes, or (handed) stretches for the merge across shards."""
     n = len(k)
     cols = [T.long_array(k), T.long_array(doc_id, null), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())]
-    more = {"fp": pa.int64(), "hot": pa.bool_(), "bytes": pa.binary(), "at": pa.binary(), "ranks": pa.binary(), "shard": pa.int64()}
+    more = {"fp": pa.int64(), "hot": pa.bool_(), "bytes": pa.binary(), "at": pa.binary(), "shard": pa.int64()}
     cols += [pa.nulls(n, t) if handed is None else pa.array(handed[c], t) for c, t in more.items()]
     return pa.RecordBatch.from_arrays(cols, names=["k", "doc_id", "lo", "hi", *more])
 
@@ -238,13 +238,15 @@ def _shard(docs: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
         d = doc[out]
         rank = np.zeros(len(data), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        places = [np.flatnonzero(mine[a : a + m]) for a, m in zip(stretch_at[out], n[out], strict=True)]
+        sorted_places = []
+        for a, m in zip(stretch_at[out], n[out], strict=True):
+            own = np.flatnonzero(mine[a : a + m])
+            sorted_places.append(own[np.argsort(rank[a + own])].astype("<u2" if m <= 0xFFFF else "<u4").tobytes())
         handed = {
             "fp": fp[out],
             "hot": total[out] > HOT,
             "bytes": [data[a : a + m].tobytes() for a, m in zip(stretch_at[out], n[out] + width - 1, strict=True)],
-            "at": [p.astype(np.int32).tobytes() for p in places],
-            "ranks": [rank[a + p].tobytes() for a, p in zip(stretch_at[out], places, strict=True)],
+            "at": sorted_places,
             "shard": np.full(len(out), k[0]),
         }
         yield _found(k[d], doc_id[d], null[d], start[out], start[out] + n[out], handed)
@@ -275,60 +277,39 @@ def _shards(width: int):
     return shards
 
 
-def _compared(words: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
-    """-1, 0 or 1: how the width bytes from places a compare with those from places b."""
-    sign, open_ = np.zeros(len(a), np.int8), np.arange(len(a))
-    for step in range(0, width, 8):
-        x, y = words[a[open_] + step], words[b[open_] + step]
-        if step + 8 > width:
-            cut = np.uint64(8 * (step + 8 - width))
-            x, y = x >> cut, y >> cut
-        differ = x != y
-        sign[open_[differ]] = np.where(x[differ] < y[differ], -1, 1)
-        open_ = open_[~differ]
-        if not len(open_):
-            break
-    return sign
-
-
-def _searched(words: np.ndarray, index: np.ndarray, asked: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each asked place where it belongs among the places of a sorted index, and whether an equal one is there."""
-    lo, hi = np.zeros(len(asked), np.int64), np.full(len(asked), len(index))
-    while (open_ := np.flatnonzero(lo < hi)).size:
-        mid = (lo[open_] + hi[open_]) // 2
-        less = _compared(words, index[mid], asked[open_], width) < 0
-        lo[open_[less]] = mid[less] + 1
-        hi[open_[~less]] = mid[~less]
-    known = np.zeros(len(asked), bool)
-    inside = np.flatnonzero(lo < len(index))
-    known[inside] = _compared(words, index[lo[inside]], asked[inside], width) == 0
-    return lo, known
+def _places(row: dict) -> np.ndarray:
+    """The windows that a stretch hands on, in the order of their suffixes."""
+    return np.frombuffer(row["at"], "<u2" if row["hi"] - row["lo"] <= 0xFFFF else "<u4").astype(np.int64)
 
 
 def merged_runs(rows: list[dict], width: int) -> list[tuple]:
-    """(null, doc_id, k, place) of windows that an earlier place of another shard has too, of one anchor's rows."""
+    """(null, doc_id, k, place) of windows that an earlier place of another shard has too, of one anchor's rows.
+
+    A shard's windows differ, and those of each stretch come sorted: a stable sort only merges the stretches of a shard.
+    The runs of shards are merged by binary search.
+    """
     docs = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["k"]) for r in rows})
     number = {x: i for i, x in enumerate(docs)}
-    # Each text is followed by what packed() puts after the end, so that no word reaches into the next one's window.
-    begin = np.append(0, np.cumsum([len(r["bytes"]) for r in rows]))
-    words = packed(np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8))
-    words = np.append(words, np.zeros(width, np.uint64))
     runs: dict[int, list[tuple]] = {}
-    for r, a in zip(rows, begin, strict=False):
-        at = np.frombuffer(r["at"], np.int32).astype(np.int64)
-        owner = (number[(r["doc_id"] is None, r["doc_id"] or 0, r["k"])] << 32) + r["lo"] + at
-        runs.setdefault(r["shard"], []).append((a + at, owner, np.frombuffer(r["ranks"], np.int32)))
-    index, owners, out = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    for r in rows:
+        at = _places(r)
+        text = np.lib.stride_tricks.sliding_window_view(np.frombuffer(r["bytes"], np.uint8), width)[at]
+        runs.setdefault(r["shard"], []).append((text, (number[(r["doc_id"] is None, r["doc_id"] or 0, r["k"])] << 32) + r["lo"] + at))
+    index, owners, out = np.zeros(0, f"S{width}"), np.zeros(0, np.int64), []
     for run in runs.values():
-        at, owner, rank = (np.concatenate(x) for x in zip(*run, strict=True))
-        # Each window of the shard is here once, as its earliest place, so that ranks give one order of different windows.
-        rank, once = np.unique(rank, return_index=True)
-        at, owner = at[once], owner[once]
-        place, known = _searched(words, index, at, width)
+        text, owner = (np.concatenate(x) for x in zip(*run, strict=True))
+        windows = np.ascontiguousarray(text).view(f"S{width}").ravel()
+        if len(run) > 1:
+            by = np.argsort(windows, kind="stable")
+            windows, owner = windows[by], owner[by]
+        place = np.searchsorted(index, windows)
+        known = np.zeros(len(windows), bool)
+        inside = place < len(index)
+        known[inside] = index[place[inside]] == windows[inside]
         old = owners[place[known]]
         out += [docs[p >> 32] + (p & 0xFFFFFFFF,) for p in np.maximum(old, owner[known]).tolist()]
         owners[place[known]] = np.minimum(old, owner[known])
-        index, owners = np.insert(index, place[~known], at[~known]), np.insert(owners, place[~known], owner[~known])
+        index, owners = np.insert(index, place[~known], windows[~known]), np.insert(owners, place[~known], owner[~known])
     return out
 
 
@@ -364,17 +345,17 @@ def _hashed(width: int):
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                at = np.frombuffer(row["at"], np.int32)
+                at = _places(row)
                 values = T.byte_values(np.frombuffer(row["bytes"], np.uint8))
                 n = len(at)
-                yield pa.RecordBatch.from_arrays([T.long_array(T.rolled(values, width)[at]), T.long_array(T.rolled(T.mix(values), width)[at]), pa.array(np.full(n, row["doc_id"] is None)), pa.array([row["doc_id"]] * n, pa.int64()), pa.array(np.full(n, row["k"])), pa.array(row["lo"] + at, pa.int32())], names=["h1", "h2", "no_id", "doc_id", "k", "place"])
+                yield pa.RecordBatch.from_arrays([T.long_array(T.rolled(values, width)[at]), T.long_array(T.rolled(T.mix(values), width)[at]), pa.array(np.full(n, row["doc_id"] is None)), pa.array([row["doc_id"]] * n, pa.int64()), pa.array(np.full(n, row["k"])), pa.array((row["lo"] + at).astype(np.int32))], names=["h1", "h2", "no_id", "doc_id", "k", "place"])
 
     return hashes
 
 
 def _hot_copies(rows: DataFrame, width: int) -> DataFrame:
     """k, doc_id, lo, hi of windows of frequent anchors that stand earlier in another shard."""
-    windows = rows.select("doc_id", "k", "lo", "bytes", "at").mapInArrow(_hashed(width), "h1 long, h2 long, no_id boolean, doc_id long, k long, place int")
+    windows = rows.select("doc_id", "k", "lo", "hi", "bytes", "at").mapInArrow(_hashed(width), "h1 long, h2 long, no_id boolean, doc_id long, k long, place int")
     place = F.struct("no_id", "doc_id", "k", "place")
     first = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "first")
     later = windows.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
@@ -422,7 +403,9 @@ def remove_later_copies(docs: DataFrame, width: int = 100, gram: int = 20, group
     often = places.withColumn("total", F.greatest("total", F.count(F.lit(1)).over(same))).withColumn("m", F.min("n").over(same)).where("total > 1 or m < 0")
     hits = often.groupBy("k", "doc_id").agg(F.collect_list(F.struct("fp", "start", F.abs("n").alias("n"), "total")).alias("asked"), F.min(F.struct("fp", "total")).alias("g"))
     # One anchor in many documents is dealt to several shards; the merge below joins them again.
+    # Written first, so that the shuffle of all places is gone before texts are shuffled.
     hits = hits.select("k", "doc_id", "asked", F.col("g.fp").alias("g"), F.pmod(F.xxhash64("k"), F.ceil(F.col("g.total") / group)).alias("salt"))
+    hits = written(hits, "repeated_stretches")
     dealt = texts.join(hits, T.same_row(texts, hits)).select(texts["k"], texts["doc_id"], "text", "asked", "g", "salt")
     found = written(dealt.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", "k", "doc_id").mapInArrow(_shards(width), FOUND), "suffix_shards")
     handed = found.where("fp is not null")
@@ -430,6 +413,7 @@ def remove_later_copies(docs: DataFrame, width: int = 100, gram: int = 20, group
     runs = found.where("fp is null").select("k", "doc_id", "lo", "hi").unionByName(across.select("k", "doc_id", "lo", "hi")).unionByName(_hot_copies(handed.where("hot"), width))
     spans = written(runs.groupBy("k", "doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix_spans")
     known.destroy()
+    remove(hits)
     remove(found)
     return texts.join(spans, T.same_row(texts, spans), "left").select(texts["doc_id"], "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

@@ -83,16 +83,3 @@ def test_frequent_anchors_are_spread_and_merged_by_hashes(spark, monkeypatch):
     check(spark, rows + [(3000 + i, f"{i} {shared} {i * i}", "k", 1, "s") for i in range(60)], 40, gram=9, group=3)
     monkeypatch.setattr(S, "HOT", 10**9)
     check(spark, rows + [(3000 + i, f"{i} {shared} {i * i}", "k", 1, "s") for i in range(60)], 40, gram=9, group=3)
-
-
-def test_binary_search_of_sorted_places():
-    rng = np.random.default_rng(3)
-    data = rng.integers(97, 99, 400).astype(np.uint8)
-    raw, width = data.tobytes(), 13
-    words = np.append(S.packed(data), np.zeros(width, np.uint64))
-    window = lambda i: raw[i : i + width]
-    index = np.array(sorted({window(i): i for i in range(0, 300, 3)}.values(), key=window))
-    place, known = S._searched(words, index, np.arange(380), width)
-    have = [window(i) for i in index]
-    assert known.tolist() == [window(i) in have for i in range(380)]
-    assert place.tolist() == [sum(w < window(i) for w in have) for i in range(380)]
