@@ -9,7 +9,7 @@ from ..functions import kernels as K
 from ..functions import keys
 from ..operators import calibrate, duplicates, leakage, metrics, partition, provenance, runs, sessionize, similarity
 from . import catalogue as C
-from .registry import Tables, query, rounded
+from .registry import SQL, Tables, query, rounded
 
 
 # --- groups and splits ----------------------------------------------------------------------------------------
@@ -241,6 +241,9 @@ def a16_ami_sweep(t):
     return calibrate.adjusted_mutual_information(C.calibrated(t), "truth", "cluster", ["threshold"])
 
 
+SQL["a16_ami"] = rounded(f"SELECT ami FROM ({_AMI}) WHERE threshold = 0.25", "ami")
+
+
 @query(f"SELECT threshold, n.p < 0.5 * n.q OR predicted_rate > reference_rate + 1e-9 AS degenerate FROM ({C._DET}) JOIN (SELECT threshold, count(DISTINCT cluster) AS p, count(DISTINCT truth) AS q FROM {C._CAL} GROUP BY threshold) n USING (threshold)")
 def a13_leaking_truth(t):
     """With the leakage that the predicted groups show against that of the true ones."""
