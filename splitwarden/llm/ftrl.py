@@ -17,7 +17,7 @@ a null label take no part in the fit. Without any row to fit, every score is 0.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -115,7 +115,25 @@ def _sparse(data: np.ndarray, offs: np.ndarray, s: Settings, wanted: np.ndarray
     return _distinct(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), s.bits)
 
 
-def fit_sparse(buckets: list[np.ndarray], scales: np.ndarray, labels: np.ndarray, s: Settings) -> Model:
+class _Packed(Sequence):
+    """Rows of ascending buckets in two bytes each: counts of each higher part, then all lower 16 bits."""
+
+    def __init__(self, rows: list[np.ndarray], bits: int):
+        self.rows, self.parts = rows, 1 << max(0, bits - 16)
+
+    @staticmethod
+    def bytes_of(bucket: np.ndarray, bits: int) -> bytes:
+        return np.bincount(bucket >> 16, minlength=1 << max(0, bits - 16)).astype("<u4").tobytes() + (bucket & 0xFFFF).astype("<u2").tobytes()
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        many, low = self.rows[i][: 4 * self.parts].view("<u4"), self.rows[i][4 * self.parts :].view("<u2")
+        return np.repeat(np.arange(self.parts) << 16, many) + low
+
+
+def fit_sparse(buckets: Sequence[np.ndarray], scales: np.ndarray, labels: np.ndarray, s: Settings) -> Model:
     """The updates themselves, over rows of distinct features that fit into one task."""
     size = 1 << s.bits
     # z: sums of gradients less what the weights' moves undo; root: roots of the sums of squared gradients. Last: bias.
@@ -197,28 +215,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, settings: Settings) -> M
             for at, data, offs in T.chunks(batch):
                 row, bucket = _sparse(data, offs, s, keep)
                 upto = np.searchsorted(row, np.arange(len(offs)))
-                flat = bucket.astype(np.int32)
-                lists = [flat[a:b].tobytes() for a, b in zip(upto[:-1], upto[1:], strict=True)]
+                lists = [_Packed.bytes_of(bucket[a:b], s.bits) for a, b in zip(upto[:-1], upto[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at.start : at.stop], batch.column("y")[at.start : at.stop], pa.array(lists, pa.binary()), pa.array(_scale(data, offs, s))], names=["doc_id", "y", "features", "scale"])
 
     def in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, labels_, scales, buckets = [], [], [], []
         for batch in batches:
             lists = batch.column("features").cast(pa.large_binary())
-            offs = np.frombuffer(lists.buffers()[1], np.int64, len(lists) + 1, lists.offset * 8) // 4
-            # One copy of a batch's features, four bytes each; rows are views of it.
-            flat = np.frombuffer(lists.buffers()[2], np.int32)[offs[0] : offs[-1]].copy() if offs[-1] > offs[0] else np.zeros(0, np.int32)
+            offs = np.frombuffer(lists.buffers()[1], np.int64, len(lists) + 1, lists.offset * 8)
+            # One copy of a batch's features, two bytes each; rows are views of it.
+            flat = np.frombuffer(lists.buffers()[2], np.uint8)[offs[0] : offs[-1]].copy()
             buckets += [flat[a - offs[0] : b - offs[0]] for a, b in zip(offs[:-1], offs[1:], strict=True)]
             for held, c in ((ids, "doc_id"), (labels_, "y"), (scales, "scale")):
                 held += batch.column(c).to_pylist()
         if not ids:
             return
         by = np.argsort(ids)
-        model = fit_sparse([buckets[i] for i in by], np.array(scales)[by], np.array(labels_, float)[by], s)
+        model = fit_sparse(_Packed([buckets[i] for i in by], s.bits), np.array(scales)[by], np.array(labels_, float)[by], s)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(model.buckets, -1), pa.int64()), pa.array(np.append(model.weights, model.bias), pa.float64())], names=["bucket", "weight"])
 
     sparse = rows.mapInArrow(hashed, "doc_id long, y int, features binary, scale double")
-    model = sparse.repartition(1).mapInArrow(in_one_task, "bucket long, weight double").toPandas()
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "500")  # a batch of long rows is held twice on its way to the task
+    try:
+        model = sparse.repartition(1, "doc_id").mapInArrow(in_one_task, "bucket long, weight double").toPandas()
+    finally:
+        spark.conf.set(key, before)
     shared.destroy()
     remove(rows)
     bias = model.weight[model.bucket == -1]
