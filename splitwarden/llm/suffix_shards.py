@@ -238,10 +238,16 @@ def _shard(docs: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
         d = doc[out]
         rank = np.zeros(len(data), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        sorted_places = []
-        for a, m in zip(stretch_at[out], n[out], strict=True):
-            own = np.flatnonzero(mine[a : a + m])
-            sorted_places.append(own[np.argsort(rank[a + own])].astype("<u2" if m <= 0xFFFF else "<u4").tobytes())
+        # All stretches' own places at once, by stretch and then by rank.
+        many = n[out]
+        which = np.repeat(np.arange(len(out)), many)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many)
+        at = np.repeat(stretch_at[out], many) + step
+        own = np.flatnonzero(mine[at])
+        own = own[np.lexsort((rank[at[own]], which[own]))]
+        step, ends = step[own], np.cumsum(np.bincount(which[own], minlength=len(out)))
+        short = step.astype("<u2")
+        sorted_places = [(short[a:b] if m <= 0xFFFF else step[a:b].astype("<u4")).tobytes() for a, b, m in zip(np.append(0, ends[:-1]), ends, many, strict=True)]
         handed = {
             "fp": fp[out],
             "hot": total[out] > HOT,
@@ -277,39 +283,45 @@ def _shards(width: int):
     return shards
 
 
-def _places(row: dict) -> np.ndarray:
+#: What a stretch hands on, as columns and as tuples.
+HANDED = ("fp", "shard", "k", "doc_id", "lo", "hi", "bytes", "at")
+
+
+def _places(at: bytes, lo: int, hi: int) -> np.ndarray:
     """The windows that a stretch hands on, in the order of their suffixes."""
-    return np.frombuffer(row["at"], "<u2" if row["hi"] - row["lo"] <= 0xFFFF else "<u4").astype(np.int64)
+    return np.frombuffer(at, "<u2" if hi - lo <= 0xFFFF else "<u4").astype(np.int64)
 
 
-def merged_runs(rows: list[dict], width: int) -> list[tuple]:
+def merged_runs(rows: list[tuple], width: int) -> list[tuple]:
     """(null, doc_id, k, place) of windows that an earlier place of another shard has too, of one anchor's rows.
 
     A shard's windows differ, and those of each stretch come sorted: a stable sort only merges the stretches of a shard.
     The runs of shards are merged by binary search.
     """
-    docs = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["k"]) for r in rows})
+    docs = sorted({(r[3] is None, r[3] or 0, r[2]) for r in rows})
     number = {x: i for i, x in enumerate(docs)}
     runs: dict[int, list[tuple]] = {}
-    for r in rows:
-        at = _places(r)
-        text = np.lib.stride_tricks.sliding_window_view(np.frombuffer(r["bytes"], np.uint8), width)[at]
-        runs.setdefault(r["shard"], []).append((text, (number[(r["doc_id"] is None, r["doc_id"] or 0, r["k"])] << 32) + r["lo"] + at))
+    for _, shard, k, doc_id, lo, hi, data, at in rows:
+        places = _places(at, lo, hi)
+        text = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), width)[places]
+        runs.setdefault(shard, []).append((text, places + ((number[(doc_id is None, doc_id or 0, k)] << 32) + lo)))
     index, owners, out = np.zeros(0, f"S{width}"), np.zeros(0, np.int64), []
     for run in runs.values():
-        text, owner = (np.concatenate(x) for x in zip(*run, strict=True))
+        text, owner = run[0] if len(run) == 1 else (np.concatenate(x) for x in zip(*run, strict=True))
         windows = np.ascontiguousarray(text).view(f"S{width}").ravel()
         if len(run) > 1:
             by = np.argsort(windows, kind="stable")
             windows, owner = windows[by], owner[by]
+        if not len(index):
+            index, owners = windows, owner
+            continue
         place = np.searchsorted(index, windows)
-        known = np.zeros(len(windows), bool)
-        inside = place < len(index)
-        known[inside] = index[place[inside]] == windows[inside]
+        known = index[np.minimum(place, len(index) - 1)] == windows
         old = owners[place[known]]
         out += [docs[p >> 32] + (p & 0xFFFFFFFF,) for p in np.maximum(old, owner[known]).tolist()]
         owners[place[known]] = np.minimum(old, owner[known])
-        index, owners = np.insert(index, place[~known], windows[~known]), np.insert(owners, place[~known], owner[~known])
+        if not known.all():
+            index, owners = np.insert(index, place[~known], windows[~known]), np.insert(owners, place[~known], owner[~known])
     return out
 
 
@@ -317,19 +329,19 @@ def _merged(width: int):
     """Removed runs of bytes from rows that come sorted by anchor."""
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(group: list[dict]) -> Iterator[pa.RecordBatch]:
-            rows = sorted(set(merged_runs(group, width))) if len({r["shard"] for r in group}) > 1 else []
+        def flush(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+            rows = sorted(set(merged_runs(group, width))) if len({r[1] for r in group}) > 1 else []
             if rows:
                 null, ids, keys, start = (np.array(x) for x in zip(*rows, strict=True))
                 text = np.cumsum(np.append(0, (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (null[1:] != null[:-1])))
                 doc, lo, hi = _runs(text, start.astype(np.int64), width)
                 own = np.searchsorted(text, doc)
-                yield _found(keys[own], ids[own], null[own], lo, hi)
+                yield pa.RecordBatch.from_arrays([T.long_array(keys[own]), T.long_array(ids[own], null[own]), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["k", "doc_id", "lo", "hi"])
 
-        group = []
+        group: list[tuple] = []
         for batch in batches:
-            for row in batch.to_pylist():
-                if group and row["fp"] != group[0]["fp"]:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(len(HANDED))), strict=True):
+                if group and row[0] != group[0][0]:
                     yield from flush(group)
                     group = []
                 group.append(row)
@@ -345,7 +357,7 @@ def _hashed(width: int):
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                at = _places(row)
+                at = _places(row["at"], row["lo"], row["hi"])
                 values = T.byte_values(np.frombuffer(row["bytes"], np.uint8))
                 n = len(at)
                 yield pa.RecordBatch.from_arrays([T.long_array(T.rolled(values, width)[at]), T.long_array(T.rolled(T.mix(values), width)[at]), pa.array(np.full(n, row["doc_id"] is None)), pa.array([row["doc_id"]] * n, pa.int64()), pa.array(np.full(n, row["k"])), pa.array((row["lo"] + at).astype(np.int32))], names=["h1", "h2", "no_id", "doc_id", "k", "place"])
@@ -409,8 +421,8 @@ def remove_later_copies(docs: DataFrame, width: int = 100, gram: int = 20, group
     dealt = texts.join(hits, T.same_row(texts, hits)).select(texts["k"], texts["doc_id"], "text", "asked", "g", "salt")
     found = written(dealt.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", "k", "doc_id").mapInArrow(_shards(width), FOUND), "suffix_shards")
     handed = found.where("fp is not null")
-    across = handed.where("not hot").repartition(parts, "fp").sortWithinPartitions("fp", "shard", "k", "lo").mapInArrow(_merged(width), FOUND)
-    runs = found.where("fp is null").select("k", "doc_id", "lo", "hi").unionByName(across.select("k", "doc_id", "lo", "hi")).unionByName(_hot_copies(handed.where("hot"), width))
+    across = handed.where("not hot").select(*HANDED).repartition(parts, "fp").sortWithinPartitions("fp").mapInArrow(_merged(width), "k long, doc_id long, lo int, hi int")
+    runs = found.where("fp is null").select("k", "doc_id", "lo", "hi").unionByName(across).unionByName(_hot_copies(handed.where("hot"), width))
     spans = written(runs.groupBy("k", "doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix_spans")
     known.destroy()
     remove(hits)
