@@ -102,7 +102,6 @@ def error_spread(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.sum(-F.col("__p") * F.log("__p")).alias("__h"),
         F.count("__p").alias("__k"),
     )
-    del worst
     return g.select(*keys, "n", "recall", F.col("__worst.y_pred").alias("worst"), "worst_share", F.when(F.col("__k") == 1, 0.0).when(F.col("__k") > 1, F.col("__h") / F.log("__k")).alias("entropy"))
 
 
