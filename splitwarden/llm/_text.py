@@ -87,9 +87,12 @@ def long_array(values: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64), pa.int64(), mask=null)
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each row the index of its first word (one more entry at the end)."""
-    w = _IS_WORD[data]
+def word_spans(data: np.ndarray, offs: np.ndarray, of_words: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each row the index of its first word (one more entry at the end).
+
+    of_words: which of the 256 bytes words consist of.
+    """
+    w = of_words[data]
     before = np.zeros(len(w), bool)
     after = np.zeros(len(w), bool)
     before[1:] = w[:-1]

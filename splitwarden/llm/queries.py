@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ftrl, jaccard_join, line_spread, pivot_search, poisson_mix, preference_format, secret_scan, substring_index, suffix_shards, templates, vector_codes
+from . import ftrl, jaccard_join, line_spread, pivot_search, poisson_mix, preference_format, secret_scan, source_divergence, substring_index, suffix_shards, templates, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.digest(line_spread.remove_spread_lines(_table(spark, sf_dir, "documents")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secrets(_table(spark, sf_dir, "documents")))
 
@@ -73,4 +77,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_top_k": pivot_search.SQL, "op3_poisson_mixing": poisson_mix.SQL, "op4_preference_formatting": preference_format.SQL, "op5_substring_dedup": substring_index.SQL, "op9_jaccard_join": jaccard_join.SQL, "op10_line_spread": line_spread.SQL, "op12_secret_scan": secret_scan.SQL, "op13_vector_codes": vector_codes.SQL}
+    return {"op1_pivot_top_k": pivot_search.SQL, "op3_poisson_mixing": poisson_mix.SQL, "op4_preference_formatting": preference_format.SQL, "op5_substring_dedup": substring_index.SQL, "op9_jaccard_join": jaccard_join.SQL, "op10_line_spread": line_spread.SQL, "op11_source_divergence": source_divergence.SQL, "op12_secret_scan": secret_scan.SQL, "op13_vector_codes": vector_codes.SQL}
