@@ -92,7 +92,8 @@ def _counted(batch: pa.RecordBatch) -> Iterator[tuple]:
             continue
         d, own = len(known), group[rows]
         key, n = np.unique(own[row] * d + code, return_counts=True)
-        each = np.unique(row * d + code)
+        each = np.sort(row * d + code)
+        each = each[np.append(True, each[1:] != each[:-1])]
         docs = np.unique(own[each // d] * d + each % d, return_counts=True)[1]
         yield key // d, key % d, n, docs, known, of, langs, sources
 
