@@ -38,7 +38,7 @@ DEPTH, WIDTH = 3, 1 << 22
 _BLOCK = 1 << 16
 _MOST = 255
 #: Bytes of text whose terms are counted together.
-_CHUNK = 8 << 20
+_CHUNK = 3 << 20
 
 _IS_TERM = np.zeros(256, bool)
 _IS_TERM[65:91] = _IS_TERM[97:123] = _IS_TERM[128:] = True
