@@ -14,7 +14,7 @@ Two groups differ in it by f(p, q) = floor((p - q)^2 / (p + q)), a symmetric chi
    is corrected by what the pair would have with the term missing on either side; the missing ones are summed from how
    many terms a group holds with each p, which needs no row per term and pair.
 
-All arithmetic is in integers: shares in decimals of 38 digits, sums in longs. Null texts, languages and sources are
+All arithmetic is in integers: shares in longs or decimals of 38 digits, sums in longs. Null texts, languages and sources are
 read as ''. Rows that repeat another count again. Groups without terms, and languages that keep none, have pairs too (of
 value 0, if none is kept), but no terms. A source that is alone in its language has no pairs. An empty table gives an
 empty result. Other columns are not read. The broadcast sketch has depth x width bytes, whatever the input; beyond about
@@ -178,8 +178,9 @@ def kept_terms(docs: DataFrame, least: int = 10, depth: int = DEPTH, width: int
 
 
 def _p(n: str, size: str, terms: str):
-    """Null without kept terms."""
-    return F.expr(f"1 + (cast(1000000000 as decimal(10,0)) * cast({n} + 2 as decimal(20,0))) div nullif(cast({size} + 2 * {terms} as decimal(20,0)), 0)")
+    """Null without kept terms. Decimals only where a long would not hold the product."""
+    wide = f"(cast(1000000000 as decimal(10,0)) * cast({n} + 2 as decimal(20,0))) div nullif(cast({size} + 2 * {terms} as decimal(20,0)), 0)"
+    return F.expr(f"1 + if({n} < 9000000000, (1000000000L * ({n} + 2)) div nullif({size} + 2 * {terms}, 0), {wide})")
 
 
 def _f(p: str, q: str):

@@ -81,3 +81,9 @@ def test_sketch_never_underestimates_and_spares_rows(spark):
 
 def test_empty_table(spark):
     assert D.divergence(frame(spark, fixture(1)).limit(0)).collect() == []
+
+
+def test_shares_beyond_longs(spark):
+    big = [(n, 3 * n, 7, 1 + 1000000000 * (n + 2) // (3 * n + 14)) for n in (0, 8999999999, 9000000000, 10**13)] + [(0, 0, 0, None)]
+    df = spark.createDataFrame(big, "n long, size long, terms long, want long")
+    assert all(r["want"] == r["got"] for r in df.withColumn("got", D._p("n", "size", "terms")).collect())
