@@ -4,8 +4,8 @@ Every byte that lies in a string of ``width`` bytes that starts earlier too (in
 the same document) is removed.
 
 1. Anchors (see ``_text.anchored``) of all windows of all texts are counted. Equal windows have equal anchors,
-   so stretches whose anchor stands once hold no repeated string; the others go on. This only spares work. The most
-   frequent anchors are counted beforehand, so that their places are spread over tasks.
+   so stretches whose anchor stands once hold no repeated string; the others go on. This only spares work. Anchors
+   that stand often are looked for beforehand, so that their places are spread over tasks.
 2. Documents with such stretches are dealt to shards by their least repeated anchor, which brings copies
    together; large groups are split. Each shard sorts the suffixes of its stretches by Larsson-Sadakane
    refinement (doubling ranks, only unsorted groups are sorted again), finds the common prefixes of neighbours
@@ -13,7 +13,8 @@ the same document) is removed.
 3. Cross-shard merging: stretches that hold an earliest place while their anchor stands outside the shard too
    are dealt by anchor, with their windows in the order that the suffixes have in the shard. Each shard's windows are a
    sorted run, and runs are merged by binary search: what an earlier place has already is removed. Windows of an anchor
-   with more than ``HOT`` places are compared by two 64-bit hashes in a shuffle instead, which no task holds whole.
+   with more than ``Limits.hot`` places, counted exactly over all of them, are compared by two 64-bit hashes in a
+   shuffle instead, which no task holds whole. All places of an anchor go one way.
 
 Null texts count as empty. Texts below ``width`` bytes stay whole. Rows that repeat a doc_id are ordered by a
 hash of their text; equal rows are one place, so that they do not remove each other. A null doc_id comes last.
@@ -21,31 +22,43 @@ hash of their text; equal rows are one place, so that they do not remove each ot
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import remove, written
 from . import _text as T
 
-#: Bytes of text whose suffixes one shard sorts.
-SHARD = 1 << 20
 _SMALL = 1 << 18
-#: Anchors that are counted together, and those that are known as frequent: so many at most, of so many places at least.
-_COUNTED = 1 << 20
-MOST_FREQUENT, FREQUENT = 1 << 18, 2000
-#: Places of an anchor whose windows are merged by suffix order.
-HOT = 20_000
 
 
-def _anchors(width: int, gram: int, known=None):
-    """Places of anchors; total: how often the anchor stands anywhere, if it is a known frequent one, else 0."""
+@dataclass(frozen=True)
+class Limits:
+    """Sizes that decide how the work is dealt, never the result."""
+
+    #: Bytes of text whose suffixes one shard sorts.
+    shard: int = 1 << 20
+    #: Anchors that are counted together beforehand; those that stand told times there are heard of.
+    counted: int = 1 << 20
+    told: int = 2
+    #: Anchors that are known as frequent: so many at most, of so many places at least, as far as they were heard of.
+    most_frequent: int = 1 << 18
+    frequent: int = 2000
+    #: Places of an anchor whose windows are merged by suffix order.
+    hot: int = 20_000
+
+
+def _anchors(width: int, gram: int, known):
+    """Places of anchors; total: how often a known frequent anchor was heard of, 0 for others."""
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, often = (np.zeros(0, np.uint64), np.zeros(0, np.int64)) if known is None else known.value
+        hot, often = known.value
         for batch in batches:
             keys, _ = T.ints(batch, "k")
             ids, null = T.ints(batch, "doc_id")
@@ -61,20 +74,20 @@ def _anchors(width: int, gram: int, known=None):
     return anchors
 
 
-def _frequent(width: int, gram: int):
+def _frequent(width: int, gram: int, limits: Limits):
     """Counts of anchors that stand in several stretches of a chunk."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(some: list[np.ndarray]) -> pa.RecordBatch:
             fp, n = np.unique(np.concatenate(some), return_counts=True)
-            return pa.RecordBatch.from_arrays([T.long_array(fp[n > 7]), T.long_array(n[n > 7])], names=["fp", "n"])
+            return pa.RecordBatch.from_arrays([T.long_array(fp[n >= limits.told]), T.long_array(n[n >= limits.told])], names=["fp", "n"])
 
         some, held = [], 0
         for batch in batches:
             for _, data, offs in T.chunks(batch, size=_SMALL):
                 some.append(T.anchored(T.byte_values(data), offs, width, gram)[0])
                 held += len(some[-1])
-                if held >= _COUNTED:
+                if held >= limits.counted:
                     yield told(some)
                     some, held = [], 0
         if some:
@@ -187,8 +200,11 @@ def _found(k, doc_id, null, lo, hi, handed: dict | None = None) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(cols, names=["k", "doc_id", "lo", "hi", *more])
 
 
-def _shard(docs: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
-    """docs: (k, doc_id, text bytes, fp, start, n, total) with the last four as arrays of the document's stretches."""
+def _shard(docs: list[tuple], width: int, limits: Limits, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """docs: (k, doc_id, text bytes, fp, start, n, total) with the last four as arrays of the document's stretches.
+
+    total: the anchor's places, if it was not known as frequent beforehand, else less than 0. hot: those of the known
+    ones that have more than limits.hot places."""
     k = np.array([d[0] for d in docs], np.int64)
     null = np.array([d[1] is None for d in docs])
     doc_id = np.array([d[1] or 0 for d in docs], np.int64)
@@ -232,8 +248,8 @@ def _shard(docs: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
     stretch_at = r_at[np.cumsum(new) - 1] + start - np.repeat(r_lo, np.diff(np.append(at, len(doc))))
     mine = ~later & whole
     firsts = np.append(0, np.cumsum(mine))
-    # A frequent anchor's total is what chunks have counted, or more: it goes on in any case.
-    out = np.flatnonzero(((total > count[inverse]) | (total >= FREQUENT)) & (firsts[stretch_at + n] > firsts[stretch_at]))
+    # A known frequent anchor goes on in any case.
+    out = np.flatnonzero(((total > count[inverse]) | (total < 0)) & (firsts[stretch_at + n] > firsts[stretch_at]))
     if len(out):
         d = doc[out]
         rank = np.zeros(len(data), np.int32)
@@ -250,7 +266,7 @@ def _shard(docs: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
         sorted_places = [(short[a:b] if m <= 0xFFFF else step[a:b].astype("<u4")).tobytes() for a, b, m in zip(np.append(0, ends[:-1]), ends, many, strict=True)]
         handed = {
             "fp": fp[out],
-            "hot": total[out] > HOT,
+            "hot": np.where(total[out] < 0, np.isin(fp[out], hot), total[out] > limits.hot),
             "bytes": [data[a : a + m].tobytes() for a, m in zip(stretch_at[out], n[out] + width - 1, strict=True)],
             "at": sorted_places,
             "shard": np.full(len(out), k[0]),
@@ -258,9 +274,9 @@ def _shard(docs: list[tuple], width: int) -> Iterator[pa.RecordBatch]:
         yield _found(k[d], doc_id[d], null[d], start[out], start[out] + n[out], handed)
 
 
-def _shards(width: int):
+def _shards(width: int, limits: Limits, known):
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, last = [], 0, None
+        held, size, last, hot = [], 0, None, known.value
         for batch in batches:
             asked = batch.column(batch.schema.get_field_index("asked"))
             upto = asked.offsets.to_numpy()
@@ -274,11 +290,11 @@ def _shards(width: int):
                 text = texts[i].as_buffer()
                 held.append((*key, text.to_pybytes(), fp[a:b], start[a:b], n[a:b], total[a:b]))
                 size += int(n[a:b].sum()) + width * 2
-                if size >= SHARD:
-                    yield from _shard(held, width)
+                if size >= limits.shard:
+                    yield from _shard(held, width, limits, hot)
                     held, size = [], 0
         if held:
-            yield from _shard(held, width)
+            yield from _shard(held, width, limits, hot)
 
     return shards
 
@@ -296,7 +312,7 @@ def merged_runs(rows: list[tuple], width: int) -> list[tuple]:
     """(null, doc_id, k, place) of windows that an earlier place of another shard has too, of one anchor's rows.
 
     A shard's windows differ, and those of each stretch come sorted: a stable sort only merges the stretches of a shard.
-    The runs of shards are merged by binary search.
+    The runs of shards are merged by binary search, two at a time.
     """
     docs = sorted({(r[3] is None, r[3] or 0, r[2]) for r in rows})
     number = {x: i for i, x in enumerate(docs)}
@@ -305,16 +321,18 @@ def merged_runs(rows: list[tuple], width: int) -> list[tuple]:
         places = _places(at, lo, hi)
         text = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), width)[places]
         runs.setdefault(shard, []).append((text, places + ((number[(doc_id is None, doc_id or 0, k)] << 32) + lo)))
-    index, owners, out = np.zeros(0, f"S{width}"), np.zeros(0, np.int64), []
+    sorted_runs, out = [], []
     for run in runs.values():
         text, owner = run[0] if len(run) == 1 else (np.concatenate(x) for x in zip(*run, strict=True))
         windows = np.ascontiguousarray(text).view(f"S{width}").ravel()
         if len(run) > 1:
             by = np.argsort(windows, kind="stable")
             windows, owner = windows[by], owner[by]
-        if not len(index):
-            index, owners = windows, owner
-            continue
+        sorted_runs.append((len(windows), len(sorted_runs), windows, owner))
+    # The two shortest first, so that no window is moved more often than the logarithm of the number of runs.
+    heapq.heapify(sorted_runs)
+    while len(sorted_runs) > 1:
+        (_, _, windows, owner), (_, turn, index, owners) = heapq.heappop(sorted_runs), heapq.heappop(sorted_runs)
         place = np.searchsorted(index, windows)
         known = index[np.minimum(place, len(index) - 1)] == windows
         old = owners[place[known]]
@@ -322,6 +340,7 @@ def merged_runs(rows: list[tuple], width: int) -> list[tuple]:
         owners[place[known]] = np.minimum(old, owner[known])
         if not known.all():
             index, owners = np.insert(index, place[~known], windows[~known]), np.insert(owners, place[~known], owner[~known])
+        heapq.heappush(sorted_runs, (len(index), turn, index, owners))
     return out
 
 
@@ -376,55 +395,75 @@ def _hot_copies(rows: DataFrame, width: int) -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, null = T.ints(batch, "doc_id")
-        texts = batch.column(batch.schema.get_field_index("text"))
-        spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
-        rows = []
-        for text, span in zip(texts, spans, strict=True):
-            data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            kept, at, runs = [], 0, 0
-            for lo, hi in sorted((x["lo"], x["hi"]) for x in span or ()):
-                if lo > at or not runs:
-                    kept.append(data[at:lo])
-                    runs += 1
-                at = max(at, hi)
-            kept = b"".join([*kept, data[at:]])
-            rows.append((len(data), len(data) - len(kept), runs, kept))
-        n, removed, runs, kept = zip(*rows, strict=True) if rows else ((),) * 4
-        yield pa.RecordBatch.from_arrays([T.long_array(ids, null), *(pa.array(x, pa.int64()) for x in (n, removed, runs)), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def remove_later_copies(docs: DataFrame, width: int = 100, gram: int = 20, group: int = 1000) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary): each text without what starts earlier elsewhere.
-
-    group: about so many documents that share an anchor are dealt together; larger groups are split.
-    """
-    spark = docs.sparkSession
+        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).fill_null(b"")
+        spans = batch.column(batch.schema.get_field_index("spans"))
+        hit = spans.is_valid()
+        at = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+        runs, rest = np.zeros(len(texts), np.int64), []
+        for i, span in zip(at.tolist(), spans.take(pa.array(at, pa.int64())).to_pylist(), strict=True):
+            data, kept, upto = texts[i].as_buffer().to_pybytes(), [], 0
+            for lo, hi in sorted((x["lo"], x["hi"]) for x in span):
+                if lo > upto or not runs[i]:
+                    kept.append(data[upto:lo])
+                    runs[i] += 1
+                upto = max(upto, hi)
+            rest.append(b"".join([*kept, data[upto:]]))
+        # Texts without spans go through as they are.
+        kept = pc.replace_with_mask(texts, hit, pa.array(rest, pa.large_binary())) if rest else texts
+        size = pc.binary_length(texts)
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), size, pc.subtract(size, pc.binary_length(kept)), T.long_array(runs), kept.cast(pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+def _counted_anchors(texts: DataFrame, width: int, gram: int, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors that were heard of often, sorted, and how often."""
+    heard = texts.select("text").mapInArrow(_frequent(width, gram, limits), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= limits.frequent)
+    heard = heard.orderBy(F.desc("n"), "fp").limit(limits.most_frequent).toArrow()
+    fp = heard["fp"].to_numpy().view(np.uint64)
+    by = np.argsort(fp)
+    return fp[by], heard["n"].to_numpy()[by]
+
+
+def stretches(texts: DataFrame, width: int, gram: int, group: int, limits: Limits) -> tuple[DataFrame, np.ndarray]:
+    """The stretches of repeated anchors by document, written, with the group that deals it; and the hot ones of the
+    anchors that were known beforehand. texts: as keyed() gives them."""
+    spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = T.keyed(docs)
-    counts = written(texts.select("text").mapInArrow(_frequent(width, gram), "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT), "frequent_anchors")
-    told = counts.orderBy(F.desc("n"), "fp").limit(MOST_FREQUENT).toArrow()
-    remove(counts)
-    hot = told["fp"].to_numpy().view(np.uint64)
-    by = np.argsort(hot)
-    known = spark.sparkContext.broadcast((hot[by], told["n"].to_numpy()[by]))
+    known = spark.sparkContext.broadcast(_counted_anchors(texts, width, gram, limits))
     places = texts.mapInArrow(_anchors(width, gram, known), "fp long, k long, doc_id long, start int, n int, total long")
-    # One shuffle of all places. Those of a frequent anchor, whose number is known, are spread; the others are counted.
-    places = places.withColumn("part", F.when(F.col("total") > 0, F.pmod(F.xxhash64("k"), F.ceil(F.col("total") / FREQUENT))).otherwise(0)).repartition(parts, "fp", "part")
+    # One shuffle of all places. Those of a known anchor are spread; the others are counted, all of them in one place:
+    # an anchor that was not heard of has told - 1 places in each chunk at most, and the window spills.
+    spread = F.col("total") > 0
+    places = places.withColumn("part", F.when(spread, F.pmod(F.xxhash64("k"), F.ceil(F.col("total") / limits.frequent))).otherwise(0)).repartition(parts, "fp", "part")
     same = Window.partitionBy("fp", "part")
-    often = places.withColumn("total", F.greatest("total", F.count(F.lit(1)).over(same))).withColumn("m", F.min("n").over(same)).where("total > 1 or m < 0")
+    often = places.withColumn("total", F.when(spread, -F.col("total")).otherwise(F.count(F.lit(1)).over(same))).withColumn("m", F.min("n").over(same)).where("total <> 1 or m < 0")
     hits = often.groupBy("k", "doc_id").agg(F.collect_list(F.struct("fp", "start", F.abs("n").alias("n"), "total")).alias("asked"), F.min(F.struct("fp", "total")).alias("g"))
     # One anchor in many documents is dealt to several shards; the merge below joins them again.
     # Written first, so that the shuffle of all places is gone before texts are shuffled.
-    hits = hits.select("k", "doc_id", "asked", F.col("g.fp").alias("g"), F.pmod(F.xxhash64("k"), F.ceil(F.col("g.total") / group)).alias("salt"))
+    hits = hits.select("k", "doc_id", "asked", F.col("g.fp").alias("g"), F.pmod(F.xxhash64("k"), F.ceil(F.abs("g.total") / group)).alias("salt"))
     hits = written(hits, "repeated_stretches")
+    # One decision for all places of a known anchor, from their exact number; there are most_frequent anchors at most.
+    exact = hits.select(F.inline("asked")).where("total < 0").groupBy("fp").count().where(F.col("count") > limits.hot).select("fp").toArrow()
+    known.destroy()
+    return hits, exact["fp"].to_numpy()
+
+
+def remove_later_copies(docs: DataFrame, width: int = 100, gram: int = 20, group: int = 1000, limits: Limits | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary): each text without what starts earlier elsewhere.
+
+    group: about so many documents that share an anchor are dealt together; larger groups are split.
+    """
+    spark, limits = docs.sparkSession, limits or Limits()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = T.keyed(docs)
+    hits, hot = stretches(texts, width, gram, group, limits)
+    hot = spark.sparkContext.broadcast(hot)
     dealt = texts.join(hits, T.same_row(texts, hits)).select(texts["k"], texts["doc_id"], "text", "asked", "g", "salt")
-    found = written(dealt.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", "k", "doc_id").mapInArrow(_shards(width), FOUND), "suffix_shards")
+    found = written(dealt.repartition(parts, "g", "salt").sortWithinPartitions("g", "salt", "k", "doc_id").mapInArrow(_shards(width, limits, hot), FOUND), "suffix_shards")
     handed = found.where("fp is not null")
     across = handed.where("not hot").select(*HANDED).repartition(parts, "fp").sortWithinPartitions("fp").mapInArrow(_merged(width), "k long, doc_id long, lo int, hi int")
     runs = found.where("fp is null").select("k", "doc_id", "lo", "hi").unionByName(across).unionByName(_hot_copies(handed.where("hot"), width))
     spans = written(runs.groupBy("k", "doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "suffix_spans")
-    known.destroy()
+    hot.destroy()
     remove(hits)
     remove(found)
     return texts.join(spans, T.same_row(texts, spans), "left").select(texts["doc_id"], "text", "spans").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

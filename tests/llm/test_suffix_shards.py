@@ -45,9 +45,8 @@ def test_against_brute_force(spark):
     check(spark, fixture(0), 100)
 
 
-def test_split_groups_are_merged(spark, monkeypatch):
-    monkeypatch.setattr(S, "SHARD", 500)
-    check(spark, fixture(1), 40, gram=9, group=2)
+def test_split_groups_are_merged(spark):
+    check(spark, fixture(1), 40, gram=9, group=2, limits=S.Limits(shard=500))
 
 
 def test_equal_rows_and_empty_table(spark):
@@ -75,11 +74,45 @@ def test_suffix_order_and_common_prefixes():
             assert shared[b] == n
 
 
+def handed(spark, rows, width, gram, group, limits, monkeypatch):
+    """The flags of each anchor that goes to the merge across shards."""
+    kept = []
+    monkeypatch.setattr(S, "remove", lambda df: kept.append(df))
+    check(spark, rows, width, gram=gram, group=group, limits=limits)
+    monkeypatch.undo()
+    found = next(df for df in kept if "hot" in df.columns).where("fp is not null").select("fp", "hot").distinct().collect()
+    flags = {}
+    for r in found:
+        flags.setdefault(r["fp"], set()).add(r["hot"])
+    return flags
+
+
 def test_frequent_anchors_are_spread_and_merged_by_hashes(spark, monkeypatch):
-    for name, value in (("FREQUENT", 8), ("HOT", 0), ("SHARD", 500)):
-        monkeypatch.setattr(S, name, value)
     rows = fixture(2)
     shared = rows[45][1]
-    check(spark, rows + [(3000 + i, f"{i} {shared} {i * i}", "k", 1, "s") for i in range(60)], 40, gram=9, group=3)
-    monkeypatch.setattr(S, "HOT", 10**9)
-    check(spark, rows + [(3000 + i, f"{i} {shared} {i * i}", "k", 1, "s") for i in range(60)], 40, gram=9, group=3)
+    rows += [(3000 + i, f"{i} {shared} {i * i}", "k", 1, "s") for i in range(60)]
+    for hot, want in ((0, {True}), (10**9, {False})):
+        flags = handed(spark, rows, 40, 9, 3, S.Limits(frequent=8, hot=hot, shard=500), monkeypatch)
+        assert len(flags) > 20 and set.union(*flags.values()) == want
+
+
+def test_anchors_around_the_limit_go_one_way(spark, monkeypatch):
+    """Many places in one chunk and few in each other one: what was heard of beforehand is less than there is."""
+    rnd = random.Random(8)
+    text = lambda n: " ".join(f"{rnd.randrange(10**6)}" for _ in range(n))
+    shared = text(20)
+    for n in (40, 41):
+        rows = [(i, f"{text(3)} {shared} {text(3)}" if i < n else text(30), "k", 1, "s") for i in range(n + 20)]
+        rnd.shuffle(rows)
+        for told in (1, 2, 8):
+            flags = handed(spark, rows, 40, 9, 5, S.Limits(frequent=5, hot=20, counted=200, told=told, shard=500), monkeypatch)
+            assert any(flags.values()) and all(len(f) == 1 for f in flags.values())
+            assert {True} in flags.values()
+
+
+def test_a_very_long_text(spark):
+    rnd = random.Random(4)
+    passage = " ".join(f"{rnd.randrange(10**9)}" for _ in range(400))
+    long = " ".join(f"{rnd.randrange(10**7)}" for _ in range(90_000))
+    rows = [(1, f"{passage} {long[:300_000]} {passage[:700]} {long[300_000:]}", "k", 1, "s"), (2, f"x{passage}y", "k", 1, "s"), (3, long[250_000:400_000], "k", 1, "s")]
+    check(spark, rows, 100)
