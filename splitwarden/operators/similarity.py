@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import dot, doubles, hamming, norm
+from . import tiles
 from .components import connected_components
-from .ranking import median, numbered
+from .ranking import SLICES, numbered
 
 
 #: Reference directions of a class, and the slack of angles against rounding.
@@ -32,7 +33,9 @@ def unit_angles(df: DataFrame, key: str, cls: str, vector: str) -> DataFrame:
 def close_candidates(df: DataFrame, key: str, cls: str, vector: str, least: float) -> DataFrame:
     """Pairs (a < b) of a class that may reach a cosine: by the triangle inequality, the angles of two vectors to any
     third one differ by no more than the angle between them. Bands as wide as that angle, of the angle to the first
-    pivot, are the join key beside the class; the angles to the others are compared before any product."""
+    pivot, are the join key beside the class; the angles to the others are compared before any product.
+
+    For vectors in tight clusters and high thresholds; cosine_pairs takes tiles, which cost the same for all vectors."""
     reach = math.acos(max(-1.0, min(1.0, least))) + _SLACK
     rows = unit_angles(df, key, cls, vector).where("len > 0").withColumn("band", F.floor(F.col("angles")[0] / reach))
     a = rows.select(F.col("key").alias("a"), "cls", F.col("v").alias("va"), F.col("len").alias("la"), F.col("angles").alias("ga"), F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("band"))
@@ -41,56 +44,52 @@ def close_candidates(df: DataFrame, key: str, cls: str, vector: str, least: floa
     return a.join(b, ["cls", "band"]).where((F.col("a") < F.col("b")) & near)
 
 
-def cosine_pairs(df: DataFrame, key: str, cls: str, vector: str, least: float | None = None) -> DataFrame:
+def cosine_pairs(df: DataFrame, key: str, cls: str, vector: str, least: float | None = None, linking: bool = False) -> DataFrame:
     """a, b, cls, score of pairs (a < b) within a class, of those with a score of at least ``least``.
 
-    Vectors are normalised once before the join. With a threshold, pairs that angles to a few pivots rule out are not
-    formed (see close_candidates); without one, all pairs of a class are the result. AQE splits large classes.
-    Pairs with a vector of length 0 have no score and no place among those of a threshold.
+    With a threshold, pairs are entries of matrix products of tiles (see tiles), and only those that reach it become
+    rows; linking: only a forest of them, which links the same items at each threshold from ``least`` on. Without a
+    threshold, all pairs of a class are the result, and rows. Pairs with a vector of length 0 have no score and no place
+    among those of a threshold.
     """
-    score = dot(F.col("va"), F.col("vb")) / F.nullif(F.col("la") * F.col("lb"), F.lit(0.0))
     if least is not None:
-        return close_candidates(df, key, cls, vector, least).withColumn("score", score).select("a", "b", "cls", "score").where(F.col("score") >= least)
+        return tiles.cosine_pairs(df, key, cls, vector, least, linking)
+    score = dot(F.col("va"), F.col("vb")) / F.nullif(F.col("la") * F.col("lb"), F.lit(0.0))
     unit = df.select(F.col(key).alias("key"), F.col(cls).alias("cls"), doubles(F.col(vector)).alias("v")).withColumn("len", norm(F.col("v")))
     a, b = unit.select(F.col("key").alias("a"), "cls", F.col("v").alias("va"), F.col("len").alias("la")), unit.select(F.col("key").alias("b"), "cls", F.col("v").alias("vb"), F.col("len").alias("lb"))
     return a.join(b, "cls").where("a < b").withColumn("score", score).select("a", "b", "cls", "score")
 
 
-def hamming_pairs(df: DataFrame, key: str, cls: str | None, bits: str, most: int, banded: bool | None = None, width: int = 64) -> DataFrame:
+def hamming_pairs(df: DataFrame, key: str, cls: str | None, bits: str, most: int, banded: bool | None = None, width: int = 64, linking: bool = False) -> DataFrame:
     """a, b (a < b), cls, distance of pairs at most so many bits apart, within a class or over all.
 
-    banded: hashes within t bits agree in one of t + 1 bands, so bands are equi-joined and pairs rechecked; by
-    default up to t = 6, where bands are selective. Else the class alone is the join key.
+    banded: hashes within t bits agree in one of t + 1 bands, so bands are equi-joined and pairs rechecked; by default
+    up to t = 6, where bands are selective. Beyond, bands of 64 bits rule out a fixed share of the pairs whatever their
+    number, and tiles count the differing bits of all of them without a row per pair. linking: only a forest of the
+    pairs, which links the same items up to each distance.
     """
-    banded = most <= 6 if banded is None else banded
-    if cls is None and not banded:
-        raise ValueError("over all classes the join must be banded")
+    if not (most <= 6 if banded is None else banded):
+        return tiles.hamming_pairs(df, key, cls, bits, most, linking)
     base = df.select(F.col(key).alias("key"), (F.col(cls) if cls else F.lit(0)).alias("cls"), F.col(bits).alias("h")).where("h is not null")
-    if banded:
-        n = most + 1
-        edges = [round(i * width / n) for i in range(n + 1)]
-        bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else -1)).alias("x")) for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
-        base = base.withColumn("band", F.explode(bands))
-        a, b = base.selectExpr("key as a", "cls", "h as ha", "band"), base.selectExpr("key as b", "cls", "h as hb", "band")
-        pairs = a.join(b, ["cls", "band"]).where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most)
-        return pairs.select("a", "b", "cls", "distance").distinct()
-    a, b = base.selectExpr("key as a", "cls", "h as ha"), base.selectExpr("key as b", "cls", "h as hb")
-    return a.join(b, "cls").where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most).select("a", "b", "cls", "distance")
+    n = most + 1
+    edges = [round(i * width / n) for i in range(n + 1)]
+    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else -1)).alias("x")) for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
+    base = base.withColumn("band", F.explode(bands))
+    a, b = base.selectExpr("key as a", "cls", "h as ha", "band"), base.selectExpr("key as b", "cls", "h as hb", "band")
+    pairs = a.join(b, ["cls", "band"]).where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most)
+    return pairs.select("a", "b", "cls", "distance").distinct()
 
 
 def near_held_out(df: DataFrame, key: str, cls: str, bits: str, digest: str, split: str, most: int) -> DataFrame:
-    """Held-out rows near train rows of any class, contents differing, with the distance.
+    """Held-out rows near train rows of any class, contents differing, with the distance. Keys name rows.
 
-    Classes do not matter, so that bands of the hash are the join keys.
+    Classes do not matter: tiles of all rows meet, and only pairs that are near become rows.
     """
-    n = most + 1
-    edges = [round(i * 64 / n) for i in range(n + 1)]
-    h = F.col(bits)
-    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 63 else -1)).alias("x")) for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True))))
-    base = df.where(h.isNotNull()).withColumn("__band", F.explode(bands))
-    side = lambda d, p: d.select("__band", F.col(key).alias(f"{p}_key"), F.col(cls).alias(f"{p}_cls"), h.alias(f"{p}_h"), F.col(digest).alias(f"{p}_digest"))
-    held, train = side(base.where(F.col(split) != "train"), "held"), side(base.where(F.col(split) == "train"), "train")
-    near = held.join(train, "__band").where(F.col("held_digest") != F.col("train_digest")).withColumn("distance", hamming(F.col("held_h"), F.col("train_h"))).where(F.col("distance") <= most)
+    rows = df.where(F.col(bits).isNotNull()).withColumn("__held", F.col(split) != "train")
+    near = tiles.hamming_across(rows, key, cls, bits, "__held", most)
+    own = lambda p: rows.select(F.col(key).alias(f"{p}_key"), F.col(cls).alias(f"{p}_cls"), F.col(digest).alias(f"{p}_digest"), F.col("__held").alias(f"{p}_held"))
+    held, train = own("held").where("held_held").drop("held_held"), own("train").where("not train_held").drop("train_held")
+    near = near.select(F.col("a").alias("held_key"), F.col("b").alias("train_key"), "distance").distinct().join(held, "held_key").join(train, "train_key").where("held_digest <> train_digest")
     return near.select("held_key", "train_key", "held_cls", "train_cls", "distance").distinct().withColumn("same_class", F.col("held_cls") == F.col("train_cls"))
 
 
@@ -211,21 +210,38 @@ def sweep(items: DataFrame, pairs: DataFrame, key: str, cls: str, score: str, th
     return _named(joined, ["threshold", "cls"], "s").select("threshold", "key", "cls", "cluster")
 
 
-def score_profile(pairs: DataFrame, least: float, score: str = "score", lo: float = -1.0, hi: float = 1.0) -> DataFrame:
-    """n_pairs, median and the share of pairs that reach a threshold, of scores from lo to hi."""
-    told = pairs.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg((F.col(score) >= least).cast("double")).alias("share"))
-    return told.crossJoin(F.broadcast(median(pairs, score, lo, hi))).select("n_pairs", "median", "share")
+def score_profile(df: DataFrame, key: str, cls: str, vector: str, least: float) -> DataFrame:
+    """n_pairs of the classes, median and the share of pairs that reach a threshold, of cosines.
 
-
-def histogram(pairs: DataFrame, score: str, lo: float, hi: float, bins: int) -> DataFrame:
-    """bin (0 to bins - 1) and n."""
-    b = F.least(F.greatest(F.floor((F.col(score) - lo) / ((hi - lo) / bins)), F.lit(0)), F.lit(bins - 1)).cast("long")
-    return pairs.where(F.col(score).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def sampled_pairs(pairs: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k pairs without replacement, in md5 order."""
-    return pairs.withColumn("__o", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("a").cast("string"), F.col("b").cast("string")).cast("binary"))).orderBy("__o", "a", "b").limit(k).drop("__o")
+    Tiles count scores in widths; only the scores of the widths that hold the middle become rows and are sorted.
+    """
+    width = 2.0 / SLICES
+    slices = lambda s: np.clip(np.floor((s + 1) / width), 0, SLICES - 1).astype(np.int64)
+    told = tiles.cosine_counts(df, key, cls, vector, lambda s: slices(s) * 2 + (s >= least)).collect()  # two rows a width
+    n = sum(r["n"] for r in told)
+    reached = sum(r["n"] for r in told if r["bin"] % 2)
+    by_slice = np.bincount([r["bin"] // 2 for r in told], [r["n"] for r in told], SLICES).astype(np.int64) if told else np.zeros(SLICES, np.int64)
+    upto = np.cumsum(by_slice)
+    first, last = (int(np.searchsorted(upto, m)) for m in ((n + 1) // 2, n // 2 + 1))
+    whole = df.where(F.col(key).isNotNull()).groupBy(F.col(cls).alias("cls")).agg(F.count(F.lit(1)).alias("m")).where("cls is not null").agg(F.coalesce(F.sum(F.expr("m * (m - 1) div 2")), F.lit(0)).alias("n_pairs"))
+    if not n:
+        return whole.select("n_pairs", F.lit(None).cast("double").alias("median"), F.lit(None).cast("double").alias("share"))
+    before = int(upto[first - 1]) if first else 0
+    scores = tiles.cosine_pairs(df, key, cls, vector, -2.0, between=(first, last, width)).select("score")
+    ranked = scores.withColumn("r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("score")) + before)  # the scores of two widths
+    middle = ranked.where(F.col("r").isin((n + 1) // 2, n // 2 + 1)).agg(F.avg("score").alias("median"))
+    return whole.crossJoin(middle).select("n_pairs", "median", F.lit(reached / n).alias("share"))  # one row each
+
+
+def histogram(df: DataFrame, key: str, cls: str, vector: str, lo: float, hi: float, bins: int) -> DataFrame:
+    """bin (0 to bins - 1) and n, of the cosines of all pairs of a class."""
+    width = (hi - lo) / bins
+    return tiles.cosine_counts(df, key, cls, vector, lambda s: np.clip(np.floor((s - lo) / width), 0, bins - 1).astype(np.int64))
+
+
+def sampled_pairs(df: DataFrame, key: str, cls: str, k: int, seed: int = 0) -> DataFrame:
+    """k pairs (a, b) of a class without replacement, in md5 order. No pair becomes a row but the first k of a cell."""
+    return tiles.first_pairs(df, key, cls, k, seed)
 
 
 def strided(df: DataFrame, by: str, order: str, sample: int) -> DataFrame:

@@ -221,7 +221,7 @@ def p11_stride_sample(t):
 
 @query(f"SELECT a, b FROM {_PAIRS} ORDER BY md5(concat_ws('|', 0, a, b)), a, b LIMIT 200")
 def p12_pair_sample(t):
-    return similarity.sampled_pairs(similarity.cosine_pairs(vectors(t), "key", "cls", "v").select("a", "b"), 200)
+    return similarity.sampled_pairs(vectors(t), "key", "cls", 200)
 
 
 @query("SELECT 'source' AS \"column\", source AS value, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, value LIMIT 20")
@@ -560,12 +560,12 @@ def k7_haversine(t):
 
 @query(f"SELECT floor((score + 1) / (2.0::DOUBLE / 80))::BIGINT AS bin, count(*) AS n FROM {_PAIRS} GROUP BY 1")
 def a29_similarity_hist(t):
-    return similarity.histogram(similarity.cosine_pairs(vectors(t), "key", "cls", "v"), "score", -1.0, 1.0, 80)
+    return similarity.histogram(vectors(t), "key", "cls", "v", -1.0, 1.0, 80)
 
 
 @query(rounded(f"SELECT count(*) AS n_pairs, quantile_cont(score, 0.5) AS median, avg((score >= 0.25)::INT) AS share FROM {_PAIRS}", "median", "share"))
 def a29_similarity_profile(t):
-    return similarity.score_profile(similarity.cosine_pairs(vectors(t), "key", "cls", "v"), 0.25)
+    return similarity.score_profile(vectors(t), "key", "cls", "v", 0.25)
 
 
 _EMP = f"({_split(_EMH)})"
@@ -588,13 +588,13 @@ def j7_near_within_class(t):
 @query(_linked(_PAIRS, _EM, "score >= 0.25"))
 def c2_single_linkage_cosine(t):
     v = vectors(t)
-    return similarity.single_linkage(v, similarity.cosine_pairs(v, "key", "cls", "v", 0.25), "key", "cls")
+    return similarity.single_linkage(v, similarity.cosine_pairs(v, "key", "cls", "v", 0.25, linking=True), "key", "cls")
 
 
 @query(_linked(_HPAIRS, _EM, "distance <= 20"))
 def c2_single_linkage_hamming(t):
     v = vectors(t)
-    return similarity.single_linkage(v, similarity.hamming_pairs(v, "key", "cls", "h", 20), "key", "cls")
+    return similarity.single_linkage(v, similarity.hamming_pairs(v, "key", "cls", "h", 20, linking=True), "key", "cls")
 
 
 TAUS = [0.2, 0.25, 0.3, 0.35, 0.4]
@@ -602,7 +602,7 @@ TAUS = [0.2, 0.25, 0.3, 0.35, 0.4]
 
 def swept(t: Tables) -> DataFrame:
     v = vectors(t)
-    return similarity.sweep(v, similarity.cosine_pairs(v, "key", "cls", "v", min(TAUS)), "key", "cls", "score", TAUS)
+    return similarity.sweep(v, similarity.cosine_pairs(v, "key", "cls", "v", min(TAUS), linking=True), "key", "cls", "score", TAUS)
 
 
 _SWEPT = "(" + " UNION ALL ".join(f"SELECT {x}::DOUBLE AS threshold, * FROM ({_linked(_PAIRS, _EM, f'score >= {x}')})" for x in TAUS) + ")"
