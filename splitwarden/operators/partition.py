@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def stratified_split(df: DataFrame, cls: str, key: str, seeds: list[int] | None
     by = [cls] if seeds is None else ["seed", cls]
     base = df if seeds is None else with_seeds(df, seeds)
     order = shuffled(0 if seeds is None else F.col("seed"), F.col(cls), F.col(key))
-    ranked = numbered(base, by, order, [key])
+    ranked = numbered(base, by, order, [key], even=True)
     return ranked.withColumn("split", cut(F.col("__r"), F.col("__n"), train, val)).drop("__r", "__n")
 
 
@@ -91,7 +92,7 @@ def grouped_split(df: DataFrame, cls: str, group: str, seed: int = 0, train: flo
         return pd.DataFrame(rows, columns=["c", "n", "split", "lo", "hi"])
 
     placed = sizes.groupBy("__c").applyInPandas(place, f"c {dict(groups.dtypes)['__c']}, n long, split string, lo long, hi long")
-    ranked = numbered(groups, ["__c", "__size"], shuffled(seed, F.col("__c"), F.col("__g")), ["__g"], count=None)
+    ranked = numbered(groups, ["__c", "__size"], shuffled(seed, F.col("__c"), F.col("__g")), ["__g"], count=None, even=True)
     told = ranked.join(placed, ranked["__c"].eqNullSafe(placed["c"]) & (F.col("__size") == F.col("n")) & (F.col("__r") > F.col("lo")) & (F.col("__r") <= F.col("hi"))).select("__c", "__g", "split")
     return df.join(told, df[cls].eqNullSafe(told["__c"]) & df[group].eqNullSafe(told["__g"]), "left").select(df["*"], told["split"])
 
@@ -104,16 +105,61 @@ def usable_folds(df: DataFrame, cls: str, group: str, k: int = 5) -> DataFrame:
 
 def item_folds(df: DataFrame, cls: str, key: str, k: int, seed: int = 0) -> DataFrame:
     """Adds fold: items of each class are dealt in shuffled order."""
-    ranked = numbered(df, [cls], shuffled(seed, F.col(cls), F.col(key)), [key], count=None)
+    ranked = numbered(df, [cls], shuffled(seed, F.col(cls), F.col(key)), [key], count=None, even=True)
     return ranked.withColumn("fold", F.pmod(F.col("__r") - 1, F.lit(k)).cast("long")).drop("__r")
 
 
+def dealt_evenly(load: np.ndarray, counts: np.ndarray, many: int, whole: np.ndarray) -> np.ndarray:
+    """How many of many groups with the same class counts each fold gets, one after the other, each going where class
+    counts then vary least over folds (ties: the least items, the first fold). load: the folds' counts, which are changed.
+
+    Where a group goes depends on the differences of loads alone. Runs that go to one fold are looked through in blocks,
+    and once the differences are as they were before, whole periods are taken at once: both exactly as one by one.
+    """
+    k, classes = load.shape
+    got, left = np.zeros(k, np.int64), int(many)
+    where = np.arange(k)
+
+    def best(states: np.ndarray) -> np.ndarray:
+        """The fold of the next group, for each state of loads."""
+        tries = states[:, None] + np.eye(k)[:, :, None] * counts
+        tries -= states.min(1)[:, None, None]
+        spread, total = (tries / whole).std(2).mean(2), tries[:, where, where].sum(2)
+        return np.where(spread == spread.min(1)[:, None], total, np.inf).argmin(1)
+
+    turn, limit, ahead = 0, 1, 1
+    known, known_got, known_left = (load - load.min(0)).tobytes(), got.copy(), left
+    while left:
+        fold, run = int(best(load[None])[0]), 1
+        block = min(ahead, left - 1, max(1, (1 << 20) // (k * k * classes)))
+        if block:
+            after = np.repeat(load[None], block, 0)
+            after[:, fold] += np.arange(1, block + 1)[:, None] * counts
+            same = best(after) == fold
+            run += block if same.all() else int(same.argmin())
+            ahead = ahead * 2 if run > block else 1
+        load[fold] += counts * run
+        got[fold] += run
+        left -= run
+        turn += 1
+        state = (load - load.min(0)).tobytes()
+        if state == known and left:
+            period, step = known_left - left, got - known_got
+            times = left // period
+            load += counts * (step * times)[:, None]
+            got += step * times
+            left -= period * times
+            known_got, known_left = got.copy(), left
+        elif turn == limit:  # Brent: the state kept moves on at powers of two
+            known, known_got, known_left, turn, limit = state, got.copy(), left, 0, limit * 2
+    return got
+
+
 def group_folds(df: DataFrame, cls: str, group: str, k: int, seed: int = 0) -> DataFrame:
     """Adds fold: whole groups, the most uneven first, go where class counts then vary least over folds.
 
     Groups with the same counts of classes are alike but for their names: one task takes the distinct lists of counts
-    with their numbers, and groups of a list are dealt in shuffled order. Groups of one list are placed one by one, or,
-    if there are more than 100 for each fold, in lots of a hundredth of a fold's share.
+    with their numbers (see dealt_evenly), and groups of a list are dealt in shuffled order.
     """
     import pandas as pd
 
@@ -125,8 +171,6 @@ def group_folds(df: DataFrame, cls: str, group: str, k: int, seed: int = 0) -> D
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         import json
 
-        import numpy as np
-
         pdf = pdf.sort_values("__list").reset_index(drop=True)
         found = [{x.get("c"): x["n"] for x in json.loads(v)} for v in pdf["__list"]]
         names = {c: i for i, c in enumerate(sorted({c for f in found for c in f}, key=str))}
@@ -138,21 +182,12 @@ def group_folds(df: DataFrame, cls: str, group: str, k: int, seed: int = 0) -> D
         whole = np.maximum((table * many[:, None]).sum(0), 1)
         load, rows = np.zeros((k, len(names))), []
         for i in np.argsort(-table.std(1), kind="stable"):
-            got, left = [0] * k, int(many[i])
-            lot = max(1, left // (100 * k))
-            while left:
-                take = min(lot, left)
-                tries = load[None] + np.eye(k)[:, :, None] * (table[i] * take)
-                spread, total = (tries / whole).std(1).mean(1), tries[range(k), range(k)].sum(1)
-                at = min(range(k), key=lambda f: (spread[f], total[f], f))
-                load[at] += table[i] * take
-                got[at] += take
-                left -= take
+            got = dealt_evenly(load, table[i], int(many[i]), whole).tolist()
             rows += [(pdf["__list"][i], f, lo, hi) for f, (lo, hi) in enumerate(_ranges(got)) if hi > lo]
         return pd.DataFrame(rows, columns=["list", "fold", "lo", "hi"])
 
     dealt = lists.groupBy("one").applyInPandas(deal, "list string, fold long, lo long, hi long")
-    ranked = numbered(groups, ["__list"], shuffled(seed, F.col("__g")), ["__g"], count=None)
+    ranked = numbered(groups, ["__list"], shuffled(seed, F.col("__g")), ["__g"], count=None, even=True)
     told = ranked.join(dealt, (F.col("__list") == F.col("list")) & (F.col("__r") > F.col("lo")) & (F.col("__r") <= F.col("hi"))).select("__g", "fold")
     return df.join(told, df[group].eqNullSafe(told["__g"]), "left").select(df["*"], told["fold"])
 
@@ -169,7 +204,7 @@ def inner_validation(df: DataFrame, fold: int, unit: str, share: float = 0.15, s
     With one unit left there is no validation part.
     """
     rest = df.where(F.col("fold") != fold).select(F.col(unit).alias("unit")).distinct()
-    ranked = numbered(rest, [], shuffled(seed, F.col("unit")))
+    ranked = numbered(rest, [], shuffled(seed, F.col("unit")), even=True)
     val = ranked.where((F.col("__n") > 1) & (F.col("__r") <= F.greatest(F.lit(1), F.bround(F.col("__n") * share)))).select("unit", F.lit(True).alias("__val"))
     joined = df.join(val, df[unit] == val["unit"], "left")
     part = F.when(F.col("fold") == fold, "test").when(F.col("__val"), "val").otherwise("train")

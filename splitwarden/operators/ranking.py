@@ -1,15 +1,18 @@
-"""Row numbers within classes without sorting a class in one task.
+"""Row numbers and runs within classes without sorting a class in one task.
 
 Rows are dealt to slices of the order, each slice is numbered by itself, and the sizes of the slices before it
-are added. Slices follow the order: the first digits of an MD5, the first characters of other strings, or equal
-widths of a number's range. A class's table of slices has ``SLICES`` rows at most for MD5 and numbers.
+are added. Slices are the first digits of an order that is spread evenly, as an MD5 is, or the parts of a range
+partitioning over class, order and ties, whose bounds Spark samples: they are of about one size however skewed the
+values are, and rows of one value are split by their ties. Such a dealing is written, so that all later steps, and
+tasks that are run again, see one and the same.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+
+from ..sources.shared import written
 
 SLICES = 4096
 
@@ -21,23 +24,24 @@ def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     return out
 
 
-def numbered(df: DataFrame, by: list[str], order: Column, tie: list[Column | str] | None = None, rank: str = "__r", count: str | None = "__n") -> DataFrame:
+def dealt(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds __slice, which ascends with the order: rows in range partitions, written."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(parts, *order).withColumn("__slice", F.spark_partition_id()), "slices")
+
+
+def numbered(df: DataFrame, by: list[str], order: Column, tie: list[Column | str] | None = None, rank: str = "__r", count: str | None = "__n", even: bool = False) -> DataFrame:
     """Adds rank, from 1, in ascending order (nulls first) within by, and the number of rows of the class.
 
-    tie settles equal values of order; rows equal in both are numbered in no defined order.
+    tie settles equal values of order; without it a hash of the row does. Equal rows are numbered in no defined order. even: the order is a string
+    whose first three characters are spread evenly, such as an MD5.
     """
-    by, tie = [*by], list(tie or [])
+    by, tie = [*by], list(tie or [F.xxhash64(*(F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("map")))])
     base = df.withColumn("__order", order)
-    kind = base.schema["__order"].dataType
-    if isinstance(kind, NumericType):
-        span = base.agg(F.min("__order").cast("double").alias("__lo"), F.max("__order").cast("double").alias("__hi"))
-        width = (F.col("__hi") - F.col("__lo")) / SLICES
-        base = base.crossJoin(F.broadcast(span))  # one row
-        part = F.floor((F.col("__order").cast("double") - F.col("__lo")) / F.nullif(width, F.lit(0.0)))
-        base = base.withColumn("__slice", F.when(F.col("__order").isNull(), -1).when(part.isNull(), 0).otherwise(F.least(part, F.lit(SLICES - 1))))
-        base = base.drop("__lo", "__hi")
-    else:
+    if even:
         base = base.withColumn("__slice", F.coalesce(F.substring(F.col("__order").cast("string"), 1, 3), F.lit("")))
+    else:
+        base = dealt(base, *by, "__order", *tie)
     w = Window.partitionBy(*by, "__slice")
     sizes = base.groupBy(*by, "__slice").agg(F.count(F.lit(1)).alias("__m"))
     classes = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
@@ -50,6 +54,28 @@ def numbered(df: DataFrame, by: list[str], order: Column, tie: list[Column | str
     return out
 
 
+def runs(df: DataFrame, by: list[str], num: str, tie: str, gaps: list[float], out: str = "__runs") -> DataFrame:
+    """Adds an array with the number of the run within by for each gap, from 0: in the order of num and tie a new run
+    begins where num exceeds the one before by more than the gap.
+
+    A segmented scan: each slice of the order counts its own runs; the last number and the runs of the slices before are
+    carried forward in a table of one row for each slice of a class. No class is one group of rows.
+    """
+    base = dealt(df.withColumn("__by", F.struct(*by)), "__by", num, tie)
+    w = Window.partitionBy("__by", "__slice").orderBy(num, tie)
+    base = base.withColumn("__gap", F.col(num) - F.lag(num).over(w))
+    begun = lambda gap, g: F.when(gap > g, 1).otherwise(0)
+    local = base.withColumn("__local", F.array(*(F.sum(begun(F.col("__gap"), g)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long") for g in gaps)))
+    ends = local.groupBy("__by", "__slice").agg(F.min(num).alias("lo"), F.max(num).alias("hi"), *(F.max(F.get("__local", F.lit(i))).alias(f"n{i}") for i in range(len(gaps))))
+    order = Window.partitionBy("__by").orderBy("__slice")
+    step = F.col("lo") - F.lag("hi").over(order)
+    ends = ends.select("__by", "__slice", *(f"n{i}" for i in range(len(gaps))), *(begun(step, g).alias(f"s{i}") for i, g in enumerate(gaps)))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = ends.select("__by", "__slice", F.array(*((F.sum(F.col(f"n{i}") + F.col(f"s{i}")).over(upto) - F.col(f"n{i}")).cast("long") for i in range(len(gaps)))).alias("__before"))
+    joined = local.join(before, ["__by", "__slice"])
+    return joined.select(*df.columns, F.zip_with("__local", "__before", lambda x, y: x + y).alias(out))
+
+
 def median(df: DataFrame, value: str, lo: float, hi: float) -> DataFrame:
     """median: one row, exact. Counts of equal widths from lo to hi tell which of them hold the middle; only their
     rows are sorted. Null values are left out; values beyond lo and hi count in the outer widths."""

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import capture_key
 from ..functions.kernels import haversine, metres_apart
+from .ranking import runs
 
 #: Items that place_leaders takes as one sequence.
 LEADERS = 100_000
@@ -20,9 +21,7 @@ RULES = (("gap1", 1, False), ("gap3", 3, False), ("gap3_cross", 3, True), ("gap1
 
 def gap_runs(df: DataFrame, by: list[str], num: str, gap: float, tie: str, out: str = "run") -> DataFrame:
     """Adds the number of the run within by: a new run begins where num exceeds the one before by more than gap."""
-    w = Window.partitionBy(*by).orderBy(num, tie)
-    starts = F.when(F.col(num) - F.lag(num).over(w) > gap, 1).otherwise(0)
-    return df.withColumn("__start", starts).withColumn(out, F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("__start")
+    return runs(df, by, num, tie, [gap], "__runs").withColumn(out, F.get("__runs", F.lit(0))).drop("__runs")
 
 
 def group_name(kind: str | Column, *parts: Column) -> Column:
@@ -32,8 +31,7 @@ def group_name(kind: str | Column, *parts: Column) -> Column:
 def sessions(df: DataFrame, cls: str, prefix: str, num: str, key: str, gap: float, cross_class: bool = False, out: str = "session") -> DataFrame:
     """Adds a group name to numbered items; cross_class lets runs go over class borders."""
     by = [prefix] if cross_class else [cls, prefix]
-    runs = gap_runs(df, by, num, gap, key, "__run")
-    return runs.withColumn(out, group_name("burst", *(F.col(c) for c in by), F.col("__run"))).drop("__run")
+    return gap_runs(df, by, num, gap, key, "__run").withColumn(out, group_name("burst", *(F.col(c) for c in by), F.col("__run"))).drop("__run")
 
 
 def sessions_from_names(items: DataFrame, gap: int = 3, cls: str = "cls", file: str = "file", bounded: bool = True) -> DataFrame:
@@ -56,14 +54,13 @@ def regrouped(manifest: DataFrame, gap: int, cross_class: bool, cls: str = "cls"
 
 def by_rules(df: DataFrame, cls: str, prefix: str, num: str, key: str, rules: Iterable[tuple[str, float, bool]] = RULES) -> DataFrame:
     """The items once for each rule, with rule and session."""
-    # Rules over the same runs share one sort: each row has its gap once, and a running count for every rule.
+    # Rules over the same classes share one dealing and one scan.
     rules, out = list(rules), None
     for cross in sorted({c for _, _, c in rules}):
         by, own = [prefix] if cross else [cls, prefix], [(n, g) for n, g, c in rules if c == cross]
-        w = Window.partitionBy(*by).orderBy(num, key)
-        seen = df.withColumn("__gap", F.col(num) - F.lag(num).over(w))
-        runs = F.array(*(F.struct(F.lit(n).alias("rule"), F.sum(F.when(F.col("__gap") > g, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long").alias("run")) for n, g in own))
-        part = seen.withColumn("__runs", runs).select(*df.columns, F.explode("__runs").alias("__run"))
+        seen = runs(df, by, num, key, [g for _, g in own], "__runs")
+        each = F.array(*(F.struct(F.lit(n).alias("rule"), F.get("__runs", F.lit(i)).alias("run")) for i, (n, _) in enumerate(own)))
+        part = seen.select(*df.columns, F.explode(each).alias("__run"))
         part = part.select(*df.columns, group_name("burst", *(F.col(c) for c in by), F.col("__run.run")).alias("session"), F.col("__run.rule").alias("rule"))
         out = part if out is None else out.unionByName(part)
     return out

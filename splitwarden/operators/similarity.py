@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import dot, doubles, hamming, norm
-from . import tiles
+from . import linkage, tiles
 from .components import connected_components
 from .ranking import SLICES, numbered
 
@@ -17,6 +17,8 @@ from .ranking import SLICES, numbered
 #: Reference directions of a class, and the slack of angles against rounding.
 PIVOTS = 4
 _SLACK = 1e-6
+#: Items of a component that one task links: 1 GB of bits.
+LINKED = 1 << 16
 
 
 def unit_angles(df: DataFrame, key: str, cls: str, vector: str) -> DataFrame:
@@ -121,64 +123,44 @@ def _named(rows: DataFrame, by: list[str], tag: str) -> DataFrame:
     return rows.join(names, same).select(rows["*"], "cluster")
 
 
-def merged_in_order(sims: np.ndarray, least: float, how: str) -> np.ndarray:
-    """For each row of a similarity matrix the first row of its cluster, by greedy merging.
-
-    Clusters stand in the order of their first rows. Of all pairs of clusters whose linkage reaches least the first
-    one, by the earlier and then by the later cluster, is merged, until there is none. link holds the linkage of each
-    pair of living clusters: the least similarity (complete) or the sum of similarities, which the product of the
-    sizes turns into a mean (average). A merge changes one row and column.
-    """
-    n = len(sims)
-    link, size, of = sims.astype(float).copy(), np.ones(n), np.arange(n)
-    upper = np.triu(np.ones((n, n), bool), 1)
-    reach = upper & (link >= least)
-    while reach.any():
-        a, b = divmod(int(reach.argmax()), n)
-        of[of == b] = a
-        size[a] += size[b]
-        joint = np.minimum(link[a], link[b]) if how == "complete" else link[a] + link[b]
-        link[a], link[:, a] = joint, joint
-        upper[b], upper[:, b] = False, False
-        now = joint >= (least if how == "complete" else least * size[a] * size)
-        reach[b], reach[:, b] = False, False
-        reach[a], reach[:, a] = upper[a] & now, upper[:, a] & now
-    return of
-
-
-def greedy_linkage(items: DataFrame, key: str, cls: str, vector: str, threshold: float, how: str = "complete", as_shipped: bool = False) -> DataFrame:
+def greedy_linkage(items: DataFrame, key: str, cls: str, vector: str, threshold: float, how: str = "complete", as_shipped: bool = False, most: int = LINKED) -> DataFrame:
     """key, cls, cluster by greedy first-fit merging in each class: the first pair of clusters, in order, whose
     similarities all (complete) or on average (average) reach the threshold is merged, until none does.
 
     vector: an array (cosine) or a 64-bit hash, for which the threshold is a distance. as_shipped compares
     negative mean distances with the positive threshold, as a known defect does: nothing merges.
     A merge needs a pair that reaches the threshold by itself, so that items fall apart into the components of those
-    pairs, and merging in one does not touch another: each component is a task of its own and must fit into one as
-    a matrix. Clusters are named by their least key. Items without a vector, or of length 0, stay alone.
+    pairs (found from forests, without a row per pair), and merging in one does not touch another: each component is a
+    task of its own, in n * n / 4 bytes (see linkage). One of more than ``most`` items is refused before any task
+    starts. Clusters are named by their least key. Items without a vector, or of length 0, stay alone.
     """
     import pandas as pd
 
     hashed = dict(items.dtypes)[vector] == "bigint"
     least = -threshold if hashed else threshold - 1e-12
     if hashed:
-        pairs = hamming_pairs(items, key, cls, vector, int(threshold))
+        pairs = hamming_pairs(items, key, cls, vector, int(threshold), linking=True)
         if as_shipped and how == "average":
             pairs = pairs.limit(0)
     else:
-        pairs = cosine_pairs(items, key, cls, vector, least)
+        pairs = cosine_pairs(items, key, cls, vector, least, linking=True)
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key").reset_index(drop=True)
         if hashed:
-            h = pdf.v.to_numpy(np.int64).view(np.uint64)
-            sims = -np.bitwise_count(h[:, None] ^ h).astype(float)
+            v = pdf.v.to_numpy(np.int64).view(np.uint64)
+            near, sums, between = linkage.hash_graph(v, threshold), linkage.bit_counts(v), linkage.by_bits
         else:
-            m = np.stack([np.asarray(v, float) for v in pdf.v])
-            m = m / np.linalg.norm(m, axis=1, keepdims=True)
-            sims = m @ m.T
-        return pd.DataFrame({"key": pdf.key, "first": pdf.key[merged_in_order(sims, least, how)].to_numpy()})
+            v = np.stack([np.asarray(x, float) for x in pdf.v])
+            v = v / np.linalg.norm(v, axis=1, keepdims=True)
+            near, sums, between = linkage.cosine_graph(v, least), v, linkage.by_vectors
+        of = linkage.complete(near) if how == "complete" else linkage.average(near, sums, least, between)
+        return pd.DataFrame({"key": pdf.key, "first": pdf.key[of].to_numpy()})
 
     comp = connected_components(pairs, "a", "b").withColumnRenamed("node", "__node")
+    largest = comp.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a component of {largest} items, more than {most}: raise the threshold, or most where tasks have n * n / 4 bytes")
     base = items.select(F.col(key).alias("key"), F.col(cls).alias("cls"), F.col(vector).alias("v"))
     kind = dict(base.dtypes)["key"]
     merged = base.join(comp, base["key"] == comp["__node"]).select("key", "v", "component").groupBy("component").applyInPandas(link, f"key {kind}, first {kind}")

@@ -1,11 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from splitwarden.functions import kernels, keys
-from splitwarden.operators import calibrate, duplicates, leakage, metrics, partition, ranking, runs, sessionize, similarity
+from splitwarden.operators import calibrate, duplicates, leakage, linkage, metrics, partition, ranking, runs, sessionize, similarity
 from splitwarden.operators.components import connected_components
 
 
@@ -229,3 +230,61 @@ def test_numbered(spark):
     assert ranking.numbered(df.limit(0), ["cls"], F.col("x")).count() == 0
     plan = partition.stratified_split(df, "cls", "key")._jdf.queryExecution().executedPlan().toString()
     assert "__slice" in plan
+
+
+def test_many_alike_groups_are_dealt_as_one_by_one():
+    def plain(load, counts, many, whole):
+        got = [0] * len(load)
+        for _ in range(many):
+            found = []
+            for f in range(len(load)):
+                tries = load.copy()
+                tries[f] += counts
+                found.append((((tries - load.min(0)) / whole).std(0).mean(), tries[f].sum(), f))
+            at = min(found)[2]
+            load[at] += counts
+            got[at] += 1
+        return got
+
+    rnd = np.random.default_rng(1)
+    cases = [(rnd.integers(0, 500, (k, c)).astype(float), rnd.integers(0, 9, c).astype(float), m) for k, c, m in ((2, 1, 700), (3, 2, 1000), (5, 3, 900), (4, 6, 400), (5, 4, 1), (3, 1, 7))]
+    cases.append((np.array([[5000.0, 0.0], [0.0, 0.0], [3.0, 70.0]]), np.array([1.0, 0.0]), 9000))
+    for load, counts, many in cases:
+        counts[0] += not counts.any()
+        whole = load.sum(0) + counts * many + 1
+        want, mine = load.copy(), load.copy()
+        assert partition.dealt_evenly(mine, counts, many, whole).tolist() == plain(want, counts, many, whole)
+        assert (mine == want).all()
+    # 10^5 alike groups: as many steps as until the loads' differences come back.
+    load, counts = np.array([[0.0, 30.0], [7.0, 0.0], [0.0, 0.0]]), np.array([2.0, 3.0])
+    whole, want, mine = np.array([2e5, 3e5]), load.copy(), load.copy()
+    assert partition.dealt_evenly(mine, counts, 100_000, whole).tolist() == plain(want, counts, 100_000, whole)
+
+
+@pytest.mark.parametrize("how", ["complete", "average"])
+def test_bit_graph_linkage(how):
+    """Against the definition on random graphs, and on a component of 20,000 items in bounded memory."""
+    rnd = np.random.default_rng(3)
+    for n, least in ((40, 0.2), (57, 0.5), (64, -0.1), (9, 0.0)):
+        v = rnd.normal(size=(n, 3))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        of = linkage.complete(linkage.cosine_graph(v, least)) if how == "complete" else linkage.average(linkage.cosine_graph(v, least), v, least, linkage.by_vectors)
+        groups = {}
+        for i, first in enumerate(of.tolist()):
+            groups.setdefault(first, []).append(i)
+        assert all(min(g) == first for first, g in groups.items())
+        assert sorted(groups.values()) == naive_linkage((v @ v.T).tolist(), least, how)
+    if how == "complete":
+        n = 20_000
+        v = np.stack([np.cos(np.arange(n) * 0.0001), np.sin(np.arange(n) * 0.0001)], 1)
+        near = linkage.cosine_graph(v, math.cos(0.05))
+        assert near.nbytes == n * n // 8
+        of = linkage.complete(near)
+        assert len(np.unique(of)) == math.ceil(n * 0.0001 / 0.05) and (np.diff(of) >= 0).all()
+
+
+def test_a_component_beyond_a_task_is_refused_beforehand(spark):
+    df = spark.range(30).select(F.col("id").alias("key"), F.lit("a").alias("cls"), F.array(F.lit(1.0), F.lit(0.5)).alias("v"))
+    assert similarity.greedy_linkage(df, "key", "cls", "v", 0.9, most=30).select("cluster").distinct().count() == 1
+    with pytest.raises(ValueError, match="component of 30"):
+        similarity.greedy_linkage(df, "key", "cls", "v", 0.9, most=29)
