@@ -5,8 +5,6 @@ Undefined ratios are null, never 0.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,23 +57,53 @@ def adjusted_rand(df: DataFrame, truth: str, pred: str, by: list[str] | None = N
     return c.select(*(by or []), F.coalesce(ratio(F.col("tp") - expected, most - expected), F.lit(1.0)).alias("ari"))
 
 
-def _expected(a: int, b: int, n: int) -> float:
-    """A pair of groups' share of the expected mutual information: over the hypergeometric distribution of its overlap."""
-    lo, hi = max(1, a + b - n), min(a, b)
-    f = math.lgamma
-    k = np.arange(lo, hi + 1, dtype=float)
-    first = f(a + 1) + f(b + 1) + f(n - a + 1) + f(n - b + 1) - f(n + 1) - f(lo + 1) - f(a - lo + 1) - f(b - lo + 1) - f(n - a - b + lo + 1)
-    steps = np.log((a - k[:-1]) * (b - k[:-1]) / ((k[:-1] + 1) * (n - a - b + k[:-1] + 1)))
-    return float((k / n * np.log(n * k / (float(a) * b)) * np.exp(first + np.append(0.0, np.cumsum(steps)))).sum())
+#: Distinct sizes of a side that meet in one task, and pairs of them that are taken at once.
+_SIZES, _AT_ONCE = 1024, 1 << 17
+#: Weights below this share of the greatest one are left out: their sum is below the last digit of a double.
+_NOTHING = 1e-19
+
+
+def expected_information(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Each pair of groups' share of the expected mutual information: sizes a and b of n items, whose overlap k has the
+    hypergeometric distribution.
+
+    Weights are relative to the one at the mode and follow by their ratios, upwards and downwards until nothing is left;
+    their sum makes them probabilities, so that no factorial is needed and no digits cancel.
+    """
+    a, b, n = (np.asarray(x, float) for x in (a, b, n))
+    lo, hi = np.maximum(0, a + b - n), np.minimum(a, b)
+    mode = np.clip(np.floor((a + 1) * (b + 1) / (n + 2)), lo, hi)
+    total, mass = np.zeros(len(a)), np.zeros(len(a))
+
+    def add(at: np.ndarray, k: np.ndarray, weight: np.ndarray) -> None:
+        mass[at] += weight
+        some = k > 0
+        x, y = at[some], k[some]
+        total[x] += weight[some] * y / n[x] * np.log(n[x] * y / (a[x] * b[x]))
+
+    whole = np.arange(len(a))
+    add(whole, mode, np.ones(len(a)))
+    for step in (1, -1):
+        at, k, weight = whole, mode, np.ones(len(a))
+        while len(at):
+            x, y, m = a[at], b[at], n[at]
+            # The ratio of neighbouring weights is 0 beyond the ends.
+            ratio = (x - k) * (y - k) / ((k + 1) * (m - x - y + k + 1)) if step > 0 else k * (m - x - y + k) / ((x - k + 1) * (y - k + 1))
+            weight, k = weight * ratio, k + step
+            on = weight > _NOTHING
+            at, k, weight = at[on], k[on], weight[on]
+            add(at, k, weight)
+    return total / mass
 
 
 def adjusted_mutual_information(df: DataFrame, truth: str, pred: str, by: list[str] | None = None) -> DataFrame:
     """ami with the arithmetic normaliser, for each value of by.
 
-    The expected mutual information depends on the margins' sizes alone. Each distinct size of one side is a row with
-    all distinct sizes of the other: of n items there are sqrt(2n) at most, however many groups there are.
+    The expected mutual information depends on the margins' sizes alone: of n items there are sqrt(2n) distinct ones at
+    most, however many groups there are. Both sides' sizes are dealt to ranges, each two of which meet in one task, where
+    their pairs are entries of arrays.
     """
-    import pandas as pd
+    import pyarrow as pa
 
     keys = [*(by or [])]
     base = df if keys else df.withColumn("__one", F.lit(1))
@@ -89,16 +117,25 @@ def adjusted_mutual_information(df: DataFrame, truth: str, pred: str, by: list[s
     mi = joint.groupBy(*keys).agg(F.sum(share("n") * F.log(F.col("all").cast("double") * F.col("n") / (F.col("a").cast("double") * F.col("b")))).alias("mi"))
     entropy = lambda g, c, name: g.join(whole, keys).groupBy(*keys).agg(F.sum(-share(c) * F.log(share(c))).alias(name))
     rows = a.groupBy(*keys, "a").agg(F.count(F.lit(1)).alias("ka"))
-    others = b.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("kb")).groupBy(*keys).agg(F.collect_list(F.struct("b", "kb")).alias("others"))
-    pairs = rows.join(others, keys).join(whole, keys)
-
-    def expected(batches):
-        for pdf in batches:
-            pdf["e"] = [sum(_expected(int(x), int(o["b"]), int(n)) * int(kx) * int(o["kb"]) for o in other) for x, kx, other, n in zip(pdf.a, pdf.ka, pdf.others, pdf["all"], strict=True)]
-            yield pdf[[*keys, "e"]] if len(pdf) else pd.DataFrame({c: [] for c in [*keys, "e"]})
-
-    schema = ", ".join(f"`{c}` {dict(pairs.dtypes)[c]}" for c in keys) + ", e double"
-    emi = pairs.mapInPandas(expected, schema).groupBy(*keys).agg(F.sum("e").alias("emi"))
+    others = b.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("kb"))
+    ranges = lambda side, name: side.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / _SIZES).cast("int").alias(name))
+    many = ranges(rows, "ni").join(ranges(others, "nj"), keys).join(whole, keys)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = rows.join(many, keys).select(*keys, "all", F.pmod("a", "ni").cast("int").alias("i"), every("nj").alias("j"), F.lit(True).alias("left"), F.col("a").alias("size"), F.col("ka").alias("many"))
+    right = others.join(many, keys).select(*keys, "all", every("ni").alias("i"), F.pmod("b", "nj").cast("int").alias("j"), F.lit(False).alias("left"), F.col("b").alias("size"), F.col("kb").alias("many"))
+
+    def expected(table: pa.Table) -> pa.Table:
+        side, size, times, n = (table[c].to_numpy() for c in ("left", "size", "many", "all"))
+        x, y, out = np.flatnonzero(side), np.flatnonzero(~side), 0.0
+        block = max(1, _AT_ONCE // max(len(y), 1))
+        for s in range(0, len(x), block):
+            p, q = (v.ravel() for v in np.meshgrid(x[s : s + block], y, indexing="ij"))
+            out += float((expected_information(size[p], size[q], n[p]) * times[p] * times[q]).sum())
+        return table.select(keys).slice(0, 1).append_column("e", pa.array([out]))
+
+    cells = left.unionByName(right)
+    schema = ", ".join(f"`{c}` {dict(cells.dtypes)[c]}" for c in keys) + ", e double"
+    emi = cells.groupBy(*keys, "i", "j").applyInArrow(expected, schema).groupBy(*keys).agg(F.sum("e").alias("emi"))
     one = mi.join(entropy(a, "a", "ha"), keys).join(entropy(b, "b", "hb"), keys).join(emi, keys)
     top = (F.col("ha") + F.col("hb")) / 2 - F.col("emi")
     return one.select(*(by or []), F.when(top == 0, 1.0).otherwise((F.col("mi") - F.col("emi")) / F.nullif(top, F.lit(0.0))).alias("ami"))

@@ -288,3 +288,41 @@ def test_a_component_beyond_a_task_is_refused_beforehand(spark):
     assert similarity.greedy_linkage(df, "key", "cls", "v", 0.9, most=30).select("cluster").distinct().count() == 1
     with pytest.raises(ValueError, match="component of 30"):
         similarity.greedy_linkage(df, "key", "cls", "v", 0.9, most=29)
+
+
+def test_expected_information_against_the_sum():
+    def plain(a, b, n):
+        f, out = math.lgamma, 0.0
+        for k in range(max(1, a + b - n), min(a, b) + 1):
+            p = f(a + 1) + f(b + 1) + f(n - a + 1) + f(n - b + 1) - f(n + 1) - f(k + 1) - f(a - k + 1) - f(b - k + 1) - f(n - a - b + k + 1)
+            out += k / n * math.log(n * k / (a * b)) * math.exp(p)
+        return out
+
+    cases = [(a, b, n) for n in (1, 2, 30, 777) for a in (1, 2, n // 3, n // 2, n - 1, n) for b in (1, 5, n // 2, n) if 0 < a <= n and 0 < b <= n]
+    got = calibrate.expected_information(*np.array(cases).T)
+    assert got.tolist() == pytest.approx([plain(*c) for c in cases], rel=1e-9, abs=1e-13)
+    # Large sizes: the four cells of two groups and their complements have (1 / 2n) of information to first order.
+    a, b, n = 300_000, 400_000, 1_000_000
+    four = calibrate.expected_information([a, a, n - a, n - a], [b, n - b, b, n - b], [n] * 4).sum()
+    assert four == pytest.approx(1 / (2 * (n - 1)), rel=1e-3)
+
+
+def test_mutual_information_of_many_sizes(spark, monkeypatch):
+    """Sizes are dealt to ranges, and no row holds a list of them."""
+    monkeypatch.setattr(calibrate, "_SIZES", 100)
+    df = spark.range(1, 1201).select(F.col("id").alias("truth"), F.explode(F.sequence(F.lit(1), F.col("id").cast("int"))).alias("i"))
+    df = df.select("truth", F.floor(F.sqrt(F.pmod(F.xxhash64("truth", "i"), F.lit(900)).cast("double"))).alias("pred"))
+    found = calibrate.adjusted_mutual_information(df, "truth", "pred")
+    cells = df.groupBy("truth", "pred").count().toPandas()
+    n = cells["count"].sum()
+    a, b = cells.groupby("truth")["count"].sum(), cells.groupby("pred")["count"].sum()
+    x, y = (v.ravel() for v in np.meshgrid(a.to_numpy(), b.to_numpy()))
+    emi = calibrate.expected_information(x, y, np.full(len(x), n)).sum()
+    mi = (cells["count"] / n * np.log(n * cells["count"] / (cells.truth.map(a) * cells.pred.map(b)))).sum()
+    top = sum(-(v / n * np.log(v / n)).sum() for v in (a, b)) / 2
+    assert found.first().ami == pytest.approx((mi - emi) / (top - emi), abs=1e-9)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "FlatMapGroupsInArrow" in plan
+    # 10,000 sizes against one another: 10^8 pairs would take as many entries at once as there are pairs in a block.
+    sizes = np.arange(1, 10_001)
+    assert np.isfinite(calibrate.expected_information(sizes, sizes[::-1], np.full(10_000, sizes.sum()))).all()
