@@ -98,6 +98,32 @@ def _erfc_tail(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if pd.isna(v) else math.erfc(math.sqrt(v / 2)))
 
 
+def _beta_tail(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (Lentz)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - _beta_tail(1 - x, b, a)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1.0 / max(1.0 - (a + b) * x / (a + 1), 1e-300)
+    value = d
+    for m in range(1, 10_000):
+        for step in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1.0 / ((1.0 + step * d) or 1e-300)
+            c = (1.0 + step / c) or 1e-300
+            value *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * value
+
+
+@F.pandas_udf(DoubleType())
+def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+    """Upper tail of the F distribution: the incomplete beta function at d2 / (d2 + d1 f). Null for null."""
+    told = [None if pd.isna(x) else _beta_tail(n / (n + m * x), n / 2, m / 2) for x, m, n in zip(f, d1, d2, strict=True)]
+    return pd.Series(told, dtype=float)
+
+
 def pixel_difference_hash(pixels: Column, width: int = 9) -> Column:
     """Difference hash of an 8 x 9 grey image given row after row."""
     rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(pixels, r * width + 1, width))

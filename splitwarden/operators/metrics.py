@@ -122,6 +122,31 @@ def mcnemar(df: DataFrame, right_a: str, right_b: str, by: list[str] | None = No
     return out.withColumn("p", chi2_sf_one(F.col("chi2"))) if p_value else out
 
 
+def one_way_anova(df: DataFrame, group: str, value: str, by: list[str] | None = None) -> DataFrame:
+    """f, df_between, df_within and p of the hypothesis that all groups have one mean. Null values and rows without a
+    group are left out; f and p are null with fewer than two groups, without spare items, or without variance within.
+
+    Groups are summed before anything meets: one row a group, then one row for each value of by.
+    """
+    from ..functions.kernels import f_sf
+
+    by = by or []
+    known = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
+    per = known.groupBy(*by, group).agg(F.count(F.lit(1)).alias("__n"), F.avg(value).alias("__mean"), F.var_pop(value).alias("__var"))
+    mean = F.sum(F.col("__n") * F.col("__mean")) / F.sum("__n")
+    aggs = [F.sum("__n").alias("__n"), F.count(F.lit(1)).alias("__k"), mean.alias("__whole"), F.sum(F.col("__n") * F.col("__var")).alias("__within")]
+    told = per.groupBy(*by).agg(*aggs) if by else per.agg(*aggs)
+    # Deviations from the whole mean, not differences of squares.
+    apart = F.sum(F.col("__n") * F.pow(F.col("__mean") - F.col("__whole"), 2)).alias("__between")
+    if by:
+        joined = per.join(told.select(*by, "__whole"), by).groupBy(*by).agg(apart).join(told.select(*by, F.col("__n"), "__k", "__within"), by)
+    else:
+        joined = per.crossJoin(F.broadcast(told.select("__whole"))).agg(apart).crossJoin(told.select("__n", "__k", "__within"))  # one row
+    ratio = (F.col("__between") / F.nullif(F.col("__k") - 1, F.lit(0))) / F.nullif(F.col("__within") / F.nullif(F.col("__n") - F.col("__k"), F.lit(0)), F.lit(0.0))
+    out = joined.select(*by, ratio.alias("f"), (F.col("__k") - 1).alias("df_between"), (F.col("__n") - F.col("__k")).alias("df_within"))
+    return out.withColumn("p", f_sf(F.col("f"), F.col("df_between").cast("double"), F.col("df_within").cast("double")))
+
+
 #: 97.5 % quantiles of Student's t for 1 to 30 degrees of freedom.
 T_975 = (12.7062, 4.30265, 3.18245, 2.77645, 2.57058, 2.44691, 2.36462, 2.30600, 2.26216, 2.22814, 2.20099, 2.17881, 2.16037, 2.14479, 2.13145, 2.11991, 2.10982, 2.10092, 2.09302, 2.08596, 2.07961, 2.07387, 2.06866, 2.06390, 2.05954, 2.05553, 2.05183, 2.04841, 2.04523, 2.04227)
 

@@ -93,6 +93,13 @@ def s5_scan_problems(t):
     return problems.select("kind", last(F.col("path")).alias("file"))
 
 
+@query(f"SELECT CASE WHEN k % 6 = 1 THEN 'UNREADABLE' ELSE 'NON_IMAGE' END AS kind, count(*) AS n FROM {_N} WHERE k % 6 IN (1, 2) GROUP BY 1")
+def p6_dropped_files(t):
+    """How many files a scan sets aside, by the kind of problem; the others are items."""
+    files = {f"{split_of(x.k)}/{x.r}/{x.n}.{'txt' if x.k % 6 == 2 else 'jpg'}": b"GIF89a" if x.k % 6 == 1 else JPEG for x in nations(t)}
+    return scan.dropped(scan.scan_with_problems(t.spark, tree(t, files))[1])
+
+
 @query(f"SELECT DISTINCT {_S} AS split, r AS cls, n[:1] || '.jpg' AS file FROM {_N}")
 def s6_split_keys(t):
     files = {f"{split_of(x.k)}/{x.r}/copy{x.k}/{x.n[:1]}.jpg": b"x" for x in nations(t)}
@@ -179,6 +186,15 @@ def s11_read_confusion(t):
     return tables.read_confusion(t.spark, tree(t, {"confusion.json": json.dumps(data).encode()}) + "/confusion.json")
 
 
+@query(f"SELECT x.y_true, y.y_pred, coalesce(sum(c.n), 0)::BIGINT AS n FROM (SELECT unnest(['F', 'O', 'P']) AS y_true) x, (SELECT unnest(['F', 'O', 'P']) AS y_pred) y LEFT JOIN {C._OCONF} c ON c.y_true = x.y_true AND c.y_pred = y.y_pred GROUP BY ALL")
+def s11_read_confusion_csv(t):
+    """The pooled matrix of all models, written without a header."""
+    names = ["F", "O", "P"]
+    cells = {(x.y_true, x.y_pred): x.n for x in C.order_cells(t).groupBy("y_true", "y_pred").agg(F.sum("n").alias("n")).collect()}
+    lines = "\n".join(",".join(str(cells.get((a, b), 0)) for b in names) for a in names)
+    return tables.read_confusion_csv(t.spark, tree(t, {"matrix.csv": lines.encode()}) + "/matrix.csv", names)
+
+
 @query(rounded("SELECT l_returnflag AS model, l_linenumber - 1 AS epoch, avg(l_quantity) AS train_loss, avg(l_discount) AS val_loss, avg(l_tax) AS train_acc, count(*)::DOUBLE AS val_acc FROM lineitem GROUP BY ALL", "train_loss", "val_loss", "train_acc", "val_acc"))
 def s11b_read_history(t):
     rows = t.lineitem.groupBy("l_returnflag", "l_linenumber").agg(F.avg("l_quantity").alias("train_loss"), F.avg("l_discount").alias("val_loss"), F.avg("l_tax").alias("train_acc"), F.count(F.lit(1)).cast("double").alias("val_acc")).orderBy("l_linenumber").collect()

@@ -308,3 +308,18 @@ def k8_exif(t):
 @query(f"SELECT datetime[:7] AS month, model, count(*) AS n, count(lat) AS n_gps FROM {_EXIF} GROUP BY ALL")
 def a26_exif_summary(t):
     return provenance.capture_summary(provenance.exif_table(exif_files(t)))
+
+
+_ANOVA = """SELECT status, (between_ / (k - 1)) / (within_ / (n - k)) AS f, k - 1 AS df_between, n - k AS df_within FROM (
+  SELECT status, sum(m) AS n, count(*) AS k, sum(m * (mean - whole) * (mean - whole)) AS between_, sum(ss) AS within_ FROM (
+    SELECT o_orderstatus AS status, o_orderpriority, count(*) AS m, avg(o_totalprice::DOUBLE) AS mean, var_pop(o_totalprice::DOUBLE) * count(*) AS ss,
+           sum(sum(o_totalprice::DOUBLE)) OVER (PARTITION BY o_orderstatus) / sum(count(*)) OVER (PARTITION BY o_orderstatus) AS whole
+    FROM orders GROUP BY o_orderstatus, o_orderpriority) GROUP BY status)"""
+
+
+# With five groups the tail is a closed form: x^h (1 + h (1 - x)), where x = df_within / (df_within + 4 f), h = df_within / 2.
+@query(rounded(f"SELECT status, f, df_between::BIGINT AS df_between, df_within::BIGINT AS df_within, pow(x, h) * (1 + h * (1 - x)) AS p FROM (SELECT *, df_within / (df_within + df_between * f) AS x, df_within / 2.0::DOUBLE AS h FROM ({_ANOVA}))", "f", "p"))
+def m16_one_way_anova(t):
+    """Do orders of different priorities differ in price, for each status."""
+    o = t.orders.select(F.col("o_orderstatus").alias("status"), "o_orderpriority", F.col("o_totalprice").cast("double").alias("price"))
+    return metrics.one_way_anova(o, "o_orderpriority", "price", ["status"])

@@ -6,13 +6,14 @@ Listings use Spark's binaryFile source without the content column, so that no fi
 from __future__ import annotations
 
 import io
-import zipfile
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import EXTENSIONS, has_extension, split_of
+from . import ranges
 
 NO_SPLIT = "__none__"
 
@@ -69,13 +70,20 @@ SIGNATURES = ("FFD8FF", "89504E47", "424D", "49492A00", "4D4D002A", "52494646")
 def scan_with_problems(spark: SparkSession, root: str, splits: tuple[str, ...] = ("train", "val", "test"), extensions: tuple[str, ...] = EXTENSIONS) -> tuple[DataFrame, DataFrame]:
     """(items, problems): problems have kind (MISSING_SPLIT, NON_IMAGE, UNREADABLE), path and message.
 
-    Files are told by their first bytes. Files without any byte are not listed by the source.
+    Files are told by their first bytes, which are all that is read of them (see ranges). A file that cannot be opened is
+    UNREADABLE. Files without any byte are not listed by the source.
     """
-    f = files(spark, root, True).withColumn("p", _parts(F.ltrim(F.col("rel"), F.lit("/"))))
     image = has_extension(F.col("rel"), extensions)
-    start = F.hex(F.substring("content", 1, 8))
+    if ranges.reachable(root):
+        listed = files(spark, root)
+        begun = ranges.first_bytes(listed.where(image), 8).withColumnRenamed("path", "__path")
+        f = listed.join(begun, F.col("path") == F.col("__path"), "left").drop("__path")
+    else:
+        f = files(spark, root, True).withColumn("start", F.substring("content", 1, 8)).drop("content")
+    f = f.withColumn("p", _parts(F.ltrim(F.col("rel"), F.lit("/"))))
+    start = F.hex("start")
     known = start.rlike("^(" + "|".join(SIGNATURES) + ")") | start.rlike("^.{8}66747970")
-    looked = f.withColumn("good", known).drop("content")
+    looked = f.withColumn("good", F.coalesce(known, F.lit(False))).drop("start")
     items = looked.where(image & F.col("good") & (F.size("p") == 3)).select(F.col("p")[0].alias("split"), F.trim(F.col("p")[1]).alias("cls"), F.col("p")[2].alias("file"), "path", "bytes", "modified")
     odd = looked.where(~image).select(F.lit("NON_IMAGE").alias("kind"), "path", F.lit("no image extension").alias("message"))
     broken = looked.where(image & ~F.col("good")).select(F.lit("UNREADABLE").alias("kind"), "path", F.lit("no image signature").alias("message"))
@@ -97,27 +105,31 @@ def partition_roots(spark: SparkSession, root: str, extensions: tuple[str, ...]
 def mapped_classes(items: DataFrame, classes: dict[str, str]) -> DataFrame:
     """Items whose class folder is in the map, with label."""
     known = items.sparkSession.createDataFrame(list(classes.items()), "cls string, label string")
-    return items.join(F.broadcast(known), "cls")
+    # A map of some thousand classes goes to all tasks; a longer one is joined as Spark sees fit.
+    return items.join(F.broadcast(known) if len(classes) <= 10_000 else known, "cls")
 
 
 def archive_members(spark: SparkSession, root: str, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """archive, member, content: loose files (archive is null) and members of zip archives, read in tasks."""
+    """archive, member, content: loose files (archive is null) and members of zip archives, read in tasks one by one
+    (see ranges). Where tasks cannot open files by themselves, a whole archive is a row."""
     wanted = tuple(f".{e}" for e in extensions)
+    if ranges.reachable(root):
+        return ranges.members(files(spark, root), wanted)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if path.lower().endswith((*wanted, ".zip")):
+                    rows = list(ranges.parts_of(path, wanted, lambda _, data=data: io.BytesIO(data.as_buffer())))
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], names=["archive", "member", "content"])
 
-    def read(batches: Iterator) -> Iterator:
-        import pandas as pd
+    return files(spark, root, True).select("path", "content").mapInArrow(read, "archive string, member string, content binary")
 
-        for pdf in batches:
-            rows = []
-            for path, data in zip(pdf["path"], pdf["content"], strict=True):
-                if path.lower().endswith(".zip"):
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        rows += [(path, n, z.read(n)) for n in z.namelist() if n.lower().endswith(wanted)]
-                elif path.lower().endswith(wanted):
-                    rows.append((None, path, bytes(data)))
-            yield pd.DataFrame(rows, columns=["archive", "member", "content"])
 
-    return files(spark, root, True).select("path", "content").mapInPandas(read, "archive string, member string, content binary")
+def dropped(problems: DataFrame) -> DataFrame:
+    """kind, n: how many files a scan with problems has left out, by kind of problem."""
+    return problems.where("kind <> 'MISSING_SPLIT'").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 def stored(df: DataFrame, path: str, keys: list[str]) -> DataFrame:

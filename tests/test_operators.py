@@ -326,3 +326,20 @@ def test_mutual_information_of_many_sizes(spark, monkeypatch):
     # 10,000 sizes against one another: 10^8 pairs would take as many entries at once as there are pairs in a block.
     sizes = np.arange(1, 10_001)
     assert np.isfinite(calibrate.expected_information(sizes, sizes[::-1], np.full(10_000, sizes.sum()))).all()
+
+
+def test_one_way_anova(spark):
+    rows = [("a", x) for x in (6.0, 8.0, 4.0, 5.0, 3.0, 4.0)] + [("b", x) for x in (8.0, 12.0, 9.0, 11.0, 6.0, 8.0)] + [("c", x) for x in (13.0, 9.0, 11.0, 8.0, 7.0, 12.0)] + [("c", None), (None, 4.0)]
+    got = metrics.one_way_anova(spark.createDataFrame(rows, "g string, x double"), "g", "x").first()
+    assert got.f == pytest.approx(9.264706, abs=1e-6) and (got.df_between, got.df_within) == (2, 15)
+    assert got.p == pytest.approx((1 + 2 * got.f / 15) ** -7.5, rel=1e-10)  # the tail with two degrees of freedom
+    odd = spark.createDataFrame([("p", "a", 1.0), ("p", "b", 2.0), ("q", "a", 1.0), ("q", "a", 2.0), ("r", "a", 1.0), ("r", "a", 1.0), ("r", "b", 2.0)], "k string, g string, x double")
+    assert {(r.k, r.f, r.p) for r in metrics.one_way_anova(odd, "g", "x", ["k"]).collect()} == {("p", None, None), ("q", None, None), ("r", None, None)}
+    # Against a numerical integral of the density, tails and odd degrees of freedom included.
+    for f, m, n in ((0.3, 3, 7), (2.5, 5, 40), (9.0, 1, 3), (1.0, 7, 300)):
+        z = np.linspace(0, 1, 400_001)[1:-1]  # t / (1 + t) of the F variable
+        t = z / (1 - z)
+        log = (m / 2) * math.log(m / n) + (m / 2 - 1) * np.log(t) - (m + n) / 2 * np.log1p(m * t / n) - 2 * np.log1p(-z)
+        density = np.exp(log - math.lgamma(m / 2) - math.lgamma(n / 2) + math.lgamma((m + n) / 2))
+        tail = density[t >= f].sum() / 400_000
+        assert kernels._beta_tail(n / (n + m * f), n / 2, m / 2) == pytest.approx(tail, abs=2e-3 if m == 1 else 2e-5)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from splitwarden.operators import provenance, runs
-from splitwarden.sources import scan, tables
+from splitwarden.sources import ranges, scan, tables
 from splitwarden.streaming import sessions
 
 
@@ -111,3 +111,54 @@ def test_streamed_sessions_equal_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.user, r.n, r.end) for r in spark.read.parquet(f"{tmp_path}/out").collect()} <= batch
+
+
+class Counted(io.RawIOBase):
+    """A file that counts what is read of it."""
+
+    def __init__(self, data):
+        self.data, self.at, self.bytes_read = data, 0, 0
+
+    def readable(self):
+        return True
+
+    def seekable(self):
+        return True
+
+    def seek(self, to, whence=0):
+        self.at = to + (0, self.at, len(self.data))[whence]
+        return self.at
+
+    def tell(self):
+        return self.at
+
+    def read(self, n=-1):
+        out = self.data[self.at :] if n is None or n < 0 else self.data[self.at : self.at + n]
+        self.at += len(out)
+        self.bytes_read += len(out)
+        return out
+
+
+def test_single_members_are_read_by_the_directory():
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("large.bin", bytes(5_000_000))
+        for i in range(20):
+            z.writestr(f"in/{i}.jpg", b"%d" % i * 100)
+    f = Counted(buffer.getvalue())
+    got = list(ranges.parts_of("x/m.ZIP", (".jpg",), lambda _: f))
+    assert [(a, m, len(c)) for a, m, c in got] == [("x/m.ZIP", f"in/{i}.jpg", len(str(i)) * 100) for i in range(20)]
+    assert f.bytes_read < 100_000 < len(f.data)
+
+
+def test_first_bytes_of_files_that_no_row_could_hold(spark, tmp_path):
+    put(tmp_path / "big", "train/a b/1.jpg", "val/a/2.jpg", "test/a/3.jpg", data=b"\xff\xd8\xff\xe0")
+    with open(tmp_path / "big/train/a b/1.jpg", "r+b") as f:
+        f.truncate(5 << 30)  # 5 GB without a block on disk
+    put(tmp_path / "big", "val/a/bad.jpg", data=b"GIF8")
+    items, problems = scan.scan_with_problems(spark, str(tmp_path / "big"))
+    assert sorted((r.split, r.cls, r.bytes) for r in items.collect()) == [("test", "a", 4), ("train", "a b", 5 << 30), ("val", "a", 4)]
+    assert [tuple(r) for r in scan.dropped(problems).collect()] == [("UNREADABLE", 1)]
+    assert ranges.reachable("file:///x") and ranges.reachable("/x") and ranges.reachable("s3a://b/x") and not ranges.reachable("viewfs://s/x")
+    gone = spark.createDataFrame([("file:/nowhere/x.jpg",)], "path string")
+    assert ranges.first_bytes(gone, 8).first()["start"] is None
