@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions import keys
 from ..operators import calibrate, duplicates, leakage, metrics, partition, runs, sessionize, similarity
+from ..sources.shared import kept
 from .registry import Tables, query, rounded
 
 DAY = 86_400_000_000
@@ -601,8 +602,9 @@ TAUS = [0.2, 0.25, 0.3, 0.35, 0.4]
 
 
 def swept(t: Tables) -> DataFrame:
+    """Written once within a scope, for all queries that ask for it."""
     v = vectors(t)
-    return similarity.sweep(v, similarity.cosine_pairs(v, "key", "cls", "v", min(TAUS), linking=True), "key", "cls", "score", TAUS)
+    return kept("sweep", t.embeddings, tuple(TAUS), lambda: similarity.sweep(v, similarity.cosine_pairs(v, "key", "cls", "v", min(TAUS), linking=True), "key", "cls", "score", TAUS))
 
 
 _SWEPT = "(" + " UNION ALL ".join(f"SELECT {x}::DOUBLE AS threshold, * FROM ({_linked(_PAIRS, _EM, f'score >= {x}')})" for x in TAUS) + ")"

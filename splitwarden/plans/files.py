@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import io
 import json
-import uuid
 import zipfile
 
 import numpy as np
@@ -19,7 +18,7 @@ from ..functions import kernels as K
 from ..functions import keys
 from ..operators import sessionize
 from ..sources import scan, tables
-from ..sources.shared import shared_dir
+from ..sources.shared import new_path
 from . import catalogue as C
 from .registry import Tables, query, rounded
 
@@ -39,7 +38,7 @@ def split_of(k: int) -> str:
 
 def tree(t: Tables, files: dict[str, bytes]) -> str:
     """A new folder with these files."""
-    root, sc = f"{shared_dir(t.spark)}/tree-{uuid.uuid4().hex}", t.spark.sparkContext
+    root, sc = new_path(t.spark, "tree"), t.spark.sparkContext
     fs = None
     for name, data in files.items():
         path = sc._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
@@ -138,7 +137,7 @@ def s16_mapped_classes(t):
 @query(f"SELECT key, digest FROM {C._DOC}")
 def s18_cached_digests(t):
     """A cache of digests, half of it from an earlier call: only rows that it lacks are added."""
-    items, path = C.docs(t).select("key", "digest"), f"{shared_dir(t.spark)}/cache-{uuid.uuid4().hex}"
+    items, path = C.docs(t).select("key", "digest"), new_path(t.spark, "cache")
     scan.stored(items.where("key % 2 = 0"), path, ["key"])
     return scan.stored(items, path, ["key"]).select("key", "digest")
 
@@ -153,7 +152,7 @@ _MANIFEST = "(SELECT lang AS cls, doc_id || '.jpg' AS file, 's:' || source AS se
 
 @query(f"SELECT * FROM {_MANIFEST}")
 def s9_read_manifest(t):
-    path = f"{shared_dir(t.spark)}/manifest-{uuid.uuid4().hex}"
+    path = new_path(t.spark, "manifest")
     tables.write_csv(manifest_of(t), path)
     return tables.read_manifest(t.spark, path).select("cls", "file", "session")
 
@@ -229,7 +228,7 @@ def s13_run_folders(t):
 
 @query(rounded(f"SELECT mode, model, seed::DOUBLE AS seed, macro_F1, accuracy FROM {C._RUN}", "macro_F1", "accuracy"))
 def s14_csv_sink(t):
-    path = f"{shared_dir(t.spark)}/results-{uuid.uuid4().hex}"
+    path = new_path(t.spark, "results")
     tables.write_csv(C.line_runs(t), path)
     return tables.read_results(t.spark, path, ("mode", "model"))
 
@@ -242,7 +241,7 @@ def s14_markdown(t):
 
 @query(f"SELECT key, cls, split FROM {C._DOCP}")
 def s15_tree_sink(t):
-    path = f"{shared_dir(t.spark)}/tree-{uuid.uuid4().hex}"
+    path = new_path(t.spark, "tree")
     tables.write_tree(C.doc_split(t).select("key", "cls", "split"), path)
     return t.spark.read.parquet(path).select("key", "cls", "split")
 
@@ -250,7 +249,7 @@ def s15_tree_sink(t):
 @query(f"SELECT row_number() OVER (ORDER BY cls, session, file) AS place, cls, session, file FROM {_MANIFEST}")
 def o2_sorted_manifest(t):
     """The place of each row in the file that a sorted manifest is written to."""
-    path = f"{shared_dir(t.spark)}/manifest-{uuid.uuid4().hex}"
+    path = new_path(t.spark, "manifest")
     tables.sorted_manifest(manifest_of(t)).write.parquet(path)
     # Parts are named in order; rows keep theirs within a part.
     back = t.spark.read.parquet(path).select("cls", "session", "file", F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("at"))
