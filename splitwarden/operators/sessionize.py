@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import capture_key
 from ..functions.kernels import haversine, metres_apart
-from .ranking import runs
+from ..sources.shared import remove, written
+from .components import connected_components
+from .ranking import numbered, runs
 
-#: Items that place_leaders takes as one sequence.
-LEADERS = 100_000
+#: Items of an island that place_leaders takes as one sequence.
+LEADERS = 1_000_000
 
 #: The rules of the sensitivity table: name, gap, across classes.
 RULES = (("gap1", 1, False), ("gap3", 3, False), ("gap3_cross", 3, True), ("gap10", 10, False), ("gap10_cross", 10, True))
@@ -88,47 +91,13 @@ def date_groups(df: DataFrame, stamp: str, out: str = "day") -> DataFrame:
     return df.withColumn(out, F.split(F.col(stamp).cast("string"), " ")[0])
 
 
-def place_leaders(df: DataFrame, key: str, lat: str, lon: str, metres: float = 300.0, by: str | None = None) -> DataFrame:
-    """Adds place: leader clustering in key order, each item to the first cluster whose running centroid is near.
-
-    The result depends on the order, so each group of ``by`` (an area, a survey) is one sequential task; a group
-    must fit into one. Without by the whole table is one, of LEADERS items at most. Clusters are numbered by size.
-    """
-    import pandas as pd
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, kind="stable").reset_index(drop=True)
-        centres, labels = np.zeros((len(pdf), 3)), np.full(len(pdf), -1)
-        n = 0
-        for row, (a, b) in enumerate(zip(pdf[lat].astype(float), pdf[lon].astype(float), strict=True)):
-            if np.isnan(a) or np.isnan(b):
-                continue
-            near = metres_apart(a, b, centres[:n, 0], centres[:n, 1]) <= metres
-            at = int(near.argmax()) if near.any() else n
-            n = max(n, at + 1)
-            many = centres[at, 2]
-            centres[at] = (centres[at, 0] * many + a) / (many + 1), (centres[at, 1] * many + b) / (many + 1), many + 1
-            labels[row] = at
-        place = np.empty(n + 1, int)
-        place[np.argsort(-centres[:n, 2], kind="stable")] = np.arange(n)
-        pdf["place"] = pd.array([place[x] if x >= 0 else None for x in labels], dtype="Int64")
-        return pdf
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", place long"
-    if by is None and df.limit(LEADERS + 1).count() > LEADERS:
-        raise ValueError(f"more than {LEADERS} items: name areas in by, each of which one task goes through in order")
-    keyed = df.withColumn("__by", F.col(by) if by else F.lit(1))
-    return keyed.groupBy("__by").applyInPandas(lambda pdf: cluster(pdf.drop(columns="__by")), schema)
-
+def _grid(metres: float) -> tuple[float, Callable[[Column], Column], Callable[[Column, Column], Column]]:
+    """size (degrees of latitude of a band), parts(band): into how many parts a band's circle of longitude is cut, and
+    part(longitude, parts). Two places within the distance are in one part, or in parts next to each other.
 
-def place_links(df: DataFrame, key: str, lat: str, lon: str, metres: float = 300.0) -> DataFrame:
-    """Pairs of items within a distance, by a grid join on cells at least as large as the distance.
-
-    A cell is a band of latitude and, within it, a part of the circle of longitude, whose number wraps around at the
-    180th meridian. Bands near a pole, where a part would be more than a third of the circle, are one cell.
+    Bands near a pole, where a part would be more than a third of the circle, are one part.
     """
     size = metres / 111_194.0 * 1.001
-    cells = df.select(F.col(key).alias("a"), F.col(lat).alias("x"), F.col(lon).alias("y")).where("x is not null and y is not null")
 
     def parts(band: Column) -> Column:
         # The widest a band's neighbours get: a point of it, or of the bands next to it, this near a pole.
@@ -140,9 +109,137 @@ def place_links(df: DataFrame, key: str, lat: str, lon: str, metres: float = 300
     def part(y: Column, many: Column) -> Column:
         return F.least(F.floor(F.pmod(y + 180, F.lit(360.0)) / 360 * many), many - 1).cast("long")
 
+    return size, parts, part
+
+
+def _around(x: Column, y: Column, metres: float) -> Column:
+    """The parts (band, part) that a place's neighbours may be in, its own included."""
+    size, parts, part = _grid(metres)
+    bands = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda i: (F.floor(x / size) + i).cast("long"))
+    near = lambda b: F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(part(y, parts(b)) + d, parts(b))))
+    return F.flatten(F.transform(bands, lambda b: F.transform(near(b), lambda q: F.struct(b.alias("band"), q.alias("part")))))
+
+
+#: Levels of the grids that boxes meet in: each has twice the width of the one before, the last one is the globe.
+_LEVELS = 30
+
+
+def _touching(boxes: DataFrame, metres: float) -> DataFrame:
+    """u, v: boxes of one area (id, area, lo_x, hi_x, lo_y, hi_y) that may hold points within the distance of each other.
+
+    A box is widened by the distance, and cut at the 180th meridian. It is on the level whose parts are as wide as it,
+    so that it lies in four of them at most; boxes meet in the parts of the larger one's level.
+    """
+    size = metres / 111_194.0 * 1.001
+    far = F.least(F.greatest(F.abs("lo_x"), F.abs("hi_x")) + 2 * size, F.lit(90.0))
+    ratio = F.sin(F.radians(F.lit(size))) / F.greatest(F.cos(F.radians(far)), F.lit(1e-9))
+    reach = F.when(ratio >= 1, 360.0).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))))
+    wide = boxes.select("id", "area", (F.col("lo_x") - size).alias("a"), (F.col("hi_x") + size).alias("b"), (F.col("lo_y") - reach).alias("c"), (F.col("hi_y") + reach).alias("d"))
+    turned = F.array(*(F.struct((F.greatest(F.col("c") + t, F.lit(-180.0))).alias("c"), F.least(F.col("d") + t, F.lit(180.0)).alias("d")) for t in (0.0, 360.0, -360.0)))
+    wide = wide.select("id", "area", "a", "b", F.inline(turned)).where("c <= d")
+    plain = boxes.select("id", "area", F.col("lo_x").alias("a"), F.col("hi_x").alias("b"), F.col("lo_y").alias("c"), F.col("hi_y").alias("d"))
+
+    def on_levels(df: DataFrame, side: str, all_levels: bool) -> DataFrame:
+        extent = F.greatest(F.col("b") - F.col("a"), F.col("d") - F.col("c"))
+        own = F.greatest(F.lit(0), F.least(F.lit(_LEVELS), F.ceil(F.log2(F.greatest(extent / size, F.lit(1.0)))))).cast("int")
+        levels = F.sequence(own, F.lit(_LEVELS)) if all_levels else F.array(own)
+        each = df.withColumn("level", F.explode(levels)).withColumn("w", F.pow(F.lit(2.0), F.col("level")) * size)
+        at = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / F.col("w")), F.floor(F.col(hi) / F.col("w"))))
+        each = each.withColumn("i", at("a", "b")).withColumn("j", at("c", "d"))
+        return each.select("area", "level", "i", "j", *(F.col(x).alias(f"{side}_{x}") for x in ("id", "a", "b", "c", "d")))
+
+    found = None
+    for large, small in ((on_levels(wide, "u", False), on_levels(plain, "v", True)), (on_levels(wide, "u", True), on_levels(plain, "v", False))):
+        met = large.join(small, ["area", "level", "i", "j"]).where("u_id <> v_id and u_a <= v_b and v_a <= u_b and u_c <= v_d and v_c <= u_d")
+        met = met.select(F.col("u_id").alias("u"), F.col("v_id").alias("v"))
+        found = met if found is None else found.unionByName(met)
+    return found.distinct()
+
+
+def islands(df: DataFrame, lat: str, lon: str, metres: float, area: str) -> DataFrame:
+    """Adds __island to rows with a place: the bounding boxes of two islands of an area are further apart than the distance.
+
+    Parts of a fine grid that are occupied and next to each other are linked; the boxes of what is linked are joined
+    while they are near. Only parts and boxes are joined, never places with places.
+    """
+    size, parts, part = _grid(metres)
+    x, y = F.col(lat).cast("double"), F.col(lon).cast("double")
+    node = lambda band, q: F.xxhash64(area, band.cast("long"), q)  # noqa: E731  (two parts of one hash only make an island larger)
+    placed = df.withColumn("__node", node(F.floor(x / size), part(y, parts(F.floor(x / size)))))
+    near = placed.select(F.col("__node").alias("u"), F.col(area).alias(area), F.explode(_around(x, y, metres)).alias("c"))
+    near = near.select("u", node(F.col("c.band"), F.col("c.part")).alias("v")).distinct()
+    there = placed.select(F.col("__node").alias("v")).distinct()
+    comp = connected_components(near.join(there, "v"), "u", "v")
+    while True:
+        told = placed.join(comp, placed["__node"] == comp["node"]).groupBy(F.col("component").alias("id"), F.col(area).alias("area"))
+        boxes = written(told.agg(F.min(x).alias("lo_x"), F.max(x).alias("hi_x"), F.min(y).alias("lo_y"), F.max(y).alias("hi_y")), "boxes")
+        links = written(_touching(boxes, metres), "near_boxes")
+        merged = links.limit(1).count() > 0
+        if merged:
+            joined = connected_components(links, "u", "v").select(F.col("node").alias("component"), F.col("component").alias("least"))
+            before, comp = comp, written(comp.join(joined, "component", "left").select("node", F.coalesce("least", "component").alias("component")), "islands")
+            remove(before)
+        remove(boxes)
+        remove(links)
+        if not merged:
+            return placed.join(comp, placed["__node"] == comp["node"]).select(*df.columns, F.col("component").alias("__island"))
+
+
+def _followed(pdf: pd.DataFrame, metres: float) -> pd.DataFrame:
+    """Leader clustering of one island in key order: key, area, island and the key of the cluster's first item."""
+    pdf = pdf.sort_values("__key", kind="stable").reset_index(drop=True)
+    centres, labels = np.zeros((len(pdf), 3)), np.zeros(len(pdf), np.int64)
+    n, first = 0, []
+    for row, (a, b) in enumerate(zip(pdf["__lat"], pdf["__lon"], strict=True)):
+        near = metres_apart(a, b, centres[:n, 0], centres[:n, 1]) <= metres
+        at = int(near.argmax()) if near.any() else n
+        if at == n:
+            first.append(row)
+            n += 1
+        many = centres[at, 2]
+        centres[at] = (centres[at, 0] * many + a) / (many + 1), (centres[at, 1] * many + b) / (many + 1), many + 1
+        labels[row] = at
+    pdf["__first"] = pdf["__key"].to_numpy()[np.array(first, int)[labels]]
+    return pdf[["__key", "__area", "__island", "__first"]]
+
+
+def place_leaders(df: DataFrame, key: str, lat: str, lon: str, metres: float = 300.0, by: str | None = None) -> DataFrame:
+    """Adds place: leader clustering in key order, each item to the first cluster whose running centroid is near.
+
+    The result depends on the order of items that can meet: a centroid stays in the bounding box of its items, so that
+    islands whose boxes are further apart than the distance (see islands), within each area if ``by`` names one, are
+    sequences of their own, each a task. An island of more than LEADERS items is refused beforehand. Clusters are
+    numbered by size, then by their first item; keys must name items. Items without a place have none.
+    """
+    x, y = F.col(lat).cast("double"), F.col(lon).cast("double")
+    there = x.isNotNull() & y.isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    area = F.struct(F.col(by)) if by else F.struct(F.lit(1))
+    items = df.where(there).select(F.col(key).alias("__key"), area.alias("__area"), x.alias("__lat"), y.alias("__lon"))
+    split = written(islands(items, "__lat", "__lon", metres, "__area"), "places")
+    largest = split.groupBy("__area", "__island").count().agg(F.max("count")).first()[0] or 0
+    if largest > LEADERS:
+        raise ValueError(f"an island of {largest} items, more than {LEADERS}: name areas in by, each of which is divided by itself")
+    kinds = dict(split.dtypes)
+    schema = f"__key {kinds['__key']}, __area {kinds['__area']}, __island long, __first {kinds['__key']}"
+    found = split.groupBy("__area", "__island").applyInPandas(lambda pdf: _followed(pdf, metres), schema)
+    found = written(found.drop("__island"), "leaders")
+    remove(split)
+    clusters = found.groupBy("__area", "__first").agg(F.count(F.lit(1)).alias("__size"))
+    named = numbered(clusters, ["__area"], F.struct(-F.col("__size"), F.col("__first")), ["__first"], count=None)
+    labels = found.join(named.select("__area", "__first", (F.col("__r") - 1).alias("place")), ["__area", "__first"]).select("__key", F.col("__area").alias("__of"), "place")
+    whole = df.withColumn("__by", area)
+    return whole.join(labels, (whole[key] == labels["__key"]) & (whole["__by"] == labels["__of"]), "left").select(*(whole[c] for c in df.columns), "place")
+
+
+def place_links(df: DataFrame, key: str, lat: str, lon: str, metres: float = 300.0) -> DataFrame:
+    """Pairs of items within a distance, by a grid join on cells at least as large as the distance.
+
+    A cell is a band of latitude and, within it, a part of the circle of longitude, whose number wraps around at the
+    180th meridian.
+    """
+    size, parts, part = _grid(metres)
+    cells = df.select(F.col(key).alias("a"), F.col(lat).alias("x"), F.col(lon).alias("y")).where("x is not null and y is not null")
     here = cells.withColumn("band", F.floor(F.col("x") / size)).withColumn("part", part(F.col("y"), parts(F.col("band"))))
-    bands = cells.select(F.col("a").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.explode(F.array(*(F.floor(F.col("x") / size) + i for i in (-1, 0, 1)))).alias("band"))
-    many = parts(F.col("band"))
-    around = bands.select("b", "x2", "y2", "band", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(part(F.col("y2"), many) + d, many)))).alias("part"))
+    around = cells.select(F.col("a").alias("b"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.inline(_around(F.col("x"), F.col("y"), metres)))
     near = here.join(around, ["band", "part"]).where("a < b")
     return near.withColumn("metres", haversine(F.col("x"), F.col("y"), F.col("x2"), F.col("y2"))).where(F.col("metres") <= metres).select("a", "b", "metres")

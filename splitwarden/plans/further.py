@@ -40,6 +40,27 @@ def g7_place_leaders(t):
     return sessionize.place_leaders(p, "key", "lat", "lon", 300.0, "area").select("key", "area", "place")
 
 
+_SPOTS = "(SELECT c_custkey AS key, c_nationkey AS area, c_nationkey + (c_custkey * 7919 % 997) / 60000.0::DOUBLE AS lat, (c_custkey * 104729 % 1009) / 60000.0::DOUBLE AS lon FROM customer)"
+_NEAR = "2 * 6371000.0::DOUBLE * asin(sqrt(least(1.0, pow(sin((radians(z.x) - radians(s.lat)) / 2), 2) + cos(radians(s.lat)) * cos(radians(z.x)) * pow(sin((radians(z.y) - radians(s.lon)) / 2), 2)))) <= 300"
+
+
+# One item after the other, for all areas spot once: the centroids so far are a list, and the first near one takes the item.
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY key) AS i FROM {_SPOTS}),
+  r(area, i, key, spot, centres) AS (
+    SELECT area, i, key, 1::BIGINT, [struct_pack(x := lat, y := lon, n := 1::DOUBLE)] FROM s WHERE i = 1
+    UNION ALL
+    SELECT area, i, key, spot, CASE WHEN spot > len(centres) THEN list_append(centres, struct_pack(x := lat, y := lon, n := 1::DOUBLE))
+           ELSE list_concat(list_append(centres[:spot - 1], struct_pack(x := (centres[spot].x * centres[spot].n + lat) / (centres[spot].n + 1), y := (centres[spot].y * centres[spot].n + lon) / (centres[spot].n + 1), n := centres[spot].n + 1)), centres[spot + 1:]) END
+    FROM (SELECT s.area, s.i, s.key, s.lat, s.lon, r.centres, coalesce(list_position(list_transform(r.centres, lambda z: {_NEAR}), true), len(r.centres) + 1)::BIGINT AS spot FROM r JOIN s ON s.area = r.area AND s.i = r.i + 1)),
+  c AS (SELECT area, spot, row_number() OVER (PARTITION BY area ORDER BY count(*) DESC, spot) - 1 AS place FROM r GROUP BY area, spot)
+  SELECT r.key, r.area, c.place FROM r JOIN c ON c.area = r.area AND c.spot = r.spot""")
+def g7_place_leaders_spots(t):
+    """Leader clusters of places spread over some kilometres in each nation."""
+    k = F.col("c_custkey")
+    p = t.customer.select(k.alias("key"), F.col("c_nationkey").alias("area"), (F.col("c_nationkey") + (k * 7919 % 997) / 60000.0).alias("lat"), ((k * 104729 % 1009) / 60000.0).alias("lon"))
+    return sessionize.place_leaders(p, "key", "lat", "lon", 300.0, "area").select("key", "area", "place")
+
+
 _PLACES = "(SELECT c_custkey AS key, (c_custkey % 90)::DOUBLE AS lat, CASE WHEN c_custkey % 2 = 0 THEN 179.999 ELSE -179.9995 END::DOUBLE + (c_custkey % 7) / 10000.0::DOUBLE AS lon FROM customer)"
 
 

@@ -343,3 +343,36 @@ def test_one_way_anova(spark):
         density = np.exp(log - math.lgamma(m / 2) - math.lgamma(n / 2) + math.lgamma((m + n) / 2))
         tail = density[t >= f].sum() / 400_000
         assert kernels._beta_tail(n / (n + m * f), n / 2, m / 2) == pytest.approx(tail, abs=2e-3 if m == 1 else 2e-5)
+
+
+def one_after_the_other(rows, metres):
+    """key -> (first key of its cluster), and the numbers of clusters by size."""
+    centres, of = [], {}
+    for key, lat, lon in sorted(rows):
+        at = next((i for i, (x, y, *_) in enumerate(centres) if kernels.metres_apart(lat, lon, np.array([x]), np.array([y]))[0] <= metres), None)
+        if at is None:
+            centres.append([lat, lon, 1, key])
+            at = len(centres) - 1
+        else:
+            x, y, n, first = centres[at]
+            centres[at] = [(x * n + lat) / (n + 1), (y * n + lon) / (n + 1), n + 1, first]
+        of[key] = at
+    place = {at: i for i, at in enumerate(sorted(range(len(centres)), key=lambda i: (-centres[i][2], i)))}
+    return {k: place[at] for k, at in of.items()}
+
+
+def test_leaders_by_islands_are_those_of_one_sequence(spark):
+    rnd = random.Random(7)
+    spots = [(rnd.gauss(10, 0.01), rnd.gauss(20, 0.01)) for _ in range(150)]  # one island
+    spots += [(a + rnd.uniform(-0.004, 0.004), b + rnd.uniform(-0.004, 0.004)) for a, b in ((50, 8), (50, 8.5), (-33, 151), (0, 0)) for _ in range(25)]
+    spots += [(rnd.uniform(-0.002, 0.002), rnd.choice([179.999, -179.999]) + rnd.uniform(-0.0009, 0.0009)) for _ in range(30)]  # centroids far from their items
+    spots += [(0.0, 60.0 + 0.001 * i) for i in range(3)]  # inside the box that the island across the meridian has
+    spots += [(89.999, rnd.uniform(-180, 180)) for _ in range(10)] + [(45 + 0.002 * i, 5 + 0.002 * i) for i in range(40)] + [(45.04, 5.001), (45.002, 5.078)]
+    rows = [(i, *x) for i, x in enumerate(rnd.sample(spots, len(spots)))]
+    df = spark.createDataFrame([*rows, (9000, None, 1.0), (9001, float("nan"), 1.0)], "key long, lat double, lon double").repartition(3)
+    got = {r.key: r.place for r in sessionize.place_leaders(df, "key", "lat", "lon").collect()}
+    assert got.pop(9000) is None and got.pop(9001) is None
+    assert got == one_after_the_other(rows, 300.0)
+    split = sessionize.islands(df.where("key < 9000").withColumn("area", F.lit(1)), "lat", "lon", 300.0, "area").groupBy("__island").count().collect()
+    assert len(split) >= 6 and max(r["count"] for r in split) < 200
+    assert sessionize.place_leaders(df.limit(0), "key", "lat", "lon").collect() == []
