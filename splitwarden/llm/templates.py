@@ -11,9 +11,11 @@ Where they do not, the slots at odds also rule out the other windows of that ali
 no more. In a run of windows with twice ``width`` plain tokens slots may be at odds. So re-parameterised questions
 are found, and texts that share only their layout are not.
 Template windows count only with a slot and at least ``least_words`` tokens that are none, one by default: slots
-alone are no template, and how many more words there are is left to the slot check.
+alone are no template, and how many more words there are is left to the slot check. Where all values of a window differ
+the slot check has nothing to go by: the query and the pipeline ask for ``PLAIN`` words, so that two lists of numbers
+that share one word beside them are not taken for one another.
 
-Items shorter than a window are one window of their own length; items below ``shortest`` tokens never match.
+Items shorter than a window are one window of their own length; items below ``shortest`` tokens (6 by default) never match.
 Null and empty texts have no windows. Rows that repeat a doc_id or item_id are texts of their own; the result
 names the id once. A null id is an id.
 """
@@ -37,6 +39,8 @@ UNITS = "mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g
 OPENERS = "a about after all an and another are as at because before both but by can could did do does during each every find for from give given has have her here his how however if in into is it its many most my name no not now of on once one only or our over same she he since so some such than that the their then there these they this those though through to two three four five six seven eight nine ten under until up was we were what when where whether which while who whom whose why with without would you your le la les un une des du ce cette il elle ils elles nous vous si et ou mais dans sur pour quand que qui combien quel quelle der die das ein eine den dem und oder aber wenn wie was wer wo warum wann in im mit von zu auf es er sie wir el los las una unos unas y o pero cuando donde como quien cuanto cuantos por para con en su"
 #: Numbers in words.
 NUMBERS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice thrice"
+#: Tokens that are no slots, in template windows of the query and the pipeline.
+PLAIN = 2
 #: Window hashes that may be broadcast to skip documents' windows early: 16 MB.
 MANY = 2_000_000
 
@@ -150,14 +154,14 @@ def windows(data: np.ndarray, offs: np.ndarray, width: int, least_words: int, le
             yield form, w, row[at], T.mix(T.rolled(values, w)[at] + np.uint64(3 * w + form)), at - upto[row[at]], at
 
 
-def _emitted(width: int, least_words: int, lengths: tuple[int, ...], whole: bool, keys: tuple[str, ...], known=None):
+def _emitted(width: int, least_words: int, lengths: tuple[int, ...], whole: bool, keys: tuple[str, ...], known=None, shortest: int = 6):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if known is None else known.value
         for batch in batches:
             named = [T.ints(batch, key) for key in keys]
             for rows, data, offs in T.chunks(batch):
                 parsed = tokens(data, offs)
-                for form, w, row, h, pos, at in windows(data, offs, width, least_words, lengths, whole, parsed=parsed):
+                for form, w, row, h, pos, at in windows(data, offs, width, least_words, lengths, whole, shortest, parsed):
                     if wanted is not None:
                         if not len(wanted):
                             continue
@@ -206,7 +210,7 @@ def _judged(width: int):
     return judge
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1, shortest: int = 6) -> DataFrame:
     """doc_id, k, item_id, n_windows: texts and the items of which one alignment holds so many different windows."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -220,12 +224,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words:
     # Lengths of short items: fewer than width different ones.
     lengths = tuple(r.n for r in items.mapInArrow(counted, "n long").distinct().collect())
     schema = f"item_id long, {WINDOW}"
-    asked = items.mapInArrow(_emitted(width, least_words, lengths, True, ("item_id",)), schema)
+    asked = items.mapInArrow(_emitted(width, least_words, lengths, True, ("item_id",), shortest=shortest), schema)
     some = asked.select("h").distinct().limit(MANY + 1).toPandas().h.to_numpy(np.int64)
     # A benchmark of bounded size spares the shuffle of all windows; a larger one is joined by the hash alone.
     known = spark.sparkContext.broadcast(np.sort(some.view(np.uint64))) if len(some) <= MANY else None
     texts = T.keyed(docs)
-    found = texts.mapInArrow(_emitted(width, least_words, lengths, False, ("doc_id", "k"), known), f"doc_id long, k long, {WINDOW}")
+    found = texts.mapInArrow(_emitted(width, least_words, lengths, False, ("doc_id", "k"), known, shortest), f"doc_id long, k long, {WINDOW}")
     both = found.drop("places").withColumnsRenamed({"pos": "at", "slots": "values"}).join(asked, ["h", "form"])
     # Windows of one alignment of a text with an item are judged together. Windows of the plain form have no slots.
     aligned = both.where(F.size("slots") == F.size("values")).groupBy("doc_id", "k", "item_id", "form", (F.col("at") - F.col("pos")).alias("shift"))
@@ -233,15 +237,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words:
     return judged.where("n_windows > 0").groupBy("doc_id", "k", "item_id").agg(F.max("n_windows").alias("n_windows"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1, least_windows: int = 1) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1, least_windows: int = 1, shortest: int = 6) -> DataFrame:
     """doc_id, item_id, n_windows: one row for each document and item that it holds at least in part."""
-    hits = matches(docs, benchmark, width, least_words).where(F.col("n_windows") >= least_windows)
+    hits = matches(docs, benchmark, width, least_words, shortest).where(F.col("n_windows") >= least_windows)
     return hits.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"))
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1, least_windows: int = 1) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 13, least_words: int = 1, least_windows: int = 1, shortest: int = 6) -> DataFrame:
     """The documents that hold no item, with all their columns, whatever their names."""
-    hits = matches(docs, benchmark, width, least_words).where(F.col("n_windows") >= least_windows).select("doc_id", "k").distinct()
+    hits = matches(docs, benchmark, width, least_words, shortest).where(F.col("n_windows") >= least_windows).select("doc_id", "k").distinct()
     doc_id = F.col("doc_id").cast("long")
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc_id.alias("doc_id"), F.xxhash64(doc_id, F.col("text").cast("string")).alias("k"))
     return keyed.join(hits, T.same_row(keyed, hits), "left_anti").select("row.*")

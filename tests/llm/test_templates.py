@@ -1,3 +1,4 @@
+from splitwarden.llm import templates
 from splitwarden.llm.templates import contaminated, without_contaminated
 
 DOCS = "doc_id long, text string, k string, h long, pos int"
@@ -82,3 +83,21 @@ def test_numbers_in_words_and_null_items(spark):
     items = [(1, "Ann sold three red and twelve blue kites"), (None, PLAIN), (3, None), (3, None)]
     docs = [(1, "so Kim sold seventeen red and two blue kites"), (2, "Kim sold some red and many blue kites"), (3, PLAIN), (3, PLAIN)]
     assert found(spark, docs, items) == ({(1, 1), (3, None)}, {2})
+
+
+def test_lists_that_share_one_word_are_not_taken_for_one_another(spark):
+    numbers = lambda first, step: " ".join(str(first + step * i) for i in range(12))
+    items = [(1, f"Table {numbers(3, 5)} total"), (2, QUESTION), (3, "sum 1 2 3 4 5 6 7 and 8 9 10 11 12 13 14 of all"), (4, "What is 48 times 37 plus 12?")]
+    docs = [
+        (1, f"Row {numbers(101, 7)} total"), (2, QUESTION.replace("120", "77").replace("45", "8,5")), (3, "sum 20 30 40 50 60 70 80 and 90 21 31 41 51 61 71 of all"),
+        (4, "so then: What is 51 times 62 plus 70? and on"), (5, f"Table {numbers(3, 5)} total"),
+    ]
+    strict = {"least_words": templates.PLAIN}
+    assert found(spark, docs, items, **strict) == ({(2, 2), (3, 3), (4, 4), (5, 1)}, {1})
+    assert (1, 1) in found(spark, docs[:1], items)[0]
+
+
+def test_shortest_items(spark):
+    items, docs = [(1, "add 4 and 5")], [(1, "now add 4 and 5 again"), (2, "add 7 and 9"), (3, "add them")]
+    assert found(spark, docs, items)[0] == set()
+    assert found(spark, docs, items, shortest=4)[0] == {(1, 1), (2, 1)}
