@@ -57,7 +57,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item, or of its template with consistent slots, go. Null items and
     items below six tokens match nothing."""
-    return templates.without_contaminated(docs, _table(spark, sf_dir, "benchmark"))
+    return templates.without_contaminated(docs, _table(spark, sf_dir, "benchmark"), least_words=templates.PLAIN)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
