@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import average_ranks
+
 
 def confusion(df: DataFrame, y_true: str, y_pred: str, by: list[str] | None = None) -> DataFrame:
     """by, y_true, y_pred, n of the cells that occur."""
@@ -172,7 +174,7 @@ def average_rank(value: Column, by: list[str], partition_rows: Column) -> Column
 
 
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n, pearson, spearman (correlation of average ranks). For tables of results: ranks are global."""
-    r = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("__g", F.lit(1))
-    r = r.withColumn("__ra", average_rank(F.col(a), ["__g"], F.col(a))).withColumn("__rb", average_rank(F.col(b), ["__g"], F.col(b)))
-    return r.agg(F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("pearson"), F.corr("__ra", "__rb").alias("spearman"))
+    """n, pearson, spearman (correlation of average ranks) of rows that have both values."""
+    r = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("__a"), F.col(b).alias("__b"))
+    r = r.join(average_ranks(r, "__a", "__ra"), "__a").join(average_ranks(r, "__b", "__rb"), "__b")
+    return r.agg(F.count(F.lit(1)).alias("n"), F.corr("__a", "__b").alias("pearson"), F.corr("__ra", "__rb").alias("spearman"))

@@ -76,6 +76,18 @@ def runs(df: DataFrame, by: list[str], num: str, tie: str, gaps: list[float], ou
     return joined.select(*df.columns, F.zip_with("__local", "__before", lambda x, y: x + y).alias(out))
 
 
+def average_ranks(df: DataFrame, value: str, out: str = "rank") -> DataFrame:
+    """value, out: each distinct value with the mean place, from 1, that its rows have in ascending order.
+
+    Values are counted before they are dealt, so that one that nearly all rows have is one row.
+    """
+    per = dealt(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("__m")), value)
+    local = per.withColumn("__upto", F.sum("__m").over(Window.partitionBy("__slice").orderBy(value)))
+    sizes = per.groupBy("__slice").agg(F.sum("__m").alias("__all"))  # one row a partition
+    sizes = sizes.select("__slice", (F.sum("__all").over(Window.partitionBy(F.lit(1)).orderBy("__slice")) - F.col("__all")).alias("__before"))
+    return local.join(F.broadcast(sizes), "__slice").select(value, (F.col("__before") + F.col("__upto") - (F.col("__m") - 1) / 2.0).alias(out))
+
+
 def median(df: DataFrame, value: str, lo: float, hi: float) -> DataFrame:
     """median: one row, exact. Counts of equal widths from lo to hi tell which of them hold the middle; only their
     rows are sorted. Null values are left out; values beyond lo and hi count in the outer widths."""

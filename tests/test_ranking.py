@@ -40,3 +40,13 @@ def test_ranks_of_skewed_numbers(spark):
     assert max(sizes) < 2 * sum(sizes) / len(sizes) and len(sizes) == 4
     want = df.select("id", F.row_number().over(Window.partitionBy("cls").orderBy("x", "id")).alias("r"))
     assert ranking.numbered(df, ["cls"], F.col("x"), ["id"]).select("id", "__r").exceptAll(want).count() == 0
+
+
+def test_average_ranks(spark):
+    rnd = random.Random(2)
+    values = [rnd.choice([1.5, 1.5, 1.5, 2.0, -0.5, rnd.random()]) for _ in range(500)] + [None]
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(3)
+    known = sorted(v for v in values if v is not None)
+    want = {v: (2 * known.index(v) + known.count(v) + 1) / 2 for v in known}
+    assert {r.x: r["rank"] for r in ranking.average_ranks(df, "x").collect()} == want
+    assert ranking.average_ranks(df.limit(0), "x").collect() == []
