@@ -11,8 +11,9 @@ nearest in that space have the largest products, as |q - x|^2 = |q|^2 + M - 2 q.
   (triangle inequality), nor than (d(q,p) - d(q,p')) / 2 for another pivot p'. The first expansion evaluates
   the rings with the least bounds until they hold enough vectors, which gives each query a k-th best score; the
   second one those rings, and only those, whose bound does not exceed it. Rings left out cannot hold a result.
-* Bounds are computed from the rings' five numbers, in blocks of queries and rings; only pairs that are left meet
-  the vectors, as matrix products, and hand on k rows a query.
+* Bounds are computed from the rings' five numbers, in blocks of queries and rings. What is left is one row for a block
+  of queries and a ring, with the places of the queries in their block; the block's vectors and the ring's meet there
+  as a matrix product and hand on k rows a query. No row stands for a query and a ring, but in the first expansion.
 
 Scores are exact integers: float64 products where they stay below 2**53, int64 otherwise. Vectors that are
 null or hold null or non-finite components take no part; shorter vectors count as padded with zeros. Of rows
@@ -145,14 +146,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     asked = asked.select(F.col("vec_id").alias("query_id"), F.xxhash64("vec_id", "e").alias("row"), "e").dropDuplicates(["query_id", "row"])
     in_blocks = summary.groupBy(F.pmod(F.xxhash64("ring"), F.lit(ring_blocks)).alias("rings_of")).agg(F.collect_list(F.struct("ring", "pivot", "lo", "hi", "n")).alias("rings"))
 
-    def bounded(queries: DataFrame, chosen) -> DataFrame:
-        """query_id, row, ring, bound, n of the rings that chosen takes from each row of bounds; vectors stay behind."""
-        some = queries.groupBy(F.pmod("row", F.lit(query_blocks)).alias("of")).agg(F.collect_list(F.struct("query_id", "row", "e", "reach")).alias("qs"))
-        met = some.select("qs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ring_blocks - 1).cast("long"))).alias("rings_of")).join(in_blocks, "rings_of")
+    def in_query_blocks(queries: DataFrame, *more: str) -> DataFrame:
+        """of, qs: the queries of a block, in one order whatever is known of them."""
+        return queries.groupBy(F.pmod("row", F.lit(query_blocks)).alias("of")).agg(F.array_sort(F.collect_list(F.struct("query_id", "row", "e", *more))).alias("qs"))
+
+    def bounded(queries: DataFrame, chosen, schema: str) -> DataFrame:
+        """What chosen takes from the bounds of a block of queries and a block of rings; vectors stay behind."""
+        met = in_query_blocks(queries, "reach").select("of", "qs", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ring_blocks - 1).cast("long"))).alias("rings_of")).join(in_blocks, "rings_of")
 
         def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                qs, rs = batch.column(0), batch.column(1)
+                of, qs, rs = batch.columns
                 q_at, r_at = qs.offsets.to_numpy(), rs.offsets.to_numpy()
                 for i in range(batch.num_rows):
                     q, r = qs.values.slice(q_at[i], q_at[i + 1] - q_at[i]), rs.values.slice(r_at[i], r_at[i + 1] - r_at[i])
@@ -165,25 +169,24 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
                     reach = q.field(3).to_numpy(zero_copy_only=False).astype(float)
                     norm = np.einsum("ij,ij->i", m.astype(np.float64), m.astype(np.float64))
                     limit = np.where(np.isnan(reach), np.inf, np.sqrt(np.maximum(norm + most - 2.0 * np.nan_to_num(reach), 0)) + slack)
-                    x, y = chosen(bound, n, limit)
-                    yield pa.RecordBatch.from_arrays([pa.array(q.field(0).to_numpy()[x]), pa.array(q.field(1).to_numpy()[x]), pa.array(name[y]), pa.array(bound[x, y]), pa.array(n[y], pa.int32())], names=["query_id", "row", "ring", "bound", "n"])
+                    yield chosen(of[i].as_py(), q, name, n, bound, limit)
+
+        return met.select("of", "qs", "rings").mapInArrow(bounds, schema)
 
-        return met.select("qs", "rings").mapInArrow(bounds, "query_id long, row long, ring long, bound double, n int")
+    blocks = written(in_query_blocks(asked), "query_blocks")
 
     def evaluated(pairs: DataFrame) -> DataFrame:
-        """The k best of each pair's ring. Queries' vectors and rings' vectors are joined to the pairs that are left."""
-        full = pairs.select("query_id", "row", "ring").join(asked, ["query_id", "row"])
-        blocks = full.groupBy("ring", F.pmod("row", F.lit(query_blocks)).alias("b")).agg(F.collect_list(F.struct("query_id", "e")).alias("qs"))
+        """The k best of each ring for the queries of a block that stand at the places; pairs: of, ring, places."""
 
         def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                qs = batch.column(2)
-                at = qs.offsets.to_numpy()
+                qs, places = batch.column(2), batch.column(3)
+                at, upto = qs.offsets.to_numpy(), places.offsets.to_numpy()
                 for i in range(batch.num_rows):
                     ids = np.frombuffer(batch.column(0)[i].as_py(), np.int64)
                     v = np.frombuffer(batch.column(1)[i].as_py(), np.int64).reshape(len(ids), width)
-                    q = qs.values.slice(at[i], at[i + 1] - at[i])
-                    got = _products(_matrix(q.field(1), width, scale), v)
+                    q = qs.values.slice(at[i], at[i + 1] - at[i]).take(places.values.slice(upto[i], upto[i + 1] - upto[i]))
+                    got = _products(_matrix(q.field(2), width, scale), v)
                     found = []
                     for x, row in zip(q.field(0).to_pylist(), got, strict=True):
                         other = ids != x
@@ -191,30 +194,38 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
                         found.append((np.full(len(best), x), ids[other][best], row[other][best]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
-        return blocks.join(index, "ring").select("ids", "v", "qs").mapInArrow(scores, "query_id long, vec_id long, score long")
+        return pairs.join(blocks, "of").join(index, "ring").select("ids", "v", "qs", "places").mapInArrow(scores, "query_id long, vec_id long, score long")
 
     def best(found: DataFrame) -> DataFrame:
         one = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         return one.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
 
-    def nearest(bound: np.ndarray, n: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(of: int, q: pa.StructArray, name: np.ndarray, n: np.ndarray, bound: np.ndarray, limit: np.ndarray) -> pa.RecordBatch:
+        """Of each query the rings of least bound until they hold more than k vectors."""
         order = np.argsort(bound, axis=1, kind="stable")
         before = np.cumsum(n[order], axis=1) - n[order]
         x, place = np.nonzero(before <= k)
-        return x, order[x, place]
+        y = order[x, place]
+        own = [q.field(c).take(pa.array(x, pa.int64())) for c in range(2)]
+        return pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(x), of), pa.int64()), pa.array(x, pa.int32()), pa.array(name[y]), pa.array(bound[x, y]), pa.array(n[y], pa.int32())], names=["query_id", "row", "of", "place", "ring", "bound", "n"])
 
-    def within(bound: np.ndarray, n: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.nonzero(bound <= limit[:, None])
+    def within(of: int, q: pa.StructArray, name: np.ndarray, n: np.ndarray, bound: np.ndarray, limit: np.ndarray) -> pa.RecordBatch:
+        """Of each ring the queries that may have a result in it."""
+        y, x = np.nonzero((bound <= limit[:, None]).T)
+        rings_of, upto = np.unique(y, return_index=True)
+        places = pa.ListArray.from_arrays(pa.array(np.append(upto, len(x)), pa.int32()), pa.array(x, pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rings_of), of), pa.int64()), pa.array(name[rings_of]), places], names=["of", "ring", "places"])
 
     # The first expansion: rings by bound until those before hold more than k vectors, one of which may be the query's own.
-    near = bounded(asked.withColumn("reach", F.lit(None).cast("long")), nearest)
-    held = F.sum("n").over(Window.partitionBy("query_id", "row").orderBy("bound", "ring").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    first = written(near.withColumn("held", held).where(F.col("held") <= k).select("query_id", "row", "ring"), "first_rings")
+    near = bounded(asked.withColumn("reach", F.lit(None).cast("long")), nearest, "query_id long, row long, of long, place int, ring long, bound double, n int")
+    held = F.sum("n").over(Window.partitionBy("of", "place").orderBy("bound", "ring").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    first = written(near.withColumn("held", held).where(F.col("held") <= k).select("query_id", "row", "of", "place", "ring"), "first_rings")
+    first = first.groupBy("of", "ring").agg(F.collect_list("place").alias("places"))
     start = written(evaluated(first), "first_scores")
     reach = best(start).groupBy("query_id").agg(F.count(F.lit(1)).alias("got"), F.min("score").alias("least"))
     # The second one: the rings within reach of the k-th best score so far, or all of them where there are fewer.
     told = asked.join(reach, "query_id", "left").select("query_id", "row", "e", F.when(F.col("got") >= k, F.col("least")).alias("reach"))
-    again = bounded(told, within).join(first, ["query_id", "row", "ring"], "left_anti")
+    again = bounded(told, within, "of long, ring long, places array<int>")
     done = best(start.unionByName(evaluated(again)))
     return done.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -6,7 +6,8 @@ stretch's windows span, how often it stands in the batch, and one place. Equal w
 window can repeat only where its anchor does, and about one row in fourteen windows is enough to find every repeat.
 
 * ``append`` sorts a batch into a new run and merge-joins it with the historical runs; it returns the anchors that
-  now repeat. Before that, older runs are merged into one, so that each batch meets one historical run.
+  now repeat. Before that, runs of one size are merged two by two (``compact``), so that b batches meet log2(b)
+  historical runs at most, and a row is rewritten as often at most, however many batches come after it.
 * ``repeated`` verifies the anchors that appends have returned, and only those: stretches whose whole word sequence
   (fp and rh, 128 bits) occurs again are settled; where one anchor stands in different stretches, one of each goes
   back to its text and is compared window by window (fp and a 64-bit window hash).
@@ -92,6 +93,8 @@ class WindowIndex:
         self.spark, self.width, self.gram = spark, width, gram
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[DataFrame] = []
+        #: For each run how often its rows have been merged: it holds about 2 ** level batches.
+        self.levels: list[int] = []
         self.docs: list[DataFrame] = []
         self.hits: list[DataFrame] = []
 
@@ -106,7 +109,7 @@ class WindowIndex:
 
         The joins are merge joins of bucketed runs, of which neither side is shuffled.
         """
-        self.merge_runs()
+        self.compact()
         new = self._save(_added(self.fingerprints(docs, counted=True).repartition(self.buckets, "fp")))
         seen = new.groupBy("fp").agg(F.count(F.lit(1)).alias("variants"), F.sum("c").alias("c"), F.max("inner").alias("inner"), F.lit(False).alias("old"))
         for run in self.runs:
@@ -114,23 +117,35 @@ class WindowIndex:
             seen = seen.join(past, "fp", "left").select("fp", "variants", "c", "inner", (F.col("old") | F.col("here").isNotNull()).alias("old"))
         hits = written(seen.where("old or variants > 1 or c > 1 or inner").select("fp"), "window_hits")
         self.runs.append(new)
+        self.levels.append(0)
         self.docs.append(docs)
         self.hits.append(hits)
         return hits
 
+    def _merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """A merge join of two runs that adds the counts of equal stretches; the runs go."""
+        other = b.select(*(F.col(x).alias(f"b_{x}") for x in b.columns)).hint("merge")
+        both = a.join(other, (a["fp"] == other["b_fp"]) & (a["rh"] == other["b_rh"]), "full")
+        here = F.col("fp").isNotNull()
+        place = [F.when(here, F.col(x)).otherwise(F.col(f"b_{x}")).alias(x) for x in ("fp", "rh", *_PLACE)]
+        inner = (F.coalesce("inner", F.lit(False)) | F.coalesce("b_inner", F.lit(False))).alias("inner")
+        with partly_keyed(self.spark):
+            out = self._save(both.select(*place, inner, (F.coalesce("c", F.lit(0)) + F.coalesce("b_c", F.lit(0))).alias("c")))
+        remove(a)
+        remove(b)
+        return out
+
+    def compact(self) -> None:
+        """Merges runs of one level, as carries in a binary number."""
+        while len(self.runs) > 1 and self.levels[-1] == self.levels[-2]:
+            self.runs[-2:] = [self._merged(*self.runs[-2:])]
+            self.levels[-2:] = [self.levels[-1] + 1]
+
     def merge_runs(self) -> None:
-        """Compacts all runs into one sorted run: a merge join that adds the counts of equal stretches."""
+        """Compacts all runs into one sorted run, the latest first, which are the smallest."""
         while len(self.runs) > 1:
-            a, b = self.runs[:2]
-            other = b.select(*(F.col(x).alias(f"b_{x}") for x in b.columns)).hint("merge")
-            both = a.join(other, (a["fp"] == other["b_fp"]) & (a["rh"] == other["b_rh"]), "full")
-            here = F.col("fp").isNotNull()
-            place = [F.when(here, F.col(x)).otherwise(F.col(f"b_{x}")).alias(x) for x in ("fp", "rh", *_PLACE)]
-            inner = (F.coalesce("inner", F.lit(False)) | F.coalesce("b_inner", F.lit(False))).alias("inner")
-            with partly_keyed(self.spark):
-                self.runs[:2] = [self._save(both.select(*place, inner, (F.coalesce("c", F.lit(0)) + F.coalesce("b_c", F.lit(0))).alias("c")))]
-            remove(a)
-            remove(b)
+            self.runs[-2:] = [self._merged(*self.runs[-2:])]
+            self.levels[-2:] = [max(self.levels[-2:]) + 1]
 
     def repeated(self, hits: DataFrame | None = None) -> DataFrame:
         """Verified places of windows that stand elsewhere too: doc_id, k, start, n (n windows from start).
@@ -160,7 +175,7 @@ class WindowIndex:
         """Deletes the runs and what appends have returned."""
         for table in self.runs + self.hits:
             remove(table)
-        self.runs, self.hits, self.docs = [], [], []
+        self.runs, self.levels, self.hits, self.docs = [], [], [], []
 
 
 def _windows(width: int):

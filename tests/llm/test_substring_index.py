@@ -90,3 +90,19 @@ def test_tables_are_removed(spark):
     before = {t.name for t in spark.catalog.listTables()}
     remove_repeats(spark.createDataFrame(fixture(4), SCHEMA)).count()
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_runs_are_compacted_in_tiers(spark, monkeypatch):
+    """Eight batches: a batch's rows are rewritten three times at most, not with each batch after it."""
+    index, saved = WindowIndex(spark, 4, 2, buckets=2), []
+    save = WindowIndex._save
+    monkeypatch.setattr(WindowIndex, "_save", lambda self, df: saved.append(out := save(self, df)) or out)
+    seen = []
+    for i in range(8):
+        index.append(spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(20))), (100 + i, "all of them have these words")], "doc_id long, text string"))
+        seen.append([*index.levels])
+    assert seen == [[0], [0, 0], [1, 0], [1, 0, 0], [2, 0], [2, 0, 0], [2, 1, 0], [2, 1, 0, 0]]
+    assert len(saved) == 8 + 4
+    places = [(r.k, r.start + i) for r in index.repeated().collect() for i in range(r.n)]
+    assert len({k for k, _ in places}) == 8 and len(places) == 8 * 3
+    index.close()
