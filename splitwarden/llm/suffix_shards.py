@@ -36,6 +36,8 @@ from ..sources.shared import remove, written
 from . import _text as T
 
 _SMALL = 1 << 18
+#: Comparisons of suffixes that are finished one by one.
+_FEW = 256
 
 
 @dataclass(frozen=True)
@@ -163,6 +165,13 @@ def common_prefixes(words: np.ndarray, order: np.ndarray, enough: int, least: in
         active = active[last]
         active = active[words[heads[active]] == words[other[active]]]
     while len(active):
+        if len(active) <= _FEW:
+            # The few that go on, mostly long runs, are passed over in one step each, to the word that differs or the end.
+            for i in active.tolist():
+                a, b, left = heads[i] + shared[i], other[i] + shared[i], need[i] - shared[i]
+                apart = words[a : a + left : 8] != words[b : b + left : 8]
+                shared[i] += 8 * (int(apart.argmax()) if apart.any() else len(apart))
+            active = active[shared[active] < need[active]]
         a, b = heads[active] + shared[active], other[active] + shared[active]
         differ = words[a] ^ words[b]
         same = differ == 0
