@@ -303,7 +303,9 @@ def _compared(percent: int, most: int = 1 << 18):
             grp, size, pos, comp = (rows.column(i).to_numpy() for i in range(3, 7))
             other, asks, answers = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(7, 10))
             raw = rows.column(10).cast(pa.large_binary())
-            bits = np.frombuffer(raw.buffers()[2], np.uint64)[raw.offset * _BITS // 64 :][: len(grp) * _BITS // 64].reshape(len(grp), _BITS // 64)
+            # The bytes of a slice begin where its own first offset says.
+            first = int(np.frombuffer(raw.buffers()[1], np.int64)[raw.offset]) // 8
+            bits = np.frombuffer(raw.buffers()[2], np.uint64)[first : first + len(grp) * _BITS // 64].reshape(len(grp), _BITS // 64)
             asking = np.flatnonzero(asks)
             cell = np.searchsorted(cut, asking, "right") - 1
             upto = np.append(0, np.cumsum((cut[cell + 1] - cut[cell])))

@@ -55,6 +55,13 @@ def test_against_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_links_at_the_threshold(spark):
+    """Pairs that share exactly three quarters, found in the last cell of a task."""
+    rows = fixture(6, 40)
+    got = sorted((tuple(r) for r in components(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()), key=str)
+    assert got == brute(rows)
+
+
 def test_other_thresholds(spark):
     rows = fixture(3, 30)
     got = sorted((tuple(r) for r in components(spark.createDataFrame(rows, SCHEMA), 60, 3).collect()), key=str)
