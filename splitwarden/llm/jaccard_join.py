@@ -7,16 +7,20 @@ result: shingles that repeat within some chunk of the distinct sets are counted
 of them (``most_frequent`` at most, so that they can be broadcast) come last, by their count, the others before
 them by their hash.
 
-* Documents of equal sets form one group (a hash of the set, its size, hence equal prefixes): only groups
-  enter the join, their members are expanded at the end. The sets of the groups are written once, sorted by group.
+* Documents of equal sets are one set (two 64-bit hashes and the size decide that); the sets are written once, sorted.
+* Sets of one size with the same prefix form a group, named by one of them, its head. Each other member is verified
+  against the head; members that are not linked with it become groups of their own, so that a group is always within
+  one component. Its radius is the largest symmetric difference of the head and a member. Only groups enter the join.
 * Prefix entries are shuffled by shingle; shingles that only one group has leave at once.
 * First, in a few turns, every group proposes one hub of another component: of the first groups, in an order that
-  changes each turn, of its shingles the one with which it shares most. Verified links join components, so that
-  large sets of near copies grow together without all pairs among their members.
+  changes each turn, of its shingles the one with which it shares most. Verified links of heads join components, so
+  that large sets of near copies grow together without all pairs among their members.
 * Then, for shingles that still stand in several components, each entry outside the shingle's largest component
   is compared with all entries of other components: by size, by position and by bitmaps that bound the
-  difference of the sets from below. What passes is verified too. Entries of a frequent shingle are dealt out as a
+  difference of the sets from below, less the radii of the two groups. Entries of a frequent shingle are dealt out as a
   grid of cells of bounded size. Pairs within one component cannot change it.
+* Pairs of groups that pass are expanded: the members of one side are verified against the other side's head; where
+  none is linked, those that its radius leaves in reach are verified against its other members.
 
 Verification intersects the whole sets. Every document of the input has one row in the result.
 
@@ -66,35 +70,44 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[slice, np.ndarray
         yield rows, (both >> np.uint64(_TOKEN_BITS)).astype(np.int64), both & np.uint64((1 << _TOKEN_BITS) - 1)
 
 
-def _groups_of(row: np.ndarray, token: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Size of each row's set and a 64-bit hash of it (0 for the empty set)."""
+def _sums(per_row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Sums of consecutive values modulo 2**64, per_row[i] of them in row i."""
+    total = np.zeros(len(value) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    upto = np.append(0, np.cumsum(per_row))
+    return total[upto[1:]] - total[upto[:-1]]
+
+
+def _groups_of(row: np.ndarray, token: np.ndarray, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size of each row's set, a hash of it with so many bits (0 for the empty set), and a name for those sets whose hash
+    another set has too: 64 bits of both this hash and a second, independent one."""
     size = np.bincount(row, minlength=n)
-    total = np.zeros(len(token) + 1, np.uint64)
-    np.cumsum(T.mix(token), out=total[1:])
-    upto = np.append(0, np.cumsum(size))
-    whole = T.mix(total[upto[1:]] - total[upto[:-1]] + size.astype(np.uint64))
-    return size, np.where(size > 0, whole, np.uint64(0))
+    mixed = T.mix(token)
+    whole = T.mix(_sums(size, mixed) + size.astype(np.uint64)) >> np.uint64(64 - bits)
+    whole = np.where(size > 0, whole, np.uint64(0))
+    return size, whole, T.mix(whole ^ T.mix(_sums(size, T.mix(~mixed)) + size.astype(np.uint64)))
 
 
-def _summaries(width: int):
+def _summaries(width: int, bits: int):
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, null = T.ints(batch, "doc_id")
             keys, _ = T.ints(batch, "k")
             for rows, row, token in _sets(batch, width):
-                size, whole = _groups_of(row, token, rows.stop - rows.start)
-                yield pa.RecordBatch.from_arrays([T.long_array(ids[rows], null[rows]), T.long_array(keys[rows]), pa.array(size, pa.int32()), T.long_array(whole)], names=["doc_id", "k", "size", "grp"])
+                size, whole, name = _groups_of(row, token, rows.stop - rows.start, bits)
+                yield pa.RecordBatch.from_arrays([T.long_array(ids[rows], null[rows]), T.long_array(keys[rows]), pa.array(size, pa.int32()), T.long_array(whole), T.long_array(name)], names=["doc_id", "k", "size", "grp", "name"])
 
     return summarise
 
 
-def _whole_sets(width: int):
+def _whole_sets(width: int, bits: int, clashing: np.ndarray):
     """grp, items: each set that is not empty, six bytes a shingle, once in a chunk."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, row, token in _sets(batch, width):
-                size, whole = _groups_of(row, token, rows.stop - rows.start)
+                size, whole, name = _groups_of(row, token, rows.stop - rows.start, bits)
+                whole = np.where(np.isin(whole, clashing), name, whole) if len(clashing) else whole
                 flat = np.ascontiguousarray((token >> np.uint64(_TOKEN_BITS - 8 * _SET_BYTES)).astype("<u8")[:, None].view(np.uint8)[:, :_SET_BYTES])
                 items = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size * _SET_BYTES)).astype(np.int64)), pa.py_buffer(flat)])
                 once = np.unique(whole, return_index=True)[1]
@@ -188,22 +201,40 @@ def _least_overlap(size: np.ndarray, percent: int, both: bool) -> np.ndarray:
     return (top * size + bottom - 1) // bottom
 
 
+def _prefixes(batch: pa.RecordBatch, percent: int, order: _Order) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, size, row, pos, token) with the prefixes of consecutive rows."""
+    short = np.uint64(_TOKEN_BITS - _LEVEL_BITS)
+    for rows, size, token in _decoded(batch):
+        row = np.repeat(np.arange(len(size)), size)
+        # Level, then the shingle's highest bits; rows stay apart by the highest bits of all.
+        key = row.astype(np.uint64) << np.uint64(_TOKEN_BITS) | order.levels(token) << short | token >> np.uint64(8 * _SET_BYTES) - short
+        key.sort()
+        pos = np.arange(len(key)) - np.append(0, np.cumsum(size))[row]
+        at = np.flatnonzero(pos < (size - _least_overlap(size, percent, False) + 1)[row])
+        yield rows, size, row[at], pos[at], key[at] & np.uint64((1 << _TOKEN_BITS) - 1)
+
+
 def _entries(percent: int, order):
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        short = np.uint64(_TOKEN_BITS - _LEVEL_BITS)
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups, _ = T.ints(batch, "grp")
-            for rows, size, token in _decoded(batch):
-                row = np.repeat(np.arange(len(size)), size)
-                # Level, then the shingle's highest bits; rows stay apart by the highest bits of all.
-                key = row.astype(np.uint64) << np.uint64(_TOKEN_BITS) | order.value.levels(token) << short | token >> np.uint64(8 * _SET_BYTES) - short
-                key.sort()
-                pos = np.arange(len(key)) - np.append(0, np.cumsum(size))[row]
-                at = np.flatnonzero(pos < (size - _least_overlap(size, percent, False) + 1)[row])
-                row, pos = row[at], pos[at]
-                yield pa.RecordBatch.from_arrays([T.long_array(key[at] & np.uint64((1 << _TOKEN_BITS) - 1)), T.long_array(groups[rows][row]), pa.array(size[row], pa.int32()), pa.array(pos, pa.int32())], names=["token", "grp", "size", "pos"])
+            for rows, size, row, pos, token in _prefixes(batch, percent, order.value):
+                yield pa.RecordBatch.from_arrays([T.long_array(token), T.long_array(groups[rows][row]), pa.array(size[row], pa.int32()), pa.array(pos, pa.int32())], names=["token", "grp", "size", "pos"])
 
-    return prefixes
+    return entries
+
+
+def _alike(percent: int, order):
+    """grp, alike: each set with a hash of its size and prefix. Equal hashes only propose members."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, _ = T.ints(batch, "grp")
+            for rows, size, row, _, token in _prefixes(batch, percent, order.value):
+                alike = T.mix(_sums(np.bincount(row, minlength=len(size)), T.mix(token)) + size.astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([T.long_array(groups[rows]), T.long_array(alike)], names=["grp", "alike"])
+
+    return hashed
 
 
 def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,6 +333,7 @@ def _compared(percent: int, most: int = 1 << 18):
         for rows, cut in cells(batches):
             grp, size, pos, comp = (rows.column(i).to_numpy() for i in range(3, 7))
             other, asks, answers = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(7, 10))
+            radius = rows.column(11).to_numpy()
             raw = rows.column(10).cast(pa.large_binary())
             # The bytes of a slice begin where its own first offset says.
             first = int(np.frombuffer(raw.buffers()[1], np.int64)[raw.offset]) // 8
@@ -318,7 +350,7 @@ def _compared(percent: int, most: int = 1 << 18):
                 ok = np.flatnonzero(answers[y] & (comp[y] != comp[x]) & (~other[y] | (grp[x] < grp[y])))
                 ok = ok[_may_link(size, pos, y[ok], x[ok], percent)]
                 y, x, a = y[ok], x[ok], b
-                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64) - radius[y] - radius[x]
                 ok = apart * (100 + percent) <= (size[y].astype(np.int64) + size[x]) * (100 - percent)
                 if ok.any():
                     y, x = grp[y[ok]], grp[x[ok]]
@@ -334,11 +366,13 @@ def _compared(percent: int, most: int = 1 << 18):
 
 
 def _verified(percent: int):
+    """Of pairs y, x with their sets the links, and those that may come as near by ``slack``, if there is such a column."""
+
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, a = None, None
         for batch in batches:
             ys, xs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            keep = np.zeros(len(ys), bool)
+            apart, total = np.zeros(len(ys), np.int64), np.zeros(len(ys), np.int64)
             for i in range(len(ys)):
                 if last != ys[i]:
                     last, a = ys[i], _items(np.frombuffer(batch.column(2)[i].as_py(), np.uint8))
@@ -346,25 +380,49 @@ def _verified(percent: int):
                 small, large = (a, b) if len(a) < len(b) else (b, a)
                 at = np.searchsorted(large, small)
                 at[at == len(large)] = 0
-                both = int(np.count_nonzero(large[at] == small))
-                keep[i] = 100 * both >= percent * (len(a) + len(b) - both)
+                total[i] = len(a) + len(b)
+                apart[i] = total[i] - 2 * int(np.count_nonzero(large[at] == small))
+            # 100 * intersection >= percent * union, in terms of the symmetric difference and both sizes.
+            linked = apart * (100 + percent) <= total * (100 - percent)
+            slack = batch.schema.get_field_index("slack")
+            keep = linked if slack < 0 else (apart - batch.column(slack).to_numpy()) * (100 + percent) <= total * (100 - percent)
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ys[keep]), pa.array(xs[keep])], names=["y", "x"])
+                out = [pa.array(ys), pa.array(xs), pa.array(apart, pa.int32()), pa.array(linked), *batch.columns[4:]]
+                yield pa.RecordBatch.from_arrays(out, names=["y", "x", "apart", "linked", *batch.schema.names[4:]]).filter(pa.array(keep))
 
     return links
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are links. The sets are bucketed: only the pairs, and one side's sets with them, are shuffled."""
-    a, b = sets.select(F.col("grp").alias("y"), F.col("items").alias("a")), sets.select(F.col("grp").alias("x"), F.col("items").alias("b"))
-    return pairs.join(b, "x").join(a, "y").select("y", "x", "a", "b").mapInArrow(_verified(percent), "y long, x long")
+    """y, x, apart, linked and the further columns of the pairs that _verified keeps.
 
-
-def _candidates(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (y, x) of different components that may be linked, from entries with their component."""
+    The sets are bucketed: only the pairs, and one side's sets with them, are shuffled."""
+    further = [x for x in pairs.dtypes if x[0] not in ("y", "x")]
+    a, b = sets.select(F.col("grp").alias("y"), F.col("items").alias("a")), sets.select(F.col("grp").alias("x"), F.col("items").alias("b"))
+    both = pairs.join(b, "x").join(a, "y").select("y", "x", "a", "b", *(c for c, _ in further))
+    return both.mapInArrow(_verified(percent), ", ".join(["y long, x long, apart int, linked boolean", *(f"{c} {t}" for c, t in further)]))
+
+
+def _expanded(pairs: DataFrame, kin: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(y, x of linked groups, tables that this reads) for pairs y, x, ry, rx of groups, one of them with members besides its head."""
+    members = kin.select("head", F.col("grp").alias("member"))
+    members = members.unionByName(members.select("head", F.col("head").alias("member")).distinct())
+    left = pairs.join(members.withColumnRenamed("head", "y"), "y", "left")
+    left = left.select(F.coalesce("member", "y").alias("y"), "x", F.col("y").alias("gy"), "rx", F.coalesce("rx", F.lit(0)).alias("slack"))
+    near = written(_links(left, sets, percent).select("y", "x", "gy", "rx", "linked"), "near_heads")
+    found = near.where("linked").select("gy", "x").distinct()
+    open_ = near.where("rx is not null").join(found, ["gy", "x"], "left_anti").withColumnRenamed("x", "gx")
+    right = open_.join(kin.select(F.col("head").alias("gx"), F.col("grp").alias("x")), "gx").select("y", "x", "gy", "gx")
+    more = _links(right, sets, percent).select("gy", F.col("gx").alias("x"))
+    return found.unionByName(more).select(F.col("gy").alias("y"), "x").distinct(), [near]
+
+
+def _candidates(entries: DataFrame, sets: DataFrame, radius: DataFrame, percent: int) -> DataFrame:
+    """All pairs (y, x) of groups of different components that may hold a link, from entries with their component."""
     tokens = entries.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("n"), F.max("count").alias("largest"), F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     mixed = entries.join(tokens, "token").withColumn("other", F.col("comp") != F.col("top"))
     bits = sets.join(mixed.select("grp").distinct(), "grp", "left_semi").mapInArrow(_bitmaps, "grp long, bits binary")
+    bits = bits.join(radius, "grp", "left").select("grp", "bits", F.coalesce("radius", F.lit(0)).alias("radius"))
     # A grid of cells for each token: its rows deal out all entries, its columns those outside the largest component.
     rows, columns = F.ceil(F.col("n") / _CELL).cast("int"), F.ceil((F.col("n") - F.col("largest")) / _CELL).cast("int")
     i, j = F.pmod(F.xxhash64("grp", F.lit(1)), rows).cast("int"), F.pmod(F.xxhash64("grp", F.lit(2)), columns).cast("int")
@@ -377,28 +435,41 @@ def _candidates(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = mixed.select("token", "grp", "size", "pos", "comp", "other", rows.alias("rows"), columns.alias("columns"), i.alias("i"), j.alias("j"))
     dealt = dealt.select("token", "grp", "size", "pos", "comp", "other", F.inline(F.concat(answering, asking))).join(bits, "grp")
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("token", "i", "j", "grp", "size", "pos", "comp", "other", "asks", "answers", "bits").repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    dealt = dealt.select("token", "i", "j", "grp", "size", "pos", "comp", "other", "asks", "answers", "bits", "radius").repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
     return dealt.mapInArrow(_compared(percent), "y long, x long").distinct()
 
 
-def classes(docs: DataFrame, percent: int = 75, width: int = 5, turns: int = 3, most_frequent: int = 1 << 20) -> DataFrame:
+def classes(docs: DataFrame, percent: int = 75, width: int = 5, turns: int = 3, most_frequent: int = 1 << 20, hash_bits: int = 64) -> DataFrame:
     """doc_id, k, n_shingles, grp (documents of equal sets) and comp (documents joined by links), one row each.
 
     Two documents are linked when 100 * |intersection| >= percent * |union|. k is the key of _text.keyed.
     turns: rounds of verification against hubs before all remaining pairs; it decides the work only.
     most_frequent: shingles whose order follows their count; it decides the work only.
+    hash_bits: of a set's first hash. Hashes that sets with different second hashes share are told to all tasks: of n
+    different sets about n * n / 2 ** (hash_bits + 1), 3 at 10**10 sets; over 65,536 of them are refused.
     """
     spark = docs.sparkSession
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = T.keyed(docs)
-    summary = written(texts.mapInArrow(_summaries(width), "doc_id long, k long, size int, grp long"), "shingle_groups")
-    found = texts.select("text").mapInArrow(_whole_sets(width), "grp long, items binary")
+    summary = written(texts.mapInArrow(_summaries(width, hash_bits), "doc_id long, k long, size int, grp long, name long"), "shingle_groups")
+    clashing = [r.grp for r in summary.groupBy("grp").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select("grp").limit((1 << 16) + 1).collect()]
+    if len(clashing) > 1 << 16:
+        raise ValueError("too many sets share a hash: hash_bits is too small")
+    summary = summary.select("doc_id", "k", "size", (F.when(F.col("grp").isin(clashing), F.col("name")).otherwise(F.col("grp")) if clashing else F.col("grp")).alias("grp"))
+    found = texts.select("text").mapInArrow(_whole_sets(width, hash_bits, np.array(clashing, np.int64).view(np.uint64)), "grp long, items binary")
     sets = written_bucketed(found.repartition(parts, "grp").dropDuplicates(["grp"]), "shingle_sets", "grp", parts)
 
     order = spark.sparkContext.broadcast(_order(sets, most_frequent))
-    entries = sets.mapInArrow(_entries(percent, order), "token long, grp long, size int, pos int")
+    alike = written(sets.mapInArrow(_alike(percent, order), "grp long, alike long"), "alike")
+    heads = alike.groupBy("alike").agg(F.min("grp").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    proposed = alike.join(heads, "alike").where("grp <> y").select("y", F.col("grp").alias("x"))
+    kin = written(_links(proposed, sets, percent).select(F.col("y").alias("head"), F.col("x").alias("grp"), "apart"), "kin")
+    remove(alike)
+    radius = kin.groupBy(F.col("head").alias("grp")).agg(F.max("apart").alias("radius"))
+
+    entries = sets.join(kin.select("grp"), "grp", "left_anti").mapInArrow(_entries(percent, order), "token long, grp long, size int, pos int")
     shared = written(entries.repartition(parts, "token").sortWithinPartitions("token", "grp", "pos").mapInArrow(_shared_tokens, "token long, grp long, size int, pos int"), "prefixes")
 
     comp = tested = None
@@ -409,8 +480,7 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, turns: int = 3,
             return shared.withColumn("comp", F.col("grp"))
         return shared.join(comp.withColumnRenamed("node", "grp"), "grp", "left").select("token", "grp", "size", "pos", F.coalesce("component", "grp").alias("comp"))
 
-    def joined(pairs: DataFrame) -> DataFrame:
-        links = _links(pairs, sets, percent)
+    def joined(links: DataFrame) -> DataFrame:
         if comp is not None:
             links = links.unionByName(comp.where("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y")))
             done.append(comp)
@@ -423,10 +493,18 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, turns: int = 3,
         best = written(best if tested is None else best.join(tested, ["y", "x"], "left_anti"), "tested")
         done.append(best)
         tested = best if tested is None else tested.unionByName(best)
-        comp = joined(best)
-
-    rest = _candidates(entries_now(), sets, percent)
-    comp = joined(rest if tested is None else rest.join(tested, ["y", "x"], "left_anti"))
+        comp = joined(_links(best, sets, percent).select("y", "x"))
+
+    rest = _candidates(entries_now(), sets, radius, percent)
+    for side in ("y", "x"):
+        rest = rest.join(radius.select(F.col("grp").alias(side), F.col("radius").alias(f"r{side}")), side, "left")
+    rest = written(rest, "group_pairs")
+    alone = rest.where("ry is null and rx is null").select("y", "x")
+    alone = alone if tested is None else alone.join(tested, ["y", "x"], "left_anti")
+    wide, read = _expanded(rest.where("ry is not null or rx is not null"), kin, sets, percent)
+    done += [rest, *read]
+    comp = joined(_links(alone, sets, percent).select("y", "x").unionByName(wide))
+    comp = comp.unionByName(kin.join(comp, kin["head"] == comp["node"], "left").select(kin["grp"].alias("node"), F.coalesce("component", "head").alias("component")))
     order.destroy()
     for table in done:
         remove(table)

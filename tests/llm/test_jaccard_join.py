@@ -105,3 +105,56 @@ def test_very_long_texts(spark):
     rows = [(1, long, "k", 1, "c"), (2, long + " and more", "k", 1, "c"), (3, other, "k", 1, "c"), (4, other.replace("v777 ", "changed "), "k", 1, "c"), (5, long + " " + other, "k", 1, "c")]
     got = {r.doc_id: r.component_id for r in components(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def found(rows_of):
+    least = rows_of.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("c"))
+    ids = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("c"))
+    return sorted((tuple(r) for r in rows_of.join(least, "comp", "left").select("doc_id", "n_shingles", ids).collect()), key=str)
+
+
+def variants(seed, n=14, each=24):
+    """Texts of 60 words, a third of them with one of two words changed within, and up to four changed at their end: in
+    hash order, many sets of one size share their prefixes, and a text with changes at its end only is linked with more
+    texts of another group than its neighbours are. Short texts that share six words share prefixes without links."""
+    rnd = random.Random(seed)
+    rows = []
+    for c in range(n):
+        base = [f"c{c}x{i}" for i in range(60)]
+        for s in range(each):
+            w = list(base)
+            if at := rnd.choice([0, 20, 35]):
+                w[at] = f"c{c}y{at}"
+            for i in range(rnd.randint(0, 4)):
+                w[59 - i] = f"c{c}s{s}e{i}"
+            rows.append((1000 * c + s, " ".join(w)))
+    rows += [(50000 + i, f"one two three four five six t{i} u{i}") for i in range(60)]
+    rnd.shuffle(rows)
+    return [(*r, "k", 1, "c") for r in rows]
+
+
+def test_groups_by_prefix_and_size(spark, monkeypatch):
+    """Groups are formed, members that their head has no link with stand alone, and pairs of groups are expanded to find
+    links that their heads have not."""
+    seen = {"pairs": 0, "links": 0, "members": 0}
+    expanded = jaccard_join._expanded
+
+    def told(pairs, kin, sets, percent):
+        links, read = expanded(pairs, kin, sets, percent)
+        heads = jaccard_join._links(pairs.select("y", "x"), sets, percent).where("linked").select("y", "x")
+        seen["pairs"] += pairs.count()
+        seen["links"] += links.join(heads, ["y", "x"], "left_anti").count()
+        seen["members"] += kin.count()
+        return links, read
+
+    monkeypatch.setattr(jaccard_join, "_expanded", told)
+    rows = variants(1)
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    for turns in (0, 3):
+        assert found(jaccard_join.classes(frame, turns=turns, most_frequent=0)) == brute(rows), turns
+    assert seen["members"] > 40 and seen["pairs"] > 40 and seen["links"] > 0, seen
+
+
+def test_sets_that_share_a_hash(spark):
+    rows = fixture(6, 40)
+    assert found(jaccard_join.classes(spark.createDataFrame(rows, SCHEMA).repartition(3), hash_bits=5)) == brute(rows)
