@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .ranking import average_ranks
 
 
@@ -174,7 +175,11 @@ def average_rank(value: Column, by: list[str], partition_rows: Column) -> Column
 
 
 def correlations(df: DataFrame, a: str, b: str) -> DataFrame:
-    """n, pearson, spearman (correlation of average ranks) of rows that have both values."""
-    r = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("__a"), F.col(b).alias("__b"))
+    """n, pearson, spearman (correlation of average ranks) of rows that have both values.
+
+    The values are written first: ranks are joined by them, and means and sums that are computed again, their parts
+    arriving in another order, may differ in the last bit.
+    """
+    r = written(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("__a"), F.col(b).alias("__b")), "values")
     r = r.join(average_ranks(r, "__a", "__ra"), "__a").join(average_ranks(r, "__b", "__rb"), "__b")
     return r.agg(F.count(F.lit(1)).alias("n"), F.corr("__a", "__b").alias("pearson"), F.corr("__ra", "__rb").alias("spearman"))
