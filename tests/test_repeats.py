@@ -18,3 +18,14 @@ def test_equal_names_share_a_session(spark):
     rows = [(i, "c", f"IMG_{n:05d}.jpg") for i, n in enumerate([100, 100, 100, 500, 500, 500, 500, 502, 900, 900])]
     got = sessionize.sessions_from_names(spark.createDataFrame(rows, "id long, cls string, file string").repartition(4), 3).collect()
     assert {r.id: r.session.split(":")[-1] for r in got} == dict(enumerate("0001111122"))
+
+
+def test_links_of_places_with_many_items(spark, monkeypatch):
+    """Places are compared, not their items, and a place's items are in many rows: 800 items at four places, three near."""
+    monkeypatch.setattr(sessionize, "BLOCK", 30)
+    at = [(1.0, 2.0), (1.0, 2.0005), (1.0003, 2.0), (5.0, 5.0)]
+    df = spark.createDataFrame([(i, *at[i % 4]) for i in range(800)], "key long, lat double, lon double")
+    links = sessionize.place_links(df, "key", "lat", "lon", 150.0)
+    assert sorted((r.a, r.b) for r in links.collect()) == [(a, b) for a in range(800) for b in range(a + 1, 800) if (a % 4 == 3) == (b % 4 == 3)]
+    plan = links._jdf.queryExecution().optimizedPlan().toString()
+    assert "(a#" not in "".join(line for line in plan.splitlines() if "Join" in line)
