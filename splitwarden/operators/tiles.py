@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import digests
 from ..functions.kernels import dot, doubles, norm
 from .components import least_reachable
 
-#: Rows of a tile, and of the blocks that a cell is taken in.
-SIZE, BLOCK = 2048, 512
+#: Rows of a tile, of the blocks that a cell is taken in, and of those whose pairs are hashed at once.
+SIZE, BLOCK, HASHED = 2048, 512, 32
 
 
 def cells(df: DataFrame, size: int = SIZE) -> DataFrame:
@@ -33,7 +34,11 @@ def cells(df: DataFrame, size: int = SIZE) -> DataFrame:
     dealt = rows.join(tiles, "cls").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     columns = [c for c in dealt.columns if c not in ("tiles", "other")]
-    return dealt.select(*columns, other).select(*columns, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    placed = dealt.select(*columns, other).select(*columns, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+    # Cells are little data and much work: a number of partitions keeps Spark from joining them into a few tasks by their bytes.
+    session = df.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    return placed.repartition(parts, "cls", "i", "j")
 
 
 class Cell:
@@ -190,7 +195,7 @@ def hamming_across(df: DataFrame, key: str, cls: str, bits: str, side: str, most
         take = lambda i: table["key"].combine_chunks().take(pa.array(i, pa.int64()))
         return pa.table({"a": take(a), "b": take(b), "distance": pa.array(d, pa.int32())})
 
-    return cells(hashes, size).groupBy("i", "j").applyInArrow(work, f"a {kind}, b {kind}, distance int")
+    return cells(hashes, size).groupBy("cls", "i", "j").applyInArrow(work, f"a {kind}, b {kind}, distance int")
 
 
 def cosine_counts(df: DataFrame, key: str, cls: str, vector: str, edges: Callable[[np.ndarray], np.ndarray], size: int = SIZE) -> DataFrame:
@@ -209,6 +214,38 @@ def cosine_counts(df: DataFrame, key: str, cls: str, vector: str, edges: Callabl
     return cells(units, size).groupBy("cls", "dim", "i", "j").applyInArrow(work, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
+def _first_of(names: list[bytes], lesser: np.ndarray, greater: np.ndarray, mark: bytes, k: int, best: list[tuple[str, int, int]], order: np.ndarray) -> list[tuple[str, int, int]]:
+    """The k first of best and the pairs of a row of lesser with a row of greater behind it in order.
+
+    lesser and greater are in order. The first 32 bits of the digests, taken for blocks of pairs, tell which may be
+    among the first; only those are hashed whole.
+    """
+    heads = [mark + n + b"|" for n in names]
+    head, tail = np.array([len(h) for h in heads]), np.array([len(n) for n in names])
+    least = int(best[-1][0][:8], 16) if len(best) == k else 1 << 32
+    behind = order[greater]
+    for s in range(0, len(lesser), HASHED):
+        x = lesser[s : s + HASHED]
+        y = greater[np.searchsorted(behind, order[x[0]], "right") :]
+        for many in np.unique(head[x]):
+            own = x[head[x] == many]
+            for more in np.unique(tail[y]):
+                other = y[tail[y] == more]
+                if many + more <= digests.LONGEST:
+                    value = digests.md5_heads([heads[i] for i in own], [names[i] for i in other])
+                    value = np.where(order[own][:, None] < order[other], value, np.int64(1) << 32)
+                    few = value.ravel()
+                    limit = min(least, int(np.partition(few, k - 1)[k - 1])) if len(few) > k else least
+                    at, to = np.nonzero((value <= limit) & (value < 1 << 32))
+                else:
+                    at, to = np.nonzero(order[own][:, None] < order[other])
+                found = [(hashlib.md5(heads[p] + names[q]).hexdigest(), p, q) for p, q in zip(own[at].tolist(), other[to].tolist(), strict=True)]
+                if found:
+                    best = sorted([*best, *found], key=lambda r: (r[0], order[r[1]], order[r[2]]))[:k]
+                    least = int(best[-1][0][:8], 16) if len(best) == k else 1 << 32
+    return best
+
+
 def first_pairs(df: DataFrame, key: str, cls: str, k: int, seed: int = 0, size: int = SIZE) -> DataFrame:
     """a, b: of all pairs of a class the k first in md5 order (seed|a|b). Each cell hands on k pairs at most."""
     rows = df.select(F.col(key).alias("key"), F.col(cls).alias("cls"))
@@ -217,14 +254,10 @@ def first_pairs(df: DataFrame, key: str, cls: str, k: int, seed: int = 0, size:
     def work(table: pa.Table) -> pa.Table:
         cell = Cell(table)
         names = [str(x).encode() for x in cell.keys.tolist()]
-        mark, best = f"{seed}|".encode(), []
-        for x, y, ok in cell.blocks():
-            at, to = np.nonzero(ok)
-            a, b = x[at], y[to]
-            turned = cell.order[a] > cell.order[b]
-            a, b = np.where(turned, b, a), np.where(turned, a, b)
-            each = ((hashlib.md5(mark + names[p] + b"|" + names[q]).hexdigest(), p, q) for p, q in zip(a.tolist(), b.tolist(), strict=True))
-            best = sorted([*best, *each], key=lambda r: (r[0], cell.order[r[1]], cell.order[r[2]]))[:k]
+        sides = [side[np.argsort(cell.order[side], kind="stable")] for side in (cell.left, cell.right)]
+        best = _first_of(names, *sides, f"{seed}|".encode(), k, [], cell.order) if k > 0 else []
+        if not cell.same and k > 0:
+            best = _first_of(names, *sides[::-1], f"{seed}|".encode(), k, best, cell.order)
         take = lambda i: table["key"].combine_chunks().take(pa.array(i, pa.int64()))
         return pa.table({"a": take([p for _, p, _ in best]), "b": take([q for _, _, q in best]), "o": pa.array([o for o, _, _ in best], pa.string())})
 

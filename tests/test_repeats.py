@@ -1,9 +1,11 @@
 """Values that a second computation may change, and rows that an order leaves equal."""
 
+import hashlib
 import os
 
 from pyspark.sql import functions as F
-from splitwarden.operators import metrics, sessionize
+from splitwarden.functions import digests
+from splitwarden.operators import metrics, sessionize, tiles
 
 
 def test_correlation_of_values_that_differ_when_computed_again(spark):
@@ -29,3 +31,15 @@ def test_links_of_places_with_many_items(spark, monkeypatch):
     assert sorted((r.a, r.b) for r in links.collect()) == [(a, b) for a in range(800) for b in range(a + 1, 800) if (a % 4 == 3) == (b % 4 == 3)]
     plan = links._jdf.queryExecution().optimizedPlan().toString()
     assert "(a#" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_first_pairs_hash_few_pairs_whole(spark):
+    """Keys of several lengths, some beyond one block of MD5, and far fewer whole digests than pairs."""
+    names = [str(i * i * 37) for i in range(150)] + ["é" * 12 + str(i) for i in range(6)] + ["x" * 40 + str(i) for i in range(6)]
+    df = spark.createDataFrame([(n, i % 2) for i, n in enumerate(names)], "k string, c int")
+    pairs = [(min(x, y), max(x, y)) for i, x in enumerate(names) for y in names[i + 2 :: 2]]
+    want = sorted((hashlib.md5(f"0|{a}|{b}".encode()).hexdigest(), a, b) for a, b in pairs)[:30]
+    assert [(r.a, r.b) for r in tiles.first_pairs(df, "k", "c", 30, size=50).collect()] == [(a, b) for _, a, b in want]
+    heads, tails = [b"0|%d|" % i for i in range(100, 140)], [b"%d" % i for i in range(1000, 1050)]
+    whole = [[int(hashlib.md5(h + t).hexdigest()[:8], 16) for t in tails] for h in heads]
+    assert digests.md5_heads(heads, tails).tolist() == whole
