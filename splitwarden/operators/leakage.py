@@ -39,6 +39,20 @@ def sibling_leakage(df: DataFrame, group: str, by: list[str] | None = None, spli
     return flags.groupBy(*by).agg(*aggs) if by else flags.agg(*aggs)
 
 
+def leakage_by_seed(df: DataFrame, group: str, by: list[str], splits: dict[int, str], parts: int | None = None) -> DataFrame:
+    """by, seed, n_test, n_leaked, leak_pct, n_groups, largest for items whose split of each seed is a column (splits: seed to column).
+
+    Groups are counted once for all seeds: neither items by seed nor a join of them are shuffled. parts: partitions of the groups.
+    """
+    df = df.repartition(parts, *by, group) if parts else df
+    each = [F.struct(F.lit(s).alias("seed"), F.count_if(F.col(c) == "test").alias("test"), F.coalesce(F.bool_or(F.col(c) == "train"), F.lit(False)).alias("hit")) for s, c in splits.items()]
+    groups = df.groupBy(*by, group).agg(F.count(F.lit(1)).alias("n"), *(x.alias(f"s{i}") for i, x in enumerate(each)))
+    told = [F.struct(F.lit(s).alias("seed"), F.sum(f"s{i}.test").alias("n_test"), F.sum(F.when(F.col(f"s{i}.hit"), F.col(f"s{i}.test")).otherwise(0)).alias("n_leaked")) for i, s in enumerate(splits)]
+    rates = groups.groupBy(*by).agg(F.count(F.lit(1)).alias("n_groups"), F.max("n").alias("largest"), F.array(*told).alias("seeds"))
+    rates = rates.select(*by, "n_groups", "largest", F.inline("seeds"))
+    return rates.select(*by, "seed", "n_test", "n_leaked", (100.0 * F.col("n_leaked") / F.nullif(F.col("n_test"), F.lit(0))).alias("leak_pct"), "n_groups", "largest")
+
+
 def over_seeds(rates: DataFrame, value: str, by: list[str], sample: bool = True) -> DataFrame:
     """mean and sd of a value over seeds; sample: n - 1 in the denominator, else n."""
     sd = F.stddev_samp(value) if sample else F.stddev_pop(value)

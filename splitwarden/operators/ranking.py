@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 
 SLICES = 4096
+#: Rows of a partition where their number follows the input.
+TASK_ROWS = 100_000
 
 
 def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
@@ -24,9 +26,14 @@ def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     return out
 
 
-def dealt(df: DataFrame, *order: Column | str) -> DataFrame:
+def parts_of(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Partitions of so many rows at most, the session's number at least. Counts df, which is best a written table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
+def dealt(df: DataFrame, *order: Column | str, parts: int | None = None) -> DataFrame:
     """Adds __slice, which ascends with the order: rows in range partitions, written."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return written(df.repartitionByRange(parts, *order).withColumn("__slice", F.spark_partition_id()), "slices")
 
 
@@ -54,14 +61,16 @@ def numbered(df: DataFrame, by: list[str], order: Column, tie: list[Column | str
     return out
 
 
-def runs(df: DataFrame, by: list[str], num: str, tie: str, gaps: list[float], out: str = "__runs") -> DataFrame:
+def runs(df: DataFrame, by: list[str], num: str, tie: str, gaps: list[float], out: str = "__runs", parts: int | None = None) -> DataFrame:
     """Adds an array with the number of the run within by for each gap, from 0: in the order of num and tie a new run
     begins where num exceeds the one before by more than the gap.
 
     A segmented scan: each slice of the order counts its own runs; the last number and the runs of the slices before are
-    carried forward in a table of one row for each slice of a class. No class is one group of rows.
+    carried forward in a table of one row for each slice of a class. No class is one group of rows. parts: slices and
+    partitions, for inputs that outgrow the session's number.
     """
-    base = dealt(df.withColumn("__by", F.struct(*by)), "__by", num, tie)
+    base = dealt(df.withColumn("__by", F.struct(*by)), "__by", num, tie, parts=parts)
+    base = base.repartition(parts, "__by", "__slice") if parts else base
     w = Window.partitionBy("__by", "__slice").orderBy(num, tie)
     base = base.withColumn("__gap", F.col(num) - F.lag(num).over(w))
     begun = lambda gap, g: F.when(gap > g, 1).otherwise(0)

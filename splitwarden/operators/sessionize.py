@@ -13,7 +13,7 @@ from ..functions.keys import capture_key
 from ..functions.kernels import haversine, metres_apart
 from ..sources.shared import remove, written
 from .components import connected_components
-from .ranking import numbered, runs
+from .ranking import numbered, parts_of, runs
 
 #: Items of an island that place_leaders takes as one sequence.
 LEADERS = 1_000_000
@@ -60,10 +60,10 @@ def regrouped(manifest: DataFrame, gap: int, cross_class: bool, cls: str = "cls"
 def by_rules(df: DataFrame, cls: str, prefix: str, num: str, key: str, rules: Iterable[tuple[str, float, bool]] = RULES) -> DataFrame:
     """The items once for each rule, with rule and session."""
     # Rules over the same classes share one dealing and one scan.
-    rules, out = list(rules), None
+    rules, out, parts = list(rules), None, parts_of(df)
     for cross in sorted({c for _, _, c in rules}):
         by, own = [prefix] if cross else [cls, prefix], [(n, g) for n, g, c in rules if c == cross]
-        seen = runs(df, by, num, key, [g for _, g in own], "__runs")
+        seen = runs(df, by, num, key, [g for _, g in own], "__runs", parts)
         each = F.array(*(F.struct(F.lit(n).alias("rule"), F.get("__runs", F.lit(i)).alias("run")) for i, (n, _) in enumerate(own)))
         part = seen.select(*df.columns, F.explode(each).alias("__run"))
         part = part.select(*df.columns, group_name("burst", *(F.col(c) for c in by), F.col("__run.run")).alias("session"), F.col("__run.rule").alias("rule"))

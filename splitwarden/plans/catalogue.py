@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import keys
-from ..operators import calibrate, duplicates, leakage, metrics, partition, runs, sessionize, similarity
-from ..sources.shared import kept
+from ..operators import calibrate, duplicates, leakage, metrics, partition, ranking, runs, sessionize, similarity
+from ..sources.shared import kept, written
 from .registry import Tables, query, rounded
 
 DAY = 86_400_000_000
@@ -148,11 +148,13 @@ _RSEED = f"(SELECT * FROM ({_RULED}), (SELECT unnest([0, 1, 2]) AS seed))"
   g AS (SELECT rule, count(*) AS n_groups, max(n) AS largest FROM (SELECT rule, session, count(*) AS n FROM ({_RULED}) GROUP BY ALL) GROUP BY rule)
   SELECT g.rule, n_groups, largest, avg(leak) AS mean, stddev_samp(leak) AS sd FROM g JOIN l ON l.rule = g.rule GROUP BY ALL""", "mean", "sd"))
 def g4_grouping_sensitivity(t):
-    ruled = sessionize.by_rules(orders(t), "cls", "prefix", "num", "key", RULES)
-    groups = ruled.groupBy("rule", "session").agg(F.count(F.lit(1)).alias("n")).groupBy("rule").agg(F.count(F.lit(1)).alias("n_groups"), F.max("n").alias("largest"))
-    parts = partition.stratified_split(orders(t), "cls", "key", SEEDS).select("key", "seed", "split")
-    leak = leakage.sibling_leakage(ruled.join(parts, "key"), "session", ["rule", "seed"])
-    return groups.join(leakage.over_seeds(leak, "leak_pct", ["rule"]), "rule").select("rule", "n_groups", "largest", "mean", "sd")
+    parts = partition.stratified_split(orders(t), "cls", "key", SEEDS)
+    splits = {s: f"split_{s}" for s in SEEDS}
+    items = parts.groupBy("key", "cls", "prefix", "num").agg(*(F.max(F.when(F.col("seed") == s, F.col("split"))).alias(c) for s, c in splits.items()))
+    items = written(items, "split_items")
+    ruled = sessionize.by_rules(items, "cls", "prefix", "num", "key", RULES)
+    rates = leakage.leakage_by_seed(ruled, "session", ["rule"], splits, len(RULES) * ranking.parts_of(items))
+    return leakage.over_seeds(rates, "leak_pct", ["rule", "n_groups", "largest"]).select("rule", "n_groups", "largest", "mean", "sd")
 
 
 @query(f"""WITH f AS {_EVS}, c AS (SELECT key, session AS coarse FROM ({_runs(_EV, 'prefix', DAY)})), g AS (SELECT coarse, count(DISTINCT session) AS n_fine, count(*) AS n_items, count(DISTINCT cls) AS n_classes FROM f JOIN c USING (key) GROUP BY coarse)

@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 from splitwarden.functions import digests
-from splitwarden.operators import metrics, sessionize, tiles
+from splitwarden.operators import leakage, metrics, sessionize, tiles
 
 
 def test_correlation_of_values_that_differ_when_computed_again(spark):
@@ -43,3 +43,16 @@ def test_first_pairs_hash_few_pairs_whole(spark):
     heads, tails = [b"0|%d|" % i for i in range(100, 140)], [b"%d" % i for i in range(1000, 1050)]
     whole = [[int(hashlib.md5(h + t).hexdigest()[:8], 16) for t in tails] for h in heads]
     assert digests.md5_heads(heads, tails).tolist() == whole
+
+
+def test_leakage_by_seed_is_that_of_each_seed(spark):
+    rows = [(i, f"g{i * i % 23}", ["train", "val", "test", None][i % 4], ["test", "train", "test"][i % 3]) for i in range(90)]
+    df = spark.createDataFrame([(r, *x) for x in rows for r in ("a", "b") if r == "a" or x[0] % 5], "rule string, key long, session string, s0 string, s7 string")
+    got = leakage.leakage_by_seed(df, "session", ["rule"], {0: "s0", 7: "s7"})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    long = df.selectExpr("rule", "session", "stack(2, 0, s0, 7, s7) as (seed, split)")
+    want = leakage.sibling_leakage(long, "session", ["rule", "seed"]).select("rule", "seed", "n_test", "n_leaked", "leak_pct")
+    shape = {r.rule: (r.n, r.m) for r in df.groupBy("rule", "session").count().groupBy("rule").agg(F.count("*").alias("n"), F.max("count").alias("m")).collect()}
+    rows = got.collect()
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(tuple(r) for r in want.collect()) and {r.rule: (r.n_groups, r.largest) for r in rows} == shape
