@@ -1,15 +1,17 @@
-"""Greedy first-fit linkage of one component of items, on a graph of one bit per pair.
+"""Greedy first-fit linkage of one component of items.
 
 Items and clusters stand in the order of their (first) rows. Of all pairs of clusters whose linkage reaches a threshold
-the first one, by the earlier and then by the later cluster, is merged, until there is none. A linkage that reaches the
-threshold needs a pair of items that does, so that the graph of those pairs has all candidates:
+the first one, by the earlier and then by the later cluster, is merged, until there is none.
 
-* complete linkage: merging only takes candidates away. In the order of rows, each cluster takes its first neighbour
-  that all its members have, until none is left; clusters before it are finished.
-* average linkage: the sum of similarities between two clusters follows from one vector a cluster (the sum of its
-  members' vectors, or how many of its hashes have each bit), so that no similarity of a pair is kept.
+* complete linkage: merging only takes candidates away. In the order of rows, each cluster takes the first row that all
+  its members reach, until none is left; clusters before it are finished.
+* average linkage: rows are opened in their order. All clusters opened before have nothing to merge with, so that only
+  the one that changed last is looked at: first against the clusters opened, then against the rows not opened yet, whose
+  sums of similarities to it are carried on by one row of similarities a merge. Between clusters the sum follows
+  from one vector each (the sum of its members' vectors, or how many of its hashes have each bit).
 
-n items take n * n / 4 bytes in all, and their vectors.
+``averaged`` holds the items and a few numbers for each; time is at most n * n similarities. ``complete`` and ``average``
+take a graph of one bit a pair instead (n * n / 8 bytes, and as much again).
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from collections.abc import Callable
 import numpy as np
 
 BLOCK = 512
+#: Rows whose vectors are made at a time.
+WIDE = 8192
 
 
 def graph(n: int, reach: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
@@ -58,6 +62,60 @@ def complete(near: np.ndarray) -> np.ndarray:
     return of
 
 
+def averaged(data: np.ndarray, least: float, one: Callable[[np.ndarray, np.ndarray], np.ndarray], sums: Callable[[np.ndarray], np.ndarray], between: Callable[[np.ndarray, float, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each row the first row of its cluster by average linkage. one(item, items): similarities; sums(items): one
+    vector each; between as in average."""
+    n = len(data)
+    of, rest, open_ = np.arange(n), np.arange(n), np.ones(n, bool)
+    # Clusters in their order: first row, size (0 once merged into another) and sum.
+    k, first, size, total = 0, np.zeros(16, np.int64), np.zeros(16), np.zeros((16, sums(data[:1]).shape[1]))
+
+    def to_rest(c: int) -> np.ndarray:
+        """Sums of similarities of a cluster to the rows not opened."""
+        ones = np.ones(WIDE)
+        return np.concatenate([between(total[c], size[c], sums(data[s : s + WIDE]), ones[: len(data) - s]) for s in range(0, len(data), WIDE)] or [np.zeros(0)])
+
+    at = 0
+    while True:
+        at += int(np.argmax(open_[at:])) if at < len(rest) else 0
+        if at == len(rest) or not open_[at]:
+            break
+        if k == len(first):
+            held = size[:k] > 0
+            k = int(held.sum())
+            first, size, total = (np.concatenate([x[held], np.zeros((k, *x.shape[1:]), x.dtype)]) for x in (first[: len(held)], size[: len(held)], total[: len(held)]))
+        now, k = k, k + 1
+        first[now], size[now], total[now], open_[at] = rest[at], 1, sums(data[at : at + 1])[0], False
+        near, changed = one(data[at], data), False
+        while True:
+            if changed:
+                reached = (between(total[now], size[now], total[:k], size[:k]) >= least * size[now] * size[:k]) & (size[:k] > 0)
+                reached[now] = False
+                other = int(np.argmax(reached))
+                if reached[other]:
+                    near = near + to_rest(other)
+                    now, gone = min(now, other), max(now, other)
+                    of[first[gone]] = first[now]
+                    total[now] += total[gone]
+                    size[now] += size[gone]
+                    size[gone] = 0
+                    continue
+            reached = (near >= least * size[now]) & open_
+            b = int(np.argmax(reached)) if len(reached) else 0
+            if not len(reached) or not reached[b]:
+                break
+            of[rest[b]] = first[now]
+            total[now] += sums(data[b : b + 1])[0]
+            size[now] += 1
+            open_[b], changed = False, True
+            near = near + one(data[b], data)
+            if 2 * np.count_nonzero(open_) < len(rest):
+                rest, data, near, open_, at = rest[open_], data[open_], near[open_], open_[open_], 0
+    while (of[of] != of).any():
+        of = of[of]
+    return of
+
+
 def average(near: np.ndarray, sums: np.ndarray, least: float, between: Callable[[np.ndarray, float, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """For each row the first row of its cluster. sums: one vector a row; between(sum, size, sums, sizes): the sums of
     similarities between one cluster and others."""
@@ -111,7 +169,7 @@ def by_vectors(total: np.ndarray, size: float, sums: np.ndarray, sizes: np.ndarr
 
 def by_bits(total: np.ndarray, size: float, sums: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of distances, negative, from how many hashes have each bit."""
-    return -(sums * (size - total) + (sizes[:, None] - sums) * total).sum(1)
+    return -(sums @ (size - 2 * total) + sizes * total.sum())
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:

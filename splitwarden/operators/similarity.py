@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from .ranking import SLICES, numbered
 #: Reference directions of a class, and the slack of angles against rounding.
 PIVOTS = 4
 _SLACK = 1e-6
-#: Items of a component that one task links: 1 GB of bits.
+#: Items of a component that one task links: 0.5 GB of bits.
 LINKED = 1 << 16
 
 
@@ -131,11 +132,9 @@ def greedy_linkage(items: DataFrame, key: str, cls: str, vector: str, threshold:
     negative mean distances with the positive threshold, as a known defect does: nothing merges.
     A merge needs a pair that reaches the threshold by itself, so that items fall apart into the components of those
     pairs (found from forests, without a row per pair), and merging in one does not touch another: each component is a
-    task of its own, in n * n / 4 bytes (see linkage). One of more than ``most`` items is refused before any task
-    starts. Clusters are named by their least key. Items without a vector, or of length 0, stay alone.
+    task of its own, for average linkage in memory that grows with its items (see linkage). One of more than ``most`` items is refused before
+    any task starts. Clusters are named by their least key. Items without a vector, or of length 0, stay alone.
     """
-    import pandas as pd
-
     hashed = dict(items.dtypes)[vector] == "bigint"
     least = -threshold if hashed else threshold - 1e-12
     if hashed:
@@ -145,25 +144,35 @@ def greedy_linkage(items: DataFrame, key: str, cls: str, vector: str, threshold:
     else:
         pairs = cosine_pairs(items, key, cls, vector, least, linking=True)
 
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key").reset_index(drop=True)
+    def link(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        keys, v = table["key"].combine_chunks(), table["v"].combine_chunks()
         if hashed:
-            v = pdf.v.to_numpy(np.int64).view(np.uint64)
-            near, sums, between = linkage.hash_graph(v, threshold), linkage.bit_counts(v), linkage.by_bits
+            data = v.cast(pa.int64()).to_numpy().view(np.uint64)
+            if how == "complete":
+                of = linkage.complete(linkage.hash_graph(data, threshold))
+            else:
+                of = linkage.averaged(data, least, lambda x, y: -np.bitwise_count(y ^ x).astype(np.int64), linkage.bit_counts, linkage.by_bits)
         else:
-            v = np.stack([np.asarray(x, float) for x in pdf.v])
-            v = v / np.linalg.norm(v, axis=1, keepdims=True)
-            near, sums, between = linkage.cosine_graph(v, least), v, linkage.by_vectors
-        of = linkage.complete(near) if how == "complete" else linkage.average(near, sums, least, between)
-        return pd.DataFrame({"key": pdf.key, "first": pdf.key[of].to_numpy()})
+            data = v.flatten().to_numpy().astype(float).reshape(len(keys), -1)
+            data /= np.linalg.norm(data, axis=1, keepdims=True)
+            if how == "complete":
+                of = linkage.complete(linkage.cosine_graph(data, least))
+            else:
+                of = linkage.averaged(data, least, lambda x, y: y @ x, lambda x: x, linkage.by_vectors)
+        return pa.table({"key": keys, "first": keys.take(pa.array(of))})
 
     comp = connected_components(pairs, "a", "b").withColumnRenamed("node", "__node")
     largest = comp.groupBy("component").count().agg(F.max("count")).first()[0] or 0
     if largest > most:
-        raise ValueError(f"a component of {largest} items, more than {most}: raise the threshold, or most where tasks have n * n / 4 bytes")
+        raise ValueError(f"a component of {largest} items, more than {most}: raise the threshold, or most where tasks have the time of n * n similarities")
     base = items.select(F.col(key).alias("key"), F.col(cls).alias("cls"), F.col(vector).alias("v"))
     kind = dict(base.dtypes)["key"]
-    merged = base.join(comp, base["key"] == comp["__node"]).select("key", "v", "component").groupBy("component").applyInPandas(link, f"key {kind}, first {kind}")
+    # Components are little data and much work: by number, so that Spark does not join them into one task by their bytes.
+    session = items.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)
+    dealt = base.join(comp, base["key"] == comp["__node"]).select("key", "v", "component").repartition(parts, "component")
+    merged = dealt.groupBy("component").applyInArrow(link, f"key {kind}, first {kind}")
     return base.select("key", "cls").join(merged, "key", "left").select("key", "cls", F.concat_ws(":", F.col("cls").cast("string"), F.coalesce("first", "key").cast("string")).alias("cluster"))
 
 

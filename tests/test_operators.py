@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -283,6 +284,31 @@ def test_bit_graph_linkage(how):
         assert len(np.unique(of)) == math.ceil(n * 0.0001 / 0.05) and (np.diff(of) >= 0).all()
 
 
+@pytest.mark.parametrize("how", ["average"])
+def test_linkage_without_a_graph(spark, how):
+    """The same clusters as on a graph of all pairs, in memory that grows with the items: a graph of 6,000 has 4.5 MB."""
+    rng = np.random.default_rng(8)
+    one, sums = lambda x, y: -np.bitwise_count(y ^ x).astype(np.int64), linkage.bit_counts
+    for n, bits, most in [(1, 3, 2), (2, 1, 9), *((int(rng.integers(3, 150)), int(rng.integers(1, 7)), int(rng.integers(0, 6))) for _ in range(60))]:
+        h = rng.integers(0, 1 << 6, n).astype(np.uint64) | rng.integers(0, 1 << bits, n).astype(np.uint64) << np.uint64(40)
+        near = linkage.hash_graph(h, most)
+        assert linkage.averaged(h, -most, one, sums, linkage.by_bits).tolist() == linkage.average(near, sums(h), -most, linkage.by_bits).tolist()
+    seen = []
+    for n in (1500, 6000):
+        h = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        tracemalloc.start()
+        linkage.averaged(h, -26, one, sums, linkage.by_bits)
+        seen.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert seen[1] < 5 * seen[0] and seen[1] < 6000 * 6000 / 8
+    # As the queries run it.
+    df = spark.createDataFrame([(i, "a", int(x)) for i, x in enumerate(h[:300] >> np.uint64(1))], "key long, cls string, h long")
+    got = {r.key: int(r.cluster.split(":")[1]) for r in similarity.greedy_linkage(df, "key", "cls", "h", 26, how).collect()}
+    near = linkage.hash_graph(h[:300] >> np.uint64(1), 26)
+    want = linkage.complete(near) if how == "complete" else linkage.average(near, sums(h[:300] >> np.uint64(1)), -26, linkage.by_bits)
+    assert [got[i] for i in range(300)] == want.tolist()
+
+
 def test_a_component_beyond_a_task_is_refused_beforehand(spark):
     df = spark.range(30).select(F.col("id").alias("key"), F.lit("a").alias("cls"), F.array(F.lit(1.0), F.lit(0.5)).alias("v"))
     assert similarity.greedy_linkage(df, "key", "cls", "v", 0.9, most=30).select("cluster").distinct().count() == 1
