@@ -4,14 +4,14 @@ Items and clusters stand in the order of their (first) rows. Of all pairs of clu
 the first one, by the earlier and then by the later cluster, is merged, until there is none.
 
 * complete linkage: merging only takes candidates away. In the order of rows, each cluster takes the first row that all
-  its members reach, until none is left; clusters before it are finished.
+  its members reach, until none is left; clusters before it are finished. Each member meets only what is left.
 * average linkage: rows are opened in their order. All clusters opened before have nothing to merge with, so that only
   the one that changed last is looked at: first against the clusters opened, then against the rows not opened yet, whose
   sums of similarities to it are carried on by one row of similarities a merge. Between clusters the sum follows
   from one vector each (the sum of its members' vectors, or how many of its hashes have each bit).
 
-``averaged`` holds the items and a few numbers for each; time is at most n * n similarities. ``complete`` and ``average``
-take a graph of one bit a pair instead (n * n / 8 bytes, and as much again).
+``first_fit`` and ``averaged`` hold the items and a few numbers for each; time is at most n * n similarities. ``complete``
+and ``average`` take a graph of one bit a pair instead (n * n / 8 bytes, and as much again).
 """
 
 from __future__ import annotations
@@ -62,6 +62,26 @@ def complete(near: np.ndarray) -> np.ndarray:
     return of
 
 
+def first_fit(data: np.ndarray, reach: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each row the first row of its cluster by complete linkage. reach(item, items): which items it reaches."""
+    n = len(data)
+    of, rest, open_ = np.arange(n), np.arange(n), np.ones(n, bool)
+    at, left = 0, n
+    while left:
+        at += int(np.argmax(open_[at:]))
+        a, own, open_[at] = int(rest[at]), data[at], False
+        shared, taken = np.flatnonzero(reach(own, data[at:]) & open_[at:]) + at, []
+        while len(shared):
+            taken.append(shared[0])
+            shared = shared[1:]
+            shared = shared[reach(data[taken[-1]], data[shared])]
+        of[rest[taken]], open_[taken] = a, False
+        left -= 1 + len(taken)
+        if 2 * left < len(rest):
+            rest, data, open_, at = rest[open_], data[open_], open_[open_], 0
+    return of
+
+
 def averaged(data: np.ndarray, least: float, one: Callable[[np.ndarray, np.ndarray], np.ndarray], sums: Callable[[np.ndarray], np.ndarray], between: Callable[[np.ndarray, float, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """For each row the first row of its cluster by average linkage. one(item, items): similarities; sums(items): one
     vector each; between as in average."""

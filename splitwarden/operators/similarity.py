@@ -18,8 +18,8 @@ from .ranking import SLICES, numbered
 #: Reference directions of a class, and the slack of angles against rounding.
 PIVOTS = 4
 _SLACK = 1e-6
-#: Items of a component that one task links: 0.5 GB of bits.
-LINKED = 1 << 16
+#: Items of a component that one task links: 0.3 GB of vectors of 64 dimensions with their sorted copies.
+LINKED = 1 << 18
 
 
 def unit_angles(df: DataFrame, key: str, cls: str, vector: str) -> DataFrame:
@@ -132,7 +132,7 @@ def greedy_linkage(items: DataFrame, key: str, cls: str, vector: str, threshold:
     negative mean distances with the positive threshold, as a known defect does: nothing merges.
     A merge needs a pair that reaches the threshold by itself, so that items fall apart into the components of those
     pairs (found from forests, without a row per pair), and merging in one does not touch another: each component is a
-    task of its own, for average linkage in memory that grows with its items (see linkage). One of more than ``most`` items is refused before
+    task of its own, in memory that grows with its items (see linkage). One of more than ``most`` items is refused before
     any task starts. Clusters are named by their least key. Items without a vector, or of length 0, stay alone.
     """
     hashed = dict(items.dtypes)[vector] == "bigint"
@@ -150,14 +150,14 @@ def greedy_linkage(items: DataFrame, key: str, cls: str, vector: str, threshold:
         if hashed:
             data = v.cast(pa.int64()).to_numpy().view(np.uint64)
             if how == "complete":
-                of = linkage.complete(linkage.hash_graph(data, threshold))
+                of = linkage.first_fit(data, lambda x, y: np.bitwise_count(y ^ x) <= threshold)
             else:
                 of = linkage.averaged(data, least, lambda x, y: -np.bitwise_count(y ^ x).astype(np.int64), linkage.bit_counts, linkage.by_bits)
         else:
             data = v.flatten().to_numpy().astype(float).reshape(len(keys), -1)
             data /= np.linalg.norm(data, axis=1, keepdims=True)
             if how == "complete":
-                of = linkage.complete(linkage.cosine_graph(data, least))
+                of = linkage.first_fit(data, lambda x, y: y @ x >= least)
             else:
                 of = linkage.averaged(data, least, lambda x, y: y @ x, lambda x: x, linkage.by_vectors)
         return pa.table({"key": keys, "first": keys.take(pa.array(of))})

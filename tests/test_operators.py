@@ -284,7 +284,7 @@ def test_bit_graph_linkage(how):
         assert len(np.unique(of)) == math.ceil(n * 0.0001 / 0.05) and (np.diff(of) >= 0).all()
 
 
-@pytest.mark.parametrize("how", ["average"])
+@pytest.mark.parametrize("how", ["complete", "average"])
 def test_linkage_without_a_graph(spark, how):
     """The same clusters as on a graph of all pairs, in memory that grows with the items: a graph of 6,000 has 4.5 MB."""
     rng = np.random.default_rng(8)
@@ -292,12 +292,18 @@ def test_linkage_without_a_graph(spark, how):
     for n, bits, most in [(1, 3, 2), (2, 1, 9), *((int(rng.integers(3, 150)), int(rng.integers(1, 7)), int(rng.integers(0, 6))) for _ in range(60))]:
         h = rng.integers(0, 1 << 6, n).astype(np.uint64) | rng.integers(0, 1 << bits, n).astype(np.uint64) << np.uint64(40)
         near = linkage.hash_graph(h, most)
-        assert linkage.averaged(h, -most, one, sums, linkage.by_bits).tolist() == linkage.average(near, sums(h), -most, linkage.by_bits).tolist()
+        if how == "complete":
+            assert linkage.first_fit(h, lambda x, y: np.bitwise_count(y ^ x) <= most).tolist() == linkage.complete(near).tolist()  # noqa: B023
+        else:
+            assert linkage.averaged(h, -most, one, sums, linkage.by_bits).tolist() == linkage.average(near, sums(h), -most, linkage.by_bits).tolist()
     seen = []
     for n in (1500, 6000):
         h = rng.integers(0, 1 << 63, n).astype(np.uint64)
         tracemalloc.start()
-        linkage.averaged(h, -26, one, sums, linkage.by_bits)
+        if how == "complete":
+            linkage.first_fit(h, lambda x, y: np.bitwise_count(y ^ x) <= 26)
+        else:
+            linkage.averaged(h, -26, one, sums, linkage.by_bits)
         seen.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert seen[1] < 5 * seen[0] and seen[1] < 6000 * 6000 / 8
