@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,11 @@ def has_extension(name: Column, extensions: tuple[str, ...] = EXTENSIONS) -> Col
     return name.rlike("(?i)\\.(" + "|".join(extensions) + ")$")
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 # Names of video frames, messenger pictures and numbered captures.
 VIDEO = "(?i)^(.+?)_frame\\d+"
 CHAT = "(?i)WhatsApp Image (\\d{4}-\\d{2}-\\d{2})"
@@ -34,18 +41,26 @@ def capture_key(name: Column, bounded: bool = True, default_prefix: str | None =
     bounded: a number has up to six digits and ends at a word boundary, and an empty prefix is IMG; without it
     longer digit runs count too, dates must begin the name, and an empty prefix stays.
     """
-    base = stem(name)
     video, chat, seq = (VIDEO, CHAT, NUMBERED) if bounded else (VIDEO, CHAT_LOOSE, NUMBERED_LOOSE)
     default_prefix = default_prefix if default_prefix is not None else "IMG" if bounded else ""
-    kind = F.when(base.rlike(video), "video").when(base.rlike(chat), "whatsapp").when(base.rlike(seq), "seq").otherwise("single")
-    prefix = F.regexp_extract(base, seq, 1)
-    key = (
-        F.when(kind == "video", F.regexp_extract(base, video, 1))
-        .when(kind == "whatsapp", F.regexp_extract(base, chat, 1))
-        .when(kind == "seq", F.when(prefix == "", F.lit(default_prefix)).otherwise(prefix))
-        .otherwise(base)
-    )
-    return F.struct(kind.alias("kind"), key.alias("key"), F.when(kind == "seq", F.regexp_extract(base, seq, 2).cast("long")).alias("num"))
+
+    def key(base: Column, kind: Column) -> Column:
+        prefix = F.regexp_extract(base, seq, 1)
+        return (
+            F.when(kind == "video", F.regexp_extract(base, video, 1))
+            .when(kind == "whatsapp", F.regexp_extract(base, chat, 1))
+            .when(kind == "seq", once(prefix, lambda p: F.when(p == "", F.lit(default_prefix)).otherwise(p)))
+            .otherwise(base)
+        )
+
+    def kind(base: Column) -> Column:
+        return F.when(base.rlike(video), "video").when(base.rlike(chat), "whatsapp").when(base.rlike(seq), "seq").otherwise("single")
+
+    def named(base: Column, kind: Column) -> Column:
+        return F.struct(kind.alias("kind"), key(base, kind).alias("key"), F.when(kind == "seq", F.regexp_extract(base, seq, 2).cast("long")).alias("num"))
+
+    # Each expression is searched once a row: names that stand for columns would be put in wherever they are used.
+    return once(stem(name), lambda base: once(kind(base), lambda k: named(base, k)))
 
 
 def numbered(name: Column) -> Column:

@@ -39,6 +39,16 @@ def test_sessions_from_names(spark):
     assert len({new[k] for k in new if "IMG" in k[1]}) == 1 and new[("a", "clip_frame001.jpg")] == "video:a:clip"
 
 
+def test_names_are_parsed_once(spark):
+    """Steps that read a name's kind, key or number do not search it again."""
+    searches = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower().count("rlike")
+    df = spark.createDataFrame([("a", "IMG_100.jpg"), ("a", None), ("b", "clip_frame001.jpg")], "cls string, file string")
+    assert searches(df.select(keys.capture_key(F.col("file")).alias("k")).select("k.*")) == 3
+    first = sessionize.sessions_from_names(df, 3)
+    assert searches(first) == 0 == searches(sessionize.regrouped(first, 10, True))
+    assert {(r.file, r.session) for r in first.collect()} == {("IMG_100.jpg", "burst:a:IMG_:0"), (None, "single:a"), ("clip_frame001.jpg", "video:b:clip")}
+
+
 def test_components_do_not_depend_on_order(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (100, 102), (200, 200), (None, 5)]
