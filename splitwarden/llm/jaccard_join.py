@@ -15,6 +15,9 @@ them by their hash.
 * First, in a few turns, every group proposes one hub of another component: of the first groups, in an order that
   changes each turn, of its shingles the one with which it shares most. Verified links of heads join components, so
   that large sets of near copies grow together without all pairs among their members.
+* Twice, where there still are links, every group proposes the group of another component, among those of its shingles,
+  whose bitmap is nearest. Groups that met no hub of theirs join their component so, and a large set of near copies does
+  not leave pairs that grow with its square; both turns decide the work only.
 * Then, for shingles that still stand in several components, each entry outside the shingle's largest component
   is compared with all entries of other components: by size, by position and by bitmaps that bound the
   difference of the sets from below, less the radii of the two groups. Entries of a frequent shingle are dealt out as a
@@ -51,6 +54,8 @@ _SET_BYTES = 6
 #: Bits of the bitmaps that bound differences, and entries on each side of a cell.
 _BITS = 1024
 _CELL = 4096
+#: Turns of verification against the nearest candidates.
+_NEAREST = 2
 #: Shingles that are counted together.
 _COUNTED = 1 << 22
 _LOOKUP_BITS = 22
@@ -306,11 +311,18 @@ def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([T.long_array(groups[rows]), pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offs), pa.py_buffer(odd)])], names=["grp", "bits"])
 
 
-def _compared(percent: int, most: int = 1 << 18):
+def _compared(percent: int, nearest: bool = False, most: int = 1 << 18):
     """Candidate pairs of different components. Rows are sorted by cell (token, i, j); each row with asks is compared
-    with each row with answers of its cell; of two rows outside their token's largest component one asks."""
+    with each row with answers of its cell; of two rows outside their token's largest component one asks.
+
+    nearest: of each group that asks only the candidate whose bitmap is nearest, with the difference as ``apart``; x asks."""
 
     def flush(found: list) -> pa.RecordBatch:
+        if nearest:
+            y, x, apart = np.concatenate(found, axis=1)
+            by = np.lexsort([y, apart, x])
+            by = by[np.append(True, x[by][1:] != x[by][:-1])]
+            return pa.RecordBatch.from_arrays([pa.array(y[by]), pa.array(x[by]), pa.array(apart[by])], names=["y", "x", "apart"])
         pair = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["y", "x"])
 
@@ -354,7 +366,7 @@ def _compared(percent: int, most: int = 1 << 18):
                 ok = apart * (100 + percent) <= (size[y].astype(np.int64) + size[x]) * (100 - percent)
                 if ok.any():
                     y, x = grp[y[ok]], grp[x[ok]]
-                    found.append(np.stack([np.minimum(y, x), np.maximum(y, x)]))
+                    found.append(np.stack([y, x, apart[ok]] if nearest else [np.minimum(y, x), np.maximum(y, x)]))
                     held += len(y)
                 if held >= most:
                     yield flush(found)
@@ -417,8 +429,9 @@ def _expanded(pairs: DataFrame, kin: DataFrame, sets: DataFrame, percent: int) -
     return found.unionByName(more).select(F.col("gy").alias("y"), "x").distinct(), [near]
 
 
-def _candidates(entries: DataFrame, sets: DataFrame, radius: DataFrame, percent: int) -> DataFrame:
-    """All pairs (y, x) of groups of different components that may hold a link, from entries with their component."""
+def _candidates(entries: DataFrame, sets: DataFrame, radius: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
+    """All pairs (y, x) of groups of different components that may hold a link, from entries with their component;
+    nearest: one pair for each group that asks."""
     tokens = entries.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("n"), F.max("count").alias("largest"), F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     mixed = entries.join(tokens, "token").withColumn("other", F.col("comp") != F.col("top"))
     bits = sets.join(mixed.select("grp").distinct(), "grp", "left_semi").mapInArrow(_bitmaps, "grp long, bits binary")
@@ -436,6 +449,9 @@ def _candidates(entries: DataFrame, sets: DataFrame, radius: DataFrame, percent:
     dealt = dealt.select("token", "grp", "size", "pos", "comp", "other", F.inline(F.concat(answering, asking))).join(bits, "grp")
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.select("token", "i", "j", "grp", "size", "pos", "comp", "other", "asks", "answers", "bits", "radius").repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
+    if nearest:
+        told = dealt.mapInArrow(_compared(percent, True), "y long, x long, apart long").groupBy("x").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
+        return told.select(F.least("y", "x").alias("y"), F.greatest("y", "x").alias("x")).distinct()
     return dealt.mapInArrow(_compared(percent), "y long, x long").distinct()
 
 
@@ -486,14 +502,26 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, turns: int = 3,
             done.append(comp)
         return connected_components(links, "y", "x")
 
+    def verified(best: DataFrame) -> DataFrame:
+        """Links of pairs that were not tested before."""
+        nonlocal tested
+        best = written(best if tested is None else best.join(tested, ["y", "x"], "left_anti"), "tested")
+        done.append(best)
+        tested = best if tested is None else tested.unionByName(best)
+        return _links(best, sets, percent).select("y", "x")
+
     for turn in range(turns):
         near = entries_now().repartition(parts, "token").sortWithinPartitions("token", F.xxhash64("grp", F.lit(turn)))
         near = near.mapInArrow(_hubs(percent), "hub long, x long, n long").groupBy("hub", "x").agg(F.sum("n").alias("n"))
         best = near.groupBy("x").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.least("hub", "x").alias("y"), F.greatest("hub", "x").alias("x")).distinct()
-        best = written(best if tested is None else best.join(tested, ["y", "x"], "left_anti"), "tested")
-        done.append(best)
-        tested = best if tested is None else tested.unionByName(best)
-        comp = joined(_links(best, sets, percent).select("y", "x"))
+        comp = joined(verified(best))
+    # Near copies that met no hub of theirs grow together by their nearest candidates before all candidates are rows.
+    for _ in range(min(turns, _NEAREST)):
+        links = written(verified(_candidates(entries_now(), sets, radius, percent, True)), "nearest")
+        done.append(links)
+        if not links.count():
+            break
+        comp = joined(links)
 
     rest = _candidates(entries_now(), sets, radius, percent)
     for side in ("y", "x"):

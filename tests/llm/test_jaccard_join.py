@@ -158,3 +158,24 @@ def test_groups_by_prefix_and_size(spark, monkeypatch):
 def test_sets_that_share_a_hash(spark):
     rows = fixture(6, 40)
     assert found(jaccard_join.classes(spark.createDataFrame(rows, SCHEMA).repartition(3), hash_bits=5)) == brute(rows)
+
+
+def test_near_copies_leave_few_pairs(spark, monkeypatch):
+    """Copies with one changed word are linked where the changes are near each other, so that hubs miss many; what is
+    left for the exhaustive comparison does not grow with the square of their number."""
+    rnd, seen, candidates = random.Random(9), [], jaccard_join._candidates
+
+    def told(*args):
+        pairs = candidates(*args)
+        if not any(a is True for a in args):
+            seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard_join, "_candidates", told)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(240):
+        at = rnd.randrange(4, 56)
+        rows.append((i, " ".join([*base[:at], f"n{i}", *base[at + 1 :]]), "k", 1, "c"))
+    assert found(jaccard_join.classes(spark.createDataFrame(rows, SCHEMA).repartition(3))) == brute(rows)
+    assert len(seen) == 1 and seen[0] < 240, seen
