@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from ..sources.shared import remove, written, written_bucketed
+from ..sources.shared import remove, small_batches, written, written_bucketed
 from . import _text as T
 
 #: Rows of a chunk: their number takes the highest bits of sort keys, the shingle the others.
@@ -56,8 +56,10 @@ _BITS = 1024
 _CELL = 4096
 #: Turns of verification against the nearest candidates.
 _NEAREST = 2
-#: Shingles that are counted together.
+#: Shingles that are counted together, and those (or pairs of bitmaps) that are handled at once.
 _COUNTED = 1 << 22
+_AT_ONCE = 1 << 18
+_BITMAPS = 1 << 16
 _LOOKUP_BITS = 22
 
 
@@ -129,7 +131,7 @@ def _items(data: np.ndarray) -> np.ndarray:
     return flat.view("<u8").ravel()
 
 
-def _decoded(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+def _decoded(batch: pa.RecordBatch, most: int = _AT_ONCE) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(rows, size, shingles) of consecutive rows of a column items: up to _ROWS rows and most shingles, or one row."""
     col = batch.column(batch.schema.get_field_index("items")).cast(pa.large_binary())
     n, bufs = len(col), col.buffers()
@@ -146,21 +148,25 @@ def _decoded(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[slice
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of shingles that several sets of a chunk hold."""
 
-    def counted(some: list[np.ndarray]) -> pa.RecordBatch:
-        token, n = np.unique(np.concatenate(some), return_counts=True)
-        token, n = token[n > 1], n[n > 1]
-        return pa.RecordBatch.from_arrays([T.long_array(token), T.long_array(n)], names=["token", "n"])
+    def counted(token: np.ndarray) -> pa.RecordBatch:
+        token.sort()  # in place; only those that repeat are copied
+        same = token[1:] == token[:-1]
+        first = np.flatnonzero(same & np.append(True, ~same[:-1]))
+        n = np.flatnonzero(same & np.append(~same[1:], True)) - first + 2
+        return pa.RecordBatch.from_arrays([T.long_array(token[first]), T.long_array(n)], names=["token", "n"])
 
-    held, some = 0, []
+    held, some = 0, np.empty(_COUNTED + _AT_ONCE, np.uint64)
     for batch in batches:
         for _, _, token in _decoded(batch):
-            some.append(token)
+            if held + len(token) > len(some):  # one very long set
+                some = np.append(some[:held], np.empty(len(token), np.uint64))
+            some[held : held + len(token)] = token
             held += len(token)
             if held >= _COUNTED:
-                yield counted(some)
-                held, some = 0, []
-    if some:
-        yield counted(some)
+                yield counted(some[:held])
+                held = 0
+    if held:
+        yield counted(some[:held])
 
 
 @dataclass(frozen=True)
@@ -183,7 +189,7 @@ class _Order:
 
 
 def _order(sets: DataFrame, most: int) -> _Order:
-    counts = written(sets.select("items").mapInArrow(_repeats, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
+    counts = written(sets.select("items").mapInArrow(T.lean(_repeats), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     level = F.least(F.floor(64 * F.log2("n")), F.lit((1 << _LEVEL_BITS) - 1)).cast("int")
     by_level = counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
     least, held = 1 << _LEVEL_BITS, 0
@@ -355,7 +361,7 @@ def _compared(percent: int, nearest: bool = False, most: int = 1 << 18):
             upto = np.append(0, np.cumsum((cut[cell + 1] - cut[cell])))
             a = 0
             while a < len(asking):
-                b = max(a + 1, int(np.searchsorted(upto, upto[a] + most, "right")) - 1)
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + _BITMAPS, "right")) - 1)
                 many = np.diff(upto[a : b + 1])
                 x = np.repeat(asking[a:b], many)
                 y = np.arange(upto[b] - upto[a]) - np.repeat(upto[a:b] - upto[a] - cut[cell[a:b]], many)
@@ -412,7 +418,7 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     further = [x for x in pairs.dtypes if x[0] not in ("y", "x")]
     a, b = sets.select(F.col("grp").alias("y"), F.col("items").alias("a")), sets.select(F.col("grp").alias("x"), F.col("items").alias("b"))
     both = pairs.join(b, "x").join(a, "y").select("y", "x", "a", "b", *(c for c, _ in further))
-    return both.mapInArrow(_verified(percent), ", ".join(["y long, x long, apart int, linked boolean", *(f"{c} {t}" for c, t in further)]))
+    return both.mapInArrow(T.lean(_verified(percent)), ", ".join(["y long, x long, apart int, linked boolean", *(f"{c} {t}" for c, t in further)]))
 
 
 def _expanded(pairs: DataFrame, kin: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -434,7 +440,7 @@ def _candidates(entries: DataFrame, sets: DataFrame, radius: DataFrame, percent:
     nearest: one pair for each group that asks."""
     tokens = entries.groupBy("token", "comp").count().groupBy("token").agg(F.sum("count").alias("n"), F.max("count").alias("largest"), F.max_by("comp", F.struct("count", "comp")).alias("top"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
     mixed = entries.join(tokens, "token").withColumn("other", F.col("comp") != F.col("top"))
-    bits = sets.join(mixed.select("grp").distinct(), "grp", "left_semi").mapInArrow(_bitmaps, "grp long, bits binary")
+    bits = sets.join(mixed.select("grp").distinct(), "grp", "left_semi").mapInArrow(T.lean(_bitmaps), "grp long, bits binary")
     bits = bits.join(radius, "grp", "left").select("grp", "bits", F.coalesce("radius", F.lit(0)).alias("radius"))
     # A grid of cells for each token: its rows deal out all entries, its columns those outside the largest component.
     rows, columns = F.ceil(F.col("n") / _CELL).cast("int"), F.ceil((F.col("n") - F.col("largest")) / _CELL).cast("int")
@@ -450,9 +456,9 @@ def _candidates(entries: DataFrame, sets: DataFrame, radius: DataFrame, percent:
     parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.select("token", "i", "j", "grp", "size", "pos", "comp", "other", "asks", "answers", "bits", "radius").repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j")
     if nearest:
-        told = dealt.mapInArrow(_compared(percent, True), "y long, x long, apart long").groupBy("x").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
+        told = dealt.mapInArrow(T.lean(_compared(percent, True)), "y long, x long, apart long").groupBy("x").agg(F.min_by("y", F.struct("apart", "y")).alias("y"))
         return told.select(F.least("y", "x").alias("y"), F.greatest("y", "x").alias("x")).distinct()
-    return dealt.mapInArrow(_compared(percent), "y long, x long").distinct()
+    return dealt.mapInArrow(T.lean(_compared(percent)), "y long, x long").distinct()
 
 
 def classes(docs: DataFrame, percent: int = 75, width: int = 5, turns: int = 3, most_frequent: int = 1 << 20, hash_bits: int = 64) -> DataFrame:
@@ -464,29 +470,34 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, turns: int = 3,
     hash_bits: of a set's first hash. Hashes that sets with different second hashes share are told to all tasks: of n
     different sets about n * n / 2 ** (hash_bits + 1), 3 at 10**10 sets; over 65,536 of them are refused.
     """
+    with small_batches(docs.sparkSession):
+        return _classes(docs, percent, width, turns, most_frequent, hash_bits)
+
+
+def _classes(docs: DataFrame, percent: int, width: int, turns: int, most_frequent: int, hash_bits: int) -> DataFrame:
     spark = docs.sparkSession
     if not 50 <= percent <= 100:
         raise ValueError("percent must be between 50 and 100")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = T.keyed(docs)
-    summary = written(texts.mapInArrow(_summaries(width, hash_bits), "doc_id long, k long, size int, grp long, name long"), "shingle_groups")
+    summary = written(texts.mapInArrow(T.lean(_summaries(width, hash_bits)), "doc_id long, k long, size int, grp long, name long"), "shingle_groups")
     clashing = [r.grp for r in summary.groupBy("grp").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select("grp").limit((1 << 16) + 1).collect()]
     if len(clashing) > 1 << 16:
         raise ValueError("too many sets share a hash: hash_bits is too small")
     summary = summary.select("doc_id", "k", "size", (F.when(F.col("grp").isin(clashing), F.col("name")).otherwise(F.col("grp")) if clashing else F.col("grp")).alias("grp"))
-    found = texts.select("text").mapInArrow(_whole_sets(width, hash_bits, np.array(clashing, np.int64).view(np.uint64)), "grp long, items binary")
+    found = texts.select("text").mapInArrow(T.lean(_whole_sets(width, hash_bits, np.array(clashing, np.int64).view(np.uint64))), "grp long, items binary")
     sets = written_bucketed(found.repartition(parts, "grp").dropDuplicates(["grp"]), "shingle_sets", "grp", parts)
 
     order = spark.sparkContext.broadcast(_order(sets, most_frequent))
-    alike = written(sets.mapInArrow(_alike(percent, order), "grp long, alike long"), "alike")
+    alike = written(sets.mapInArrow(T.lean(_alike(percent, order)), "grp long, alike long"), "alike")
     heads = alike.groupBy("alike").agg(F.min("grp").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
     proposed = alike.join(heads, "alike").where("grp <> y").select("y", F.col("grp").alias("x"))
     kin = written(_links(proposed, sets, percent).select(F.col("y").alias("head"), F.col("x").alias("grp"), "apart"), "kin")
     remove(alike)
     radius = kin.groupBy(F.col("head").alias("grp")).agg(F.max("apart").alias("radius"))
 
-    entries = sets.join(kin.select("grp"), "grp", "left_anti").mapInArrow(_entries(percent, order), "token long, grp long, size int, pos int")
-    shared = written(entries.repartition(parts, "token").sortWithinPartitions("token", "grp", "pos").mapInArrow(_shared_tokens, "token long, grp long, size int, pos int"), "prefixes")
+    entries = sets.join(kin.select("grp"), "grp", "left_anti").mapInArrow(T.lean(_entries(percent, order)), "token long, grp long, size int, pos int")
+    shared = written(entries.repartition(parts, "token").sortWithinPartitions("token", "grp", "pos").mapInArrow(T.lean(_shared_tokens), "token long, grp long, size int, pos int"), "prefixes")
 
     comp = tested = None
     done = [sets, shared]
@@ -512,7 +523,7 @@ def classes(docs: DataFrame, percent: int = 75, width: int = 5, turns: int = 3,
 
     for turn in range(turns):
         near = entries_now().repartition(parts, "token").sortWithinPartitions("token", F.xxhash64("grp", F.lit(turn)))
-        near = near.mapInArrow(_hubs(percent), "hub long, x long, n long").groupBy("hub", "x").agg(F.sum("n").alias("n"))
+        near = near.mapInArrow(T.lean(_hubs(percent)), "hub long, x long, n long").groupBy("hub", "x").agg(F.sum("n").alias("n"))
         best = near.groupBy("x").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.least("hub", "x").alias("y"), F.greatest("hub", "x").alias("x")).distinct()
         comp = joined(verified(best))
     # Near copies that met no hub of theirs grow together by their nearest candidates before all candidates are rows.

@@ -101,6 +101,19 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Within it, Python tasks get batches of size bytes at most, or of one row: batches of 10,000 long texts or sets take
+    tens of MB, several times over, in the JVM and in each worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read back from Parquet in the shared folder."""
     path = new_path(df.sparkSession, name)

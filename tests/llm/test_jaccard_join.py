@@ -1,5 +1,8 @@
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from splitwarden.llm import jaccard_join
@@ -179,3 +182,69 @@ def test_near_copies_leave_few_pairs(spark, monkeypatch):
         rows.append((i, " ".join([*base[:at], f"n{i}", *base[at + 1 :]]), "k", 1, "c"))
     assert found(jaccard_join.classes(spark.createDataFrame(rows, SCHEMA).repartition(3))) == brute(rows)
     assert len(seen) == 1 and seen[0] < 240, seen
+
+
+def sets_of(rows):
+    """A batch as the table of sets has them, six bytes a shingle."""
+    items = [np.ascontiguousarray(np.sort(r).astype("<u8")[:, None].view(np.uint8)[:, :6]).tobytes() for r in rows]
+    return pa.RecordBatch.from_arrays([pa.array(items, pa.binary())], names=["items"])
+
+
+def most_memory(work, *args):
+    tracemalloc.start()
+    try:
+        out = [pa.Table.from_batches([b]).to_pydict() for b in work(*args)]
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_shingles_are_counted_within_memory():
+    """Eight bytes a shingle of a chunk and not several times as much; sets longer than a chunk are counted whole."""
+    rnd = np.random.default_rng(3)
+    draw = lambda n: rnd.integers(0, 1 << 47, n, dtype=np.uint64)
+    common = draw(500)
+    rows = [np.append(draw(60_000), common[: i * 5]) for i in range(80)]
+    batches = [sets_of(rows[i : i + 8]) for i in range(0, 80, 8)]
+    (whole, *rest), mb = most_memory(jaccard_join._repeats, iter(batches))
+    ends = np.cumsum([x for b in batches for x in (rows_.stop - rows_.start for rows_, _, _ in jaccard_join._decoded(b))])
+    upto = next(int(i) for i in ends if sum(map(len, rows[:i])) >= jaccard_join._COUNTED)
+    assert mb < 90, mb
+    for got, part in ((whole, rows[:upto]), (rest[0], rows[upto:])):
+        token, n = np.unique(np.concatenate(part), return_counts=True)
+        assert dict(zip(got["token"], got["n"], strict=True)) == dict(zip(token[n > 1].tolist(), n[n > 1].tolist(), strict=True))
+    assert len(rest) == 1
+    long = np.arange(jaccard_join._COUNTED + jaccard_join._AT_ONCE + 5, dtype=np.uint64)
+    got = [b.to_pydict() for b in jaccard_join._repeats(iter([sets_of([long[:3], long, long[1:2]])]))]
+    assert [sorted(zip(b["token"], b["n"], strict=True)) for b in got] in ([[(0, 2), (1, 2), (2, 2)], []], [[(0, 2), (1, 3), (2, 2)]])
+
+
+def test_bitmaps_are_compared_within_memory():
+    """A cell of near copies, all pairs of which pass the bounds by size and place."""
+    n = 700
+    one = pa.array(np.ones(n, np.int64))
+    ids, yes = pa.array(np.arange(n)), pa.array(np.ones(n, bool))
+    bits = pa.array([bytes(jaccard_join._BITS // 8)] * n, pa.binary())
+    size, pos = pa.array(np.full(n, 50, np.int32)), pa.array(np.zeros(n, np.int32))
+    names = ["token", "i", "j", "grp", "size", "pos", "comp", "other", "asks", "answers", "bits", "radius"]
+    cell = pa.RecordBatch.from_arrays([one, one, one, ids, size, pos, ids, yes, yes, yes, bits, pa.array(np.zeros(n, np.int32))], names=names)
+    got, mb = most_memory(jaccard_join._compared(75), iter([cell]))
+    assert sum(len(b["y"]) for b in got) == n * (n - 1) // 2 and mb < 35, mb
+
+
+def test_batches_are_small(spark, monkeypatch):
+    """Sets and texts reach Python in batches of a few MB; the session's own setting is as before afterwards."""
+    key, seen, order = "spark.sql.execution.arrow.maxBytesPerBatch", [], jaccard_join._order
+
+    def told(sets, most):
+        sizes = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+        seen.extend(r.n for r in sets.mapInArrow(sizes, "n long").collect())
+        return order(sets, most)
+
+    monkeypatch.setattr(jaccard_join, "_order", told)
+    before = spark.conf.get(key)
+    docs = spark.range(240).select(F.col("id").alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30_000)), lambda i: F.xxhash64("id", i).cast("string")), " ").alias("text"))
+    rows = components(docs.repartition(2)).collect()
+    assert len({r.component_id for r in rows}) == 240 and {r.n_shingles for r in rows} == {29_996}
+    assert sum(seen) > 240 * 29_996 * 6 and max(seen) < 9 << 20, max(seen)
+    assert spark.conf.get(key) == before
