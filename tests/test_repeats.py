@@ -33,6 +33,20 @@ def test_links_of_places_with_many_items(spark, monkeypatch):
     assert "(a#" not in "".join(line for line in plan.splitlines() if "Join" in line)
 
 
+def test_partitions_of_links_follow_the_pairs(spark, monkeypatch):
+    """1,500 items in two places make about 560,000 pairs: more partitions than the session's four, each with its part, and
+    no loop that holds the pairs of two blocks."""
+    monkeypatch.setattr(sessionize, "BLOCK", 100)
+    monkeypatch.setattr(sessionize, "TASK_PAIRS", 30_000, raising=False)
+    df = spark.range(1500).selectExpr("id as key", "(id % 2) * 10.0D as lat", "1.0D as lon")
+    links = sessionize.place_links(df, "key", "lat", "lon", 150.0)
+    told = links.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in told) == 750 * 749 and len(told) > 10 and max(r["count"] for r in told) < 200_000
+    lines = [x for x in links._jdf.queryExecution().sparkPlan().toString().splitlines() if "Generate explode" in x or "Coalesce" in x]
+    assert ["Coalesce" in x for x in lines[:3]] == [False, True, False]
+    assert links.where("a >= b or (a - b) % 2 <> 0").count() == 0 and links.distinct().count() == 750 * 749
+
+
 def test_first_pairs_hash_few_pairs_whole(spark):
     """Keys of several lengths, some beyond one block of MD5, and far fewer whole digests than pairs."""
     names = [str(i * i * 37) for i in range(150)] + ["é" * 12 + str(i) for i in range(6)] + ["x" * 40 + str(i) for i in range(6)]
